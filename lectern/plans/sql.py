@@ -47,3 +47,18 @@ def keyword_scores(chunks_cte: str, queries_cte: str, chunk_cols: str) -> str:
                  len(list_intersect(q, d)) AS shared
           FROM (SELECT *, list_distinct({tokens('text')}) AS d, lower(text) AS low FROM {chunks_cte}) c,
                (SELECT query_id, list_distinct({tokens('query')}) AS q FROM {queries_cte}) s)"""
+
+
+def text(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def contains_any(col: str, needles: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({col}, {text(n)})" for n in needles) + ")"
+
+
+def rules(col: str, table: list[tuple[list[str], str]], default: str) -> str:
+    """Ordered substring rules as a CASE expression."""
+    whens = " ".join(f"WHEN {contains_any(col, n)} THEN {text(r)}" for n, r in table)
+    return f"CASE {whens} ELSE {text(default)} END"
