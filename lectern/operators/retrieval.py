@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as t
 
 from lectern.functions import text as T
+from lectern.operators.nearest import nearest
 
 # Score threshold, bonus per matching query token, default and largest k, chat k.
 THRESHOLD = 0.18
@@ -22,8 +18,6 @@ CHAT_K = 2
 # A query batch up to this size travels inside the plan; a larger one goes through the token index.
 MAX_BATCH_QUERIES = 256
 MAX_BATCH_TOKENS = 1024
-# Vectors per pass over the corpus (bounds what is broadcast: 4096 vectors of 64 doubles are 2 MB).
-MAX_BATCH_VECTORS = 4096
 ANCHOR = 4
 SALT = 16
 
@@ -231,28 +225,6 @@ def top_k(
 # ---------------------------------------------------------------------------------------------- vectors
 
 
-def vector_passes(vectors: DataFrame, vec_id: str, vec: str, limit: int = MAX_BATCH_VECTORS):
-    """Yield (ids, matrix) blocks of at most ``limit`` vectors; one block when all fit.
-
-    Every block is a bounded broadcast. More vectors mean more passes over the corpus, never a larger block.
-    """
-    slim = vectors.select(vec_id, F.col(vec).cast("array<double>").alias(vec)).filter(F.col(vec).isNotNull())
-    total = slim.count()
-    if total == 0:
-        return
-    n_blocks = max(1, -(-total // (limit // 2))) if total > limit else 1
-    block = F.pmod(F.xxhash64(vec_id), F.lit(n_blocks))
-    for b in range(n_blocks):
-        rows = (slim.filter(block == b) if n_blocks > 1 else slim).orderBy(vec_id).collect()
-        if rows:
-            yield [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
-
-
-def _corpus_matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-
-
 def cosine_matches(
     corpus: DataFrame,
     vec: str,
@@ -261,49 +233,14 @@ def cosine_matches(
     query_vec: str,
     keep: list[str],
     threshold: float | None = THRESHOLD,
+    k: int | None = None,
+    digits: int | None = None,
 ) -> DataFrame:
-    """(query, row) pairs with their cosine score, above the threshold (RET-2, RET-5).
+    """(query, row) pairs with their cosine score above the threshold (RET-2, RET-5).
 
-    Query vectors go out in bounded blocks; every Arrow batch of the corpus is scored with one matrix
-    product, so the corpus is not shuffled. Score is 0 when either norm is 0.
+    With ``k``, rows that cannot be among a query's best k are left out early; rank the rest with ``top_k``.
     """
-    spark = corpus.sparkSession
-    id_type = queries.schema[query_id].dataType
-    schema = t.StructType(
-        [t.StructField(query_id, id_type)]
-        + [corpus.schema[c] for c in keep]
-        + [t.StructField("score", t.DoubleType())]
-    )
-    slim = corpus.select(*keep, F.col(vec).alias("_vec")).filter(F.col("_vec").isNotNull())
-    out = None
-    for ids, matrix in vector_passes(queries, query_id, query_vec):
-        part = slim.mapInArrow(_cosine_task(spark, ids, matrix, id_type, query_id, keep, threshold), schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
-
-
-def _cosine_task(spark: SparkSession, ids, matrix, id_type, query_id, keep, threshold):
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    norms = np.linalg.norm(matrix, axis=1)
-    shared = spark.sparkContext.broadcast((pa.array(ids, type=to_arrow_type(id_type)), matrix, norms))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        id_array, q, q_norm = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            d = _corpus_matrix(batch.column("_vec"))
-            scale = np.linalg.norm(d, axis=1)[:, None] * q_norm[None, :]
-            score = np.divide(d @ q.T, scale, out=np.zeros_like(scale), where=scale > 0)
-            rows, cols = np.nonzero(score > threshold) if threshold is not None else np.nonzero(score > -2)
-            picked = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays(
-                [id_array.take(pa.array(cols)), *[picked.column(c) for c in keep], pa.array(score[rows, cols])],
-                names=[query_id, *keep, "score"],
-            )
-
-    return run
+    return nearest(corpus, vec, queries, query_id, query_vec, keep, "cosine", k, threshold, digits)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.functions.rounding import half_even
 from lectern.operators import answering as A
 from lectern.operators import chunking as C
 from lectern.operators import retrieval as R
@@ -195,9 +194,10 @@ def centroids(vectors: DataFrame) -> DataFrame:
 def cosine_topk(spark, sf_dir):
     """The five vectors nearest to each label's mean vector."""
     vectors = table(spark, sf_dir, "embeddings")
-    scored = R.cosine_matches(vectors, "embedding", centroids(vectors), "query_id", "query_vec", ["vec_id"])
-    rounded = scored.withColumn("score", F.round("score", 6))
-    return R.top_k(rounded, "query_id", ["vec_id"], R.MAX_K).select("query_id", "vec_id", "score", "rank")
+    scored = R.cosine_matches(
+        vectors, "embedding", centroids(vectors), "query_id", "query_vec", ["vec_id"], k=R.MAX_K, digits=6
+    )
+    return R.top_k(scored, "query_id", ["vec_id"], R.MAX_K).select("query_id", "vec_id", "score", "rank")
 
 
 HYBRID_TEXT = "'vector ' || vec_id || ' of label ' || label || ' group ' || (vec_id % 7)"
