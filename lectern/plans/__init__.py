@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["retrieval", "relational", "profiling", "assessment", "paths", "models"]
+AREAS = ["sources", "retrieval", "relational", "profiling", "assessment", "paths", "models"]
 
 
 def load() -> None:
