@@ -64,9 +64,8 @@ def rank_sentences(sentences: Column, keywords: Column) -> Column:
     """Matching sentences, most keywords first, then in reading order (ANS-3, ANS-4)."""
 
     def scored(s: Column) -> Column:
-        low = F.lower(s["sentence"])
         return F.struct(
-            (-F.size(F.filter(keywords, lambda w: F.contains(low, w)))).alias("order"),
+            (-F.size(R.tokens_inside(keywords, s["sentence"]))).alias("order"),
             s["rank"].alias("rank"),
             s["pos"].alias("pos"),
             s["sentence"].alias("sentence"),

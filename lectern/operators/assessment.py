@@ -11,6 +11,7 @@ from pyspark.sql import types as t
 
 from lectern import fixed_values as V
 from lectern.functions import text as T
+from lectern.functions.binding import let
 from lectern.functions.rounding import half_even
 
 # ------------------------------------------------------------------------------------ quizzes
@@ -43,8 +44,11 @@ def fits_topic(topic: Column, question: Column, explanation: Column, answer: Col
 
     body = F.lower(F.concat_ws(" ", plain(question), plain(explanation), plain(answer)))
     listed = F.lower(F.array_join(F.coalesce(options, F.array().cast("array<string>")), " "))
-    return F.exists(
-        topic_keywords(topic_key(topic)), lambda w: F.contains(body, w) | F.contains(listed, w)
+    return let(
+        F.struct(body.alias("body"), listed.alias("listed")),
+        lambda t: F.exists(
+            topic_keywords(topic_key(topic)), lambda w: F.contains(t["body"], w) | F.contains(t["listed"], w)
+        ),
     )
 
 
@@ -213,31 +217,42 @@ def interview_questions(topic: Column) -> Column:
     return out.otherwise(F.array(*[F.lit(q) for q in V.INTERVIEW_QUESTIONS[V.INTERVIEW_DEFAULT]]))
 
 
-def evaluate_answer(topic: Column, question: Column, answer: Column) -> Column:
-    """Struct ``score`` and five remarks (IV-2).
+def evaluation_code(topic: Column, question: Column, answer: Column) -> Column:
+    """Number of the rule an answer meets; one past the rules: no function; two past: none.
 
     The topic picks a branch, the question (case-sensitive) a rule in it, the answer whether it hits.
     """
     low_topic, low = F.lower(T.strip(topic)), F.lower(answer)
-    topics = list(dict.fromkeys(rule[0] for rule in V.EVALUATION_RULES))
-    branch = T.first_match(low_topic, [([name], name) for name in topics], "")
-    rule = None
-    for i, (name, about, *_rest) in enumerate(V.EVALUATION_RULES):
-        hit = (branch == name) & F.contains(question, F.lit(about))
-        rule = F.when(hit, F.lit(i)) if rule is None else rule.when(hit, F.lit(i))
-    rule = rule.otherwise(F.lit(-1))
-    no_function = ~F.contains(low, F.lit("def "))
-
-    def field(pos: int) -> Column:
-        out = None
-        for i, (_t, about, needles, *values) in enumerate(V.EVALUATION_RULES):
-            hit = (rule == i) & T.contains_any(low, needles)
-            out = F.when(hit, F.lit(values[pos])) if out is None else out.when(hit, F.lit(values[pos]))
-            if about == "is_palindrome" and pos < len(V.EVALUATION_NO_FUNCTION):
-                out = out.when((rule == i) & no_function, F.lit(V.EVALUATION_NO_FUNCTION[pos]))
-        return out.otherwise(F.lit(V.EVALUATION_DEFAULT[pos]))
-
-    return F.struct(*[field(i).alias(n) for i, n in enumerate(["score", *V.EVALUATION_FIELDS])])
+    no_function, none = len(V.EVALUATION_RULES), len(V.EVALUATION_RULES) + 1
+    branches: dict[str, list[int]] = {}
+    for i, rule in enumerate(V.EVALUATION_RULES):
+        branches.setdefault(rule[0], []).append(i)
+    out = None
+    for name, numbers in branches.items():
+        inner = None
+        for i in numbers:
+            _topic, about, needles = V.EVALUATION_RULES[i][:3]
+            met = F.when(T.contains_any(low, needles), F.lit(i))
+            if about == "is_palindrome":
+                met = met.when(~F.contains(low, F.lit("def ")), F.lit(no_function))
+            met, hit = met.otherwise(F.lit(none)), F.contains(question, F.lit(about))
+            inner = F.when(hit, met) if inner is None else inner.when(hit, met)
+        inner, here = inner.otherwise(F.lit(none)), F.contains(low_topic, F.lit(name))
+        out = F.when(here, inner) if out is None else out.when(here, inner)
+    return out.otherwise(F.lit(none))
+
+
+def evaluate_answer(topic: Column, question: Column, answer: Column) -> Column:
+    """Struct ``score`` and five remarks (IV-2), looked up by the rule number."""
+    default = V.EVALUATION_DEFAULT
+    outcomes = [rule[3:] for rule in V.EVALUATION_RULES]
+    outcomes.append((*V.EVALUATION_NO_FUNCTION, *default[len(V.EVALUATION_NO_FUNCTION) :]))
+    outcomes.append(default)
+    names = ["score", *V.EVALUATION_FIELDS]
+    table = F.array(
+        *[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in outcomes]
+    )
+    return F.get(table, evaluation_code(topic, question, answer))
 
 
 def assess_sessions(evaluations: DataFrame, session: str, score: str, sessions: DataFrame | None = None) -> DataFrame:

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from lectern import fixed_values as V
 from lectern.functions import text as T
+from lectern.functions.binding import let
 from lectern.operators.ranking import positions
 from lectern.operators.retrieval import top_k
 
 WEEKS = 4
 MAX_PLAN = 500
-SUBTOPIC = "struct<name:string,details:string,tags:array<string>>"
 
 # Patterns of week headings, numbered lines and title terms.
 WEEK_HEADING = r"(?i)Week\s+(\d+|[IVXLCDM]+)\s*[:\-]?\s*([^\n]+)"
@@ -56,26 +56,34 @@ def shown_weeks(skills: Column, weeks: Column) -> Column:
 # --------------------------------------------------------------------------------- course texts
 
 
-def split_text(c: Column, parts: int = WEEKS) -> Column:
+def split_text(df: DataFrame, text: str, output: str, parts: int = WEEKS) -> DataFrame:
     """Text in ``parts`` pieces: first paragraphs, else groups of sentences, else groups of words (LP-3).
 
     Group length is the integer share, so a remainder is dropped, as are paragraphs beyond ``parts``.
     """
-    paragraphs, sentences, words = T.paragraphs(c), T.sentences(c), T.words(c)
+    c = F.col(text)
+    paragraphs = df.withColumn("_paragraphs", T.paragraphs(c))
+    enough = F.size("_paragraphs") >= parts
+    # Sentences where there are enough of them, else words; neither is made where paragraphs do.
+    found = paragraphs.withColumn("_sentences", F.when(~enough, T.sentences(c)))
+    items = F.when(F.size("_sentences") >= parts, F.col("_sentences")).otherwise(
+        F.when(F.col("_sentences").isNotNull(), T.words(c))
+    )
 
-    def grouped(items: Column) -> Column:
-        size = F.greatest(F.floor(F.size(items) / F.lit(parts)).cast("int"), F.lit(1))
-        count = F.least(F.ceil(F.size(items) / size).cast("int"), F.lit(parts))
+    def grouped(i: Column) -> Column:
+        size = F.greatest(F.floor(F.size(i) / F.lit(parts)).cast("int"), F.lit(1))
+        count = F.least(F.ceil(F.size(i) / size).cast("int"), F.lit(parts))
         return F.transform(
-            F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(items, i * size + 1, size), " ")
+            F.sequence(F.lit(0), count - 1), lambda p: F.array_join(F.slice(i, p * size + 1, size), " ")
         )
 
-    return (
-        F.when(F.size(paragraphs) >= parts, F.slice(paragraphs, 1, parts))
-        .when(F.size(sentences) >= parts, grouped(sentences))
-        .when(F.size(words) > 0, grouped(words))
+    pieces = (
+        F.when(enough, F.slice("_paragraphs", 1, parts))
+        .when(F.size("_items") > 0, let(F.col("_items"), grouped))
         .otherwise(F.array().cast("array<string>"))
     )
+    made = found.withColumn("_items", items).withColumn(output, pieces)
+    return made.drop("_paragraphs", "_sentences", "_items")
 
 
 def part_titles(parts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -111,7 +119,8 @@ def fallback_title(source: Column, week: Column) -> Column:
 
 def course_parts(docs: DataFrame, keys: list[str], text: str = "text", weeks: int = WEEKS) -> DataFrame:
     """Rows ``keys, week, text`` with whitespace collapsed (LP-3, TXT-6)."""
-    cut = docs.select(*keys, F.posexplode(split_text(F.col(text), weeks)).alias("_i", "_part"))
+    split = split_text(docs.select(*keys, text), text, "_parts", weeks)
+    cut = split.select(*keys, F.posexplode("_parts").alias("_i", "_part"))
     return cut.select(*keys, (F.col("_i") + 1).alias("week"), T.collapse(F.col("_part")).alias("text"))
 
 
@@ -134,7 +143,7 @@ def drop_known(path: Column, skills: Column) -> Column:
 
     def known(week: Column) -> Column:
         text = F.lower(F.concat_ws(" ", week["topic"], week["details"]))
-        return F.exists(skills, lambda s: F.contains(text, s))
+        return let(text, lambda low: F.exists(skills, lambda s: F.contains(low, s)))
 
     left = F.filter(path, lambda w: ~known(w))
     return F.when((F.size(skills) > 0) & (F.size(left) > 0), left).otherwise(path)
@@ -149,18 +158,21 @@ def week_sections(c: Column) -> Column:
     The number is taken as written; a roman numeral, or a word starting with such letters, becomes the
     heading's position.
     """
-    numbers = F.regexp_extract_all(c, F.lit(WEEK_HEADING), F.lit(1))
-    titles = F.regexp_extract_all(c, F.lit(WEEK_HEADING), F.lit(2))
-    bodies = F.split(c, WEEK_HEADING, -1)
+    parts = F.arrays_zip(
+        F.regexp_extract_all(c, F.lit(WEEK_HEADING), F.lit(1)).alias("number"),
+        F.regexp_extract_all(c, F.lit(WEEK_HEADING), F.lit(2)).alias("title"),
+        F.slice(F.split(c, WEEK_HEADING, -1), 2, 1 << 30).alias("body"),
+    )
 
-    def section(number: Column, i: Column) -> Column:
+    def section(p: Column, i: Column) -> Column:
+        written = F.try_to_number(F.substring(p["number"], 1, 9), F.lit("999999999")).cast("int")
         return F.struct(
-            F.coalesce(F.try_to_number(F.substring(number, 1, 9), F.lit("999999999")).cast("int"), i + 1).alias("week"),
-            T.strip(F.get(titles, i)).alias("topic"),
-            T.strip(F.get(bodies, i + 1)).alias("content"),
+            F.coalesce(written, i + 1).alias("week"),
+            T.strip(p["title"]).alias("topic"),
+            T.strip(p["body"]).alias("content"),
         )
 
-    return F.transform(numbers, section)
+    return F.transform(parts, section)
 
 
 def section_subtopics(content: Column) -> Column:
@@ -169,24 +181,27 @@ def section_subtopics(content: Column) -> Column:
     A numbered line counts only where it is written as "n. title" with one space, and its first such
     occurrence in the section decides where its text starts.
     """
-    numbers = F.regexp_extract_all(content, F.lit(NUMBERED_LINE), F.lit(1))
-    titles = F.regexp_extract_all(content, F.lit(NUMBERED_LINE), F.lit(2))
+    parts = F.arrays_zip(
+        F.regexp_extract_all(content, F.lit(NUMBERED_LINE), F.lit(1)).alias("number"),
+        F.regexp_extract_all(content, F.lit(NUMBERED_LINE), F.lit(2)).alias("title"),
+    )
 
-    def subtopic(number: Column, i: Column) -> Column:
-        heading = F.concat(number, F.lit(". "), F.get(titles, i))
+    def subtopic(p: Column) -> Column:
+        number, title = p["number"], p["title"]
+        heading = F.concat(number, F.lit(". "), title)
         at = F.instr(content, heading)
         rest = F.substr(content, at + F.length(heading), F.length(content))
         following = (number.cast("decimal(38,0)") + 1).cast("string")
         stop = F.concat(F.lit(r"(?md)^\s*"), following, F.lit(r"\.\s*"))
         return F.struct(
-            T.strip(F.get(titles, i)).alias("name"),
+            T.strip(title).alias("name"),
             T.clip(T.collapse(F.get(F.split(rest, stop, 2), F.lit(0))), 180).alias("details"),
-            F.array(F.lower(T.strip(F.get(titles, i)))).alias("tags"),
+            F.array(F.lower(T.strip(title))).alias("tags"),
             (at > 0).alias("found"),
         )
 
     numbered = F.transform(
-        F.filter(F.transform(numbers, subtopic), lambda s: s["found"]),
+        F.filter(F.transform(parts, subtopic), lambda s: s["found"]),
         lambda s: F.struct(s["name"].alias("name"), s["details"].alias("details"), s["tags"].alias("tags")),
     )
     lines = F.slice(F.filter(F.transform(F.split(content, "\n"), T.strip), lambda x: x != ""), 1, 3)
@@ -233,18 +248,14 @@ def plan_or_default(subtopics: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------------ filtered plans
 
 
-def mentions(name: Column, details: Column, tags: Column, skills: Column) -> Column:
-    """A non-blank skill is inside the name, the details or a tag (LP-12)."""
-    low_name, low_details = F.lower(name), F.lower(details)
-    return F.exists(
-        skills,
-        lambda s: (s != "")
-        & (
-            F.contains(low_name, s)
-            | F.contains(low_details, s)
-            | F.exists(tags, lambda g: F.contains(F.lower(g), s))
-        ),
-    )
+def searched(name: Column, details: Column, tags: Column) -> Column:
+    """Lower-cased texts of a subtopic that a skill is looked up in."""
+    return F.transform(F.concat(F.array(name, details), tags), F.lower)
+
+
+def mentions(texts: Column, skills: Column) -> Column:
+    """A non-blank skill is inside one of the texts (LP-12)."""
+    return F.exists(skills, lambda s: (s != "") & F.exists(texts, lambda x: F.contains(x, s)))
 
 
 def assign_weeks(
@@ -264,8 +275,9 @@ def assign_weeks(
             for i, skills in requests
         ]
     )
-    wanted = F.filter(
-        asked, lambda r: ~mentions(F.col("name"), F.col("details"), F.col("tags"), r["skills"])
+    wanted = let(
+        searched(F.col("name"), F.col("details"), F.col("tags")),
+        lambda texts: F.filter(asked, lambda r: ~mentions(texts, r["skills"])),
     )
     rows = subtopics.select(F.explode(F.transform(wanted, lambda r: r["request_id"])).alias("request_id"), order, "name", "details")
     placed = positions(rows, ["request_id"], order, **cuts)
@@ -280,24 +292,26 @@ def bounded_plan(subtopics: DataFrame, order: list[str]) -> Column | None:
 
 def plan_literal(rows: list[tuple]) -> Column:
     if not rows:
-        return F.array().cast(f"array<{SUBTOPIC}>")
-    return F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("name"), F.lit(d).alias("details"),
-                F.array(*[F.lit(g) for g in tags]).cast("array<string>").alias("tags"),
-            )
-            for n, d, tags in rows
-        ]
-    )
+        return F.array().cast("array<struct<name:string,details:string,texts:array<string>>>")
+
+    def subtopic(n: str, d: str, tags: list[str]) -> Column:
+        listed = F.array(*[F.lit(g) for g in tags]).cast("array<string>")
+        texts = searched(F.lit(n), F.lit(d), listed)
+        return F.struct(F.lit(n).alias("name"), F.lit(d).alias("details"), texts.alias("texts"))
+
+    return F.array(*[subtopic(*r) for r in rows])
+
+
+def unknown_subtopics(plan: Column, skills: Column) -> Column:
+    """Subtopics of a plan that mention none of the skills, in plan order (LP-12)."""
+    return let(skills, lambda known: F.filter(plan, lambda s: ~mentions(s["texts"], known)))
 
 
-def weekly_plan(plan: Column, skills: Column) -> Column:
-    """Array of four ``week, topic, details`` from the subtopics a learner does not know (LP-12…15).
+def weekly_plan(left: Column) -> Column:
+    """Array of four ``week, topic, details`` from the subtopics a learner does not know (LP-13…15).
 
     All of it happens in the request's row, so any number of requests needs no shuffle.
     """
-    left = F.filter(plan, lambda s: ~mentions(s["name"], s["details"], s["tags"], skills))
 
     def week(w: int) -> Column:
         own = F.filter(left, lambda _s, i: i % WEEKS == w)
@@ -344,13 +358,13 @@ def track_subtopics(spark) -> DataFrame:
 def skill_paths(requests: DataFrame, plan: Column, entry: str = "skills", weeks: str | None = None) -> DataFrame:
     """Adds ``track`` and ``path`` to requests without a course source (LP-1, 2, 12…16)."""
     listed = requests.withColumn("_skills", entered_skills(F.col(entry)))
-    routed = listed.withColumn("track", track_key(F.col("_skills")))
-    path = F.when(F.col("track").isNotNull(), track_path(F.col("track"))).otherwise(
-        weekly_plan(plan, normal_skills(F.col("_skills")))
+    routed = listed.withColumn("track", track_key(F.col("_skills"))).withColumn(
+        "_left", unknown_subtopics(plan, normal_skills(F.col("_skills")))
     )
+    path = F.when(F.col("track").isNotNull(), track_path(F.col("track"))).otherwise(weekly_plan(F.col("_left")))
     if weeks:
         path = F.slice(path, F.lit(1), shown_weeks(F.col("_skills"), F.col(weeks)))
-    return routed.withColumn("path", path).drop("_skills")
+    return routed.withColumn("path", path).drop("_skills", "_left")
 
 
 def completion(progress: DataFrame, learner: str, done: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.binding import let
 from lectern.operators import quantiles as Q
 
 
@@ -101,12 +102,14 @@ def reverse_words(c: Column) -> Column:
 
 def anagram_starts(text: Column, pattern: Column) -> Column:
     """0-based starts of windows that are a permutation of the pattern (TB-8)."""
-    letters = F.array_sort(F.split(pattern, ""))
     width = F.length(pattern)
     last = F.length(text) - width
-    starts = F.filter(
-        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-        lambda i: F.array_sort(F.split(F.substr(text, i + 1, width), "")) == letters,
+    starts = let(
+        F.array_sort(F.split(pattern, "")),
+        lambda letters: F.filter(
+            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+            lambda i: F.array_sort(F.split(F.substr(text, i + 1, width), "")) == letters,
+        ),
     )
     return F.when((last >= 0) & (width > 0), starts).otherwise(F.array().cast("array<int>"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.binding import let
 from lectern.operators.nearest import nearest
 
 # Score threshold, bonus per matching query token, default and largest k, chat k.
@@ -34,10 +35,15 @@ def _score(bonus: Column, shared: Column, n_query: Column, n_chunk: Column) -> C
     return F.when(bonus > 0, F.least(folded, F.lit(1.0))).otherwise(F.lit(0.0))
 
 
+def tokens_inside(tokens: Column, text: Column) -> Column:
+    """Those tokens that occur anywhere in the lower-cased text."""
+    return let(F.lower(text), lambda low: F.filter(tokens, lambda w: F.contains(low, w)))
+
+
 def keyword_score(query: Column, chunk: Column) -> Column:
     """Score of one query text against one chunk text in the same row (RET-1)."""
-    q, d, low = T.distinct_tokens(query), T.distinct_tokens(chunk), F.lower(chunk)
-    bonus = F.size(F.filter(q, lambda w: F.contains(low, w)))
+    q, d = T.distinct_tokens(query), T.distinct_tokens(chunk)
+    bonus = F.size(tokens_inside(q, chunk))
     score = _score(bonus, F.size(F.array_intersect(q, d)), F.size(q), F.size(d))
     return F.when((F.size(q) == 0) | (F.size(d) == 0), F.lit(0.0)).otherwise(score)
 
@@ -88,23 +94,28 @@ def _matches_by_scan(chunks, batch, id_type, query_id, text, threshold) -> DataF
         ]
     )
     hit = (
-        chunks.withColumn("_low", F.lower(F.col(text)))
-        .withColumn("_inside", F.filter(all_tokens, lambda w: F.contains(F.col("_low"), w)))
+        chunks.withColumn("_inside", tokens_inside(all_tokens, F.col(text)))
         .filter(F.size("_inside") > 0)
         .withColumn("_tokens", T.distinct_tokens(F.col(text)))
-        .withColumn("_exact", F.array_intersect(F.col("_inside"), F.col("_tokens")))
-        .withColumn("_n", F.size("_tokens"))
     )
-    scored = F.transform(
-        asked,
-        lambda q: F.struct(
-            q["id"].alias("id"),
-            _score(
-                F.size(F.array_intersect(q["tokens"], F.col("_inside"))),
-                F.size(F.array_intersect(q["tokens"], F.col("_exact"))),
-                F.size(q["tokens"]),
-                F.col("_n"),
-            ).alias("score"),
+    found = F.struct(
+        F.col("_inside").alias("inside"),
+        F.array_intersect("_inside", "_tokens").alias("exact"),
+        F.size("_tokens").alias("n"),
+    )
+    scored = let(
+        found,
+        lambda c: F.transform(
+            asked,
+            lambda q: F.struct(
+                q["id"].alias("id"),
+                _score(
+                    F.size(F.array_intersect(q["tokens"], c["inside"])),
+                    F.size(F.array_intersect(q["tokens"], c["exact"])),
+                    F.size(q["tokens"]),
+                    c["n"],
+                ).alias("score"),
+            ),
         ),
     )
     kept = F.filter(scored, lambda s: s["score"] > threshold)
@@ -113,13 +124,25 @@ def _matches_by_scan(chunks, batch, id_type, query_id, text, threshold) -> DataF
     )
 
 
+def _most_hits(threshold: float) -> int:
+    """Hits that always pass the threshold, whatever the sizes."""
+    return int(threshold / TOKEN_BONUS + 1e-9) + 1
+
+
+def _size_limit(threshold: float) -> int | None:
+    """Distinct tokens above which a chunk needs ``_most_hits``; None when no size is large enough."""
+    b = _most_hits(threshold) - 1
+    gap = threshold - b * TOKEN_BONUS
+    return int(b / gap) + b + 1 if gap > 1e-6 else None
+
+
 def _least_hits(n_query: Column, n_chunk: Column, threshold: float) -> Column:
     """Fewest query tokens that must occur in a chunk for the pair to pass the threshold.
 
     With b occurring tokens at most min(b, chunk tokens) are shared, so the score is at most
     0.05 b + m / (q + c - m). The smallest b whose bound exceeds the threshold is needed.
     """
-    top = int(threshold / TOKEN_BONUS) + 1
+    top = _most_hits(threshold)
     out = F.lit(top)
     for b in range(top - 1, 0, -1):
         m = F.least(F.lit(b), n_query, n_chunk)
@@ -177,22 +200,28 @@ def _matches_by_index(chunks, queries, chunk_keys, query_id, query_text, text, t
     wanted = found.select("word", "token").join(ranked, "word").select(query_id, "_nq", "_rare", "token")
     salted = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     salt = F.pmod(F.xxhash64(*chunk_keys), F.lit(SALT)).cast("int")
+    # Chunks above the size limit need the most hits, so a query's commonest words are not even joined to them.
+    top, limit = _most_hits(threshold), _size_limit(threshold)
+    sizes = F.when(F.col("_rare") <= F.col("_nq") - top + 1, F.array(F.lit(True), F.lit(False))).otherwise(
+        F.array(F.lit(True))
+    )
+    classed = salted.withColumn("_small", F.explode(sizes))
     candidates = (
         postings.withColumn("_salt", salt)
-        .join(salted, ["token", "_salt"])
+        .withColumn("_small", F.lit(True) if limit is None else F.col("_nd") <= limit)
+        .join(classed, ["token", "_salt", "_small"])
         .filter(F.col("_rare") <= F.col("_nq") - _least_hits(F.col("_nq"), F.col("_nd"), threshold) + 1)
         .select(query_id, *chunk_keys)
         .distinct()
     )
+    # Texts are tokenised once per chunk, before the join repeats a chunk for each of its queries.
     scored = (
-        candidates.join(chunks, chunk_keys)
+        candidates.join(chunks.withColumn("_d", T.distinct_tokens(F.col(text))), chunk_keys)
         .join(asked, query_id)
-        .withColumn("_low", F.lower(F.col(text)))
-        .withColumn("_d", T.distinct_tokens(F.col(text)))
         .withColumn(
             "score",
             _score(
-                F.size(F.filter("_q", lambda w: F.contains(F.col("_low"), w))),
+                F.size(tokens_inside(F.col("_q"), F.col(text))),
                 F.size(F.array_intersect("_q", "_d")),
                 F.size("_q"),
                 F.size("_d"),

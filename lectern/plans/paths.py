@@ -192,7 +192,7 @@ _FILLERS = ", ".join(
 )
 def skill_paths(spark, sf_dir):
     """A learning path for every customer from the skills they enter."""
-    requests = table(spark, sf_dir, "customer").select(
+    requests = spread(table(spark, sf_dir, "customer")).select(
         "c_custkey", F.expr(ENTRY_SQL).alias("skills"), (F.col("c_nationkey") % 4 + 1).alias("weeks")
     )
     plan = P.plan_literal([(n, d, g) for _w, _t, n, d, g in V.DEFAULT_SUBTOPICS])
