@@ -15,3 +15,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     it would run again for every array element. Bound as the element of a one-item array it runs once.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def once(array: Column) -> Column:
+    """The array itself, in a form to be exploded.
+
+    Exploding a plain column makes the optimizer filter on its size first and push that filter down, where the
+    expression behind the column is computed a second time.
+    """
+    return F.transform(array, lambda x: x)

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern import fixed_values as V
 from lectern.functions import text as T
-from lectern.functions.binding import let
+from lectern.functions.binding import let, once
 from lectern.operators.ranking import positions
-from lectern.operators.retrieval import top_k
 
 WEEKS = 4
 MAX_PLAN = 500
@@ -86,26 +85,46 @@ def split_text(df: DataFrame, text: str, output: str, parts: int = WEEKS) -> Dat
     return made.drop("_paragraphs", "_sentences", "_items")
 
 
-def part_titles(parts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Three commonest longer terms of each part, joined by " & " (LP-4); parts without terms are absent.
+def top_terms(text: Column, n: int = 3) -> Column:
+    """Commonest longer terms of a text, ties by first position (LP-4).
 
-    Terms are counted with map-side combine and cut to three per part before the window's shuffle.
+    The terms are sorted with their positions, so equal ones form a run; a run's length is its count. All of
+    it happens in the row: no token is shuffled.
     """
-    terms = parts.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(TITLE_TERM), F.lit(1))).alias("pos", "term"))
-    lowered = terms.withColumn("term", F.lower("term")).filter(
-        (F.length("term") > 3) & ~F.col("term").isin(V.TITLE_STOPWORDS)
+    found = F.transform(
+        F.regexp_extract_all(text, F.lit(TITLE_TERM), F.lit(1)),
+        lambda w, i: F.struct(F.lower(w).alias("term"), i.alias("pos")),
     )
-    counted = lowered.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    # Parts are identified by all keys together.
-    best = top_k(counted.withColumn("_part", F.struct(*keys)), "_part", ["first"], 3, score="n", rank="r")
-    return best.groupBy(*keys).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("r", "term"))),
-                lambda s: T.title_case(F.replace(s["term"], F.lit("_"), F.lit(" "))),
-            ),
-            " & ",
-        ).alias("title")
+    kept = F.filter(found, lambda t: (F.length(t["term"]) > 3) & ~t["term"].isin(V.TITLE_STOPWORDS))
+
+    def ranked(terms: Column) -> Column:
+        starts = F.filter(
+            F.when(F.size(terms) > 0, F.sequence(F.lit(0), F.size(terms) - 1)).otherwise(F.array().cast("array<int>")),
+            lambda i: (i == 0) | (F.get(terms, i)["term"] != F.get(terms, i - 1)["term"]),
+        )
+
+        def runs(first: Column) -> Column:
+            ends = F.concat(F.slice(first, 2, 1 << 30), F.array(F.size(terms)))
+            return F.zip_with(
+                first, F.slice(ends, F.lit(1), F.size(first)),
+                lambda s, e: F.struct(
+                    (s - e).alias("order"), F.get(terms, s)["pos"].alias("pos"), F.get(terms, s)["term"].alias("term")
+                ),
+            )
+
+        return F.transform(F.slice(F.array_sort(let(starts, runs)), 1, n), lambda r: r["term"])
+
+    return let(F.array_sort(kept), ranked)
+
+
+def part_title(text: Column, source: Column, week: Column) -> Column:
+    """Top terms of a course part joined by " & ", else a title from the file name (LP-4)."""
+    return let(
+        top_terms(text),
+        lambda terms: F.when(
+            F.size(terms) > 0,
+            F.array_join(F.transform(terms, lambda w: T.title_case(F.replace(w, F.lit("_"), F.lit(" ")))), " & "),
+        ).otherwise(fallback_title(source, week)),
     )
 
 
@@ -120,21 +139,37 @@ def fallback_title(source: Column, week: Column) -> Column:
 def course_parts(docs: DataFrame, keys: list[str], text: str = "text", weeks: int = WEEKS) -> DataFrame:
     """Rows ``keys, week, text`` with whitespace collapsed (LP-3, TXT-6)."""
     split = split_text(docs.select(*keys, text), text, "_parts", weeks)
-    cut = split.select(*keys, F.posexplode("_parts").alias("_i", "_part"))
-    return cut.select(*keys, (F.col("_i") + 1).alias("week"), T.collapse(F.col("_part")).alias("text"))
+    cut = split.select(*keys, F.posexplode(F.transform("_parts", T.collapse)).alias("_i", "text"))
+    return cut.select(*keys, (F.col("_i") + 1).alias("week"), "text")
 
 
 def course_path(docs: DataFrame, key: str, source: str = "source", text: str = "text", weeks: int = WEEKS) -> DataFrame:
     """One row per document and week: ``topic`` from its commonest terms, ``details`` its opening (LP-5)."""
     parts = course_parts(docs, [key, source], text, weeks)
-    titles = part_titles(parts, [key, "week"])
-    slim = parts.select(key, source, "week", F.substring("text", 1, 320).alias("details"))
-    return slim.join(titles, [key, "week"], "left").select(
+    return parts.select(
         key, source, "week",
-        F.coalesce("title", fallback_title(F.col(source), F.col("week"))).alias("topic"), "details",
+        part_title(F.col("text"), F.col(source), F.col("week")).alias("topic"),
+        F.substring("text", 1, 320).alias("details"),
     )
 
 
+def course_path_array(df: DataFrame, source: str = "source", text: str = "text", output: str = "path") -> DataFrame:
+    """The same path as an array of ``week, topic, details`` in the document's row."""
+
+    def week(part: Column, i: Column) -> Column:
+        return let(
+            T.collapse(part),
+            lambda body: F.struct(
+                (i + 1).alias("week"),
+                part_title(body, F.col(source), i + 1).alias("topic"),
+                F.substring(body, 1, 320).alias("details"),
+            ),
+        )
+
+    split = split_text(df, text, "_parts")
+    return split.withColumn(output, F.transform("_parts", week)).drop("_parts")
+
+
 def drop_known(path: Column, skills: Column) -> Column:
     """Weeks without any known skill in topic or details; all weeks when none is left (LP-6).
 
@@ -226,7 +261,7 @@ def store_weeks(docs: DataFrame, keys: list[str], text: str = "text") -> DataFra
 
 def flatten_subtopics(weeks: DataFrame, keys: list[str]) -> DataFrame:
     """Nested subtopics to rows, order kept in ``keys, week_pos, sub_pos`` (LP-11)."""
-    rows = weeks.select(*keys, "week_pos", F.posexplode("subtopics").alias("sub_pos", "_s"))
+    rows = weeks.select(*keys, "week_pos", F.posexplode(once(F.col("subtopics"))).alias("sub_pos", "_s"))
     return rows.select(*keys, "week_pos", "sub_pos", "_s.*")
 
 

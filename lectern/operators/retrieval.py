@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.functions.binding import let
+from lectern.functions.binding import let, once
+from lectern.functions.bounded import as_broadcast, broadcast_if_small
 from lectern.operators.nearest import nearest
+from lectern.session import cut
 
 # Score threshold, bonus per matching query token, default and largest k, chat k.
 THRESHOLD = 0.18
@@ -20,7 +22,11 @@ CHAT_K = 2
 MAX_BATCH_QUERIES = 256
 MAX_BATCH_TOKENS = 1024
 ANCHOR = 4
-SALT = 16
+# A key with more rows than this is split over tasks; the sum of all rows bounds the number of such keys.
+HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 50_000
+MAX_SALTS = 4096
+MAX_BROADCAST_ROWS = 50_000
 
 
 def clamp_k(k: Column) -> Column:
@@ -151,73 +157,107 @@ def _least_hits(n_query: Column, n_chunk: Column, threshold: float) -> Column:
     return out
 
 
-def _matches_by_index(chunks, queries, chunk_keys, query_id, query_text, text, threshold) -> DataFrame:
+def _grams(token: Column, width: int) -> Column:
+    """All substrings of one width."""
+    starts = F.when(F.length(token) >= width, F.sequence(F.lit(1), F.length(token) - width + 1)).otherwise(
+        F.array().cast("array<int>")
+    )
+    return F.transform(starts, lambda i: F.substr(token, i, F.lit(width)))
+
+
+def _salted_join(
+    big: DataFrame, small: DataFrame, key: str, load: DataFrame, spread_by: list[str], hot_rows: int, also: list[str] = ()
+) -> DataFrame:
+    """Equi-join of a big side with one that is broadcast when proven small.
+
+    Otherwise both sides shuffle, and a key with more than ``hot_rows`` rows on the big side is split over
+    salts; only hot keys are repeated on the other side. ``load`` holds ``key, df`` with at least the rows of
+    each key.
+    """
+    few = as_broadcast(small, MAX_BROADCAST_ROWS)
+    if few is not None:
+        return big.join(few, [key, *also])
+    total = load.agg(F.sum("df")).first()[0] or 0
+    limit = max(hot_rows, -(-total // MAX_HOT_KEYS))
+    hot = load.filter(F.col("df") > limit).select(
+        key, F.least(F.ceil(F.col("df") / limit), F.lit(MAX_SALTS)).cast("int").alias("_salts")
+    )
+    hot = broadcast_if_small(hot, MAX_HOT_KEYS)
+    salts = F.coalesce("_salts", F.lit(1))
+    repeated = (
+        small.join(hot, key, "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        .drop("_salts")
+    )
+    split = big.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread_by), salts).cast("int"))
+    return split.drop("_salts").hint("merge").join(repeated, [key, "_salt", *also]).drop("_salt")
+
+
+def _matches_by_index(
+    chunks, queries, chunk_keys, query_id, query_text, text, threshold, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Token-index plan for a query table of any size; equi-joins only.
 
     A query token holds word characters only, so it occurs in a text iff it occurs in one of its tokens. Query
     tokens meet the distinct vocabulary on an anchor of up to four characters. A pair that passes needs
     ``_least_hits`` occurring tokens, hence one of the query's ``n - least + 1`` rarest: only those make
     candidates, which keeps the commonest tokens from pairing every chunk with every query. Candidates are
-    then scored exactly from the text.
+    then scored exactly from the text. Queries and vocabulary are used several times and are written once.
     """
-    asked = queries.select(
-        F.col(query_id), T.distinct_tokens(F.col(query_text)).alias("_q")
-    ).filter(F.size("_q") > 0)
+    asked = cut(
+        queries.select(F.col(query_id), T.distinct_tokens(F.col(query_text)).alias("_q")).filter(F.size("_q") > 0)
+    )
     tokenised = chunks.select(
         *chunk_keys, T.distinct_tokens(F.col(text)).alias("_d")
     ).withColumn("_nd", F.size("_d"))
-    postings = tokenised.select(*chunk_keys, "_nd", F.explode("_d").alias("token"))
-
-    vocabulary = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    lengths = F.least(F.length("token"), F.lit(ANCHOR))
-    grams = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), lengths),
-                lambda g: F.transform(
-                    F.sequence(F.lit(1), F.length("token") - g + 1), lambda i: F.substr(F.col("token"), i, g)
-                ),
-            )
-        )
-    )
+    postings = tokenised.select(*chunk_keys, "_nd", F.explode(once(F.col("_d"))).alias("token"))
+    vocabulary = cut(postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+
     words = asked.select(F.explode("_q").alias("word")).distinct()
     anchored = words.withColumn("anchor", F.substring("word", 1, ANCHOR))
+    widths = [r[0] for r in anchored.select(F.length("anchor")).distinct().collect()]  # at most ANCHOR values
+    grams = F.flatten(
+        F.array(*[_grams(F.col("token"), g) for g in sorted(widths)] or [F.array().cast("array<string>")])
+    )
     found = (
-        vocabulary.select("token", "df", F.explode(grams).alias("anchor"))
+        vocabulary.select("token", "df", F.explode(F.array_distinct(grams)).alias("anchor"))
         .join(anchored, "anchor")
         .filter(F.contains(F.col("token"), F.col("word")))
         .select("word", "token", "df")
     )
     weight = found.groupBy("word").agg(F.sum("df").alias("weight"))
     by_rarity = Window.partitionBy(query_id).orderBy("weight", "word")
+    # The weight of a word that occurs nowhere is null and sorts first: it stays among the rarest.
     ranked = (
         asked.select(query_id, F.size("_q").alias("_nq"), F.explode("_q").alias("word"))
         .join(weight, "word", "left")
         .withColumn("_rare", F.row_number().over(by_rarity))
         .select(query_id, "_nq", "word", "_rare")
     )
-    # The weight of a word that occurs nowhere is null and sorts first: it stays among the rarest.
-    wanted = found.select("word", "token").join(ranked, "word").select(query_id, "_nq", "_rare", "token")
-    salted = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    salt = F.pmod(F.xxhash64(*chunk_keys), F.lit(SALT)).cast("int")
+    hits = (
+        _salted_join(postings, found.select("token", "word"), "token", vocabulary, chunk_keys, hot_rows)
+        .select(*chunk_keys, "_nd", "word")
+        .distinct()
+    )
     # Chunks above the size limit need the most hits, so a query's commonest words are not even joined to them.
     top, limit = _most_hits(threshold), _size_limit(threshold)
     sizes = F.when(F.col("_rare") <= F.col("_nq") - top + 1, F.array(F.lit(True), F.lit(False))).otherwise(
         F.array(F.lit(True))
     )
-    classed = salted.withColumn("_small", F.explode(sizes))
+    sized = hits.withColumn("_small", F.lit(True) if limit is None else F.col("_nd") <= limit)
+    load = weight.select("word", F.col("weight").alias("df"))
     candidates = (
-        postings.withColumn("_salt", salt)
-        .withColumn("_small", F.lit(True) if limit is None else F.col("_nd") <= limit)
-        .join(classed, ["token", "_salt", "_small"])
+        _salted_join(
+            sized, ranked.withColumn("_small", F.explode(sizes)), "word", load, chunk_keys, hot_rows, ["_small"]
+        )
         .filter(F.col("_rare") <= F.col("_nq") - _least_hits(F.col("_nq"), F.col("_nd"), threshold) + 1)
         .select(query_id, *chunk_keys)
         .distinct()
     )
     # Texts are tokenised once per chunk, before the join repeats a chunk for each of its queries.
     scored = (
-        candidates.join(chunks.withColumn("_d", T.distinct_tokens(F.col(text))), chunk_keys)
-        .join(asked, query_id)
+        candidates.hint("merge").join(chunks.withColumn("_d", T.distinct_tokens(F.col(text))), chunk_keys)
+        .join(broadcast_if_small(asked), query_id)
         .withColumn(
             "score",
             _score(

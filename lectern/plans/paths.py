@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern import fixed_values as V
+from lectern.functions.binding import once
 from lectern.operators import paths as P
 from lectern.plans import sql as S
 from lectern.plans.registry import query, spread, table
@@ -76,18 +77,13 @@ KNOWN_SQL = "CASE lang " + " ".join(
 )
 def unknown_weeks(spark, sf_dir):
     """Weeks left after known skills are dropped; a path that would be empty is kept whole."""
-    docs = _docs(spark, sf_dir)
-    weeks = P.course_path(docs, "doc_id")
-    by_doc = weeks.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("week", "topic", "details"))).alias("path")
-    )
     skills = None
     for lang, known in KNOWN.items():
         value = F.array(*[F.lit(s) for s in known]).cast("array<string>")
         hit = F.col("lang") == lang
         skills = F.when(hit, value) if skills is None else skills.when(hit, value)
-    joined = by_doc.join(docs.select("doc_id", "lang"), "doc_id")
-    left = joined.select("doc_id", F.inline(P.drop_known(F.col("path"), skills)))
+    paths = P.course_path_array(_docs(spark, sf_dir))
+    left = paths.select("doc_id", F.inline(P.drop_known(F.col("path"), skills)))
     return left.select("doc_id", "week", "topic")
 
 
@@ -127,7 +123,7 @@ def part_courses(spark, sf_dir):
 def week_sections(spark, sf_dir):
     """Week headings and subtopics read out of a course text per part; the SQL states what must be found."""
     weeks = P.store_weeks(part_courses(spark, sf_dir), ["p_partkey"])
-    rows = weeks.select("p_partkey", "week_pos", "week", "topic", F.posexplode("subtopics").alias("sub_pos", "s"))
+    rows = weeks.select("p_partkey", "week_pos", "week", "topic", F.posexplode(once(F.col("subtopics"))).alias("sub_pos", "s"))
     return rows.select(
         "p_partkey", "week_pos", "week", "topic", "sub_pos", F.col("s.name").alias("name"),
         F.col("s.details").alias("details"), F.array_join("s.tags", ",").alias("tags"),
@@ -197,7 +193,7 @@ def skill_paths(spark, sf_dir):
     )
     plan = P.plan_literal([(n, d, g) for _w, _t, n, d, g in V.DEFAULT_SUBTOPICS])
     routed = P.skill_paths(requests, plan, "skills", "weeks")
-    return routed.select("c_custkey", "track", F.inline("path"))
+    return routed.select("c_custkey", "track", F.inline(once(F.col("path"))))
 
 
 REQUESTS = [(1, ["Red", "steel "]), (2, [""]), (3, ["ECONOMY", "ring"]), (4, ["brand#1"]), (5, ["o"])]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.binding import once
 from lectern.operators import answering as A
 from lectern.operators import chunking as C
 from lectern.operators import retrieval as R
@@ -115,7 +116,7 @@ def document_sentences(spark, sf_dir):
         T.excerpt(text).alias("excerpt"),
         T.sentences(text).alias("s"),
     )
-    return cut.select("doc_id", "n_paragraphs", "excerpt", F.posexplode("s").alias("pos", "sentence"))
+    return cut.select("doc_id", "n_paragraphs", "excerpt", F.posexplode(once(F.col("s"))).alias("pos", "sentence"))
 
 
 @query(
@@ -261,7 +262,7 @@ def sentence_answers(spark, sf_dir):
     """The four best distinct sentences per search."""
     hits = ranked_searches(spark, sf_dir)
     gathered = searches(spark).join(R.gather_hits(hits, "query_id"), "query_id")
-    picked = A.pick_sentences(gathered).select("query_id", F.posexplode("picked").alias("i", "p"))
+    picked = A.pick_sentences(gathered).select("query_id", F.posexplode(once(F.col("picked"))).alias("i", "p"))
     return picked.select(
         "query_id",
         (F.col("i") + 1).alias("place"),
