@@ -55,30 +55,23 @@ def fits_topic(topic: Column, question: Column, explanation: Column, answer: Col
 def review_answers(items: list[dict], answers: DataFrame, learner: str, question: str, answer: str, order: str) -> DataFrame:
     """One row per learner and question of the quiz (QZ-5): ``shown``, ``is_correct``, ``explanation``.
 
-    The last answer to a question counts. The quiz itself is a parameter, so it travels in the plan; a
-    learner's answers become a map of at most as many entries as the quiz has questions.
+    The last answer to a question counts. The quiz itself is a parameter, so each question is one aggregate
+    and all of them share one shuffle, with one partial row per learner and task.
     """
-    ids = [i["id"] for i in items]
-    last = (
-        answers.filter(F.col(question).isin(ids))
-        .groupBy(learner, question)
-        .agg(F.max_by(answer, order).alias("_answer"))
-    )
-    everyone = answers.select(learner).distinct()
-    maps = last.groupBy(learner).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(question).cast("int"), "_answer"))).alias("_map")
-    )
+    lasts = [
+        F.max_by(answer, F.when(F.col(question) == i["id"], F.col(order))).alias(f"_a{n}") for n, i in enumerate(items)
+    ]
     quiz = F.array(
         *[
             F.struct(
                 F.lit(i["id"]).alias("id"), F.lit(i["correct_answer"]).alias("correct_answer"),
-                F.lit(i["explanation"]).alias("explanation"),
+                F.lit(i["explanation"]).alias("explanation"), F.col(f"_a{n}").alias("given"),
             )
-            for i in items
+            for n, i in enumerate(items)
         ]
     )
-    rows = everyone.join(maps, learner, "left").select(learner, "_map", F.explode(quiz).alias("_q"))
-    given = F.try_element_at("_map", F.col("_q.id"))
+    rows = answers.groupBy(learner).agg(*lasts).select(learner, F.explode(quiz).alias("_q"))
+    given = F.col("_q.given")
     return rows.select(
         learner,
         F.col("_q.id").alias("question_id"),

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 from pyspark.sql.pandas.types import to_arrow_type
 
-# Bytes of query vectors broadcast per pass over the corpus, and the tile scored at once inside a task.
+# Bytes of query vectors a task may hold, and the tile scored at once inside it.
 MAX_BLOCK_BYTES = 32 << 20
 TILE_ROWS = 2048
 TILE_QUERIES = 1024
@@ -24,21 +25,6 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def query_blocks(queries: DataFrame, query_id: str, vec: str, max_bytes: int = MAX_BLOCK_BYTES) -> Iterator:
-    """(ids, matrix) blocks of bounded size. More vectors mean more passes, never a larger block."""
-    slim = queries.select(query_id, F.col(vec).cast("array<double>").alias(vec)).filter(F.col(vec).isNotNull())
-    size = slim.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
-    if not size["n"]:
-        return
-    per_block = max(1, max_bytes // (8 * size["d"]))
-    n_blocks = 1 if size["n"] <= per_block else -(-size["n"] * 5 // (per_block * 4))
-    block = F.pmod(F.xxhash64(query_id), F.lit(n_blocks))
-    for b in range(n_blocks):
-        table = (slim.filter(block == b) if n_blocks > 1 else slim).toArrow()
-        if table.num_rows:
-            yield table.column(query_id).combine_chunks(), _matrix(table.column(vec))
-
-
 def best_rows(score: np.ndarray, k: int | None, threshold: float | None) -> np.ndarray:
     """Mask of rows (axis 0, in tie order) above the threshold and among the best k per column."""
     keep = np.ones(score.shape, dtype=bool) if threshold is None else score > threshold
@@ -62,30 +48,65 @@ def nearest(
     threshold: float | None = None,
     digits: int | None = None,
 ) -> DataFrame:
-    """(query, row, score) for the best rows of every corpus batch; the caller ranks them per query.
+    """(query, row, score) for the best rows of every corpus block; the caller ranks them per query.
 
-    ``keep[0]`` breaks ties. Cosine is 0 when a norm is 0; for Euclidean the score is the negative distance.
-    Query vectors go out in blocks of bounded bytes and each Arrow batch is scored tile by tile with matrix
-    products. With ``k`` a batch gives up at most k rows per query, copies included, so nothing like all pairs
-    is ever written.
+    ``keep[0]`` identifies a corpus row and breaks ties. Cosine is 0 when a norm is 0; for Euclidean the score
+    is the negative distance. Query vectors proven to fit ``MAX_BLOCK_BYTES`` are broadcast and the corpus is
+    scored where it is read. More of them meet the corpus block by block in a shuffle. Either way a block gives
+    up at most ``k`` rows per query, copies included, so nothing like all pairs is ever written.
     """
-    spark = corpus.sparkSession
     id_type = queries.schema[query_id].dataType
     schema = t.StructType(
         [t.StructField(query_id, id_type)]
         + [corpus.schema[c] for c in keep]
         + [t.StructField("score", t.DoubleType())]
     )
-    slim = corpus.select(*keep, F.col(vec).alias("_vec")).filter(F.col("_vec").isNotNull())
-    out = None
-    for ids, matrix in query_blocks(queries, query_id, query_vec):
-        shared = spark.sparkContext.broadcast((ids.cast(to_arrow_type(id_type)), matrix))
-        part = slim.mapInArrow(_scorer(shared, query_id, keep, metric, k, threshold, digits), schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+    asked = queries.select(
+        F.col(query_id).alias("_query"), F.col(query_vec).cast("array<double>").alias("_asked")
+    ).filter(F.col("_asked").isNotNull())
+    slim = corpus.select(*keep, F.col(vec).cast("array<double>").alias("_vec")).filter(F.col("_vec").isNotNull())
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_asked")).alias("d")).first()
+    if not size["n"]:
+        return corpus.sparkSession.createDataFrame([], schema)
+    per_block = max(1, MAX_BLOCK_BYTES // (8 * max(1, size["d"])))
+    score = _scorer(query_id, keep, metric, k, threshold, digits)
+    if size["n"] > per_block:
+        return _by_blocks(slim, asked, keep[0], size["n"], per_block, score, schema)
+    shared = corpus.sparkSession.sparkContext.broadcast(asked.toArrow())
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from score(batch, shared.value)
+
+    return slim.mapInArrow(scan, schema)
+
+
+def _by_blocks(slim, asked, key, n_asked, per_block, score, schema) -> DataFrame:
+    """Both sides hashed into blocks of bounded size; every pair of blocks meets in one task.
+
+    Blocks are formed by a hash of the row keys, so copies of a vector spread out like any other rows.
+    """
+    n_corpus = slim.count()
+    q_blocks = -(-n_asked // per_block)
+    c_blocks = max(1, -(-n_corpus // (4 * per_block)))
+    left = asked.withColumn("_q", F.pmod(F.xxhash64("_query"), F.lit(q_blocks)).cast("int")).withColumn(
+        "_c", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))
+    )
+    right = slim.withColumn("_c", F.pmod(F.xxhash64(key), F.lit(c_blocks)).cast("int")).withColumn(
+        "_q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
+    )
+
+    def meet(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        target = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
+        if not queries.num_rows or not rows.num_rows:
+            return target.empty_table()
+        found = list(score(rows.combine_chunks().to_batches()[0], queries))
+        return pa.Table.from_batches(found).cast(target)
+
+    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(meet, schema)
 
 
-def _scorer(shared, query_id, keep, metric, k, threshold, digits):
+def _scorer(query_id, keep, metric, k, threshold, digits):
     def score_tile(d: np.ndarray, q: np.ndarray) -> np.ndarray:
         if metric == "cosine":
             scale = np.linalg.norm(d, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
@@ -93,26 +114,21 @@ def _scorer(shared, query_id, keep, metric, k, threshold, digits):
         squared = (d * d).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2.0 * (d @ q.T)
         return -np.sqrt(np.maximum(squared, 0.0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q_all = shared.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, TILE_ROWS):
-                batch = whole.slice(start, TILE_ROWS)
-                batch = batch.take(pa.compute.sort_indices(batch, sort_keys=[(keep[0], "ascending")]))
-                d = _matrix(batch.column("_vec"))
-                for first in range(0, len(q_all), TILE_QUERIES):
-                    score = score_tile(d, q_all[first : first + TILE_QUERIES])
-                    if digits is not None:
-                        score = np.round(score, digits)
-                    rows, cols = np.nonzero(best_rows(score, k, threshold))
-                    picked = batch.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.take(pa.array(cols + first)),
-                            *[picked.column(c) for c in keep],
-                            pa.array(score[rows, cols]),
-                        ],
-                        names=[query_id, *keep, "score"],
-                    )
-
-    return run
+    def score(whole: pa.RecordBatch, queries: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, q_all = queries.column("_query").combine_chunks(), _matrix(queries.column("_asked"))
+        for start in range(0, whole.num_rows, TILE_ROWS):
+            batch = whole.slice(start, TILE_ROWS)
+            batch = batch.take(pa.compute.sort_indices(batch, sort_keys=[(keep[0], "ascending")]))
+            d = _matrix(batch.column("_vec"))
+            for first in range(0, len(q_all), TILE_QUERIES):
+                tile = score_tile(d, q_all[first : first + TILE_QUERIES])
+                if digits is not None:
+                    tile = np.round(tile, digits)
+                rows, cols = np.nonzero(best_rows(tile, k, threshold))
+                picked = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(cols + first)), *[picked.column(c) for c in keep], pa.array(tile[rows, cols])],
+                    names=[query_id, *keep, "score"],
+                )
+
+    return score

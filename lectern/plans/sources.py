@@ -118,8 +118,8 @@ def fresh_uploads(spark, sf_dir):
     uploads = table(spark, sf_dir, "events").select(
         "event_id", "user_id", "ts", "event_type", (F.col("event_id") % 2).alias("size")
     )
-    day = F.date_trunc("day", F.col("ts"))
-    kept = files.skip_repeats(uploads, "user_id", ["ts", "event_id"], "event_type", "size", day)
+    hour = F.date_trunc("hour", F.col("ts"))
+    kept = files.skip_repeats(uploads, "user_id", ["ts", "event_id"], "event_type", "size", hour)
     return kept.select("event_id", "user_id")
 
 
