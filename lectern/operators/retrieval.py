@@ -313,14 +313,15 @@ def cosine_matches(
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two array columns of the same row."""
+    """Cosine of two array columns of the same row; NULL when one is NULL, 0 when a norm is 0."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
     def norm(v: Column) -> Column:
         return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
 
     scale = norm(a) * norm(b)
-    return F.when(scale > 0, dot / scale).otherwise(F.lit(0.0))
+    known = a.isNotNull() & b.isNotNull()
+    return F.when(known & (scale > 0), dot / scale).when(known, F.lit(0.0))
 
 
 def hybrid_matches(
