@@ -117,6 +117,21 @@ def extract_answers(
     )
 
 
+def ask(
+    chunks: DataFrame, queries: DataFrame, chunk_keys: list[str], k: int | Column = R.CHAT_K,
+    query_id: str = "query_id", query: str = "query",
+) -> DataFrame:
+    """Search, answer and format in one go: one row per query (RET-1…9, ANS-1…14)."""
+    scored = R.keyword_matches(chunks, queries, chunk_keys, query_id, query)
+    if isinstance(k, Column):
+        limits = queries.select(query_id, R.clamp_k(k).alias("_k"))
+        ranked = R.top_k(scored, query_id, chunk_keys, R.MAX_K).join(limits, query_id)
+        hits = ranked.filter(F.col("rank") <= F.col("_k")).drop("_k")
+    else:
+        hits = R.top_k(scored, query_id, chunk_keys, k)
+    return format_answers(extract_answers(queries, hits, query_id, query), query)
+
+
 def grounded(has_hits: Column, reply: Column) -> Column:
     """Has hits and does not say it found nothing (ANS-7)."""
     return has_hits & ~F.contains(F.lower(reply), F.lit("could not find the answer"))

@@ -12,6 +12,7 @@ from pyspark.sql import types as t
 from lectern import fixed_values as V
 from lectern.functions import text as T
 from lectern.functions.binding import let
+from lectern.functions.bounded import broadcast_if_small
 from lectern.functions.rounding import half_even
 
 # ------------------------------------------------------------------------------------ quizzes
@@ -52,6 +53,20 @@ def fits_topic(topic: Column, question: Column, explanation: Column, answer: Col
     )
 
 
+def topic_items(topic: Column, items: Column) -> Column:
+    """Those quiz items of an array that fit the topic (QZ-2); fields as in a parsed reply."""
+    return F.filter(
+        items,
+        lambda i: fits_topic(topic, i["question"], i["explanation"], i["correct_answer"], i["options"]),
+    )
+
+
+def find_items(requests: DataFrame, bank: DataFrame, key: Column, bank_key: str = "bank") -> DataFrame:
+    """Requests joined with the items of their bank (QZ-3, PJ-1); the bank is broadcast when proven small."""
+    keyed = requests.withColumn(bank_key, key)
+    return keyed.join(broadcast_if_small(bank), bank_key)
+
+
 def review_answers(items: list[dict], answers: DataFrame, learner: str, question: str, answer: str, order: str) -> DataFrame:
     """One row per learner and question of the quiz (QZ-5): ``shown``, ``is_correct``, ``explanation``.
 

@@ -42,8 +42,14 @@ def infer_task(df: DataFrame, target: str) -> str:
 
 def is_test(key: str | list[str], test_size: float, seed: int = 42) -> Column:
     """Hash split on a key (ML-8): the same rows whatever the partitioning, also after a lost executor."""
+    return draw(key, seed) % SPLIT_BUCKETS < int(round(SPLIT_BUCKETS * test_size))
+
+
+def draw(key: str | list[str], seed: int) -> Column:
+    """Number from 0 to 2³²-1 drawn from a key and a seed, the same in every engine with md5."""
     keys = [key] if isinstance(key, str) else key
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(SPLIT_BUCKETS)) < int(round(SPLIT_BUCKETS * test_size))
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
 @dataclass

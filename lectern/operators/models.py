@@ -351,8 +351,8 @@ def sampled_shapley(
     it travels in the plan; every step after it stays within its row until the averages.
     """
     drawn = (
-        background.select(vector_to_array("features").alias("z"), F.xxhash64(key, F.lit(seed)).alias("_h"))
-        .orderBy("_h").limit(samples).collect()
+        background.select(vector_to_array("features").alias("z"), X.draw(key, seed).alias("_h"), key)
+        .orderBy("_h", key).limit(samples).collect()
     )
     n = len(names)
     baselines = F.array(
@@ -401,13 +401,13 @@ def global_attribution(contributions: DataFrame, top: int = TOP_GLOBAL) -> DataF
 
 
 def row_attribution(
-    contributions: DataFrame, predictions: DataFrame, key: str, top: int = TOP_DRIVERS
+    contributions: DataFrame, predictions: DataFrame, key: str, top: int = TOP_DRIVERS, digits: int = 5
 ) -> DataFrame:
     """Largest contributions of each row with direction, prediction and actual value (ML-26)."""
     w = Window.partitionBy(key).orderBy(F.desc(F.abs("contribution")), "feature")
     ranked = contributions.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)
     return ranked.join(predictions.select(key, "predicted", "actual"), key).select(
-        key, "place", "feature", half_even(F.col("contribution"), 5).alias("contribution"),
+        key, "place", "feature", half_even(F.col("contribution"), digits).alias("contribution"),
         F.when(F.col("contribution") > 0, F.lit("⬆ increases prediction")).otherwise(F.lit("⬇ decreases prediction")).alias("direction"),
         F.col("predicted").cast("string").alias("prediction"), F.col("actual").cast("string").alias("actual"),
     )

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lectern import fixed_values as V
 from lectern.functions import text as T
 from lectern.functions.binding import let, once
+from lectern.functions.bounded import broadcast_if_small
 from lectern.operators.ranking import positions
+from lectern.operators.retrieval import match_source
 
 WEEKS = 4
 MAX_PLAN = 500
@@ -402,6 +404,43 @@ def skill_paths(requests: DataFrame, plan: Column, entry: str = "skills", weeks:
     return routed.withColumn("path", path).drop("_skills", "_left")
 
 
+def learning_paths(
+    requests: DataFrame, documents: DataFrame, plan: Column | None = None, skills: str = "skills", wanted: str = "course_source"
+) -> DataFrame:
+    """The whole path service: adds ``path_source, path, error`` to every request (LP-2, 5, 6, 10, 12…15, RET-12).
+
+    Ready-made tracks come first, then the asked course, then the subtopics of the store (or the built-in ones).
+    A course path is made once per course that is asked for and joined to the requests, not made per request.
+    ``plan`` is the store's subtopics as an array; for a store beyond ``MAX_PLAN`` subtopics use ``assign_weeks``.
+    """
+    if plan is None:
+        weeks = store_weeks(documents.select("source", "text"), ["source"])
+        subtopics = plan_or_default(flatten_subtopics(weeks, ["source"]))
+        plan = bounded_plan(subtopics, ["source", "week_pos", "sub_pos"])
+        if plan is None:
+            raise ValueError(f"the store holds more than {MAX_PLAN} subtopics: use assign_weeks")
+    staged = requests.withColumn("_skills", normal_skills(F.col(skills))).withColumn("_track", track_key(F.col(skills)))
+    named = staged.withColumn(
+        "_name", F.when(F.col("_track").isNull() & (F.coalesce(F.col(wanted), F.lit("")) != ""), F.lower(T.strip(F.col(wanted))))
+    )
+    asked = named.filter(F.col("_name").isNotNull()).select(F.col("_name").alias("_asked")).distinct()
+    courses = match_source(asked, documents, "_asked").filter(F.coalesce("matched_text", F.lit("")) != "")
+    made = course_path_array(courses, "matched_source", "matched_text", "_course")
+    known = broadcast_if_small(made.select(F.col("_asked").alias("_name"), "matched_source", "_course"))
+    joined = named.join(known, "_name", "left").withColumn("_left", unknown_subtopics(plan, F.col("_skills")))
+    course = F.col("_course").isNotNull()
+    missing = F.col("_name").isNotNull() & ~course
+    return joined.select(
+        *requests.columns,
+        F.coalesce("_track", "matched_source").alias("path_source"),
+        F.when(F.col("_track").isNotNull(), track_path(F.col("_track")))
+        .when(course, drop_known(F.col("_course"), F.col("_skills")))
+        .when(~missing, weekly_plan(F.col("_left")))
+        .alias("path"),
+        F.when(missing, F.lit("Selected course source was not found in the knowledge base.")).alias("error"),
+    )
+
+
 def completion(progress: DataFrame, learner: str, done: str) -> DataFrame:
     """Completed share per learner and its truncated percentage (LP-17)."""
     counted = progress.groupBy(learner).agg(F.count_if(done).alias("completed"), F.count(F.lit(1)).alias("total"))

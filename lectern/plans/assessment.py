@@ -80,6 +80,85 @@ def fitting_items(spark, sf_dir):
     return items.filter(fits).select("conv_id", "turn")
 
 
+# A small question bank of our own, one item per bank.
+BANK = [
+    ("workflows", "Which step reads the raw files?", "ingestion"),
+    ("exploration", "Which plot shows quartiles?", "box plot"),
+    ("modeling", "Which loss does least squares use?", "squared error"),
+    ("deployment", "What pins library versions?", "a lock file"),
+    ("python", "Which type cannot change?", "tuple"),
+    ("pandas", "Which call fills gaps?", "fillna"),
+    ("sql", "Which clause filters groups?", "having"),
+    ("statistics", "What is the middle value?", "median"),
+    ("deep learning", "What does relu do below zero?", "returns zero"),
+    ("nlp", "What is a word piece?", "token"),
+    ("visualization", "Which chart shows a share?", "bar"),
+    ("big data", "What moves rows between tasks?", "shuffle"),
+    ("machine learning", "What hides in the test set?", "generalization"),
+    ("general", "What is a table of rows?", "data frame"),
+]
+BANK_VALUES = ", ".join("(" + ", ".join(S.text(x) for x in b) + ")" for b in BANK)
+
+
+@query(
+    "QZ-3",
+    f"""WITH b AS (SELECT * FROM (VALUES {BANK_VALUES}) AS v(bank, question, answer)),
+    t AS (SELECT conv_id, turn, {S.rules('lower(topic)', V.BANK_RULES, V.BANK_DEFAULT)} AS bank FROM ({TOPICS_SQL}))
+    SELECT conv_id, turn, bank, question, answer FROM t JOIN b USING (bank)""",
+)
+def quiz_items(spark, sf_dir):
+    """Question bank items for the topic of every conversation turn."""
+    bank = spark.createDataFrame(BANK, "bank string, question string, answer string")
+    found = A.find_items(topics(spark, sf_dir), bank, A.bank_key(F.col("topic")))
+    return found.select("conv_id", "turn", "bank", "question", "answer")
+
+
+ITEMS_SQL = """CASE event_id % 4
+    WHEN 0 THEN '```json' || chr(10) || '[{"question": "a Tuple ' || event_id || '", "options": ["x"], "correct_answer": "y", "explanation": "z"}, {"question": "none", "options": ["q"], "correct_answer": "q", "explanation": "q"}]' || chr(10) || '```'
+    WHEN 1 THEN '[{"question": "none", "options": ["q"], "correct_answer": "q"}]'
+    WHEN 2 THEN '[]' ELSE 'no json ' || event_id END"""
+
+
+@query(
+    "JS-1 JS-2 QZ-2 QZ-3",
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'reply' ELSE 'bank' END AS origin,
+         CASE event_id % 4 WHEN 0 THEN 'a Tuple ' || event_id ELSE 'Which type cannot change?' END AS question FROM events""",
+)
+def generated_quizzes(spark, sf_dir):
+    """Quiz replies parsed and filtered by topic; an unusable reply falls back to the bank."""
+    raw = table(spark, sf_dir, "events").select("event_id", F.expr(ITEMS_SQL).alias("raw"), F.lit("Python").alias("topic"))
+    item = "array<struct<question:string,options:array<string>,correct_answer:string,explanation:string>>"
+    fitting = raw.withColumn("items", A.topic_items(F.col("topic"), A.parse_array(F.col("raw"), item)))
+    bank = spark.createDataFrame(BANK, "bank string, question string, answer string")
+    joined = A.find_items(fitting, bank, A.bank_key(F.col("topic")))
+    usable = F.coalesce(F.size("items"), F.lit(0)) > 0
+    return joined.select(
+        "event_id", F.when(usable, "reply").otherwise("bank").alias("origin"),
+        F.when(usable, F.col("items")[0]["question"]).otherwise(F.col("question")).alias("question"),
+    )
+
+
+@query(
+    "JS-2 CR-1",
+    f"""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Incorrect' WHEN event_type IN ('click', 'view', 'purchase')
+         THEN 'Needs Improvement' ELSE 'Correct' END AS status,
+         CASE WHEN event_id % 3 = 0 THEN '❌' WHEN event_type IN ('click', 'view', 'purchase') THEN '⚠️' ELSE '✅' END AS badge
+       FROM events""",
+)
+def replied_reviews(spark, sf_dir):
+    """Code reviews taken from a model reply where it holds all four keys, else from the rules."""
+    fields = list(V.REVIEW_FINE)
+    full = "{" + ", ".join(f'"{f}": "{"Incorrect" if f == "status" else "x"}"' for f in fields) + "}"
+    code = table(spark, sf_dir, "events").select(
+        "event_id", F.expr(CODE_SQL).alias("code"),
+        F.when(F.col("event_id") % 3 == 0, F.lit(full)).when(F.col("event_id") % 3 == 1, F.lit('{"status": "x"}')).alias("raw"),
+    )
+    shape = ", ".join(f"{f} string" for f in fields)
+    review = F.coalesce(A.parse_object(F.col("raw"), shape, fields), A.review_code(F.col("code")))
+    status = code.select("event_id", review.alias("r")).select("event_id", F.col("r.status").alias("status"))
+    return status.withColumn("badge", A.badge(F.col("status"), V.REVIEW_BADGES))
+
+
 QUIZ = [
     {"id": 0, "correct_answer": "click", "explanation": "Zero goes with click."},
     {"id": 1, "correct_answer": "view", "explanation": "One goes with view."},

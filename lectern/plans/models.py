@@ -194,6 +194,134 @@ def run_reports(spark, sf_dir):
     return staged.select("event_id", M.health_band(F.col("train"), F.col("test")).alias("band"), report.alias("report"))
 
 
+# ----------------------------------------------------------- trained on a split, checked by closed forms
+
+
+def _in_test(key: str) -> str:
+    return f"CAST('0x' || substr(md5({key} || '|42'), 1, 8) AS BIGINT) % 10000 < 2000"
+
+
+@query(
+    "ML-1 ML-8 ML-9 ML-19",
+    f"""WITH d AS (SELECT o_orderkey AS k, o_totalprice AS y, CAST(o_custkey AS DOUBLE) AS x, {_in_test('o_orderkey')} AS t FROM orders),
+    f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM d WHERE NOT t),
+    p AS (SELECT t, y, a + b * x AS p FROM d, f),
+    m AS (SELECT t, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2, sqrt(sum((y - p) ** 2) / count(*)) AS rmse FROM p GROUP BY t)
+    SELECT 'Linear Regression' AS model_name, 'regression' AS task, round((SELECT r2 FROM m WHERE NOT t), 6) AS train_score,
+           round((SELECT r2 FROM m WHERE t), 6) AS test_score, round((SELECT rmse FROM m WHERE t), 3) AS extra""",
+)
+def linear_holdout(spark, sf_dir):
+    """Least squares of order totals on the customer key, fitted on four fifths and scored on both sides."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    run = M.train_model(orders, ["o_custkey"], "o_totalprice", "Linear Regression", "o_orderkey")
+    scores = M.run_scores(run)
+    return scores.select(
+        "model_name", "task", F.round("train_score", 6).alias("train_score"),
+        F.round("test_score", 6).alias("test_score"), F.round("extra", 3).alias("extra"),
+    )
+
+
+def _f1_sql(said: str) -> str:
+    """Accuracy and weighted F1 by side from rows ``t, y, p``."""
+    return f"""
+    k AS (SELECT DISTINCT t, y AS c FROM {said}),
+    cm AS (SELECT k.t, c, count(*) FILTER (y = c) AS sup, count(*) FILTER (p = c) AS saidn, count(*) FILTER (y = c AND p = c) AS hit
+           FROM k JOIN {said} s ON s.t = k.t GROUP BY k.t, c),
+    m AS (SELECT t, sum(hit) / CAST(sum(sup) AS DOUBLE) AS acc,
+                 sum(sup * CASE WHEN sup + saidn = 0 THEN 0.0 ELSE 2.0 * hit / (sup + saidn) END) / sum(sup) AS f1 FROM cm GROUP BY t)"""
+
+
+@query(
+    "ML-1 ML-8 ML-18 ML-20",
+    f"""WITH d AS (SELECT event_id, event_type AS y, value, {_in_test('event_id')} AS t FROM events),
+    z AS (SELECT avg(value) AS mu, stddev_pop(value) AS sd FROM d WHERE NOT t),
+    x AS (SELECT event_id, y, t, (value - mu) / sd AS x FROM d, z),
+    c AS (SELECT y AS c, count(*) AS n, avg(x) AS mu, var_pop(x) AS v FROM x WHERE NOT t GROUP BY y),
+    l AS (SELECT event_id, t, y, c, ln(n) - 0.5 * ln(2 * pi() * v) - (x - mu) ** 2 / (2 * v) AS score FROM x, c),
+    said AS (SELECT event_id, t, any_value(y) AS y, arg_max(c, score) AS p FROM l GROUP BY event_id, t),
+    {_f1_sql('said')}
+    SELECT 'Naive Bayes' AS model_name, 'classification' AS task, round((SELECT acc FROM m WHERE NOT t), 6) AS train_score,
+           round((SELECT acc FROM m WHERE t), 6) AS test_score, round((SELECT f1 FROM m WHERE t), 6) AS extra""",
+)
+def bayes_holdout(spark, sf_dir):
+    """Gaussian naive Bayes of the event type on its value."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    run = M.train_model(events, ["value"], "event_type", "Naive Bayes", "event_id")
+    scores = M.run_scores(run)
+    return scores.select("model_name", "task", *[F.round(c, 6).alias(c) for c in ("train_score", "test_score", "extra")])
+
+
+@query(
+    "ML-8 ML-16 ML-20",
+    f"""WITH d AS (SELECT s_suppkey AS k, s_acctbal, s_nationkey, CAST(s_suppkey % 3 AS VARCHAR) AS y, {_in_test('s_suppkey')} AS t FROM supplier),
+    z AS (SELECT avg(s_acctbal) AS m1, stddev_pop(s_acctbal) AS s1, avg(s_nationkey) AS m2, stddev_pop(s_nationkey) AS s2 FROM d WHERE NOT t),
+    x AS (SELECT k, y, t, (s_acctbal - m1) / s1 AS a, (s_nationkey - m2) / s2 AS b FROM d, z),
+    r AS (SELECT q.k, q.t, q.y, n.y AS label, row_number() OVER (PARTITION BY q.k ORDER BY
+            round(sqrt((q.a - n.a) ** 2 + (q.b - n.b) ** 2), 9), n.k) AS place FROM x q, x n WHERE NOT n.t),
+    v AS (SELECT k, t, any_value(y) AS y, label, count(*) AS n FROM r WHERE place <= 5 GROUP BY k, t, label),
+    w AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, label) AS place FROM v),
+    said AS (SELECT t, y, label AS p FROM w WHERE place = 1),
+    {_f1_sql('said')}
+    SELECT 'K-Nearest Neighbors (KNN)' AS model_name, 'classification' AS task, round((SELECT acc FROM m WHERE NOT t), 6) AS train_score,
+           round((SELECT acc FROM m WHERE t), 6) AS test_score, round((SELECT f1 FROM m WHERE t), 6) AS extra""",
+)
+def neighbour_holdout(spark, sf_dir):
+    """Five nearest neighbours on balance and nation of the suppliers, scored on both sides."""
+    suppliers = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", "s_acctbal", "s_nationkey", (F.col("s_suppkey") % 3).cast("string").alias("group")
+    )
+    run = M.train_model(suppliers, ["s_acctbal", "s_nationkey"], "group", "K-Nearest Neighbors (KNN)", "s_suppkey")
+    scores = M.run_scores(run)
+    return scores.select("model_name", "task", *[F.round(c, 6).alias(c) for c in ("train_score", "test_score", "extra")])
+
+
+_ATTRIBUTION = f"""
+d AS (SELECT o_orderkey AS k, o_totalprice AS y, CAST(o_custkey AS DOUBLE) AS x1, CAST(year(o_orderdate) AS DOUBLE) AS x2,
+             {_in_test('o_orderkey')} AS t, md5(o_orderkey || '|42') AS h FROM orders),
+s AS (SELECT avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2 FROM d WHERE NOT t),
+z AS (SELECT k, y, t, h, (x1 - m1) / s1 AS a, (x2 - m2) / s2 AS b FROM d, s),
+c AS (SELECT covar_pop(a, b) AS r, covar_pop(a, y) AS u, covar_pop(b, y) AS v FROM z WHERE NOT t),
+w AS (SELECT (u - r * v) / (1 - r * r) AS wa, (v - r * u) / (1 - r * r) AS wb FROM c),
+bg AS (SELECT avg(a) AS za, avg(b) AS zb FROM (SELECT * FROM z WHERE NOT t ORDER BY substr(h, 1, 8), k LIMIT 8)),
+shares AS (SELECT k, y, 'o_custkey' AS feature, wa * (a - za) AS c FROM z, w, bg WHERE t
+           UNION ALL SELECT k, y, 'year', wb * (b - zb) FROM z, w, bg WHERE t)"""
+
+
+def _order_run(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"), "o_totalprice"
+    )
+    return M.train_model(orders, ["o_custkey", "year"], "o_totalprice", "Linear Regression", "o_orderkey")
+
+
+@query(
+    "ML-25",
+    f"WITH {_ATTRIBUTION} SELECT feature, round(avg(abs(c)), 2) AS mean_abs FROM shares GROUP BY feature",
+)
+def linear_attribution(spark, sf_dir):
+    """Mean absolute contribution per feature of a linear model, where sampled Shapley values are exact."""
+    run = _order_run(spark, sf_dir)
+    shares = M.sampled_shapley(run.model, run.test, run.train, "o_orderkey", run.preparation.names)
+    return M.global_attribution(shares).withColumn("mean_abs", F.round("mean_abs", 2))
+
+
+@query(
+    "ML-26",
+    f"""WITH {_ATTRIBUTION} SELECT k AS o_orderkey, feature, round(c, 2) AS contribution,
+        CASE WHEN c > 0 THEN '⬆ increases prediction' ELSE '⬇ decreases prediction' END AS direction,
+        CAST(row_number() OVER (PARTITION BY k ORDER BY abs(c) DESC, feature) AS INTEGER) AS place, y AS actual FROM shares""",
+)
+def linear_drivers(spark, sf_dir):
+    """Contributions to every test order's predicted total."""
+    run = _order_run(spark, sf_dir)
+    shares = M.sampled_shapley(run.model, run.test, run.train, "o_orderkey", run.preparation.names)
+    out = M.row_attribution(shares, run.test, "o_orderkey", digits=2)
+    return out.select(
+        "o_orderkey", "feature", "contribution", "direction", "place",
+        F.col("actual").cast("double").alias("actual"),
+    )
+
+
 # ------------------------------------------------------------------------- trained models, rows only
 
 ITEM_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]

@@ -196,6 +196,55 @@ def skill_paths(spark, sf_dir):
     return routed.select("c_custkey", "track", F.inline(once(F.col("path"))))
 
 
+COURSE_SQL = "CASE WHEN c_nationkey < 8 THEN NULL WHEN c_nationkey = 8 THEN '' ELSE ' Src' || (c_nationkey + 3) || ' ' END"
+
+
+@query(
+    "LP-2 LP-5 LP-6 LP-10 LP-12 LP-13 LP-14 LP-15 RET-12",
+    f"""WITH {PATHS_SQL},
+    requests AS (
+      SELECT c_custkey, {COURSE_SQL} AS course_source,
+             list_transform(string_split({ENTRY_SQL}, ','), lambda s: trim(s)) AS entered FROM customer),
+    staged AS (SELECT *, list_transform(entered, lambda s: lower(s)) AS skills,
+                 CASE c_custkey % 8 WHEN 1 THEN 'java_learning_path' WHEN 2 THEN 'python_sql_learning_path'
+                      WHEN 5 THEN 'data_analysis_learning_path' END AS track FROM requests),
+    docs AS (SELECT lower(source) AS name, min(doc_id) AS doc_id FROM documents GROUP BY 1),
+    named AS (SELECT s.*, d.doc_id, CASE WHEN track IS NULL AND coalesce(course_source, '') <> '' THEN true ELSE false END AS asks
+              FROM staged s LEFT JOIN docs d ON track IS NULL AND d.name = lower(trim(course_source))),
+    tracks AS (SELECT * FROM (VALUES {_TRACK_VALUES}) AS v(track, week, topic, details)),
+    plan AS (SELECT * FROM (VALUES {_PLAN_VALUES}) AS v(i, name, details, blob)),
+    fillers AS (SELECT * FROM (VALUES {_FILLERS}) AS v(week, topic, details, done_topic, done_details)),
+    flagged AS (SELECT n.c_custkey, p.source, p.week, p.topic, p.details,
+                       len(list_filter(n.skills, lambda s: contains(lower(p.topic || ' ' || p.details), s))) > 0 AS known
+                FROM named n JOIN course_paths p ON p.doc_id = n.doc_id WHERE asks),
+    kept AS (SELECT *, count(*) FILTER (NOT known) OVER (PARTITION BY c_custkey) AS fresh FROM flagged),
+    alive AS (SELECT c_custkey, name, details, row_number() OVER (PARTITION BY c_custkey ORDER BY i) - 1 AS pos
+              FROM named, plan WHERE track IS NULL AND NOT asks
+                AND len(list_filter(skills, lambda s: s <> '' AND contains(blob, s))) = 0),
+    weekly AS (SELECT c_custkey, pos % 4 + 1 AS week, string_agg(name, ' & ' ORDER BY pos) AS t,
+                      string_agg(name || ': ' || details, '; ' ORDER BY pos) AS d FROM alive GROUP BY ALL)
+    SELECT c_custkey, track AS path_source, CAST(NULL AS VARCHAR) AS error, CAST(t.week AS INTEGER) AS week, t.topic, t.details
+      FROM named JOIN tracks t USING (track)
+    UNION ALL SELECT c_custkey, source, NULL, CAST(week AS INTEGER), topic, details FROM kept WHERE fresh = 0 OR NOT known
+    UNION ALL SELECT c_custkey, NULL, 'Selected course source was not found in the knowledge base.', NULL, NULL, NULL
+      FROM named WHERE asks AND doc_id IS NULL
+    UNION ALL SELECT n.c_custkey, NULL, NULL, CAST(f.week AS INTEGER),
+        CASE WHEN n.c_custkey NOT IN (SELECT c_custkey FROM alive) THEN f.done_topic
+             WHEN t IS NULL THEN f.topic WHEN length(t) > 65 THEN substr(t, 1, 62) || '...' ELSE t END,
+        CASE WHEN n.c_custkey NOT IN (SELECT c_custkey FROM alive) THEN f.done_details ELSE coalesce(d, f.details) END
+      FROM (SELECT * FROM named WHERE track IS NULL AND NOT asks) n CROSS JOIN fillers f LEFT JOIN weekly w USING (c_custkey, week)""",
+)
+def learning_paths(spark, sf_dir):
+    """The whole path service for every customer: tracks, asked courses, unknown courses and general plans."""
+    requests = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.transform(F.split(F.expr(ENTRY_SQL), ","), F.trim).alias("skills"),
+        F.expr(COURSE_SQL).alias("course_source"),
+    )
+    docs = _docs(spark, sf_dir).withColumn("position", F.col("doc_id"))
+    made = P.learning_paths(spread(requests), docs)
+    return made.select("c_custkey", "path_source", "error", F.inline_outer(once(F.col("path"))))
+
+
 REQUESTS = [(1, ["Red", "steel "]), (2, [""]), (3, ["ECONOMY", "ring"]), (4, ["brand#1"]), (5, ["o"])]
 _REQUEST_VALUES = ", ".join(
     f"({i}, [{', '.join(S.text(s.strip().lower()) for s in skills)}])" for i, skills in REQUESTS

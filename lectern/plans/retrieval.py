@@ -306,6 +306,19 @@ def formatted_answers(spark, sf_dir):
     return A.format_answers(answers).select("query_id", "status", "takeaway", "formatted")
 
 
+CHAT_SQL = RANKED_SQL.replace("WHERE rank <= least(coalesce(nullif(q.k, 0), 3), 5)", "WHERE rank <= 2")
+
+
+@query(
+    "RET-6 ANS-5 ANS-7 (chat form)",
+    f"""WITH {CHAT_SQL}, {PICKED_SQL} SELECT query_id, reply, grounded, sources FROM answers""",
+)
+def chat_answers(spark, sf_dir):
+    """The chat form of the ask: always two chunks."""
+    answers = A.ask(_chunks(spark, sf_dir), searches(spark), ["doc_id", "chunk_no"])
+    return answers.select("query_id", "reply", "grounded", "sources")
+
+
 def _sql_text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 

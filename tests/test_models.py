@@ -153,7 +153,7 @@ def test_shapley_is_exact_for_linear_models(spark, table):
     names = run.preparation.names
     shares = M.sampled_shapley(run.model, run.test, run.train, "id", names, samples=6).cache()
     weights = run.model.coefficients.toArray()
-    drawn = run.train.select(vector_to_array("features").alias("z"), F.xxhash64("id", F.lit(42)).alias("h")).orderBy("h").limit(6)
+    drawn = run.train.select(vector_to_array("features").alias("z"), X.draw("id", 42).alias("h")).orderBy("h").limit(6)
     base = np.mean([r["z"] for r in drawn.collect()], axis=0)
     rows = {r["id"]: np.array(r["x"]) for r in run.test.select("id", vector_to_array("features").alias("x")).collect()}
     got = {(r["id"], r["feature"]): r["contribution"] for r in shares.collect()}
