@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from lectern.functions import text as T
 from lectern.functions.binding import let, once
@@ -99,33 +100,37 @@ def _matches_by_scan(chunks, batch, id_type, query_id, text, threshold) -> DataF
             for r in batch
         ]
     )
-    hit = (
-        chunks.withColumn("_inside", tokens_inside(all_tokens, F.col(text)))
-        .filter(F.size("_inside") > 0)
-        .withColumn("_tokens", T.distinct_tokens(F.col(text)))
-    )
-    found = F.struct(
-        F.col("_inside").alias("inside"),
-        F.array_intersect("_inside", "_tokens").alias("exact"),
-        F.size("_tokens").alias("n"),
-    )
-    scored = let(
-        found,
-        lambda c: F.transform(
-            asked,
-            lambda q: F.struct(
-                q["id"].alias("id"),
-                _score(
-                    F.size(F.array_intersect(q["tokens"], c["inside"])),
-                    F.size(F.array_intersect(q["tokens"], c["exact"])),
-                    F.size(q["tokens"]),
-                    c["n"],
-                ).alias("score"),
+    none = F.array().cast(t.ArrayType(t.StructType([t.StructField("id", id_type), t.StructField("score", t.DoubleType())])))
+
+    def pairs(inside: Column, tokens: Column) -> Column:
+        found = F.struct(
+            inside.alias("inside"), F.array_intersect(inside, tokens).alias("exact"), F.size(tokens).alias("n")
+        )
+        scored = let(
+            found,
+            lambda c: F.transform(
+                asked,
+                lambda q: F.struct(
+                    q["id"].alias("id"),
+                    _score(
+                        F.size(F.array_intersect(q["tokens"], c["inside"])),
+                        F.size(F.array_intersect(q["tokens"], c["exact"])),
+                        F.size(q["tokens"]),
+                        c["n"],
+                    ).alias("score"),
+                ),
             ),
-        ),
+        )
+        return F.filter(scored, lambda s: s["score"] > threshold)
+
+    # Only a chunk that holds some query token is tokenised.
+    kept = let(
+        tokens_inside(all_tokens, F.col(text)),
+        lambda inside: F.when(
+            F.size(inside) > 0, let(T.distinct_tokens(F.col(text)), lambda tokens: pairs(inside, tokens))
+        ).otherwise(none),
     )
-    kept = F.filter(scored, lambda s: s["score"] > threshold)
-    return hit.select(*[F.col(c) for c in chunks.columns], F.explode(kept).alias("_s")).select(
+    return chunks.select(*[F.col(c) for c in chunks.columns], F.explode(kept).alias("_s")).select(
         F.col("_s.id").alias(query_id), *chunks.columns, F.col("_s.score").alias("score")
     )
 

@@ -305,6 +305,17 @@ def linear_attribution(spark, sf_dir):
     return M.global_attribution(shares).withColumn("mean_abs", F.round("mean_abs", 2))
 
 
+@query(
+    "ML-21",
+    f"""WITH {_ATTRIBUTION}, raw AS (SELECT 'o_custkey' AS feature, abs(wa) AS v FROM w UNION ALL SELECT 'year', abs(wb) FROM w)
+    SELECT feature, round(v / sum(v) OVER (), 4) AS importance, CAST(row_number() OVER (ORDER BY v DESC) AS INTEGER) AS place FROM raw""",
+)
+def linear_importance(spark, sf_dir):
+    """Shares of the absolute coefficients of a linear model."""
+    run = _order_run(spark, sf_dir)
+    return M.importances(spark, run.model, run.preparation.names)
+
+
 @query(
     "ML-26",
     f"""WITH {_ATTRIBUTION} SELECT k AS o_orderkey, feature, round(c, 2) AS contribution,

@@ -54,19 +54,21 @@ def skip_repeats(uploads: DataFrame, session: str, order: list[str], name: str,
     """Uploads whose name and size differ from the session's previous upload (SRC-7).
 
     ``bucket`` is a non-decreasing function of the order (an hour, a day). Rows look back inside their bucket;
-    a bucket's first row looks at the last row of the bucket before, found by aggregation. A session that
+    a bucket's first row looks at the last row of the bucket before. A session that
     holds a third of all uploads is thus split over its buckets.
     """
     marked = uploads.withColumn("_b", bucket).withColumn(
         "_mark", F.concat_ws("_", F.col(name).cast("string"), F.col(size).cast("string"))
     )
-    lasts = marked.groupBy(session, "_b").agg(F.max_by("_mark", F.struct(*order)).alias("_last"))
-    over = Window.partitionBy(session).orderBy("_b")
-    before = lasts.select(session, "_b", F.lag("_last").over(over).alias("_carry"))
     inside = Window.partitionBy(session, "_b").orderBy(*order)
-    seen = marked.withColumn("_prev", F.lag("_mark").over(inside)).join(before, [session, "_b"])
-    previous = F.coalesce("_prev", "_carry")
-    return seen.filter(~F.col("_mark").eqNullSafe(previous)).select(*uploads.columns)
+    seen = marked.withColumn("_prev", F.lag("_mark").over(inside)).withColumn("_next", F.lead("_mark").over(inside))
+    fresh = ~F.col("_mark").eqNullSafe(F.col("_prev"))
+    inner = seen.filter(F.col("_prev").isNotNull() & fresh)
+    # First and last rows of the buckets alone, in order: a first row follows the last row of the bucket before.
+    edges = seen.filter(F.col("_prev").isNull() | F.col("_next").isNull()).withColumn("_first", F.col("_prev").isNull())
+    over = Window.partitionBy(session).orderBy("_b", *order)
+    firsts = edges.withColumn("_prev", F.lag("_mark").over(over)).filter(F.col("_first") & fresh)
+    return inner.select(*uploads.columns).unionByName(firsts.select(*uploads.columns))
 
 
 def preview(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
