@@ -107,9 +107,11 @@ def fit_preparation(train: DataFrame, features: list[str]) -> Preparation:
         if empty:
             raise ValueError(f"no values to impute from: {empty}")
     if categorical:
-        prep.modes = {
-            r["column"]: r["most_common"] for r in P.categorical_profile(train, categorical).collect()
-        }
+        profiles = P.categorical_profile(train, categorical).collect()
+        empty = [r["column"] for r in profiles if not r["unique_count"]]
+        if empty:
+            raise ValueError(f"no values to impute from: {empty}")
+        prep.modes = {r["column"]: r["most_common"] for r in profiles}
     filled = prep.imputed(train)
     if numeric:
         row = filled.agg(
