@@ -38,6 +38,7 @@ TOP_IMPORTANCES = 10
 TOP_GLOBAL = 8
 TOP_DRIVERS = 6
 MAX_NORMAL_FEATURES = 4096
+TINY = 1e-10
 
 # Model names by task and the default for an unknown name.
 REGRESSORS = [
@@ -57,8 +58,8 @@ def resolve_model(task: str, name: str) -> str:
     return name if name in known else DEFAULT_MODEL[task]
 
 
-def _ridge(train: DataFrame, n_features: int, alpha: float = 1.0) -> LinearRegression:
-    """Penalty alpha·‖w‖² on the summed squared error (ML-10).
+def _ridge(train: DataFrame, n_features: int, alpha: float = 1.0, per_row: float = 0.0) -> LinearRegression:
+    """Penalty (alpha + n·per_row)·‖w‖² on the summed squared error (ML-10).
 
     The library minimises the mean error on a label scaled by its deviation, hence the factor.
     """
@@ -68,14 +69,16 @@ def _ridge(train: DataFrame, n_features: int, alpha: float = 1.0) -> LinearRegre
     normal = n_features <= MAX_NORMAL_FEATURES
     return LinearRegression(
         elasticNetParam=0.0, solver="normal" if normal else "l-bfgs", standardization=False,
-        regParam=alpha * (row["pop"] if normal else row["samp"]) / row["n"],
+        regParam=(alpha / row["n"] + per_row) * (row["pop"] if normal else row["samp"]),
     )
 
 
 def estimator(name: str, train: DataFrame, n_features: int, n_classes: int):
     """Unfitted estimator for a model name."""
     if name == "Linear Regression":
-        return LinearRegression(regParam=0.0)
+        # One-hot columns add up to the intercept. A vanishing penalty picks the shortest of the equal fits,
+        # where a plain solve of the singular system returns huge coefficients that cancel.
+        return _ridge(train, n_features, alpha=0.0, per_row=TINY)
     if name == "Ridge Regression":
         return _ridge(train, n_features)
     if name == "Lasso Regression":

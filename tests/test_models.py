@@ -78,6 +78,16 @@ def test_penalised_fits_match_closed_form(spark, table):
         np.testing.assert_allclose(model.coefficients.toArray(), want, rtol=1e-4)
 
 
+def test_least_squares_with_one_hot_is_the_shortest_fit(table):
+    prep = X.fit_preparation(table, ["n1", "n2", "c"])
+    data = prep.transform(table).withColumn("label", F.col("num"))
+    x = matrix(table, prep)
+    y = np.array([r["num"] for r in table.orderBy("id").collect()])
+    want = np.linalg.lstsq(x - x.mean(axis=0), y - y.mean(), rcond=1e-10)[0]
+    model = M.estimator("Linear Regression", data, 5, 0).fit(data)
+    np.testing.assert_allclose(model.coefficients.toArray(), want, rtol=1e-4, atol=1e-3)
+
+
 def test_logistic_matches_newton(spark, table):
     prep = X.fit_preparation(table, ["n1", "n2"])
     data = prep.transform(table).withColumn("label", (F.col("cat") == "lo").cast("double"))
