@@ -143,7 +143,7 @@ def clean_reply(reply: Column) -> Column:
     for sentence in REMOVED_SENTENCES:
         out = F.replace(out, F.lit(sentence), F.lit(""))
     for header in REMOVED_HEADERS:
-        out = F.regexp_replace(out, f"(?iu){header}", "")
+        out = F.regexp_replace(out, f"(?iud){header}", "")
     return T.strip(out)
 
 

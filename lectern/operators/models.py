@@ -120,21 +120,36 @@ class ModelRun:
     classes: list[str]
 
 
-def train_model(
-    df: DataFrame, features: list[str], target: str, name: str, key: str, test_size: float = 0.2, seed: int = SEED
-) -> ModelRun:
-    """Typing, task, split, preparation and fit (ML-1…18). Predictions carry ``key, actual, predicted``."""
+@dataclass
+class Split:
+    """Prepared training and test rows that several models can share."""
+
+    task: str
+    key: str
+    preparation: X.Preparation
+    train: DataFrame
+    test: DataFrame
+
+
+def prepare_split(
+    df: DataFrame, features: list[str], target: str, key: str, test_size: float = 0.2, seed: int = SEED
+) -> Split:
+    """Typing, task, split and preparation (ML-1…8). Rows without a target are left out."""
     task = X.infer_task(df, target)
-    name = resolve_model(task, name)
     slim = df.select(key, *[c for c in features if c != key], F.col(target).alias("_target")).filter(
         F.col("_target").isNotNull()
     )
     test_side = X.is_test(key, test_size, seed)
     train_raw, test_raw = slim.filter(~test_side), slim.filter(test_side)
     prep = X.fit_preparation(train_raw, features)
-    train, test = prep.transform(train_raw), prep.transform(test_raw)
-    if task == "regression":
-        train = train.withColumn("label", F.col("_target").cast("double"))
+    return Split(task, key, prep, prep.transform(train_raw), prep.transform(test_raw))
+
+
+def fit_model(split: Split, name: str) -> ModelRun:
+    """One model on a prepared split (ML-9…18). Predictions carry ``key, actual, predicted``."""
+    name, key, prep = resolve_model(split.task, name), split.key, split.preparation
+    if split.task == "regression":
+        train = split.train.withColumn("label", F.col("_target").cast("double"))
         model = estimator(name, train, len(prep.names), 0).fit(train)
 
         def predict(side: DataFrame) -> DataFrame:
@@ -142,22 +157,30 @@ def train_model(
                 key, "features", F.col("_target").cast("double").alias("actual"), F.col("prediction").alias("predicted")
             )
 
-        return ModelRun(task, name, prep, model, predict(train), predict(test), [])
+        return ModelRun(split.task, name, prep, model, predict(split.train), predict(split.test), [])
 
-    train, test = (side.withColumn("_class", F.col("_target").cast("string")) for side in (train, test))
+    train, test = (side.withColumn("_class", F.col("_target").cast("string")) for side in (split.train, split.test))
     indexer = StringIndexer(inputCol="_class", outputCol="label", stringOrderType="alphabetAsc").fit(train)
     classes = list(indexer.labels)
     if name == "K-Nearest Neighbors (KNN)":
         both = (knn_predict(train, side, key, "_class") for side in (train, test))
-        return ModelRun(task, name, prep, None, *both, classes)
-    model = estimator(name, indexer.transform(train), len(prep.names), len(classes)).fit(indexer.transform(train))
+        return ModelRun(split.task, name, prep, None, *both, classes)
+    labelled = indexer.transform(train)
+    model = estimator(name, labelled, len(prep.names), len(classes)).fit(labelled)
     back = IndexToString(inputCol="prediction", outputCol="predicted", labels=classes)
 
     def classify(side: DataFrame) -> DataFrame:
-        said = back.transform(model.transform(side.drop("label")))
+        said = back.transform(model.transform(side))
         return said.select(key, "features", F.col("_class").alias("actual"), "predicted")
 
-    return ModelRun(task, name, prep, model, classify(train), classify(test), classes)
+    return ModelRun(split.task, name, prep, model, classify(train), classify(test), classes)
+
+
+def train_model(
+    df: DataFrame, features: list[str], target: str, name: str, key: str, test_size: float = 0.2, seed: int = SEED
+) -> ModelRun:
+    """Preparation, split and fit of one model (ML-1…18)."""
+    return fit_model(prepare_split(df, features, target, key, test_size, seed), name)
 
 
 def neighbours(

@@ -16,8 +16,8 @@ WEEKS = 4
 MAX_PLAN = 500
 
 # Patterns of week headings, numbered lines and title terms.
-WEEK_HEADING = r"(?i)Week\s+(\d+|[IVXLCDM]+)\s*[:\-]?\s*([^\n]+)"
-NUMBERED_LINE = r"(?md)^\s*(\d+)\.\s*([^\n]+)"
+WEEK_HEADING = rf"(?iU)Week{T.BLANK}+(\d+|[IVXLCDM]+){T.BLANK}*[:\-]?{T.BLANK}*([^\n]+)"
+NUMBERED_LINE = rf"(?mdU)^{T.BLANK}*(\d+)\.{T.BLANK}*([^\n]+)"
 TITLE_TERM = r"([A-Za-z][A-Za-z0-9+#-]*)"
 
 
@@ -229,7 +229,7 @@ def section_subtopics(content: Column) -> Column:
         at = F.instr(content, heading)
         rest = F.substr(content, at + F.length(heading), F.length(content))
         following = (number.cast("decimal(38,0)") + 1).cast("string")
-        stop = F.concat(F.lit(r"(?md)^\s*"), following, F.lit(r"\.\s*"))
+        stop = F.concat(F.lit(rf"(?mdU)^{T.BLANK}*"), following, F.lit(rf"\.{T.BLANK}*"))
         return F.struct(
             T.strip(title).alias("name"),
             T.clip(T.collapse(F.get(F.split(rest, stop, 2), F.lit(0))), 180).alias("details"),

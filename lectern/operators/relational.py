@@ -101,16 +101,25 @@ def reverse_words(c: Column) -> Column:
 
 
 def anagram_starts(text: Column, pattern: Column) -> Column:
-    """0-based starts of windows that are a permutation of the pattern (TB-8)."""
+    """0-based starts of windows that are a permutation of the pattern (TB-8).
+
+    The text becomes an array of letters once, as a substring would walk the text from its start every time.
+    A window is sorted only when both its ends are letters of the pattern.
+    """
     width = F.length(pattern)
     last = F.length(text) - width
-    starts = let(
-        F.array_sort(F.split(pattern, "")),
-        lambda letters: F.filter(
+
+    def matches(b: Column) -> Column:
+        chars, letters = b["chars"], b["letters"]
+        return F.filter(
             F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-            lambda i: F.array_sort(F.split(F.substr(text, i + 1, width), "")) == letters,
-        ),
-    )
+            lambda i: F.array_contains(letters, F.get(chars, i))
+            & F.array_contains(letters, F.get(chars, i + width - 1))
+            & (F.array_sort(F.slice(chars, i + 1, width)) == letters),
+        )
+
+    both = F.struct(F.split(text, "").alias("chars"), F.array_sort(F.split(pattern, "")).alias("letters"))
+    starts = let(both, matches)
     return F.when((last >= 0) & (width > 0), starts).otherwise(F.array().cast("array<int>"))
 
 

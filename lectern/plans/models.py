@@ -341,7 +341,7 @@ QUALITY_FEATURES = ["n_chars", "lang", "n_words", "n_distinct"]
 
 def items(spark, sf_dir):
     """Line items with a key that is unique: order, part and supplier hashed together."""
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem")).select(
         F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("row_key"),
         *ITEM_FEATURES, "l_extendedprice",
     )
@@ -371,9 +371,9 @@ def forest_importance(spark, sf_dir):
 def regression_scores(spark, sf_dir):
     """Train and test scores of the linear and tree regressors on line items."""
     out = None
+    split = M.prepare_split(items(spark, sf_dir), ITEM_FEATURES, "l_extendedprice", "row_key")
     for name in [*PENALISED, "Decision Tree Regressor"]:
-        run = M.train_model(items(spark, sf_dir), ITEM_FEATURES, "l_extendedprice", name, "row_key")
-        row = M.run_scores(run)
+        row = M.run_scores(M.fit_model(split, name))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -381,14 +381,13 @@ def regression_scores(spark, sf_dir):
 @query("ML-8 ML-12 ML-15 ML-17 ML-18 ML-20")
 def classifier_scores(spark, sf_dir):
     """Train and test scores of the classifiers that predict a document's quality label."""
-    data = quality(spark, sf_dir)
+    split = M.prepare_split(quality(spark, sf_dir), QUALITY_FEATURES, "quality", "doc_id")
     out = None
     for name in [
         "Logistic Regression", "Support Vector Classifier (SVC)", "Decision Tree Classifier", "Naive Bayes",
         "K-Nearest Neighbors (KNN)",
     ]:
-        run = M.train_model(data, QUALITY_FEATURES, "quality", name, "doc_id")
-        row = M.run_scores(run)
+        row = M.run_scores(M.fit_model(split, name))
         out = row if out is None else out.unionByName(row)
     return out
 
