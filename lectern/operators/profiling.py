@@ -105,7 +105,7 @@ def profile(df: DataFrame, numeric_columns: list[str], categorical_columns: list
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Full symmetric Pearson matrix in long form, nulls skipped pairwise (VIZ-9)."""
+    """Full symmetric Pearson matrix in long form, nulls skipped pairwise, NULL for a constant column (VIZ-9)."""
     from lectern.operators.relational import correlations
 
     upper = correlations(df, columns)
@@ -114,7 +114,7 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
         F.struct(F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "correlation"),
     )
     off = upper.select(F.explode(both).alias("_r")).select("_r.*")
-    present = df.agg(*[F.count(c).alias(c) for c in columns])
+    present = df.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in columns])
     diagonal = F.array(
         *[
             F.struct(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,9 @@ from lectern.functions import text as T
 from lectern.functions.binding import let
 from lectern.operators import quantiles as Q
 
+# Column pairs up to which correlations are plain aggregates.
+MAX_PAIR_AGGREGATES = 300
+
 
 def never_ordered(customers: DataFrame, orders: DataFrame, key: str, order_key: str) -> DataFrame:
     """Customers without an order (TB-1). Order keys are made distinct first, so a hot key shuffles once per task."""
@@ -53,10 +59,22 @@ def impute_median(df: DataFrame, column: str) -> DataFrame:
     return df.fillna({column: fitted[column]}) if column in fitted else df
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation aggregate that is NULL for a constant column, where ``corr`` divides by zero."""
+    a, b = a.cast("double"), b.cast("double")
+    spreads = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), spreads)
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every column pair, upper triangle, in one aggregation (VIZ-9)."""
+    """Pearson correlation of every column pair, upper triangle, nulls skipped pairwise (VIZ-9).
+
+    Few columns are one aggregation; wide tables sum small matrices made per task.
+    """
     pairs = list(combinations(columns, 2))
-    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    if len(pairs) > MAX_PAIR_AGGREGATES:
+        return _wide_correlations(df, columns)
+    one = df.agg(*[pearson(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(
         *[
             F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"_{i}").alias("correlation"))
@@ -66,6 +84,42 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(rows).alias("_r")).select("_r.*")
 
 
+def _wide_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairwise sums by matrix product, shifted by the column means so that nothing cancels.
+
+    A task sends one array of fixed size (five numbers per pair) however many rows it holds.
+    """
+    wide = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    row = wide.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(len(columns))]).first()
+    means = np.array([m if m is not None else 0.0 for m in row])
+    upper = np.triu_indices(len(columns), 1)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, len(upper[0])))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            known = (~np.isnan(x)).astype(float)
+            x = np.where(known > 0, x - means, 0.0)
+            parts = (known.T @ known, x.T @ known, known.T @ x, (x * x).T @ known, known.T @ (x * x), x.T @ x)
+            total += np.array([p[upper] for p in parts])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(upper[0])), pa.int32()), *[pa.array(t) for t in total]],
+            names=["pair", "n", "x", "y", "xx", "yy", "xy"],
+        )
+
+    schema = "pair int, n double, x double, y double, xx double, yy double, xy double"
+    summed = wide.mapInArrow(sums, schema).groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    cov = F.col("n") * F.col("xy") - F.col("x") * F.col("y")
+    spread_x, spread_y = (F.col("n") * F.col(a + a) - F.col(a) * F.col(a) for a in ("x", "y"))
+    names = F.array(*[F.lit(c) for c in columns])
+    first, second = (F.array(*[F.lit(int(i)) for i in side]) for side in upper)
+    return summed.select(
+        F.get(names, F.get(first, "pair")).alias("feature_a"),
+        F.get(names, F.get(second, "pair")).alias("feature_b"),
+        F.try_divide(cov, F.sqrt(F.greatest(spread_x, F.lit(0.0)) * F.greatest(spread_y, F.lit(0.0)))).alias("correlation"),
+    )
+
+
 def correlated_pairs(df: DataFrame, columns: list[str], threshold: float) -> DataFrame:
     """Pairs whose absolute correlation is strictly above the threshold (TB-5)."""
     return correlations(df, columns).filter(F.abs("correlation") > threshold)

@@ -126,7 +126,7 @@ ITEMS_SQL = """CASE event_id % 4
 )
 def generated_quizzes(spark, sf_dir):
     """Quiz replies parsed and filtered by topic; an unusable reply falls back to the bank."""
-    raw = table(spark, sf_dir, "events").select("event_id", F.expr(ITEMS_SQL).alias("raw"), F.lit("Python").alias("topic"))
+    raw = table(spark, sf_dir, "events").select("event_id", F.expr(ITEMS_SQL).alias("raw"), F.concat(F.lit("Python for "), "event_type").alias("topic"))
     item = "array<struct<question:string,options:array<string>,correct_answer:string,explanation:string>>"
     fitting = raw.withColumn("items", A.topic_items(F.col("topic"), A.parse_array(F.col("raw"), item)))
     bank = spark.createDataFrame(BANK, "bank string, question string, answer string")

@@ -44,6 +44,22 @@ def test_correlated_pairs(spark):
     assert [(r["feature_a"], r["feature_b"]) for r in L.correlated_pairs(frame, ["A", "B", "C"], 0.95).collect()] == [("A", "B")]
 
 
+def test_wide_correlations_equal_plain_ones(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(1000, 1, size=(400, 5))
+    x[:, 3] = x[:, 0] * 2 + rng.normal(size=400) * 0.01
+    rows = [tuple(None if rng.random() < 0.1 else float(v) for v in r[:4]) + (7.0,) for r in x]
+    frame = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(6)
+    plain = {(r[0], r[1]): r[2] for r in L.correlations(frame, list("abcde")).collect()}
+    monkeypatch.setattr(L, "MAX_PAIR_AGGREGATES", 0)
+    wide = {(r[0], r[1]): r[2] for r in L.correlations(frame, list("abcde")).collect()}
+    assert set(plain) == set(wide)
+    for k, v in plain.items():
+        assert wide[k] == (None if "e" in k else pytest.approx(v, abs=1e-9)) and (v is None) == ("e" in k)
+    full = {(r[0], r[1]): r[2] for r in P.correlation_matrix(frame, list("abe")).collect()}
+    assert len(full) == 9 and full[("a", "a")] == 1.0 and full[("e", "e")] is None and full[("b", "a")] == full[("a", "b")]
+
+
 def test_retention(spark):
     rows = [(1, datetime(2024, 1, 5)), (1, datetime(2024, 2, 5)), (2, datetime(2024, 1, 9)), (2, datetime(2024, 1, 20)),
             (3, datetime(2024, 2, 1)), (3, datetime(2024, 4, 1))]
