@@ -17,6 +17,8 @@ from lectern.operators import quantiles as Q
 NUMBERS = (t.ByteType, t.ShortType, t.IntegerType, t.LongType, t.FloatType, t.DoubleType)
 MAX_CLASSES_AS_LABELS = 10
 SPLIT_BUCKETS = 10_000
+# Category names are held by the driver and by every encoded vector's metadata.
+MAX_CATEGORIES = 1_000_000
 
 
 def feature_types(df: DataFrame, features: list[str]) -> tuple[list[str], list[str]]:
@@ -111,6 +113,9 @@ def fit_preparation(train: DataFrame, features: list[str]) -> Preparation:
         empty = [r["column"] for r in profiles if not r["unique_count"]]
         if empty:
             raise ValueError(f"no values to impute from: {empty}")
+        wide = [r["column"] for r in profiles if r["unique_count"] > MAX_CATEGORIES]
+        if wide:
+            raise ValueError(f"more than {MAX_CATEGORIES} categories, one vector slot each: {wide}")
         prep.modes = {r["column"]: r["most_common"] for r in profiles}
     filled = prep.imputed(train)
     if numeric:

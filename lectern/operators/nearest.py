@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -118,7 +118,7 @@ def _scorer(query_id, keep, metric, k, threshold, digits):
         ids, q_all = queries.column("_query").combine_chunks(), _matrix(queries.column("_asked"))
         for start in range(0, whole.num_rows, TILE_ROWS):
             batch = whole.slice(start, TILE_ROWS)
-            batch = batch.take(pa.compute.sort_indices(batch, sort_keys=[(keep[0], "ascending")]))
+            batch = batch.take(pc.sort_indices(batch, sort_keys=[(keep[0], "ascending")]))
             d = _matrix(batch.column("_vec"))
             for first in range(0, len(q_all), TILE_QUERIES):
                 tile = score_tile(d, q_all[first : first + TILE_QUERIES])

@@ -109,14 +109,21 @@ def _wide_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
     schema = "pair int, n double, x double, y double, xx double, yy double, xy double"
     summed = wide.mapInArrow(sums, schema).groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
-    cov = F.col("n") * F.col("xy") - F.col("x") * F.col("y")
-    spread_x, spread_y = (F.col("n") * F.col(a + a) - F.col(a) * F.col(a) for a in ("x", "y"))
     names = F.array(*[F.lit(c) for c in columns])
     first, second = (F.array(*[F.lit(int(i)) for i in side]) for side in upper)
+    # Below this a spread is the rounding error of the mean, so the column is constant.
+    noise = F.array(*[F.lit(float((abs(m) * 1e-15) ** 2)) for m in means])
+
+    def spread(a: str, side: Column) -> Column:
+        s = F.col("n") * F.col(a + a) - F.col(a) * F.col(a)
+        return F.when(s > F.col("n") * F.col("n") * F.get(noise, F.get(side, "pair")), s)
+
+    cov = F.col("n") * F.col("xy") - F.col("x") * F.col("y")
+    spread_x, spread_y = spread("x", first), spread("y", second)
     return summed.select(
         F.get(names, F.get(first, "pair")).alias("feature_a"),
         F.get(names, F.get(second, "pair")).alias("feature_b"),
-        F.try_divide(cov, F.sqrt(F.greatest(spread_x, F.lit(0.0)) * F.greatest(spread_y, F.lit(0.0)))).alias("correlation"),
+        F.try_divide(cov, F.sqrt(spread_x) * F.sqrt(spread_y)).alias("correlation"),
     )
 
 

@@ -1,6 +1,6 @@
 import random
 import statistics
-from datetime import date, datetime, timedelta
+from datetime import date, datetime
 
 import numpy as np
 import pytest
@@ -48,7 +48,7 @@ def test_wide_correlations_equal_plain_ones(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.normal(1000, 1, size=(400, 5))
     x[:, 3] = x[:, 0] * 2 + rng.normal(size=400) * 0.01
-    rows = [tuple(None if rng.random() < 0.1 else float(v) for v in r[:4]) + (7.0,) for r in x]
+    rows = [tuple(None if rng.random() < 0.1 else float(v) for v in r[:4]) + (0.1,) for r in x]
     frame = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(6)
     plain = {(r[0], r[1]): r[2] for r in L.correlations(frame, list("abcde")).collect()}
     monkeypatch.setattr(L, "MAX_PAIR_AGGREGATES", 0)

@@ -47,6 +47,11 @@ def test_keyword_golden(spark, query, text, score):
     assert frame.select(R.keyword_score(F.col("q"), F.col("t"))).first()[0] == pytest.approx(score, abs=1e-6)
 
 
+def test_keyword_score_without_tokens(spark):
+    frame = spark.createDataFrame([("", "x"), ("x", "..."), ("", ""), ("x", "x")], "q string, t string")
+    assert [r[0] for r in frame.select(R.keyword_score(F.col("q"), F.col("t"))).collect()] == [0.0, 0.0, 0.0, 1.0]
+
+
 def test_scan_index_and_brute_force_agree(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     chunks = C.chunk_documents(docs, ["doc_id", "source"]).cache()
