@@ -57,8 +57,10 @@ def keyword_score(query: Column, chunk: Column) -> Column:
 
 def _bounded_batch(queries: DataFrame, query_id: str, text: str) -> list | None:
     """The query batch as rows when its size is proven small, else None."""
+    # One token more than the limit is enough to see that a query is too long.
+    some = F.slice(T.distinct_tokens(F.col(text)), 1, MAX_BATCH_TOKENS + 1)
     rows = (
-        queries.select(F.col(query_id).alias("id"), T.distinct_tokens(F.col(text)).alias("tokens"))
+        queries.select(F.col(query_id).alias("id"), some.alias("tokens"))
         .limit(MAX_BATCH_QUERIES + 1)
         .collect()
     )
