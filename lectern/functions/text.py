@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 BLANK = r"[\s\x1c-\x1f]"
 TOKEN = r"[\p{L}\p{N}_]+"
 SENTENCE_END = rf"(?U)(?<=[.!?]){BLANK}+"
+UNEVEN_BLANKS = rf"(?U)[\s\x1c-\x1f&&[^ ]]{BLANK}*| {BLANK}+"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 
 
@@ -39,8 +40,11 @@ def distinct_tokens(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    """Stripped sentences; blank pieces are dropped."""
-    return F.filter(F.transform(F.split(c, SENTENCE_END), strip), lambda s: s != "")
+    """Stripped sentences; blank pieces are dropped.
+
+    A split takes all blanks behind a sentence end, so stripping the whole text once strips every sentence.
+    """
+    return F.filter(F.split(strip(c), SENTENCE_END), lambda s: s != "")
 
 
 def paragraphs(c: Column, pattern: str = r"\n{2,}") -> Column:
@@ -48,8 +52,8 @@ def paragraphs(c: Column, pattern: str = r"\n{2,}") -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """Whitespace runs to one space, ends stripped."""
-    return strip(F.regexp_replace(c, rf"(?U){BLANK}+", " "))
+    """Whitespace runs to one space, ends stripped; the many single spaces are not touched."""
+    return strip(F.regexp_replace(c, UNEVEN_BLANKS, " "))
 
 
 def excerpt(c: Column, length: int = 320) -> Column:

@@ -72,7 +72,7 @@ def rank_sentences(sentences: Column, keywords: Column) -> Column:
             s["source"].alias("source"),
         )
 
-    return F.array_sort(F.filter(F.transform(sentences, scored), lambda s: s["order"] < 0))
+    return F.sort_array(F.filter(F.transform(sentences, scored), lambda s: s["order"] < 0))
 
 
 def pick_sentences(hits_by_query: DataFrame, query: str = "query", hits: str = "hits") -> DataFrame:

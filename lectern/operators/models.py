@@ -390,7 +390,7 @@ def sampled_shapley(
         F.sequence(F.lit(0), F.lit(n - 1)),
         lambda f: F.struct(F.xxhash64(F.col(key), F.col("_b.s"), f, F.lit(seed)).alias("h"), f.alias("f")),
     )
-    ordered = paired.withColumn("_order", F.transform(F.array_sort(drawn_order), lambda o: o["f"]))
+    ordered = paired.withColumn("_order", F.transform(F.sort_array(drawn_order), lambda o: o["f"]))
     placed = ordered.withColumn(
         "_place",
         F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda f: F.array_position("_order", f).cast("int")),

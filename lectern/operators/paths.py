@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,8 @@ MAX_PLAN = 500
 # Patterns of week headings, numbered lines and title terms.
 WEEK_HEADING = rf"(?iU)Week{T.BLANK}+(\d+|[IVXLCDM]+){T.BLANK}*[:\-]?{T.BLANK}*([^\n]+)"
 NUMBERED_LINE = rf"(?mdU)^{T.BLANK}*(\d+)\.{T.BLANK}*([^\n]+)"
-TITLE_TERM = r"([A-Za-z][A-Za-z0-9+#-]*)"
+# Terms start with a letter, are lower-cased and longer than three characters.
+TITLE_TERM = r"[a-z][a-z0-9+#-]{3,}"
 
 
 # --------------------------------------------------------------------------------------- skills
@@ -90,33 +93,47 @@ def split_text(df: DataFrame, text: str, output: str, parts: int = WEEKS) -> Dat
 def top_terms(text: Column, n: int = 3) -> Column:
     """Commonest longer terms of a text, ties by first position (LP-4).
 
-    The terms are sorted with their positions, so equal ones form a run; a run's length is its count. All of
-    it happens in the row: no token is shuffled.
+    Sorted terms form runs, and a run's length is its count. Only runs as long as the n-th longest are looked
+    up in the distinct terms, whose order is that of first occurrence. No token leaves the row.
     """
-    found = F.transform(
-        F.regexp_extract_all(text, F.lit(TITLE_TERM), F.lit(1)),
-        lambda w, i: F.struct(F.lower(w).alias("term"), i.alias("pos")),
+    low = F.translate(text, ascii_uppercase, ascii_lowercase)
+    terms = F.filter(
+        F.regexp_extract_all(low, F.lit(TITLE_TERM), F.lit(0)), lambda w: ~w.isin(V.TITLE_STOPWORDS)
     )
-    kept = F.filter(found, lambda t: (F.length(t["term"]) > 3) & ~t["term"].isin(V.TITLE_STOPWORDS))
 
-    def ranked(terms: Column) -> Column:
+    def runs(ordered: Column) -> Column:
+        size = F.size(ordered)
         starts = F.filter(
-            F.when(F.size(terms) > 0, F.sequence(F.lit(0), F.size(terms) - 1)).otherwise(F.array().cast("array<int>")),
-            lambda i: (i == 0) | (F.get(terms, i)["term"] != F.get(terms, i - 1)["term"]),
+            F.sequence(F.lit(0), size - 1),
+            lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
+        )
+        return let(
+            starts,
+            lambda first: F.zip_with(
+                first, F.concat(F.slice(first, 2, 1 << 30), F.array(size)),
+                lambda s, e: F.struct((e - s).alias("count"), F.get(ordered, s).alias("term")),
+            ),
         )
 
-        def runs(first: Column) -> Column:
-            ends = F.concat(F.slice(first, 2, 1 << 30), F.array(F.size(terms)))
-            return F.zip_with(
-                first, F.slice(ends, F.lit(1), F.size(first)),
-                lambda s, e: F.struct(
-                    (s - e).alias("order"), F.get(terms, s)["pos"].alias("pos"), F.get(terms, s)["term"].alias("term")
-                ),
-            )
+    def best(c: Column) -> Column:
+        lengths = F.sort_array(F.transform(c["runs"], lambda r: r["count"]), asc=False)
+        long = let(
+            F.get(lengths, F.least(F.lit(n), F.size(lengths)) - 1),
+            lambda least: F.filter(c["runs"], lambda r: r["count"] >= least),
+        )
+        placed = F.transform(
+            long,
+            lambda r: F.struct(
+                (-r["count"]).alias("order"), F.array_position(c["distinct"], r["term"]).alias("first"), r["term"].alias("term")
+            ),
+        )
+        return F.transform(F.slice(F.sort_array(placed), 1, n), lambda r: r["term"])
 
-        return F.transform(F.slice(F.array_sort(let(starts, runs)), 1, n), lambda r: r["term"])
+    def ranked(found: Column) -> Column:
+        counted = F.struct(let(F.sort_array(found), runs).alias("runs"), F.array_distinct(found).alias("distinct"))
+        return F.when(F.size(found) > 0, let(counted, best)).otherwise(found)
 
-    return let(F.array_sort(kept), ranked)
+    return let(terms, ranked)
 
 
 def part_title(text: Column, source: Column, week: Column) -> Column:

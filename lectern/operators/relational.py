@@ -176,10 +176,10 @@ def anagram_starts(text: Column, pattern: Column) -> Column:
             F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
             lambda i: F.array_contains(letters, F.get(chars, i))
             & F.array_contains(letters, F.get(chars, i + width - 1))
-            & (F.array_sort(F.slice(chars, i + 1, width)) == letters),
+            & (F.sort_array(F.slice(chars, i + 1, width)) == letters),
         )
 
-    both = F.struct(F.split(text, "").alias("chars"), F.array_sort(F.split(pattern, "")).alias("letters"))
+    both = F.struct(F.split(text, "").alias("chars"), F.sort_array(F.split(pattern, "")).alias("letters"))
     starts = let(both, matches)
     return F.when((last >= 0) & (width > 0), starts).otherwise(F.array().cast("array<int>"))
 
@@ -194,7 +194,7 @@ def merge_sorted(frames: list[DataFrame], value: str, ties: list[str]) -> DataFr
 
 def merge_lists(lists: Column) -> Column:
     """Per-row form of TB-9 for an array of sorted arrays."""
-    return F.array_sort(F.flatten(lists))
+    return F.sort_array(F.flatten(lists))
 
 
 def second_highest(df: DataFrame, value: str, alias: str = "second_highest") -> DataFrame:

@@ -383,13 +383,13 @@ INSTRUCTION_TAIL = (
 def gather_hits(hits: DataFrame, query_id: str, rank: str = "rank") -> DataFrame:
     """One row per query with its hits in rank order. A group holds at most ``MAX_K`` chunks."""
     return hits.groupBy(query_id).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(rank).alias("rank"), "source", "text"))).alias("hits")
+        F.sort_array(F.collect_list(F.struct(F.col(rank).alias("rank"), "source", "text"))).alias("hits")
     )
 
 
 def attribution(hits: Column) -> Column:
     """Distinct sources of a hit list, sorted and joined (RET-9)."""
-    return F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["source"]))), ", ")
+    return F.array_join(F.sort_array(F.array_distinct(F.transform(hits, lambda h: h["source"]))), ", ")
 
 
 def context(hits: Column, numbered: bool = True) -> Column:

@@ -94,7 +94,7 @@ def document_tokens(spark, sf_dir):
         "doc_id",
         F.size("t").alias("n_tokens"),
         F.size(F.array_distinct("t")).alias("n_distinct"),
-        F.array_join(F.array_sort(F.array_distinct("t")), " ").alias("vocabulary"),
+        F.array_join(F.sort_array(F.array_distinct("t")), " ").alias("vocabulary"),
     )
 
 
@@ -155,7 +155,7 @@ def term_search(spark, sf_dir):
     best = R.top_k(counted, "source", ["w"], 5, score="n", rank="r")
     asked = best.groupBy(F.col("source").alias("query_id")).agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda s: s["w"]), " "
+            F.transform(F.sort_array(F.collect_list(F.struct("r", "w"))), lambda s: s["w"]), " "
         ).alias("query")
     )
     scored = R.keyword_matches(_chunks(spark, sf_dir), asked, ["doc_id", "chunk_no"], use_index=True)
@@ -180,7 +180,7 @@ def centroids(vectors: DataFrame) -> DataFrame:
         .agg(F.avg(F.col("x").cast("double")).alias("m"))
     )
     return parts.groupBy(F.col("label").alias("query_id")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("query_vec")
+        F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("query_vec")
     )
 
 

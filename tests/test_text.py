@@ -35,6 +35,12 @@ def test_sentences_and_paragraphs(spark):
     assert one(spark, T.paragraphs(F.col("t")), t="a\n\n\n b \n\n \n\nc") == ["a", "b", "c"]
 
 
+def test_collapse(spark):
+    odd = "  a b  c\n d\t\te\u00a0f \u2003g\x1ch \n"
+    assert one(spark, T.collapse(F.col("t")), t=odd) == "a b c d e f g h"
+    assert one(spark, T.sentences(F.col("t")), t=" \n ") == []
+
+
 def test_title_case(spark):
     assert one(spark, T.title_case(F.col("t")), t="c++-lang 3d o'neil") == "C++-Lang 3D O'Neil"
 
