@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,12 +30,15 @@ def local_session(cpus: int = 8, app: str = "lectern") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir`` when the cluster names one.
+    """Folder all executors can reach: ``spark.checkpoint.dir``, or else the context's checkpoint folder.
 
-    Only where it is unset (local runs and tests) is a local folder made and set.
+    Only a plain local master may go without: it gets a local folder. A cluster that names none is refused, since
+    each executor would write to its own disk.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
     return named

@@ -16,7 +16,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in TRAINED])
+@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in TRAINED and not re.match(r"op\d+_|pipeline$", n)])
 def test_no_cross_join_and_no_row_python(spark, sf, name):
     plan = plan_of(entry.queries()[name](spark, sf))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):

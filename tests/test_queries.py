@@ -1,11 +1,14 @@
 """Every registered query against its SQL, on whole tables."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
 from check import compare, connect
 
-NAMES = list(entry.queries())
+# The numbered operators and the pipeline have tests of their own.
+NAMES = [n for n in entry.queries() if not re.match(r"op\d+_|pipeline$", n)]
 
 
 @pytest.fixture(scope="module")
