@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +33,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = run_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to a few rows, so that only a few texts are Python strings at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def column(batch: pa.RecordBatch, name: str) -> list:
+    return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+def training_labels(labels: DataFrame, key: str, label: str, folds: int, most: int) -> DataFrame:
+    """At most about ``most`` labelled keys outside fold 0, as (``key``, ``label``): one row per key.
+
+    Above ``most`` rows a hash of the key picks them, so the pick depends on nothing else. Null keys and null labels
+    teach nothing; a key with several labels counts with its largest.
+    """
+    known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & (fold(F.col(key), folds) != 0))
+    known = known.groupBy(key).agg(F.max(F.col(label).cast("int")).alias(label))
+    total = known.count()
+    if total > most:
+        grain = 1 << 30
+        known = known.filter(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(grain)) < int(grain * most / total))
+    return known

@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import fingerprints, mixing, pii, secret_scan
+from lectern.llm import decontamination, fingerprints, jaccard, lm, mixing, pii, quality, secret_scan, suffixes, toxicity
 from lectern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": lambda spark, sf: jaccard.op1(table(spark, sf, "documents")),
     "op2_pii": lambda spark, sf: pii.op2(table(spark, sf, "documents")),
+    "op3_quality": lambda spark, sf: quality.op3(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op4_fingerprints": lambda spark, sf: fingerprints.op4(table(spark, sf, "documents")),
+    "op5_lm_score": lambda spark, sf: lm.op5(table(spark, sf, "documents")),
+    "op6_decontaminate": lambda spark, sf: decontamination.op6(
+        table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    ),
     "op7_mix_sources": lambda spark, sf: mixing.op7(table(spark, sf, "documents")),
+    "op8_remove_repeats": lambda spark, sf: suffixes.op8(table(spark, sf, "documents")),
+    "op9_toxicity": lambda spark, sf: toxicity.op9(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op10_secrets": lambda spark, sf: secret_scan.op10(table(spark, sf, "documents")),
 }
 
