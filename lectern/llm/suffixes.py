@@ -39,6 +39,8 @@ CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
 MAX_BUCKETS = 8192
 SEGMENT = 1 << 22
+#: Context bytes that are sorted at a time; the contexts of one anchor stay together.
+SORTED_BYTES = 1 << 20
 #: Cells that every string of LENGTH bytes holds whole, from its first cell border on.
 WHOLE = (LENGTH - CELL + 1) // CELL
 EDGE = LENGTH - WHOLE * CELL
@@ -222,8 +224,9 @@ def _opened(group: pa.Table) -> pa.Table:
         spans = zip(number[part].tolist(), start[part].tolist(), stop[part].tolist(), strict=True)
         body = b"".join(texts[n][a:z] for n, a, z in spans)
         arrays = [number[part], start[part], stop[part] - start[part], offset[part], mine[part] == OPEN]
+        arrays = [packed_sorted(grams[part]), *[packed(small(x)) for x in arrays]]
         packed_body = pa.compress(body, codec="zstd", asbytes=True)
-        rows.append((buckets[b], chunk, pickle.dumps((packed_body, len(body), [packed(x) for x in arrays]))))
+        rows.append((buckets[b], chunk, pickle.dumps((packed_body, len(body), arrays))))
     return pa.Table.from_batches(list(in_batches(rows)))
 
 
@@ -247,10 +250,11 @@ def repeated_starts(body: np.ndarray, sizes: np.ndarray, offsets: np.ndarray) ->
     base = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
     begin = offsets % CELL
     cells = (sizes - begin) // CELL
+    rows_of = np.lib.stride_tricks.sliding_window_view
     context = np.repeat(np.arange(len(sizes)), cells)
     within = np.arange(int(cells.sum())) - np.repeat(np.cumsum(cells) - cells, cells)
     border = begin[context] + within * CELL  # of each cell, in its context
-    symbol = _rank(body[(base[context] + border)[:, None] + np.arange(CELL)]) + 1
+    symbol = _rank(rows_of(body, CELL)[base[context] + border]) + 1
     # The sequence: the cells of a context, then a mark that no cell equals.
     spot = np.arange(len(symbol)) + context
     sequence = np.zeros(len(symbol) + len(sizes), np.int64)
@@ -280,13 +284,35 @@ def repeated_starts(body: np.ndarray, sizes: np.ndarray, offsets: np.ndarray) ->
         if not len(rows):
             continue
         first = base[context[rows]] + where
-        columns = np.concatenate([np.arange(back), np.arange(back + WHOLE * CELL, LENGTH)])
-        ends = _rank(body[first[:, None] + columns])
+        ends = [rows_of(body, n)[at] for n, at in ((back, first), (EDGE - back, first + back + WHOLE * CELL)) if n]
+        ends = _rank(np.concatenate(ends, axis=1))
         _, key, times = np.unique(of * (len(rows) + 1) + ends, return_inverse=True, return_counts=True)
         out[out_base[context[rows]] + where] |= times[key] > 1
     return out
 
 
+def _by_anchor(body: np.ndarray, grams: np.ndarray, sizes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """``repeated_starts`` for some anchors at a time: strings of different anchors are never equal."""
+    order = np.argsort(grams, kind="stable")
+    base = np.cumsum(sizes) - sizes
+    starts = sizes - LENGTH + 1
+    out_base = np.cumsum(starts) - starts
+    out = np.zeros(int(starts.sum()), bool)
+    new = np.flatnonzero(np.concatenate(([True], np.diff(grams[order]) > 0)))
+    reach = np.cumsum(sizes[order])
+    first = 0
+    for last in [*new[1:].tolist(), len(order)]:
+        if last < len(order) and reach[last - 1] - (reach[first - 1] if first else 0) < SORTED_BYTES:
+            continue
+        part = order[first:last]
+        data = np.concatenate([body[b : b + n] for b, n in zip(base[part].tolist(), sizes[part].tolist(), strict=True)])
+        found = repeated_starts(data, sizes[part], offsets[part])
+        at = np.repeat(out_base[part] - (np.cumsum(starts[part]) - starts[part]), starts[part]) + np.arange(len(found))
+        out[at] = found
+        first = last
+    return out
+
+
 def _compared(group: pa.Table) -> pa.Table:
     """Looks at the open contexts of a bucket and tells each chunk which strings of its own repeat."""
     if group["bucket"][0].as_py() < 0:
@@ -295,10 +321,10 @@ def _compared(group: pa.Table) -> pa.Table:
     for p in group["payload"]:
         body, size, arrays = pickle.loads(p.as_py())
         bodies.append(np.frombuffer(pa.decompress(body, decompressed_size=size, codec="zstd", asbytes=True), np.uint8))
-        parts.append([unpacked(x) for x in arrays])
-    number, start, sizes, offsets, is_open = (np.concatenate(x) for x in zip(*parts, strict=True))
-    body = np.concatenate(bodies)
-    repeats = repeated_starts(body, sizes, offsets)
+        parts.append([unpacked_sorted(arrays[0]), *[unpacked(x).astype(np.int64) for x in arrays[1:]]])
+    grams, number, start, sizes, offsets, is_open = (np.concatenate(x) for x in zip(*parts, strict=True))
+    is_open = is_open > 0
+    repeats = _by_anchor(np.concatenate(bodies), grams, sizes, offsets)
     counts = sizes - LENGTH + 1
     owner = np.repeat(np.arange(len(sizes)), counts)
     at = np.flatnonzero(repeats & is_open[owner])
