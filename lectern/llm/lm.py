@@ -32,6 +32,8 @@ BUCKET_BYTES = 8 << 20
 MAX_BUCKETS = 8192
 #: Bits of a bigram's hash that are kept; those of words are kept whole, since exact counts rest on them.
 BIGRAM_BITS = 48
+#: Bits of the words' hashes that bigram hashes are made from; a chunk carries just these along.
+WORD_BITS = 40
 LEVELS = 24  # context-frequency buckets: powers of two
 STEPS = 64  # sizes of an estimate told apart when tuning
 END = xxhash.xxh64_intdigest(b"")
@@ -79,12 +81,14 @@ class _Chunk:
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
         ids, hashes = place[np.concatenate(self.parts)], hashes[order]
+        self.ids, self.hashes, self.parts = {}, [], []
+        short = hashes >> np.uint64(64 - WORD_BITS)
         sizes = np.array([d[1] for d in self.docs])
         train = np.repeat([d[2] for d in self.docs], sizes)
         tune = np.repeat([d[3] for d in self.docs], sizes)
-        yield -1 - chunk, chunk, pickle.dumps((self.docs, int(place[0]), packed_sorted(hashes), packed(ids)))
+        yield -1 - chunk, chunk, pickle.dumps((self.docs, int(place[0]), packed_sorted(short), packed(ids)))
         found = [(hashes, 64, ids)]
-        _, pairs, at = _bigrams(ids, sizes, int(place[0]), hashes)
+        _, pairs, at = _bigrams(ids, sizes, int(place[0]), short)
         found.append((pairs, BIGRAM_BITS, at))
         cuts, counts = [], []
         for keys, bits, where in found:
@@ -111,8 +115,8 @@ def _bigrams(ids: np.ndarray, sizes: np.ndarray, end: int, hashes: np.ndarray):
     codes, at = np.unique(before * len(hashes) + ids, return_inverse=True)
     pairs = _bigram_hash(hashes[codes // len(hashes)], hashes[codes % len(hashes)])
     order = np.argsort(pairs, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
     return before, pairs[order], place[at]
 
 
