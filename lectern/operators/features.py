@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+from lectern.functions.numbers import number
 from lectern.operators import profiling as P
 from lectern.operators import quantiles as Q
 
-NUMBERS = (t.ByteType, t.ShortType, t.IntegerType, t.LongType, t.FloatType, t.DoubleType)
+NUMBERS = (t.ByteType, t.ShortType, t.IntegerType, t.LongType, t.FloatType, t.DoubleType, t.DecimalType)
 MAX_CLASSES_AS_LABELS = 10
 SPLIT_BUCKETS = 10_000
 # Category names are held by the driver and by every encoded vector's metadata.
@@ -70,7 +71,7 @@ class Preparation:
     def imputed(self, df: DataFrame) -> DataFrame:
         return df.withColumns(
             {
-                **{f"_n_{c}": F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])) for c in self.numeric},
+                **{f"_n_{c}": F.coalesce(number(F.col(c)), F.lit(self.medians[c])) for c in self.numeric},
                 **{f"_c_{c}": F.coalesce(F.col(c), F.lit(self.modes[c])) for c in self.categorical},
             }
         )

@@ -30,6 +30,7 @@ from lectern import fixed_values as V
 from lectern.functions.rounding import half_even, percent
 from lectern.operators import features as X
 from lectern.operators.nearest import nearest
+from lectern.operators.ranking import positions
 from lectern.operators.relational import class_metrics
 
 SEED = 42
@@ -246,7 +247,7 @@ def classification_metrics(predictions: DataFrame) -> DataFrame:
 
 
 def run_scores(run: ModelRun) -> DataFrame:
-    """One row per run: scores on both sides and the extra metric, rounded to four decimals."""
+    """One row per run: scores on both sides and the extra metric, as computed; ``explain`` rounds them."""
     spark = run.train.sparkSession
     if run.task == "regression":
         a, b = regression_metrics(run.train).first(), regression_metrics(run.test).first()
@@ -362,6 +363,22 @@ def narrative(
     )
 
 
+def explain(run: ModelRun) -> DataFrame:
+    """One row from run to report: scores to four decimals, the strongest features, health band and text (ML-19…24)."""
+    spark = run.train.sparkSession
+    scores = run_scores(run).first()
+    train, test, extra = (round(float(scores[c]), 4) for c in ("train_score", "test_score", "extra"))
+    top = [(r["feature"], r["importance"]) for r in importances(spark, run.model, run.preparation.names).collect()]
+    row = (run.name, run.task, scores["metric"], train, test, scores["extra_name"], extra, top)
+    one = spark.createDataFrame(
+        [row],
+        "model_name string, task string, metric string, train_score double, test_score double, extra_name string, "
+        "extra double, top array<struct<feature:string,importance:double>>",
+    )
+    told = narrative(*[F.col(c) for c in ("model_name", "task", "train_score", "test_score", "top", "metric")])
+    return one.withColumn("band", health_band(F.col("train_score"), F.col("test_score"))).withColumn("report", told)
+
+
 # -------------------------------------------------------------------------------- attribution
 
 
@@ -440,6 +457,10 @@ def row_attribution(
 
 
 def row_at(predictions: DataFrame, key: str, index: int) -> DataFrame:
-    """The row at a position of the test set in key order; an index past the end means the last row."""
-    head = predictions.orderBy(key).limit(index + 1)
-    return head.orderBy(F.desc(key)).limit(1)
+    """The row at a position of the test set in the order of a numeric key; an index past the end means the last row.
+
+    Positions are numbered bucket by bucket, so no task holds the rows before it.
+    """
+    placed = positions(predictions, [], key, "_at")
+    last = placed.agg(F.max("_at")).first()[0]
+    return placed.filter(F.col("_at") == min(index, last if last is not None else 0)).drop("_at")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 from pyspark.sql.pandas.types import to_arrow_type
@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 MAX_BLOCK_BYTES = 32 << 20
 TILE_ROWS = 2048
 TILE_QUERIES = 1024
+MAX_PIVOTS = 256
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -25,6 +26,22 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def usual_size(df: DataFrame, vec: str) -> int:
+    """The commonest length of the vectors, the longer of equals; 0 when there are none."""
+    sizes = df.filter(F.col(vec).isNotNull()).groupBy(F.size(vec).alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.orderBy(F.desc("n"), F.desc("d")).first()
+    return top["d"] if top else 0
+
+
+def usable(vec: Column, size: int) -> Column:
+    """Whether a vector has the length and nothing but finite numbers."""
+    def finite(x):
+        value = x.cast("double")
+        return x.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+
+    return F.coalesce((F.size(vec) == size) & F.forall(vec, finite), F.lit(False))
+
+
 def best_rows(score: np.ndarray, k: int | None, threshold: float | None) -> np.ndarray:
     """Mask of rows (axis 0, in tie order) above the threshold and among the best k per column."""
     keep = np.ones(score.shape, dtype=bool) if threshold is None else score > threshold
@@ -52,8 +69,10 @@ def nearest(
 
     ``keep[0]`` identifies a corpus row and breaks ties. Cosine is 0 when a norm is 0; for Euclidean the score
     is the negative distance. Query vectors proven to fit ``MAX_BLOCK_BYTES`` are broadcast and the corpus is
-    scored where it is read. More of them meet the corpus block by block in a shuffle. Either way a block gives
-    up at most ``k`` rows per query, copies included, so nothing like all pairs is ever written.
+    scored where it is read. More of them meet the corpus block by block in a shuffle, for the k nearest by distance
+    only in those cells around pivots that can hold one of them. Either way a block gives
+    up at most ``k`` rows per query, copies included; without ``k`` every pair above the threshold is written.
+    Vectors that are null, hold a null or NaN, or differ from the usual length of the queries score nothing.
     """
     id_type = queries.schema[query_id].dataType
     schema = t.StructType(
@@ -61,15 +80,18 @@ def nearest(
         + [corpus.schema[c] for c in keep]
         + [t.StructField("score", t.DoubleType())]
     )
+    width = usual_size(queries, query_vec)
     asked = queries.select(
         F.col(query_id).alias("_query"), F.col(query_vec).cast("array<double>").alias("_asked")
-    ).filter(F.col("_asked").isNotNull())
-    slim = corpus.select(*keep, F.col(vec).cast("array<double>").alias("_vec")).filter(F.col("_vec").isNotNull())
+    ).filter(usable(F.col("_asked"), width))
+    slim = corpus.select(*keep, F.col(vec).cast("array<double>").alias("_vec")).filter(usable(F.col("_vec"), width))
     size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_asked")).alias("d")).first()
     if not size["n"]:
         return corpus.sparkSession.createDataFrame([], schema)
     per_block = max(1, MAX_BLOCK_BYTES // (8 * max(1, size["d"])))
     score = _scorer(query_id, keep, metric, k, threshold, digits)
+    if size["n"] > per_block and metric == "euclidean" and k is not None:
+        return _by_cells(slim, asked, keep[0], k, per_block, score, schema)
     if size["n"] > per_block:
         return _by_blocks(slim, asked, keep[0], size["n"], per_block, score, schema)
     shared = corpus.sparkSession.sparkContext.broadcast(asked.toArrow())
@@ -81,6 +103,84 @@ def nearest(
     return slim.mapInArrow(scan, schema)
 
 
+def _pivot_distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    squared = (vectors**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2.0 * (vectors @ pivots.T)
+    return np.sqrt(np.maximum(squared, 0.0))
+
+
+def reachable_cells(distances: np.ndarray, radii: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    """Which cells can hold one of the k nearest rows, for queries with these distances to the pivots.
+
+    The cells that are surely reached within some distance hold k rows, so the k-th neighbour is no farther; by the
+    triangle inequality a cell whose pivot is farther than that plus its radius holds none of them.
+    """
+    reach = distances + radii
+    order = np.argsort(reach, axis=1)
+    enough = np.cumsum(counts[order], axis=1) >= k
+    at = np.where(enough.any(axis=1), enough.argmax(axis=1), counts.size - 1)
+    bound = np.take_along_axis(reach, order, axis=1)[np.arange(len(reach)), at]
+    slack = 1e-6 * (1.0 + bound)  # rounding of distances must not lose a neighbour
+    return (distances - radii <= (bound + slack)[:, None]) & (counts > 0)
+
+
+def _by_cells(slim, asked, key, k, per_block, score, schema, most: int = MAX_PIVOTS) -> DataFrame:
+    """Corpus rows in cells around pivots; a query meets only the cells that ``reachable_cells`` leaves.
+
+    The pivots are rows drawn by hash. The driver holds the pivots and one radius and count per cell: at most
+    ``most`` rows. Cells and their queries are cut into blocks by hash, so a cell of copies spreads out.
+    """
+    drawn = slim.orderBy(F.xxhash64(key, F.lit(3)), key).select("_vec").limit(most).collect()
+    if not drawn:
+        return slim.sparkSession.createDataFrame([], schema)
+    pivots = np.array([r["_vec"] for r in drawn])
+
+    def place(batches):
+        for batch in batches:
+            d = _pivot_distances(_matrix(batch.column(batch.schema.get_field_index("_vec"))), pivots)
+            cell = d.argmin(axis=1) if len(d) else np.zeros(0, np.int64)
+            far = d[np.arange(len(d)), cell] if len(d) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far)], [*batch.schema.names, "_cell", "_far"]
+            )
+
+    placed_schema = t.StructType([*slim.schema.fields]).add("_cell", t.IntegerType()).add("_far", t.DoubleType())
+    placed = slim.mapInArrow(place, placed_schema)
+    stats = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_far").alias("r")).collect()
+    counts, radii = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+    for row in stats:
+        counts[row["_cell"]], radii[row["_cell"]] = row["n"], row["r"]
+
+    def route(batches):
+        for batch in batches:
+            d = _pivot_distances(_matrix(batch.column(batch.schema.get_field_index("_asked"))), pivots)
+            rows, cells = np.nonzero(reachable_cells(d, radii, counts, k)) if len(d) else (np.zeros(0, int),) * 2
+            picked = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(cells.astype(np.int32))], [*batch.schema.names, "_cell"])
+
+    routed = asked.mapInArrow(route, t.StructType([*asked.schema.fields]).add("_cell", t.IntegerType()))
+    wanted = dict(routed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect())
+    blocks = F.array(*[F.lit(int(max(1, -(-int(n) // (4 * per_block))))) for n in counts])
+    shares = F.array(*[F.lit(int(max(1, -(-wanted.get(c, 0) // per_block)))) for c in range(len(counts))])
+    left = routed.withColumn("_q", F.pmod(F.xxhash64("_query"), F.get(shares, "_cell")).cast("int")).withColumn(
+        "_c", F.explode(F.sequence(F.lit(0), F.get(blocks, "_cell") - 1))
+    )
+    right = placed.drop("_far").withColumn("_c", F.pmod(F.xxhash64(key), F.get(blocks, "_cell")).cast("int")).withColumn(
+        "_q", F.explode(F.sequence(F.lit(0), F.get(shares, "_cell") - 1))
+    )
+    return _meeting(left, right, ["_cell", "_q", "_c"], score, schema)
+
+
+def _meeting(left, right, keys, score, schema) -> DataFrame:
+    def meet(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        target = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
+        if not queries.num_rows or not rows.num_rows:
+            return target.empty_table()
+        found = list(score(rows.combine_chunks().to_batches()[0], queries))
+        return pa.Table.from_batches(found).cast(target)
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)
+
+
 def _by_blocks(slim, asked, key, n_asked, per_block, score, schema) -> DataFrame:
     """Both sides hashed into blocks of bounded size; every pair of blocks meets in one task.
 
@@ -96,14 +196,7 @@ def _by_blocks(slim, asked, key, n_asked, per_block, score, schema) -> DataFrame
         "_q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
     )
 
-    def meet(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        target = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
-        if not queries.num_rows or not rows.num_rows:
-            return target.empty_table()
-        found = list(score(rows.combine_chunks().to_batches()[0], queries))
-        return pa.Table.from_batches(found).cast(target)
-
-    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(meet, schema)
+    return _meeting(left, right, ["_q", "_c"], score, schema)
 
 
 def _scorer(query_id, keep, metric, k, threshold, digits):

@@ -11,11 +11,17 @@ from lectern import fixed_values as V
 from lectern.functions import text as T
 from lectern.functions.binding import let, once
 from lectern.functions.bounded import broadcast_if_small
+from lectern.functions.joins import left_join_known
 from lectern.operators.ranking import positions
 from lectern.operators.retrieval import match_source
+from lectern.session import cut
 
 WEEKS = 4
+# Subtopics up to which a plan travels inside the query; a larger store is joined.
 MAX_PLAN = 500
+SKILLS_AT_ONCE = 256
+STEP = 10_000
+NUMBER = "decimal(38,0)"
 
 # Patterns of week headings, numbered lines and title terms.
 WEEK_HEADING = rf"(?iU)Week{T.BLANK}+(\d+|[IVXLCDM]+){T.BLANK}*[:\-]?{T.BLANK}*([^\n]+)"
@@ -206,10 +212,15 @@ def drop_known(path: Column, skills: Column) -> Column:
 # -------------------------------------------------------------------------------- week sections
 
 
+def written_number(digits: Column) -> Column:
+    """A number of up to 38 digits as it stands; null for a longer one and for anything else."""
+    return F.when(digits.rlike(r"^[0-9]{1,38}$"), digits).try_cast(NUMBER)
+
+
 def week_sections(c: Column) -> Column:
     """Array of ``week, topic, content`` for every week heading (LP-7).
 
-    The number is taken as written; a roman numeral, or a word starting with such letters, becomes the
+    The number is taken as written, up to 38 digits; a longer one, a roman numeral, or a word starting with such letters, becomes the
     heading's position.
     """
     parts = F.arrays_zip(
@@ -219,9 +230,8 @@ def week_sections(c: Column) -> Column:
     )
 
     def section(p: Column, i: Column) -> Column:
-        written = F.try_to_number(F.substring(p["number"], 1, 9), F.lit("999999999")).cast("int")
         return F.struct(
-            F.coalesce(written, i + 1).alias("week"),
+            F.coalesce(written_number(p["number"]), (i + 1).cast(NUMBER)).alias("week"),
             T.strip(p["title"]).alias("topic"),
             T.strip(p["body"]).alias("content"),
         )
@@ -245,11 +255,13 @@ def section_subtopics(content: Column) -> Column:
         heading = F.concat(number, F.lit(". "), title)
         at = F.instr(content, heading)
         rest = F.substr(content, at + F.length(heading), F.length(content))
-        following = (number.cast("decimal(38,0)") + 1).cast("string")
+        following = F.try_add(written_number(number), F.lit(1).cast(NUMBER)).cast("string")
         stop = F.concat(F.lit(rf"(?mdU)^{T.BLANK}*"), following, F.lit(rf"\.{T.BLANK}*"))
+        # No line follows a number that is too long to count on from.
+        body = F.when(following.isNull(), rest).otherwise(F.get(F.split(rest, stop, 2), F.lit(0)))
         return F.struct(
             T.strip(title).alias("name"),
-            T.clip(T.collapse(F.get(F.split(rest, stop, 2), F.lit(0))), 180).alias("details"),
+            T.clip(T.collapse(body), 180).alias("details"),
             F.array(F.lower(T.strip(title))).alias("tags"),
             (at > 0).alias("found"),
         )
@@ -285,7 +297,7 @@ def flatten_subtopics(weeks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def default_subtopics(spark) -> DataFrame:
-    rows = [(w, i, n, d, g) for i, (w, _t, n, d, g) in enumerate(V.DEFAULT_SUBTOPICS)]
+    rows = [(w, i, n, d, g) for i, (w, n, d, g) in enumerate(V.DEFAULT_SUBTOPICS)]
     return spark.createDataFrame(
         rows, "week_pos int, sub_pos int, name string, details string, tags array<string>"
     )
@@ -338,10 +350,10 @@ def assign_weeks(
     return placed.withColumn("week", (F.col("position") % WEEKS).cast("int") + 1)
 
 
-def bounded_plan(subtopics: DataFrame, order: list[str]) -> Column | None:
-    """A plan proven to hold at most ``MAX_PLAN`` subtopics as an array literal, else None."""
-    rows = subtopics.orderBy(*order).select("name", "details", "tags").limit(MAX_PLAN + 1).collect()
-    return plan_literal([tuple(r) for r in rows]) if len(rows) <= MAX_PLAN else None
+def bounded_plan(subtopics: DataFrame, order: list[str], max_plan: int = MAX_PLAN) -> Column | None:
+    """A plan proven to hold at most ``max_plan`` subtopics as an array literal, else None."""
+    rows = subtopics.orderBy(*order).select("name", "details", "tags").limit(max_plan + 1).collect()
+    return plan_literal([tuple(r) for r in rows]) if len(rows) <= max_plan else None
 
 
 def plan_literal(rows: list[tuple]) -> Column:
@@ -356,6 +368,65 @@ def plan_literal(rows: list[tuple]) -> Column:
     return F.array(*[subtopic(*r) for r in rows])
 
 
+def skill_set(skills: Column) -> Column:
+    """The non-blank skills, sorted and without repeats: requests with equal sets get equal plans."""
+    known = F.filter(F.coalesce(skills, F.array().cast("array<string>")), lambda s: s.isNotNull() & (s != ""))
+    return F.array_sort(F.array_distinct(known))
+
+
+def weekly_plans(sets: DataFrame, subtopics: DataFrame, order: list[str], **cuts) -> DataFrame:
+    """``skills, path`` for distinct skill sets against a store of any size (LP-12…15).
+
+    The subtopics are numbered once and tested against the distinct skills where they are read, some skills at a
+    time. What a set knows is taken out of its copy of the plan, the rest is numbered anew bucket by bucket and rolled
+    up per week. A path holds the names of all that is left, so a set's result is as large as the store; nothing
+    else is. A set that knows everything has the finished plan.
+    """
+    spark = subtopics.sparkSession
+    ordered = subtopics.select(*order, "name", "details", "tags").orderBy(*order)
+    ordered = cut(ordered.select(F.monotonically_increasing_id().alias("_id"), "name", "details", "tags"))
+    numbered = cut(positions(ordered, [], "_id", "_at", **cuts).drop("_id"))
+    total = numbered.count()
+    skills = [r[0] for r in sets.select(F.explode("skills").alias("s")).distinct().orderBy("s").toLocalIterator()]
+    texts = searched(F.col("name"), F.col("details"), F.col("tags"))
+    known = spark.createDataFrame([], "_at bigint, _skill string")
+    for start in range(0, len(skills), SKILLS_AT_ONCE):
+        found = _found_in(texts, skills[start : start + SKILLS_AT_ONCE])
+        known = known.union(numbered.select("_at", F.explode(once(found)).alias("_skill")))
+    asked = sets.select(F.to_json("skills").alias("_set"), "skills")
+    dropped = asked.select("_set", F.explode("skills").alias("_skill")).join(known, "_skill").select("_set", "_at").distinct()
+    lows = F.sequence(F.lit(0), F.lit(max(total - 1, 0)), F.lit(STEP))
+    steps = asked.select("_set", F.explode(once(lows)).alias("_low")) if total else asked.select("_set", F.lit(0).alias("_low")).limit(0)
+    whole = steps.select(
+        "_set", F.explode(once(F.sequence(F.col("_low"), F.least(F.col("_low") + STEP, F.lit(total)) - 1))).alias("_at")
+    ).withColumn("_at", F.col("_at").cast("bigint"))
+    left = whole.join(dropped, ["_set", "_at"], "left_anti").join(numbered.select("_at", "name", "details"), "_at")
+    placed = positions(left, ["_set"], "_at", **cuts)
+    weekly = placed.groupBy("_set", (F.col("position") % WEEKS).cast("int").alias("week")).agg(
+        F.array_sort(F.collect_list(F.struct("position", "name", "details"))).alias("own")
+    )
+    lines = F.array_join(F.transform("own", lambda s: F.concat(s["name"], F.lit(": "), s["details"])), "; ")
+    names = T.clip(F.array_join(F.transform("own", lambda s: s["name"]), " & "), 65)
+    weekly = weekly.select("_set", "week", names.alias("topic"), lines.alias("details"))
+    by_set = weekly.groupBy("_set").agg(
+        *[
+            F.max(F.when(F.col("week") == w, F.struct("topic", "details"))).alias(f"_w{w}") for w in range(WEEKS)
+        ]
+    )
+    joined = asked.join(by_set, "_set", "left")
+    found = [F.col(f"_w{w}") for w in range(WEEKS)]
+    path = F.when(F.coalesce(*found).isNull(), finished_plan()).otherwise(
+        F.array(*[_plan_week(w, c.isNotNull(), c["topic"], c["details"]) for w, c in enumerate(found)])
+    )
+    return joined.select("skills", path.alias("path"))
+
+
+def _found_in(texts: Column, skills: list[str]) -> Column:
+    """The skills that are inside one of the texts."""
+    asked = F.array(*[F.lit(s) for s in skills])
+    return let(texts, lambda known: F.filter(asked, lambda s: F.exists(known, lambda x: F.contains(x, s))))
+
+
 def unknown_subtopics(plan: Column, skills: Column) -> Column:
     """Subtopics of a plan that mention none of the skills, in plan order (LP-12)."""
     return let(skills, lambda known: F.filter(plan, lambda s: ~mentions(s["texts"], known)))
@@ -369,23 +440,30 @@ def weekly_plan(left: Column) -> Column:
 
     def week(w: int) -> Column:
         own = F.filter(left, lambda _s, i: i % WEEKS == w)
-        filler, about = V.FILLER_WEEKS[w % len(V.FILLER_WEEKS)]
         names = F.array_join(F.transform(own, lambda s: s["name"]), " & ")
         lines = F.array_join(F.transform(own, lambda s: F.concat(s["name"], F.lit(": "), s["details"])), "; ")
-        has = F.size(own) > 0
-        return F.struct(
-            F.lit(w + 1).alias("week"),
-            F.when(has, T.clip(names, 65)).otherwise(F.lit(filler)).alias("topic"),
-            F.when(has, lines).otherwise(F.lit(f"{filler}: {about}")).alias("details"),
-        )
+        return _plan_week(w, F.size(own) > 0, T.clip(names, 65), lines)
 
-    finished = F.array(
+    return F.when(F.size(left) == 0, finished_plan()).otherwise(F.array(*[week(w) for w in range(WEEKS)]))
+
+
+def _plan_week(w: int, has: Column, topic: Column, details: Column) -> Column:
+    """One week of a plan, or its filler where nothing falls on it (LP-15)."""
+    filler, about = V.FILLER_WEEKS[w % len(V.FILLER_WEEKS)]
+    return F.struct(
+        F.lit(w + 1).alias("week"),
+        F.when(has, topic).otherwise(F.lit(filler)).alias("topic"),
+        F.when(has, details).otherwise(F.lit(f"{filler}: {about}")).alias("details"),
+    )
+
+
+def finished_plan() -> Column:
+    return F.array(
         *[
             F.struct(F.lit(i + 1).alias("week"), F.lit(a).alias("topic"), F.lit(b).alias("details"))
             for i, (a, b) in enumerate(V.FINISHED_PLAN)
         ]
     )
-    return F.when(F.size(left) == 0, finished).otherwise(F.array(*[week(w) for w in range(WEEKS)]))
 
 
 def track_path(track: Column) -> Column:
@@ -395,7 +473,7 @@ def track_path(track: Column) -> Column:
         weeks = F.array(
             *[
                 F.struct(F.lit(w).alias("week"), F.lit(topic).alias("topic"), F.lit(details).alias("details"))
-                for n, w, topic, details, _s in V.TRACK_WEEKS
+                for n, w, topic, details in V.TRACK_WEEKS
                 if n == name
             ]
         )
@@ -403,12 +481,6 @@ def track_path(track: Column) -> Column:
     return out
 
 
-def track_subtopics(spark) -> DataFrame:
-    return spark.createDataFrame(
-        V.TRACK_WEEKS, "track string, week int, topic string, details string, subtopics array<string>"
-    )
-
-
 def skill_paths(requests: DataFrame, plan: Column, entry: str = "skills", weeks: str | None = None) -> DataFrame:
     """Adds ``track`` and ``path`` to requests without a course source (LP-1, 2, 12…16)."""
     listed = requests.withColumn("_skills", entered_skills(F.col(entry)))
@@ -422,21 +494,23 @@ def skill_paths(requests: DataFrame, plan: Column, entry: str = "skills", weeks:
 
 
 def learning_paths(
-    requests: DataFrame, documents: DataFrame, plan: Column | None = None, skills: str = "skills", wanted: str = "course_source"
+    requests: DataFrame, documents: DataFrame | None, subtopics: DataFrame | None = None, skills: str = "skills",
+    wanted: str = "course_source", max_plan: int = MAX_PLAN, order: tuple[str, ...] = ("source", "week_pos", "sub_pos"),
 ) -> DataFrame:
     """The whole path service: adds ``path_source, path, error`` to every request (LP-2, 5, 6, 10, 12…15, RET-12).
 
     Ready-made tracks come first, then the asked course, then the subtopics of the store (or the built-in ones).
     A course path is made once per course that is asked for and joined to the requests, not made per request.
-    ``plan`` is the store's subtopics as an array; for a store beyond ``MAX_PLAN`` subtopics use ``assign_weeks``.
+    ``subtopics`` (``order``, name, details, tags) replaces those of the documents. A store of at most ``max_plan``
+    subtopics travels in the plan; beyond that a path is made per distinct skill set. Both give the same rows.
     """
-    if plan is None:
+    if subtopics is None:
         weeks = store_weeks(documents.select("source", "text"), ["source"])
         subtopics = plan_or_default(flatten_subtopics(weeks, ["source"]))
-        plan = bounded_plan(subtopics, ["source", "week_pos", "sub_pos"])
-        if plan is None:
-            raise ValueError(f"the store holds more than {MAX_PLAN} subtopics: use assign_weeks")
-    staged = requests.withColumn("_skills", normal_skills(F.col(skills))).withColumn("_track", track_key(F.col(skills)))
+    plan = bounded_plan(subtopics, list(order), max_plan)
+    # A request without skills knows nothing; a null among them is no skill.
+    entered = F.filter(F.coalesce(F.col(skills), F.array().cast("array<string>")), lambda s: s.isNotNull())
+    staged = requests.withColumn("_skills", normal_skills(entered)).withColumn("_track", track_key(F.col(skills)))
     named = staged.withColumn(
         "_name", F.when(F.col("_track").isNull() & (F.coalesce(F.col(wanted), F.lit("")) != ""), F.lower(T.strip(F.col(wanted))))
     )
@@ -444,15 +518,24 @@ def learning_paths(
     courses = match_source(asked, documents, "_asked").filter(F.coalesce("matched_text", F.lit("")) != "")
     made = course_path_array(courses, "matched_source", "matched_text", "_course")
     known = broadcast_if_small(made.select(F.col("_asked").alias("_name"), "matched_source", "_course"))
-    joined = named.join(known, "_name", "left").withColumn("_left", unknown_subtopics(plan, F.col("_skills")))
+    joined = left_join_known(named, known, "_name")
     course = F.col("_course").isNotNull()
     missing = F.col("_name").isNotNull() & ~course
+    if plan is not None:
+        general = weekly_plan(unknown_subtopics(plan, F.col("_skills")))
+    else:
+        plain = F.col("_track").isNull() & ~course & ~missing
+        joined = joined.withColumn("_set", F.when(plain, F.to_json(skill_set(F.col("_skills")))))
+        sets = joined.filter(plain).select(skill_set(F.col("_skills")).alias("skills")).distinct()
+        plans = weekly_plans(sets, subtopics, list(order))
+        joined = left_join_known(joined, plans.select(F.to_json("skills").alias("_set"), F.col("path").alias("_plan")), "_set")
+        general = F.col("_plan")
     return joined.select(
         *requests.columns,
         F.coalesce("_track", "matched_source").alias("path_source"),
         F.when(F.col("_track").isNotNull(), track_path(F.col("_track")))
         .when(course, drop_known(F.col("_course"), F.col("_skills")))
-        .when(~missing, weekly_plan(F.col("_left")))
+        .when(~missing, general)
         .alias("path"),
         F.when(missing, F.lit("Selected course source was not found in the knowledge base.")).alias("error"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from lectern.functions.bounded import broadcast_if_small
+from lectern.functions.numbers import number
 from lectern.functions.rounding import fixed
 from lectern.operators import quantiles as Q
 
@@ -43,9 +44,9 @@ def chart_data(df: DataFrame, x: str, y: str, chart: str) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Mean, min, max and sample deviation, nulls skipped, all columns in one pass (VIZ-6)."""
+    """Mean, min, max and sample deviation, nulls and NaNs skipped, all columns in one pass (VIZ-6)."""
     stats = {"mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp}
-    one = df.agg(*[fn(F.col(c).cast("double")).alias(f"{c}__{s}") for c in columns for s, fn in stats.items()])
+    one = df.agg(*[fn(number(F.col(c))).alias(f"{c}__{s}") for c in columns for s, fn in stats.items()])
     rows = F.array(
         *[F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{s}").alias(s) for s in stats]) for c in columns]
     )
@@ -114,7 +115,7 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
         F.struct(F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "correlation"),
     )
     off = upper.select(F.explode(both).alias("_r")).select("_r.*")
-    present = df.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in columns])
+    present = df.agg(*[F.stddev_pop(number(F.col(c))).alias(c) for c in columns])
     diagonal = F.array(
         *[
             F.struct(
@@ -147,7 +148,7 @@ def box_summary(df: DataFrame, group: str, value: str) -> DataFrame:
 def histogram(df: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
     """Equal-width bins per numeric column (VIZ-11): ``column``, ``bin`` (1…bins), edges, ``n``.
 
-    The top edge belongs to the last bin; a constant column has one bin.
+    The top edge belongs to the last bin; a constant column has one bin; nulls and NaNs are in none.
     """
     long = Q.unpivot(df, columns).filter(F.col("value").isNotNull())
     edges = broadcast_if_small(long.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi")))
@@ -164,13 +165,41 @@ def histogram(df: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
     )
 
 
+def scatter_grid(df: DataFrame, columns: list[str], bins: int = 50) -> DataFrame:
+    """Counts on a grid of ``bins`` by ``bins`` cells for every column pair: the scatter plots of tables of any size.
+
+    ``x_column, y_column, x_bin, y_bin, n`` (VIZ-5, VIZ-12); bins as in ``histogram``, numbered from 1. At most
+    ``bins`` squared rows per pair come out. A row with a null or NaN in a pair is left out of that pair.
+    """
+    values = {c: number(F.col(c)) for c in columns}
+    edges = df.agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(values.values()) for n, f in (("lo", F.min), ("hi", F.max))])
+    row = edges.first()
+
+    def bin_of(i: int, value: Column) -> Column:
+        lo, hi = row[f"lo{i}"], row[f"hi{i}"]
+        if lo is None or lo == hi:
+            return F.when(value.isNotNull(), 1)
+        width = (F.lit(hi) - F.lit(lo)) / bins
+        return F.least(F.floor((value - F.lit(lo)) / width).cast("int") + 1, F.lit(bins))
+
+    binned = {c: bin_of(i, v) for i, (c, v) in enumerate(values.items())}
+    cells = F.array(
+        *[
+            F.struct(F.lit(a).alias("x_column"), F.lit(b).alias("y_column"), binned[a].alias("x_bin"), binned[b].alias("y_bin"))
+            for a, b in combinations(columns, 2)
+        ]
+    )
+    long = df.select(F.explode(cells).alias("_c")).select("_c.*").filter("x_bin is not null and y_bin is not null")
+    return long.groupBy("x_column", "y_column", "x_bin", "y_bin").agg(F.count(F.lit(1)).alias("n"))
+
+
 def scatter_matrix(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     """Long table of (x, y) points for every column pair (VIZ-12); rows with a null in the pair are left out."""
     points = F.array(
         *[
             F.struct(
                 F.lit(a).alias("x_column"), F.lit(b).alias("y_column"),
-                F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"),
+                number(F.col(a)).alias("x"), number(F.col(b)).alias("y"),
             )
             for a, b in combinations(columns, 2)
         ]

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.bounded import broadcast_if_small
+from lectern.functions.numbers import number
 
 ACCURACY = 10_000
+FINE_ACCURACY = 200_000
 
 
 def exact_quantiles(
@@ -19,7 +21,10 @@ def exact_quantiles(
     One more pass counts what lies below each bracket and keeps the distinct values inside it, so the
     ordered step sees a thin slice of a large group (or all of one with at most ``accuracy`` rows).
     """
-    values = df.select(*groups, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    if not groups:
+        one = exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, accuracy)
+        return one.drop("_all")
+    values = df.select(*groups, number(F.col(value)).alias("_v")).filter(F.col("_v").isNotNull())
     slack = 3.0 / accuracy
     edges = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
     sketch = values.groupBy(*groups).agg(
@@ -74,10 +79,9 @@ def exact_quantiles(
 
 
 def unpivot(df: DataFrame, columns: list[str], keep: list[str] | None = None, dtype: str = "double") -> DataFrame:
-    """Long form: ``keep``, ``column``, ``value``."""
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(c).cast(dtype).alias("value")) for c in columns]
-    )
+    """Long form: ``keep``, ``column``, ``value``; a NaN among doubles is null."""
+    values = {c: number(F.col(c)) if dtype == "double" else F.col(c).cast(dtype) for c in columns}
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in values.items()])
     return df.select(*(keep or []), F.explode(pairs).alias("_p")).select(
         *(keep or []), F.col("_p.column").alias("column"), F.col("_p.value").alias("value")
     )
@@ -85,5 +89,6 @@ def unpivot(df: DataFrame, columns: list[str], keep: list[str] | None = None, dt
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Exact median per column as fitted scalars (one row per column reaches the driver)."""
-    found = exact_quantiles(unpivot(df, columns), ["column"], "value", [0.5])
+    # A handful of groups: a finer sketch keeps the slice that one task orders to some millionths of the rows.
+    found = exact_quantiles(unpivot(df, columns), ["column"], "value", [0.5], FINE_ACCURACY)
     return {r["column"]: r["quantile"] for r in found.collect()}

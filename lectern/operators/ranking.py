@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.bounded import broadcast_if_small
+from lectern.functions import ranges
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 10_000
 
 
 def positions(
@@ -19,28 +17,25 @@ def positions(
     position: str = "position",
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Adds the 0-based position of each row in its group, ordered by the unique numeric key ``order``.
+    """Adds the 0-based position of each row in its group, ordered by the numeric key ``order``, null keys first.
 
-    The key range is cut at approximate quantiles into buckets of bounded size. Rows are numbered inside
-    (group, bucket) and shifted by the group's row count in the buckets before.
+    The key range is cut at approximate quantiles into buckets of about ``rows_per_bucket`` rows. Rows are numbered
+    inside (group, bucket) and shifted by the group's row count in the buckets before. Rows of equal keys share a
+    bucket; their order among themselves is not fixed. Null groups are groups.
     """
+    kind = df.schema[order].dataType.simpleString()
     size = df.agg(F.count(F.lit(1))).first()[0]
-    n_buckets = min(MAX_BUCKETS, -(-size // rows_per_bucket))
-    if n_buckets <= 1:
-        w = Window.partitionBy(*groups).orderBy(order)
-        return df.withColumn(position, F.row_number().over(w).cast("bigint") - 1)
-    steps = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), steps, 100_000)).first()[0]
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket").transform(
-        df.withColumn("_key", F.col(order).cast("double"))
-    )
-    counts = bucketed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(*groups, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(order)
-    return (
-        bucketed.join(broadcast_if_small(shifts, 100_000), [*groups, "_bucket"])
-        .withColumn(position, F.row_number().over(inside) - 1 + F.col("_shift"))
-        .drop("_key", "_bucket", "_shift")
-    )
+    cuts = ranges.cut_points(df, F.col(order), -(-size // rows_per_bucket))
+    bucketed = df.withColumn("_bucket", ranges.range_of(F.col(order), cuts, kind))
+    inside = Window.partitionBy(*groups, "_bucket").orderBy(F.col(order).asc_nulls_first())
+    numbered = bucketed.withColumn("_row", F.row_number().over(inside) - 1)
+    own = [F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)]
+    counts = bucketed.groupBy(*own, F.col("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*[f"_g{i}" for i in range(len(groups))]).orderBy("_b")
+    earlier = F.sum("_rows").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    shifts = counts.withColumn("_shift", F.coalesce(earlier, F.lit(0))).drop("_rows")
+    same = F.col("_bucket") == F.col("_b")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    placed = numbered.join(shifts, same).withColumn(position, (F.col("_row") + F.col("_shift")).cast("bigint"))
+    return placed.select(*df.columns, position)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.binding import let
+from lectern.functions.numbers import number
 from lectern.operators import quantiles as Q
 
 # Column pairs up to which correlations are plain aggregates.
@@ -54,14 +55,14 @@ def active_users(df: DataFrame, user: str, ts: str, days: int = 3) -> DataFrame:
 
 
 def impute_median(df: DataFrame, column: str) -> DataFrame:
-    """Nulls of a column replaced by its exact median (TB-4)."""
+    """Nulls and NaNs of a column replaced by the exact median of the others (TB-4)."""
     fitted = Q.medians(df, [column])
     return df.fillna({column: fitted[column]}) if column in fitted else df
 
 
 def pearson(a: Column, b: Column) -> Column:
-    """Correlation aggregate that is NULL for a constant column, where ``corr`` divides by zero."""
-    a, b = a.cast("double"), b.cast("double")
+    """Correlation aggregate that is NULL for a constant column, where ``corr`` divides by zero; NaN is missing."""
+    a, b = number(a), number(b)
     spreads = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
     return F.try_divide(F.covar_pop(a, b), spreads)
 
@@ -89,7 +90,7 @@ def _wide_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
     A task sends one array of fixed size (five numbers per pair) however many rows it holds.
     """
-    wide = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    wide = df.select(*[number(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
     row = wide.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(len(columns))]).first()
     means = np.array([m if m is not None else 0.0 for m in row])
     upper = np.triu_indices(len(columns), 1)
@@ -185,7 +186,7 @@ def anagram_starts(text: Column, pattern: Column) -> Column:
 
 
 def merge_sorted(frames: list[DataFrame], value: str, ties: list[str]) -> DataFrame:
-    """One ascending set of k sorted sets, duplicates kept (TB-9).
+    """One ascending set of k sorted sets, duplicates kept (TB-9). Sets that lie in one table are given as one frame.
 
     The range sort takes the tie columns as well, so a value held by many rows is split over tasks.
     """

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -9,7 +12,8 @@ from pyspark.sql import types as t
 from lectern.functions import text as T
 from lectern.functions.binding import let, once
 from lectern.functions.bounded import as_broadcast, broadcast_if_small
-from lectern.operators.nearest import nearest
+from lectern.functions.joins import left_join_known
+from lectern.operators.nearest import nearest, usable, usual_size
 from lectern.session import cut
 
 # Score threshold, bonus per matching query token, default and largest k, chat k.
@@ -58,7 +62,7 @@ def keyword_score(query: Column, chunk: Column) -> Column:
 def _bounded_batch(queries: DataFrame, query_id: str, text: str) -> list | None:
     """The query batch as rows when its size is proven small, else None."""
     # One token more than the limit is enough to see that a query is too long.
-    some = F.slice(T.distinct_tokens(F.col(text)), 1, MAX_BATCH_TOKENS + 1)
+    some = F.slice(T.distinct_tokens(F.coalesce(F.col(text), F.lit(""))), 1, MAX_BATCH_TOKENS + 1)
     rows = (
         queries.select(F.col(query_id).alias("id"), some.alias("tokens"))
         .limit(MAX_BATCH_QUERIES + 1)
@@ -261,9 +265,15 @@ def _matches_by_index(
         .select(query_id, *chunk_keys)
         .distinct()
     )
-    # Texts are tokenised once per chunk, before the join repeats a chunk for each of its queries.
+    # Few candidates meet the chunks where these are read, so no text moves; many of them are shuffled with the chunks.
+    # Keys are compared null-safe, as the scan plan does not compare them at all.
+    renamed = candidates.select(query_id, *[F.col(c).alias(f"_k{i}") for i, c in enumerate(chunk_keys)])
+    few = as_broadcast(renamed, MAX_BROADCAST_ROWS)
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(chunk_keys)])
+    # Texts are tokenised once per chunk and candidate.
     scored = (
-        candidates.hint("merge").join(chunks.withColumn("_d", T.distinct_tokens(F.col(text))), chunk_keys)
+        chunks.join(renamed.hint("merge") if few is None else few, same)
+        .withColumn("_d", T.distinct_tokens(F.col(text)))
         .join(broadcast_if_small(asked), query_id)
         .withColumn(
             "score",
@@ -341,13 +351,29 @@ def hybrid_matches(
     text: str = "text",
     vec: str = "embedding",
     threshold: float = THRESHOLD,
+    k: int | None = None,
 ) -> DataFrame:
-    """Cosine where a chunk has a vector, keyword score where it has none (RET-3). Every pair appears once."""
+    """Cosine where query and chunk have a vector, keyword score where one has none (RET-3). Every pair appears once.
+
+    A vector counts when it has the usual length of the query vectors and only finite numbers. A query without one is
+    keyword-scored against every chunk. With ``k``, the best k rows per query come back with their ``rank``; without
+    it all pairs above the threshold do, which only a small batch of queries should ask for.
+    """
     keep = [c for c in chunks.columns if c != vec]
-    by_vector = cosine_matches(chunks, vec, queries, query_id, query_vec, keep, threshold)
-    bare = chunks.filter(F.col(vec).isNull()).select(*keep)
-    by_words = keyword_matches(bare, queries, chunk_keys, query_id, query_text, text, threshold)
-    return by_vector.unionByName(by_words)
+    size = usual_size(queries, query_vec)
+    able = usable(F.col(query_vec), size)
+    by_vector = cosine_matches(chunks, vec, queries.filter(able), query_id, query_vec, keep, threshold, k)
+    bare = chunks.filter(~usable(F.col(vec), size)).select(*keep)
+    parts = [
+        by_vector,
+        keyword_matches(bare, queries.filter(able), chunk_keys, query_id, query_text, text, threshold),
+        keyword_matches(chunks.select(*keep), queries.filter(~able), chunk_keys, query_id, query_text, text, threshold),
+    ]
+    if k is None:
+        return reduce(DataFrame.unionByName, parts)
+    # Every part is cut to its best rows before they meet.
+    best = [top_k(p, query_id, chunk_keys, k).drop("rank") for p in parts]
+    return top_k(reduce(DataFrame.unionByName, best), query_id, chunk_keys, k)
 
 
 # ------------------------------------------------------------------------------- attribution and prompts
@@ -423,14 +449,20 @@ def match_source(requests: DataFrame, documents: DataFrame, wanted: str = "cours
     asked = requests.withColumn("_name", F.lower(T.strip(F.col(wanted))))
     named = documents.withColumn("_name", F.lower("source"))
     order = F.col("position") if "position" in documents.columns else F.col("source")
+    kept = named.join(asked.select("_name").distinct(), "_name", "left_semi").withColumn("_order", order)
+    # The first document of a name is found without texts; only the texts that have its place are read on.
+    place = kept.groupBy("_name").agg(F.min(F.struct("_order", "source")).alias("_place"))
+    place = place.select(
+        F.col("_name").alias("_n"), F.col("_place._order").alias("_o"), F.col("_place.source").alias("_s")
+    )
+    same = (F.col("_name") == F.col("_n")) & F.col("_order").eqNullSafe(F.col("_o")) & (F.col("source") == F.col("_s"))
     first = (
-        named.join(asked.select("_name").distinct(), "_name", "left_semi")
-        .groupBy("_name")
-        .agg(F.min_by(F.struct("source", "text"), F.struct(order, "source")).alias("_doc"))
+        kept.join(broadcast_if_small(place), same)
+        .groupBy("_name").agg(F.struct(F.first("source").alias("source"), F.max("text").alias("text")).alias("_doc"))
     )
     has_name = F.coalesce(F.col(wanted), F.lit("")) != ""
     return (
-        asked.join(first, "_name", "left")
+        left_join_known(asked, first, "_name")
         .select(
             *requests.columns,
             F.when(has_name, F.col("_doc.source")).alias("matched_source"),

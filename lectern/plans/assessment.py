@@ -52,6 +52,29 @@ def route_topics(spark, sf_dir):
     )
 
 
+_AREAS = [r for _n, r in V.PROJECT_RULES] + [V.PROJECT_DEFAULT]
+_AREA_SQL = "CASE p_partkey % 9 " + " ".join(f"WHEN {i} THEN {S.text(a)}" for i, a in enumerate(_AREAS)) + " END"
+_LEVEL_SQL = "CASE p_size % 3 WHEN 0 THEN 'beginner' WHEN 1 THEN 'advanced' ELSE 'intermediate' END"
+
+
+@query(
+    "PJ-1",
+    f"""WITH asked AS (SELECT conv_id, turn, CASE {PROJECT_CASE} ELSE 'general' END AS area,
+          CASE role WHEN 'user' THEN 'beginner' WHEN 'assistant' THEN 'advanced' ELSE 'intermediate' END AS level
+        FROM (SELECT conv_id, turn, role, lower({OPENING_SQL} || text) AS low FROM conversations) WHERE turn = 0),
+    bank AS (SELECT p_partkey, p_name AS title, {_AREA_SQL} AS area, {_LEVEL_SQL} AS level FROM part WHERE p_partkey % 16 = 0)
+    SELECT conv_id, level, area, p_partkey, title FROM asked JOIN bank USING (level, area)""",
+)
+def project_items(spark, sf_dir):
+    """The blueprints for the first turn of each conversation; every sixteenth part stands for a blueprint."""
+    level = F.when(F.col("role") == "user", "for Beginners").when(F.col("role") == "assistant", "ADVANCED").otherwise("?")
+    asked = topics(spark, sf_dir).filter("turn = 0").withColumn("difficulty", level)
+    bank = table(spark, sf_dir, "part").filter("p_partkey % 16 = 0").select(
+        "p_partkey", F.col("p_name").alias("title"), F.expr(_AREA_SQL).alias("area"), F.expr(_LEVEL_SQL).alias("level")
+    )
+    return A.find_projects(asked, bank).select("conv_id", "level", "area", "p_partkey", "title")
+
+
 _QUIZ_CASE = " ".join(
     f"WHEN {S.text(k)} THEN [{', '.join(S.text(w) for w in words)}]" for k, words in V.TOPIC_KEYWORDS.items()
 )
@@ -267,7 +290,12 @@ def code_reviews(spark, sf_dir):
       CASE WHEN a.l = 'python' AND language <> 'Rust' AND a.v = 'beginner' AND NOT neat THEN 'Needs Optimization' ELSE 'Success' END AS status,
       CASE WHEN a.l = 'python' AND language <> 'Rust' AND a.v = 'beginner' AND NOT neat THEN 70 ELSE 95 END AS score,
       95 AS shipped_score,
-      CASE WHEN a.l = 'python' AND language <> 'Rust' AND a.v = 'beginner' AND NOT neat THEN '⚠️ Needs Optimization' ELSE '✅ Solved' END AS badge
+      CASE WHEN a.l = 'python' AND language <> 'Rust' AND a.v = 'beginner' AND NOT neat THEN '⚠️ Needs Optimization' ELSE '✅ Solved' END AS badge,
+      CASE WHEN a.l = 'python' AND language <> 'Rust' AND a.v = 'beginner' THEN
+                CASE WHEN neat THEN {S.text(V.SOLUTION_REVERSE)} ELSE {S.text(V.SOLUTION_SLICING)} END
+           WHEN a.l = 'python' AND language <> 'Rust' AND a.v = 'intermediate' THEN {S.text(V.SOLUTIONS[0][2])}
+           WHEN a.l = 'sql' AND a.v = 'beginner' THEN {S.text(V.SOLUTIONS[1][2])}
+           WHEN a.l = 'sql' AND a.v = 'intermediate' THEN {S.text(V.SOLUTIONS[2][2])} ELSE '' END AS optimal_solution
     FROM asked a JOIN bank b ON a.l = b.l AND a.v = b.v""",
 )
 def graded_challenges(spark, sf_dir):
@@ -286,7 +314,7 @@ def graded_challenges(spark, sf_dir):
     return graded.select(
         "event_id", "language", "title", "sample_output", "learning_objective",
         F.col("g.status").alias("status"), F.col("g.score").alias("score"), "shipped_score",
-        A.badge(F.col("g.status"), V.STATUS_BADGES).alias("badge"),
+        A.badge(F.col("g.status"), V.STATUS_BADGES).alias("badge"), F.col("g.optimal_solution").alias("optimal_solution"),
     )
 
 

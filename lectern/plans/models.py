@@ -13,7 +13,7 @@ from lectern.session import cut
 
 GAPS = {
     "c_custkey": "c_custkey",
-    "balance": "CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END",
+    "balance": "CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 8 <> 0 THEN c_acctbal END",
     "nation": "CASE WHEN c_custkey % 9 <> 0 THEN c_nationkey END",
     "segment": "CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END",
 }
@@ -34,8 +34,9 @@ GAPS_SQL = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in GAPS.items()) + " FRO
     UNION ALL SELECT c_custkey, 'segment_' || cat, CASE WHEN segment = cat THEN 1.0 ELSE 0.0 END FROM f, cats""",
 )
 def impute_scale_encode(spark, sf_dir):
-    """Customers with gaps: imputed, scaled and one-hot encoded, one row per feature."""
+    """Customers with gaps, some of them NaN: imputed, scaled and one-hot encoded, one row per feature."""
     gaps = table(spark, sf_dir, "customer").select(*[F.expr(e).alias(n) for n, e in GAPS.items()])
+    gaps = gaps.withColumn("balance", F.when(F.col("c_custkey") % 8 == 0, F.lit(float("nan"))).otherwise(F.col("balance")))
     prep = X.fit_preparation(gaps, ["balance", "nation", "segment"])
     return prep.long(gaps, ["c_custkey"]).withColumn("value", F.round("value", 6))
 
@@ -316,6 +317,42 @@ def linear_importance(spark, sf_dir):
     return M.importances(spark, run.model, run.preparation.names)
 
 
+def _percent(x: str) -> str:
+    return f"format('{{:.1f}}%', {x} * 100)"
+
+
+@query(
+    "ML-19 ML-21 ML-23 ML-24",
+    f"""WITH {_ATTRIBUTION},
+    p AS (SELECT t, y, (SELECT avg(y) FROM z WHERE NOT t) + wa * a + wb * b AS p FROM z, w),
+    r AS (SELECT t, round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 4) AS r2, round(sqrt(sum((y - p) ** 2) / count(*)), 4) AS rmse
+          FROM p GROUP BY t),
+    o AS (SELECT (SELECT r2 FROM r WHERE NOT t) AS train, (SELECT r2 FROM r WHERE t) AS test, (SELECT rmse FROM r WHERE t) AS extra,
+                 CASE WHEN abs(wa) >= abs(wb) THEN 'o_custkey' ELSE 'year' END AS f1, CASE WHEN abs(wa) >= abs(wb) THEN 'year' ELSE 'o_custkey' END AS f2,
+                 round(greatest(abs(wa), abs(wb)) / (abs(wa) + abs(wb)), 4) AS i1, round(least(abs(wa), abs(wb)) / (abs(wa) + abs(wb)), 4) AS i2 FROM w),
+    b AS (SELECT *, {_BAND} AS band FROM o)
+    SELECT 'Linear Regression' AS model_name, train AS train_score, test AS test_score, round(extra, 2) AS extra, band,
+      '## 🤖 AI Model Explainer Report — Linear Regression' || {_NL} || {_NL} || '### 🧠 What Did the Model Learn?' || {_NL} || {_NL}
+      || 'Your **Linear Regression** was trained on a **regression** task. The most influential input signals driving predictions were **' || f1 || '**, **' || f2
+      || '**. This means the model found strong patterns in these features that predict the target variable.'
+      || {_NL} || {_NL} || '### 📊 Performance Summary' || {_NL} || {_NL} || '- **Train R²**: `' || {_percent('train')} || '`' || {_NL}
+      || '- **Test R²**: `' || {_percent('test')} || '`' || {_NL} || '- **Model Health**: ' || {_MARK} || ' ' || band || {_NL} || {_NL}
+      || replace({_TEXT}, 'Accuracy', 'R²') || {_NL} || {_NL} || '### 🔍 Feature Impact Explanation' || {_NL} || {_NL}
+      || '1. **' || f1 || '** — contributes `' || {_percent('i1')} || '` of the model''s decision weight. This feature has a ↑ strongly positive influence.' || {_NL}
+      || '2. **' || f2 || '** — contributes `' || {_percent('i2')} || '` of the model''s decision weight. This feature has a '
+      || CASE WHEN i2 > 0.1 THEN '↑ positive' ELSE '→ moderate' END || ' influence.' || {_NL}
+      || {_NL} || '### 💡 Actionable Insights' || {_NL} || {_NL} || '- Focus on **' || f1
+      || '** as the primary driver of the outcome — small changes here will have the largest impact on predictions.' || {_NL}
+      || '- Consider running correlation analysis between **' || f1 || '** and the target to confirm causality.' || {_NL}
+      || '- If you want to improve R², consider engineering new features derived from ' || f1 || ', ' || f2 || '.' || {_NL} AS report
+    FROM b""",
+)
+def explained_run(spark, sf_dir):
+    """A linear model explained from its scores to its report."""
+    out = M.explain(_order_run(spark, sf_dir))
+    return out.select("model_name", "train_score", "test_score", F.round("extra", 2).alias("extra"), "band", "report")
+
+
 @query(
     "ML-26",
     f"""WITH {_ATTRIBUTION} SELECT k AS o_orderkey, feature, round(c, 2) AS contribution,
@@ -333,6 +370,118 @@ def linear_drivers(spark, sf_dir):
     )
 
 
+# ----------------------------------------------- trees, forests, boosting and separators with a known answer
+
+# A feature with four values: a tree that can tell them apart predicts the mean, or the majority, of each.
+_LEVELS = f"""
+d AS (SELECT o_orderkey AS k, o_totalprice * (1 + o_custkey % 4) AS y, o_custkey % 4 AS x, {_in_test('o_orderkey')} AS t,
+             md5(o_orderkey || '|42') AS h FROM orders),
+g AS (SELECT x, avg(y) AS p FROM d WHERE NOT t GROUP BY x)"""
+
+
+def _level_split(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", (F.col("o_custkey") % 4).alias("level"), F.lit(1).alias("flat"),
+        (F.col("o_totalprice") * (1 + F.col("o_custkey") % 4)).alias("price"),
+    )
+    return M.prepare_split(orders, ["level", "flat"], "price", "o_orderkey")
+
+
+def _scores(split, names, digits=6):
+    out = None
+    for name in names:
+        row = M.run_scores(M.fit_model(split, name))
+        out = row if out is None else out.unionByName(row)
+    return out.select("model_name", "task", *[F.round(c, digits).alias(c) for c in ("train_score", "test_score", "extra")])
+
+
+@query(
+    "ML-12 ML-14 ML-19",
+    f"""WITH {_LEVELS},
+    m AS (SELECT t, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2, sqrt(sum((y - p) ** 2) / count(*)) AS rmse
+          FROM d JOIN g USING (x) GROUP BY t)
+    SELECT name AS model_name, 'regression' AS task, round((SELECT r2 FROM m WHERE NOT t), 3) AS train_score,
+           round((SELECT r2 FROM m WHERE t), 3) AS test_score, round((SELECT rmse FROM m WHERE t), 3) AS extra
+    FROM (VALUES ('Decision Tree Regressor'), ('Gradient Boosting Regressor')) AS v(name)""",
+)
+def tree_scores(spark, sf_dir):
+    """A tree and boosted trees on four levels predict each level's mean price."""
+    return _scores(_level_split(spark, sf_dir), ["Decision Tree Regressor", "Gradient Boosting Regressor"], 3)
+
+
+SEPARATORS = [
+    "Logistic Regression", "Support Vector Classifier (SVC)", "Decision Tree Classifier", "Random Forest Classifier",
+    "Gradient Boosting Classifier",
+]
+
+
+@query(
+    "ML-12 ML-13 ML-14 ML-15 ML-17 ML-20",
+    f"""WITH said AS (SELECT {_in_test('event_id')} AS t, CASE WHEN user_id % 4 < 2 THEN 'low' ELSE 'high' END AS p,
+                 CASE WHEN (user_id % 4 < 2) <> (event_id % 10 = 0) THEN 'low' ELSE 'high' END AS y FROM events),
+    {_f1_sql('said')}
+    SELECT name AS model_name, 'classification' AS task, round((SELECT acc FROM m WHERE NOT t), 6) AS train_score,
+           round((SELECT acc FROM m WHERE t), 6) AS test_score, round((SELECT f1 FROM m WHERE t), 6) AS extra
+    FROM (VALUES {', '.join(f"('{n}')" for n in SEPARATORS)}) AS v(name)""",
+)
+def separable_scores(spark, sf_dir):
+    """Classifiers on four levels, every tenth label wrong: each must predict its level's majority."""
+    low = (F.col("user_id") % 4 < 2) != (F.col("event_id") % 10 == 0)
+    events = table(spark, sf_dir, "events").select(
+        "event_id", (F.col("user_id") % 4).alias("level"), F.when(low, "low").otherwise("high").alias("side")
+    )
+    return _scores(M.prepare_split(events, ["level"], "side", "event_id"), SEPARATORS)
+
+
+@query(
+    "ML-13 ML-14 ML-21",
+    """SELECT name AS model_name, feature, importance, CAST(place AS INTEGER) AS place
+       FROM (VALUES ('Random Forest Regressor'), ('Gradient Boosting Regressor')) AS v(name),
+            (VALUES ('level', 1.0::DOUBLE, 1), ('flat', 0.0::DOUBLE, 2)) AS w(feature, importance, place)""",
+)
+def level_importance(spark, sf_dir):
+    """A forest and boosted trees give a constant column no weight."""
+    split, out = _level_split(spark, sf_dir), None
+    for name in ("Random Forest Regressor", "Gradient Boosting Regressor"):
+        run = M.fit_model(split, name)
+        row = M.importances(spark, run.model, run.preparation.names).withColumn("model_name", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+_LEVEL_SHARES = f"""{_LEVELS},
+bg AS (SELECT avg(p) AS z FROM (SELECT p FROM d JOIN g USING (x) WHERE NOT t ORDER BY substr(h, 1, 8), k LIMIT 8)),
+shares AS (SELECT k, y, p, 'level' AS feature, p - z AS c FROM d JOIN g USING (x), bg WHERE t
+           UNION ALL SELECT k, y, p, 'flat', 0.0 FROM d JOIN g USING (x) WHERE t)"""
+
+
+@query(
+    "ML-25",
+    f"WITH {_LEVEL_SHARES} SELECT feature, round(avg(abs(c)), 2) AS mean_abs FROM shares GROUP BY feature",
+)
+def tree_attribution(spark, sf_dir):
+    """Contributions to a tree of one feature: what its level's mean differs from the background's."""
+    run = M.fit_model(_level_split(spark, sf_dir), "Decision Tree Regressor")
+    shares = M.sampled_shapley(run.model, run.test, run.train, "o_orderkey", run.preparation.names)
+    return M.global_attribution(shares).withColumn("mean_abs", F.round("mean_abs", 2))
+
+
+@query(
+    "ML-26",
+    f"""WITH {_LEVEL_SHARES} SELECT k AS o_orderkey, feature, round(c, 2) AS contribution,
+        CAST(CASE feature WHEN 'level' THEN 1 ELSE 2 END AS INTEGER) AS place, round(p, 2) AS predicted FROM shares""",
+)
+def tree_drivers(spark, sf_dir):
+    """The contributions to every test order's predicted price."""
+    run = M.fit_model(_level_split(spark, sf_dir), "Decision Tree Regressor")
+    shares = M.sampled_shapley(run.model, run.test, run.train, "o_orderkey", run.preparation.names)
+    out = M.row_attribution(shares, run.test, "o_orderkey", digits=2)
+    return out.select(
+        "o_orderkey", "feature", (F.col("contribution") + 0.0).alias("contribution"), "place",
+        F.round(F.col("prediction").cast("double"), 2).alias("predicted"),
+    )
+
+
 # ------------------------------------------------------------------------- trained models, rows only
 
 ITEM_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]

@@ -123,7 +123,7 @@ def part_courses(spark, sf_dir):
 def week_sections(spark, sf_dir):
     """Week headings and subtopics read out of a course text per part; the SQL states what must be found."""
     weeks = P.store_weeks(part_courses(spark, sf_dir), ["p_partkey"])
-    rows = weeks.select("p_partkey", "week_pos", "week", "topic", F.posexplode(once(F.col("subtopics"))).alias("sub_pos", "s"))
+    rows = weeks.select("p_partkey", "week_pos", F.col("week").cast("int").alias("week"), "topic", F.posexplode(once(F.col("subtopics"))).alias("sub_pos", "s"))
     return rows.select(
         "p_partkey", "week_pos", "week", "topic", "sub_pos", F.col("s.name").alias("name"),
         F.col("s.details").alias("details"), F.array_join("s.tags", ",").alias("tags"),
@@ -133,7 +133,7 @@ def week_sections(spark, sf_dir):
 @query(
     "LP-10 LP-11",
     f"""SELECT CAST(i AS INTEGER) AS sub_pos, CAST(w AS INTEGER) AS week_pos, name, details FROM (VALUES
-        {', '.join(f'({i}, {w}, {S.text(n)}, {S.text(d)})' for i, (w, _t, n, d, _g) in enumerate(V.DEFAULT_SUBTOPICS))})
+        {', '.join(f'({i}, {w}, {S.text(n)}, {S.text(d)})' for i, (w, n, d, _g) in enumerate(V.DEFAULT_SUBTOPICS))})
         AS v(i, w, name, details)
         WHERE NOT EXISTS (SELECT 1 FROM documents WHERE regexp_matches(text, '(?i)week\\s+(\\d+|[ivxlcdm]+)\\s*[:\\-]?\\s*[^\\n]+'))""",
 )
@@ -151,9 +151,9 @@ ENTRIES = [
 ENTRY_SQL = "CASE c_custkey % 8 " + " ".join(f"WHEN {i} THEN {S.text(e)}" for i, e in enumerate(ENTRIES)) + " END"
 _PLAN_VALUES = ", ".join(
     f"({i}, {S.text(n)}, {S.text(d)}, {S.text(chr(1).join([n, d, *g]).lower())})"
-    for i, (_w, _t, n, d, g) in enumerate(V.DEFAULT_SUBTOPICS)
+    for i, (_w, n, d, g) in enumerate(V.DEFAULT_SUBTOPICS)
 )
-_TRACK_VALUES = ", ".join(f"({S.text(t)}, {w}, {S.text(a)}, {S.text(b)})" for t, w, a, b, _s in V.TRACK_WEEKS)
+_TRACK_VALUES = ", ".join(f"({S.text(t)}, {w}, {S.text(a)}, {S.text(b)})" for t, w, a, b in V.TRACK_WEEKS)
 _FILLERS = ", ".join(
     f"({w + 1}, {S.text(V.FILLER_WEEKS[w % 3][0])}, {S.text(': '.join(V.FILLER_WEEKS[w % 3]))}, "
     f"{S.text(V.FINISHED_PLAN[w][0])}, {S.text(V.FINISHED_PLAN[w][1])})"
@@ -191,7 +191,7 @@ def skill_paths(spark, sf_dir):
     requests = spread(table(spark, sf_dir, "customer")).select(
         "c_custkey", F.expr(ENTRY_SQL).alias("skills"), (F.col("c_nationkey") % 4 + 1).alias("weeks")
     )
-    plan = P.plan_literal([(n, d, g) for _w, _t, n, d, g in V.DEFAULT_SUBTOPICS])
+    plan = P.plan_literal([(n, d, g) for _w, n, d, g in V.DEFAULT_SUBTOPICS])
     routed = P.skill_paths(requests, plan, "skills", "weeks")
     return routed.select("c_custkey", "track", F.inline(once(F.col("path"))))
 
@@ -268,6 +268,41 @@ def skill_anti_filter(spark, sf_dir):
     return dealt.select("request_id", "p_partkey", "name", "position", "week")
 
 
+@query(
+    "LP-10 LP-12 LP-13 LP-14 LP-15",
+    f"""WITH requests AS (
+      SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN ['red'] WHEN 1 THEN ['', 'steel', 'ring'] WHEN 2 THEN ['ring', 'steel']
+             WHEN 3 THEN ['brand#'] ELSE [] END AS skills FROM nation),
+    alive AS (SELECT n_nationkey, p_name AS name, p_type AS details,
+                     row_number() OVER (PARTITION BY n_nationkey ORDER BY p_partkey, copy) - 1 AS pos
+              FROM requests, part, range(8) AS c(copy) WHERE len(list_filter(skills, lambda s: s <> '' AND (contains(lower(p_name), s)
+                OR contains(lower(p_type), s) OR contains(lower(p_brand), s)))) = 0),
+    weekly AS (SELECT n_nationkey, pos % 4 + 1 AS week, string_agg(name, ' & ' ORDER BY pos) AS t,
+                      string_agg(name || ': ' || details, '; ' ORDER BY pos) AS d FROM alive GROUP BY ALL),
+    fillers AS (SELECT * FROM (VALUES {_FILLERS}) AS v(week, topic, details, done_topic, done_details))
+    SELECT n_nationkey, CAST(f.week AS INTEGER) AS week,
+        CASE WHEN n_nationkey NOT IN (SELECT n_nationkey FROM alive) THEN f.done_topic
+             WHEN t IS NULL THEN f.topic WHEN length(t) > 65 THEN substr(t, 1, 62) || '...' ELSE t END AS topic,
+        md5(CASE WHEN n_nationkey NOT IN (SELECT n_nationkey FROM alive) THEN f.done_details ELSE coalesce(d, f.details) END) AS details
+    FROM requests CROSS JOIN fillers f LEFT JOIN weekly w USING (n_nationkey, week)""",
+)
+def store_paths(spark, sf_dir):
+    """General plans from a store far beyond what travels inside a plan: eight copies of every part."""
+    asked = F.expr(
+        """CASE n_nationkey % 5 WHEN 0 THEN array('Red') WHEN 1 THEN array('', 'steel ', 'ring')
+           WHEN 2 THEN array('ring', 'Steel') WHEN 3 THEN array('Brand#') ELSE array() END"""
+    )
+    requests = table(spark, sf_dir, "nation").select("n_nationkey", asked.alias("skills"), F.lit("").alias("course_source"))
+    store = table(spark, sf_dir, "part").select(
+        "p_partkey", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("copy"), F.col("p_name").alias("name"),
+        F.col("p_type").alias("details"), F.array("p_brand").alias("tags"),
+    )
+    docs = table(spark, sf_dir, "documents").select("source", "text")
+    made = P.learning_paths(requests, docs, store, order=("p_partkey", "copy"))
+    weeks = made.select("n_nationkey", F.inline(once(F.col("path"))))
+    return weeks.select("n_nationkey", "week", "topic", F.md5("details").alias("details"))
+
+
 @query(
     "LP-17",
     """SELECT user_id, count(*) FILTER (event_type IN ('purchase', 'signup')) AS completed, count(*) AS total,

@@ -11,11 +11,11 @@ from lectern.plans.relational import PAIRS_SQL, PRICED, PRICED_SQL, priced
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LABELS = ["l_returnflag", "l_linestatus"]
 
-# Line items with gaps: every eleventh price and every seventh flag is missing.
+# Line items with gaps: every eleventh price and every seventh flag is missing, and every thirteenth price is NaN.
 GAPPED = {
     "l_orderkey": "l_orderkey",
     "l_quantity": "l_quantity",
-    "l_extendedprice": "CASE WHEN l_orderkey % 11 <> 0 THEN l_extendedprice END",
+    "l_extendedprice": "CASE WHEN l_orderkey % 11 <> 0 AND l_orderkey % 13 <> 0 THEN l_extendedprice END",
     "l_discount": "l_discount",
     "l_tax": "l_tax",
     "l_returnflag": "CASE WHEN l_partkey % 7 <> 0 THEN l_returnflag END",
@@ -25,7 +25,9 @@ GAPPED_SQL = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in GAPPED.items()) + "
 
 
 def gapped(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(*[F.expr(e).alias(n) for n, e in GAPPED.items()])
+    rows = table(spark, sf_dir, "lineitem").select(*[F.expr(e).alias(n) for n, e in GAPPED.items()])
+    price = F.when(F.col("l_orderkey") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("l_extendedprice"))
+    return rows.withColumn("l_extendedprice", price)
 
 
 @query(
@@ -204,3 +206,22 @@ _MATRIX = NUMBERS[:3]
 )
 def scatter_matrix(spark, sf_dir):
     return P.scatter_matrix(gapped(spark, sf_dir), _MATRIX, ["l_orderkey"])
+
+
+def _grid_bin(c: str) -> str:
+    return f"least(floor(({c} - min({c}) OVER ()) / ((max({c}) OVER () - min({c}) OVER ()) / 20)) + 1, 20)"
+
+
+@query(
+    "VIZ-5 VIZ-12",
+    f"WITH cells AS (SELECT {', '.join(f'CAST({_grid_bin(c)} AS INTEGER) AS {c}' for c in _MATRIX)} FROM ({GAPPED_SQL})) "
+    + " UNION ALL ".join(
+        f"""SELECT '{a}' AS x_column, '{b}' AS y_column, {a} AS x_bin, {b} AS y_bin, count(*) AS n FROM cells
+            WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL"""
+        for i, a in enumerate(_MATRIX)
+        for b in _MATRIX[i + 1 :]
+    ),
+)
+def scatter_grid(spark, sf_dir):
+    """The scatter matrix as counts on a grid, which stays small whatever the table."""
+    return P.scatter_grid(gapped(spark, sf_dir), _MATRIX, 20)

@@ -88,7 +88,9 @@ PRICED = {
     "charged": "l_extendedprice * (1 - l_discount) * (1 + l_tax)",
     "tax": "l_tax",
 }
+# Every seventeenth quantity is NaN, which counts as missing.
 PRICED_SQL = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in PRICED.items()) + " FROM lineitem"
+PRICED_SQL = PRICED_SQL.replace("l_quantity AS", "CASE WHEN l_orderkey % 17 <> 0 THEN l_quantity END AS")
 PRICED_PAIRS = [(a, b) for i, a in enumerate(PRICED) for b in list(PRICED)[i + 1 :]]
 PAIRS_SQL = " UNION ALL ".join(
     f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({a}, {b}) AS correlation FROM priced" for a, b in PRICED_PAIRS
@@ -97,7 +99,9 @@ PAIRS_SQL = " UNION ALL ".join(
 
 def priced(spark, sf_dir):
     """Line items with derived price columns, which do correlate."""
-    return table(spark, sf_dir, "lineitem").select(*[F.expr(e).alias(n) for n, e in PRICED.items()])
+    rows = table(spark, sf_dir, "lineitem")
+    quantity = F.when(F.col("l_orderkey") % 17 == 0, F.lit(float("nan"))).otherwise(F.col("l_quantity"))
+    return rows.withColumn("l_quantity", quantity).select(*[F.expr(e).alias(n) for n, e in PRICED.items()])
 
 
 @query(
@@ -140,7 +144,9 @@ def group_avg(spark, sf_dir):
     return out.withColumn("average", F.round("average", 4))
 
 
-GAPPED_SQL = "SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS weight FROM customer"
+GAPPED_SQL = (
+    "SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 THEN c_acctbal END AS weight FROM customer"
+)
 
 
 @query(
@@ -149,10 +155,9 @@ GAPPED_SQL = "SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END
         SELECT c_custkey, round(coalesce(weight, (SELECT quantile_cont(weight, 0.5) FROM gapped)), 4) AS weight FROM gapped""",
 )
 def median_impute(spark, sf_dir):
-    """Balances with every fifth one missing, filled with the median of the rest."""
-    gapped = table(spark, sf_dir, "customer").select(
-        "c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")).alias("weight")
-    )
+    """Balances with every fifth one missing and every seventh NaN, filled with the median of the rest."""
+    weight = F.when(F.col("c_custkey") % 5 == 0, F.lit(None)).when(F.col("c_custkey") % 7 == 0, F.lit(float("nan")))
+    gapped = table(spark, sf_dir, "customer").select("c_custkey", weight.otherwise(F.col("c_acctbal")).alias("weight"))
     return L.impute_median(gapped, "weight").withColumn("weight", F.round("weight", 4))
 
 
@@ -197,22 +202,9 @@ def palindrome_words(spark, sf_dir):
     """SELECT o_totalprice, o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders""",
 )
 def merge_sorted(spark, sf_dir):
-    """The yearly order sets merged into one ascending set."""
-    orders = table(spark, sf_dir, "orders")
-    day = F.col("o_orderdate")
-
-    def between(start: int | None, end: int | None):
-        # Plain ranges on the date column reach the scan and skip row groups.
-        part = orders
-        if start:
-            part = part.filter(day >= F.lit(f"{start}-01-01").cast("timestamp_ntz"))
-        if end:
-            part = part.filter(day < F.lit(f"{end}-01-01").cast("timestamp_ntz"))
-        return part.select("o_totalprice", "o_orderkey", F.year("o_orderdate").alias("y"))
-
-    cuts = [None, *range(1995, 2002), None]
-    sets = [between(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return L.merge_sorted(sets, "o_totalprice", ["o_orderkey"])
+    """The yearly order sets, orders without a date among them, merged into one ascending set in one scan."""
+    orders = table(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey", F.year("o_orderdate").alias("y"))
+    return L.merge_sorted([orders], "o_totalprice", ["o_orderkey"])
 
 
 @query(

@@ -207,27 +207,31 @@ HYBRID_TEXT = "'vector ' || vec_id || ' of label ' || label || ' group ' || (vec
 @query(
     "RET-3",
     f"""WITH {CENTROID_SQL},
-    asked AS (SELECT query_id, query_vec, 'label ' || query_id || ' of group' AS query FROM centroids),
-    store AS (SELECT vec_id, {HYBRID_TEXT} AS text, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE embedding END AS embedding
-              FROM embeddings),
-    words AS ({S.keyword_scores('(SELECT * FROM store WHERE embedding IS NULL)', 'asked', 'vec_id')}),
+    asked AS (SELECT query_id, query_vec, query_id <> 1 AS able, 'label ' || query_id || ' of group' AS query FROM centroids),
+    store AS (SELECT vec_id, {HYBRID_TEXT} AS text, embedding,
+                     vec_id % 3 <> 0 AND vec_id % 11 <> 0 AND vec_id % 13 <> 0 AND vec_id % 17 <> 0 AS able FROM embeddings),
+    words AS ({S.keyword_scores('store', 'asked', 'vec_id')}),
     both_kinds AS (
       SELECT query_id, vec_id, list_cosine_similarity(query_vec, CAST(embedding AS DOUBLE[])) AS score
-      FROM asked, store WHERE embedding IS NOT NULL
-      UNION ALL SELECT query_id, vec_id, score FROM words)
-    SELECT query_id, vec_id, round(score, 6) AS score FROM both_kinds WHERE score > 0.18""",
+      FROM asked, store WHERE asked.able AND store.able
+      UNION ALL SELECT w.query_id, w.vec_id, w.score FROM words w JOIN asked USING (query_id) JOIN store USING (vec_id)
+      WHERE NOT (asked.able AND store.able)),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+               FROM both_kinds WHERE score > 0.18)
+    SELECT query_id, vec_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 200""",
 )
 def hybrid_search(spark, sf_dir):
-    """Cosine for rows with a vector, keyword score for the rest; a third of the vectors is made null."""
+    """Cosine for rows with a vector, keyword score for the rest: null, ragged and broken vectors, and a query without."""
     vectors = table(spark, sf_dir, "embeddings")
     asked = centroids(vectors).withColumn("query", F.format_string("label %d of group", "query_id"))
-    store = vectors.select(
-        "vec_id",
-        F.expr(HYBRID_TEXT).alias("text"),
-        F.when(F.col("vec_id") % 3 != 0, F.col("embedding")).alias("embedding"),
-    )
-    pairs = R.hybrid_matches(store, asked, ["vec_id"])
-    return pairs.select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    asked = asked.withColumn("query_vec", F.when(F.col("query_id") != 1, F.col("query_vec")))
+    whole, key = F.col("embedding"), F.col("vec_id")
+    broken = F.when(key % 3 == 0, F.lit(None)).when(key % 11 == 0, F.slice(whole, 1, 3))
+    broken = broken.when(key % 13 == 0, F.transform(whole, lambda x, i: F.when(i != 2, x)))
+    broken = broken.when(key % 17 == 0, F.transform(whole, lambda x, i: F.when(i != 1, x).otherwise(F.lit(float("nan")))))
+    store = vectors.select("vec_id", F.expr(HYBRID_TEXT).alias("text"), broken.otherwise(whole).alias("embedding"))
+    best = R.hybrid_matches(store, asked, ["vec_id"], k=200)
+    return best.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
 PICKED_SQL = f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.bounded import broadcast_if_small
 from lectern.operators.chunking import chunk_documents
 
 
@@ -18,5 +19,11 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_text(documents: DataFrame, source: str = "source", text: str = "text", order: str = "ingest_ts") -> DataFrame:
-    """Last text per source (SRC-6). Tasks keep one text per source before the shuffle."""
-    return documents.groupBy(source).agg(F.max_by(text, order).alias(text), F.max(order).alias(order))
+    """Last text per source (SRC-6), of several with the last order the largest text; a null source is a source.
+
+    The last order of each source is found without its texts; only the texts that have it are read on.
+    """
+    last = documents.groupBy(F.col(source).alias("_source")).agg(F.max(order).alias("_last"))
+    same = F.col(source).eqNullSafe(F.col("_source")) & F.col(order).eqNullSafe(F.col("_last"))
+    found = documents.select(source, text, order).join(broadcast_if_small(last), same)
+    return found.groupBy(source).agg(F.max(text).alias(text), F.max(order).alias(order))

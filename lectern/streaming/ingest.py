@@ -15,6 +15,10 @@ from lectern.functions import text as T
 from lectern.operators.chunking import chunk_documents
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def read_documents(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
     """New Parquet files under a path or glob as a stream."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -43,6 +47,11 @@ def drop_repeats(uploads: DataFrame, ts: str, keys: list[str], delay: str) -> Da
 
 
 def write_rows(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream to a Parquet folder. State is kept in RocksDB, unless the session names a store, so that it may
+    outgrow the executors' memory."""
+    conf = rows.sparkSession.conf
+    if conf.get(STATE_STORE).endswith("HDFSBackedStateStoreProvider"):
+        conf.set(STATE_STORE, ROCKSDB)
     return (
         rows.writeStream.format("parquet")
         .option("path", out)

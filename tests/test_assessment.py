@@ -122,3 +122,28 @@ def test_parse_array(spark):
     rows = [('[{"question": "x"}]',), ("[]",), ('[{"a": 1}]',), ("{}",)]
     got = values(spark, rows, "r string", A.parse_array(F.col("r"), "array<struct<question:string>>", "question"))
     assert [g[0] is not None for g in got] == [True, False, False, False]
+
+
+def test_projects_with_a_large_bank(spark, monkeypatch):
+    from lectern.functions import joins
+
+    bank = spark.createDataFrame(
+        [(i, ["beginner", "advanced", "intermediate"][i % 3], "nlp" if i % 2 else "general") for i in range(60)],
+        "id int, level string, area string",
+    )
+    asked = spark.createDataFrame(
+        [(1, "for beginners", "NLP tasks"), (2, "hard", "cooking"), (3, "Advanced", "natural language")],
+        "rid int, difficulty string, topic string",
+    )
+    small = sorted((r["rid"], r["id"]) for r in A.find_projects(asked, bank).collect())
+    monkeypatch.setattr(joins, "as_broadcast", lambda df: None)
+    assert small == sorted((r["rid"], r["id"]) for r in A.find_projects(asked, bank).collect())
+    assert len(small) == 30 and (1, 3) in small and (2, 2) in small
+
+
+def test_model_solutions(spark):
+    rows = [("Python", "Reverse Words in a String", "s.split() ' '.join("), ("python", "reverse_words", "pass"),
+            ("SQL", "Customers Who Never Order", ""), ("Python", "Find All Anagrams", ""), ("R", "never order", "")]
+    frame = spark.createDataFrame(rows, "l string, t string, c string")
+    got = [r[0] for r in frame.select(A.grade_challenge(F.col("l"), F.col("t"), F.col("c"), intended=True)["optimal_solution"]).collect()]
+    assert got == [V.SOLUTION_REVERSE, V.SOLUTION_SLICING, V.SOLUTIONS[1][2], V.SOLUTIONS[0][2], ""]

@@ -173,3 +173,34 @@ def test_description_variants(spark):
     assert f"a mean of `{1.005:.2f}`" in texts[0] and "`2.50`" in texts[0] and "unique" not in texts[0]
     assert "**x** contains `3` unique categories. **y** contains `4`" in texts[1]
     assert "**x** contains" not in texts[2] and "**y** contains `4`" in texts[2]
+
+
+def test_correlations_skip_nan_in_both_plans(spark, monkeypatch):
+    import random
+
+    nan = float("nan")
+    rng = random.Random(3)
+    rows = [(float(i), i * 2.0 + rng.random(), nan if i % 4 == 0 else -float(i), None if i % 5 == 0 else 7.0) for i in range(60)]
+    rows += [(nan, nan, nan, nan), (None, None, None, None)]
+    frame = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    names = ["a", "b", "c", "d"]
+    got = []
+    for limit in (300, 0):
+        monkeypatch.setattr(L, "MAX_PAIR_AGGREGATES", limit)
+        found = L.correlations(frame, names).collect()
+        got.append({(r["feature_a"], r["feature_b"]): None if r["correlation"] is None else round(r["correlation"], 9) for r in found})
+    assert got[0] == got[1]
+    assert got[0]["a", "c"] == -1.0 and got[0]["a", "d"] is None and got[0]["a", "b"] > 0.99
+
+
+def test_statistics_take_nan_for_missing(spark):
+    from lectern.operators import profiling as P
+    from lectern.operators import quantiles as Q
+
+    frame = spark.createDataFrame([(1.0,), (float("nan"),), (3.5,), (4.0,), (None,)], "v double")
+    assert Q.medians(frame, ["v"]) == {"v": 3.5}
+    assert Q.exact_quantiles(frame, [], "v", [0.0, 1.0]).orderBy("prob").collect()[1]["quantile"] == 4.0
+    row = P.numeric_profile(frame, ["v"]).first()
+    assert (row["min"], row["max"]) == (1.0, 4.0) and abs(row["mean"] - 8.5 / 3) < 1e-12
+    assert sum(r["n"] for r in P.histogram(frame, ["v"], 3).collect()) == 3
+    assert sorted(r["v"] for r in L.impute_median(frame, "v").collect()) == [1.0, 3.5, 3.5, 3.5, 4.0]

@@ -1,3 +1,4 @@
+import os
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -53,3 +54,30 @@ def test_csv_schema_and_inference(spark):
     spark.createDataFrame([(1, 2.5, "x")], "a int, b double, c string").write.option("header", True).csv(out)
     assert dict(files.load_table(spark, out).dtypes) == {"a": "int", "b": "double", "c": "string"}
     assert dict(files.load_table(spark, out, "a long, b string, c string").dtypes)["b"] == "string"
+
+
+def test_state_expires_with_the_watermark(spark, tmp_path):
+    """A repeat inside the delay is dropped, also in a later batch; one long after it counts as new."""
+    days = [
+        [("a", "2024-01-01"), ("b", "2024-01-01"), ("a", "2024-01-01")],
+        [("a", "2024-01-02"), ("c", "2024-01-10")],
+        [("d", "2024-01-11")],
+        [("a", "2024-01-11"), ("c", "2024-01-11")],
+    ]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    schema = "name string, ts timestamp"
+    for i, rows in enumerate(days):
+        part = spark.createDataFrame(rows, "name string, day string").selectExpr("name", "cast(day as timestamp) as ts")
+        part.toPandas().to_parquet(folder / f"{i}.parquet", coerce_timestamps="us")
+        os.utime(folder / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = ingest.read_documents(spark, str(folder), spark.createDataFrame([], schema).schema, files_per_batch=1)
+    fresh = ingest.drop_repeats(stream, "ts", ["name"], "2 days")
+    query = ingest.write_rows(fresh, str(tmp_path / "out"), str(tmp_path / "progress"))
+    query.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).selectExpr("name", "cast(ts as date) as day").collect()
+    assert sorted((r["name"], str(r["day"])) for r in got) == [
+        ("a", "2024-01-01"), ("a", "2024-01-11"), ("b", "2024-01-01"), ("c", "2024-01-10"), ("d", "2024-01-11"),
+    ]
+    kept = query.lastProgress["stateOperators"][0]
+    assert kept["numRowsTotal"] <= 3 and "rocksdb" in str(kept["customMetrics"]).lower()
