@@ -127,7 +127,10 @@ class _Rows:
 
 def train(y: np.ndarray, plain: list[np.ndarray], others: list[np.ndarray | None], steps: int = 200,
           decay: float = 2e-4, swap_weight: float = SWAP_WEIGHT) -> Model:
-    """Logistic regression by Adam on whole gradients, with the counterfactual penalty."""
+    """Logistic regression by Adam on whole gradients, with the counterfactual penalty.
+
+    Both classes weigh the same, as toxic texts are few and one half is where they are told apart.
+    """
     if not len(y):
         return Model(np.zeros(FEATURES), 0.0)
     rows = _Rows(plain)
@@ -149,10 +152,11 @@ def train(y: np.ndarray, plain: list[np.ndarray], others: list[np.ndarray | None
     pairs = [(i, kept(o)) for i, o in enumerate(others) if o is not None]
     left, right = _Rows([kept(plain[i]) for i, _ in pairs]), _Rows([o for _, o in pairs])
     size = len(useful)
-    w, bias = np.zeros(size), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
+    w, bias = np.zeros(size), 0.0
+    weight = np.where(y > 0, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3)) / total
     first, second = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
-        error = (1 / (1 + np.exp(-np.clip(rows.dot(w) + bias, -30, 30))) - y) / total
+        error = (1 / (1 + np.exp(-np.clip(rows.dot(w) + bias, -30, 30))) - y) * weight
         grad = rows.spread(error, size) + decay * w
         if pairs:
             gap = 2 * swap_weight * (left.dot(w) - right.dot(w)) / len(pairs)
