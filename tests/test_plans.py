@@ -34,7 +34,7 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
     best = plan_of(entry.queries()["group_avg"](spark, sf))
     assert "ReadSchema: struct<c_acctbal:double,c_mktsegment:string>" in best
     merged = plan_of(entry.queries()["merge_sorted"](spark, sf))
-    assert merged.count("FileScan") == 1 and "ReadSchema: struct<o_orderkey:bigint,o_orderdate" in merged
+    assert merged.count("FileScan") == 1 and "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double,o_orderdate" in merged
 
 
 @pytest.mark.parametrize("name", ["keyword_topk", "term_search", "cosine_topk"])
