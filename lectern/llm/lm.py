@@ -266,6 +266,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     A null or empty text is one token, its end. A null doc_id counts as fold 0 and so is learned from; repeated rows
     are documents of their own. Without any training document all counts are 0 and only the uniform part is left.
+
+    The rows must come in one order whenever they are read, as those of a table do: a lost task is run again and has to
+    cut the same chunks. Write the result of a shuffle before it is given here.
     """
     spark = docs.sparkSession
     body = text_of()

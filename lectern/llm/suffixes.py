@@ -373,6 +373,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no bytes; a text shorter than ``LENGTH`` loses none. Repeated rows repeat each other's
     strings. Null ids are kept as they are, and an empty table stays empty.
+
+    The rows must come in one order whenever they are read, as those of a table do: a lost task is run again and has to
+    cut the same chunks. Write the result of a shuffle before it is given here.
     """
     spark = docs.sparkSession
     body = text_of()
