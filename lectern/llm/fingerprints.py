@@ -1,7 +1,7 @@
 """Document fingerprints: a homomorphic multiset hash over paragraphs.
 
 Every paragraph is hashed to a wide vector and a document's fingerprint is the sum of those vectors: ``EXACT`` words
-modulo 2^64 that decide equality, and ``LANES`` signed counters modulo 2^16 (one of them moved by one per paragraph)
+modulo 2^32 that decide equality, and ``LANES`` signed counters modulo 2^16 (one of them moved by one per paragraph)
 that allow a likeness. Addition does not mind the order, and a paragraph is put in or taken out by adding or
 subtracting its vector (``insert`` and ``delete``); no other paragraph has to be read again.
 
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from lectern.functions.binding import let, once
 from lectern.llm.common import text_of
 
-EXACT = 4
+EXACT = 8
+MODULUS = 1 << 32
 LANES = 64
 #: Paragraphs end at line ends; within a line also after a mark that ends or divides a sentence.
 BREAK = r"[\r\n]+|(?<=[.!?;,:|])\x20+"
@@ -29,7 +30,7 @@ FANOUT = 32
 
 def paragraphs(text: Column) -> Column:
     """Paragraphs without blank ends; empty ones do not count."""
-    return F.filter(F.transform(F.split(text, BREAK), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, BREAK), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def _wrap(value: Column) -> Column:
@@ -37,16 +38,24 @@ def _wrap(value: Column) -> Column:
     return (F.pmod(value + 32768, F.lit(65536)) - 32768).cast("short")
 
 
-def _vector(hashes: Column) -> Column:
-    """The sum of the vectors behind the paragraph hashes."""
-    codes = F.transform(hashes, lambda h: F.pmod(h, F.lit(2 * LANES)).cast("int"))
+def _words(paragraph: Column) -> Column:
+    """The hash of a paragraph as ``EXACT`` words of 32 bits."""
+
+    def words(digest):
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(EXACT - 1)),
+            lambda j: F.conv(F.substring(digest, j * 8 + 1, F.lit(8)), 16, 10).cast("long"),
+        )
+
+    return let(F.sha2(paragraph, 256), words)
+
+
+def _vector(hashed: Column) -> Column:
+    """The sum of the vectors behind the paragraphs' words; the first word also draws a lane and a sign."""
+    codes = F.transform(hashed, lambda w: (F.get(w, F.lit(0)) % (2 * LANES)).cast("int"))
 
     def exact(j):
-        # 64-bit words wrap around: the bitwise halves are added apart, so that no mode of arithmetic complains.
-        words = F.transform(hashes, lambda h: F.xxhash64(h, F.lit(j)))
-        low = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + w.bitwiseAND(F.lit(0xFFFFFFFF)))
-        high = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.shiftrightunsigned(w, 32))
-        return _carried(low, high)
+        return F.aggregate(hashed, F.lit(0).cast("long"), lambda a, w: a + F.get(w, j)) % MODULUS
 
     def lanes(codes):
         def lane(j):
@@ -57,32 +66,18 @@ def _vector(hashes: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lane)
 
     return F.struct(
-        F.array(*[exact(j) for j in range(EXACT)]).alias("exact"), let(codes, lanes).alias("lanes")
+        F.transform(F.sequence(F.lit(0), F.lit(EXACT - 1)), exact).alias("exact"), let(codes, lanes).alias("lanes")
     )
 
 
-def _carried(low: Column, high: Column) -> Column:
-    """low + high * 2^32 modulo 2^64 from two sums of 32-bit halves."""
-    top = (high + F.shiftrightunsigned(low, 32)).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.shiftleft(top, 32).bitwiseOR(low.bitwiseAND(F.lit(0xFFFFFFFF)))
-
-
 def vector(text: Column) -> Column:
     """Fingerprint of a text as struct<exact: array<bigint>, lanes: array<smallint>>."""
-    return let(F.transform(paragraphs(text), lambda p: F.xxhash64(p)), _vector)
+    return let(F.transform(paragraphs(text), _words), _vector)
 
 
 def _combined(a: Column, b: Column, sign: int) -> Column:
-    half = F.lit(0xFFFFFFFF)
-
-    def word(x, y):
-        if sign < 0:  # two's complement: -y = ~y + 1
-            y = F.bitwise_not(y)
-        low = x.bitwiseAND(half) + y.bitwiseAND(half) + (1 if sign < 0 else 0)
-        return _carried(low, F.shiftrightunsigned(x, 32) + F.shiftrightunsigned(y, 32))
-
     return F.struct(
-        F.zip_with(a["exact"], b["exact"], word).alias("exact"),
+        F.zip_with(a["exact"], b["exact"], lambda x, y: F.pmod(x + sign * y, F.lit(MODULUS))).alias("exact"),
         F.zip_with(a["lanes"], b["lanes"], lambda x, y: _wrap(x.cast("int") + sign * y.cast("int"))).alias("lanes"),
     )
 
@@ -99,7 +94,7 @@ def delete(fingerprint: Column, removed: Column) -> Column:
 
 def shown(vector: Column) -> Column:
     """The vector as text: hexadecimal words, then the lanes in hexadecimal."""
-    words = F.transform(vector["exact"], lambda w: F.lpad(F.hex(w), 16, "0"))
+    words = F.transform(vector["exact"], lambda w: F.lpad(F.hex(w), 8, "0"))
     lanes = F.transform(vector["lanes"], lambda c: F.lpad(F.hex(F.pmod(c.cast("int"), F.lit(65536))), 4, "0"))
     return F.lower(F.concat(F.array_join(words, ""), F.array_join(lanes, "")))
 
@@ -173,6 +168,39 @@ def with_next(docs: DataFrame, key: str, values: list[str]) -> DataFrame:
     return rows.select(key, *values, *[F.col("_next")[v].alias(f"next_{v}") for v in values])
 
 
+def _split_sql(text: str) -> str:
+    marked = f"regexp_replace(regexp_replace({text}, '([.!?;,:|]) +', '\\1' || chr(1), 'g'), '[\\r\\n]+', chr(1), 'g')"
+    return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def _like_sql(a: str, b: str) -> str:
+    dot = "list_dot_product({0}.lanes, {1}.lanes)"
+    size = f"sqrt({dot.format(a, a)} * {dot.format(b, b)})"
+    return f"""CASE WHEN {a}.words = {b}.words THEN 1.0::DOUBLE
+        ELSE least(greatest(CASE WHEN {size} > 0 THEN {dot.format(a, b)} / {size} ELSE 0.0 END, 0.0), 0.999999::DOUBLE) END"""
+
+
+#: The same over all documents with different ids, for DuckDB.
+SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), (SELECT text FROM d ORDER BY doc_id DESC LIMIT 1)) AS following FROM d),
+e AS (SELECT *, substr(text, 1, length(text) - length(text) // 2) || substr(following, 1, length(text) // 2) AS edited FROM n),
+t AS (SELECT DISTINCT t FROM (SELECT text AS t FROM e UNION ALL SELECT edited FROM e)),
+h AS (SELECT t, sha256(p) AS h FROM (SELECT t, unnest({_split_sql('t')}) AS p FROM t)),
+sums AS (SELECT t, j, sum(CAST('0x' || substr(h, j * 8 + 1, 8) AS BIGINT)) % {MODULUS} AS w FROM h, range({EXACT}) AS r(j) GROUP BY t, j),
+moves AS (SELECT t, code % {LANES} AS j, sum(CASE WHEN code < {LANES} THEN 1 ELSE -1 END) AS c
+          FROM (SELECT t, CAST('0x' || substr(h, 1, 8) AS BIGINT) % {2 * LANES} AS code FROM h) GROUP BY ALL),
+exact AS (SELECT t.t, string_agg(format('{{:08x}}', CAST(coalesce(w, 0) AS BIGINT)), '' ORDER BY r.j) AS words
+          FROM t CROSS JOIN range({EXACT}) AS r(j) LEFT JOIN sums ON sums.t = t.t AND sums.j = r.j GROUP BY t.t),
+lanes AS (SELECT t.t, list(CAST(coalesce(c, 0) AS DOUBLE) ORDER BY r.j) AS lanes,
+                 string_agg(format('{{:04x}}', CAST((coalesce(c, 0) + 65536) % 65536 AS BIGINT)), '' ORDER BY r.j) AS shown
+          FROM t CROSS JOIN range({LANES}) AS r(j) LEFT JOIN moves ON moves.t = t.t AND moves.j = r.j GROUP BY t.t),
+v AS (SELECT t, words, lanes, words || shown AS shown FROM exact JOIN lanes USING (t))
+SELECT doc_id, CAST(length(e.text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, a.shown AS fingerprint,
+       b.shown AS edited_fingerprint, {_like_sql('a', 'b')} AS near_edited, {_like_sql('a', 'c')} AS near_next
+FROM e JOIN v a ON a.t = e.text JOIN v b ON b.t = e.edited JOIN v c ON c.t = e.following"""
+
+
 def op4(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited form (the last half replaced by the start of the next text)."""
     own = docs.select("doc_id", text_of().alias("text")).withColumn("v", vector(F.col("text")))

@@ -101,7 +101,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     body = text_of(text)
     slim = docs.select(
         F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), count_words(body).alias("size"),
-        F.xxhash64(F.col(key), body, F.lit(seed)).alias("h"),
+        _number(F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(body), F.lit(seed)).alias("h"),
     )
     slim = written(slim, "mix-sizes")
     return mix_sizes(slim, weights, share, repeats, block, seed)
@@ -115,7 +115,8 @@ def _key(source: Column) -> Column:
 def mix_sizes(slim: DataFrame, weights, share: float, repeats: int, block: int, seed: int) -> DataFrame:
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = targets(sizes, weights, share, repeats)
-    sources = sources.withColumn("_seats", F.round(F.sum("target").over(W.partitionBy(F.lit(1))) / block).cast("long"))
+    words = F.sum("source_size").over(W.partitionBy(F.lit(1)))
+    sources = sources.withColumn("_seats", F.floor(words * F.lit(share) / block + 0.5).cast("long"))
     sources = apportion(sources, [], "source", "target", "_seats", "seats")
     # A source's shards hold about SHARD_WORDS words each; groups of shards keep every apportionment small.
     shards = F.ceil(F.col("source_size") / SHARD_WORDS).cast("long")
@@ -161,7 +162,64 @@ def mix_sizes(slim: DataFrame, weights, share: float, repeats: int, block: int,
 
 def _draw(source: Column, shard: Column, block: Column, seed: int) -> Column:
     """The seeded number by which a shard's blocks are drawn, lowest first."""
-    return F.xxhash64(source, shard, block.cast("long"), F.lit(seed))
+    return _number(source, shard, block, F.lit(seed))
+
+
+def _number(*parts: Column) -> Column:
+    """Sixty bits drawn by hash from the parts, the same in every engine with md5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
+
+
+def _seats_sql(units: str, by: str, unit: str, size: str, seats: str) -> str:
+    """Rows of ``units`` with ``got``: every quotient ranked, the first ``seats`` of each group taken."""
+    over = f"PARTITION BY {by} " if by else ""
+    return f"""(SELECT u.*, coalesce(q.got, 0) AS got FROM {units} u LEFT JOIN (
+      SELECT {by + ',' if by else ''} {unit}, count(*) AS got FROM (
+        SELECT *, row_number() OVER ({over}ORDER BY {size} / (2 * j - 1) DESC, {unit} NULLS LAST, j) AS place FROM (
+          SELECT *, unnest(range(1, 3 + CAST(ceil(CAST({size} AS DOUBLE) / whole * ({seats} + n / 2.0)) AS BIGINT))) AS j FROM (
+            SELECT *, sum(CAST({size} AS DOUBLE)) OVER ({over}) AS whole, count(*) OVER ({over}) AS n FROM {units} WHERE {size} > 0)))
+      WHERE place <= {seats} GROUP BY {by + ',' if by else ''} {unit}) q
+      ON u.{unit} IS NOT DISTINCT FROM q.{unit} {' '.join(f'AND u.{b} = q.{b}' for b in by.split(', ') if b)})"""
+
+
+def _number_sql(*parts: str) -> str:
+    return "CAST('0x' || substr(md5(" + " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts) + "), 1, 15) AS BIGINT)"
+
+
+#: The same over all documents, for DuckDB.
+SQL = f"""
+WITH slim AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
+    {_number_sql("coalesce(CAST(doc_id AS VARCHAR), '')", "md5(coalesce(text, ''))", str(SEED))} AS h,
+    coalesce('=' || source, '') AS k FROM documents),
+sizes AS (SELECT source, k, CAST(sum(size) AS BIGINT) AS source_size FROM slim GROUP BY ALL),
+weighed AS (SELECT *, [{', '.join(f'{w}::DOUBLE' for w in WEIGHTS)}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS weight,
+    CAST(source_size AS DOUBLE) * {REPEATS} AS most FROM sizes),
+tried AS (SELECT *, most / weight AS ratio, ((SELECT sum(source_size) FROM sizes) * {SHARE}::DOUBLE
+      - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS multiple FROM weighed),
+targets AS (SELECT source, k, source_size, CASE WHEN most > 0 THEN least(most, weight * coalesce(
+    (SELECT multiple FROM tried WHERE multiple <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1), 'inf'::DOUBLE)) ELSE 0.0 END AS target,
+    CAST(floor((SELECT sum(source_size) FROM sizes) * {SHARE}::DOUBLE / {BLOCK} + 0.5) AS BIGINT) AS seats,
+    greatest(CAST(ceil(source_size / {SHARD_WORDS}.0) AS BIGINT), 1) AS shards FROM tried),
+sources AS (SELECT *, CAST(ceil(sqrt(shards)) AS BIGINT) AS groups FROM {_seats_sql('targets', '', 'source', 'target', 'seats')}),
+placed AS (SELECT s.*, t.source_size, t.target, t.got, s.h % t.shards AS shard, s.h % t.shards % t.groups AS g
+           FROM slim s JOIN sources t USING (k)),
+by_shard AS (SELECT k, g, shard, CAST(sum(size) AS BIGINT) AS words FROM placed GROUP BY ALL),
+by_group AS (SELECT k, g, CAST(sum(size) AS BIGINT) AS words, any_value(got) AS seats FROM placed GROUP BY ALL),
+of_group AS (SELECT k, g, got AS seats FROM {_seats_sql('by_group', 'k', 'g', 'words', 'seats')}),
+shard_units AS (SELECT b.*, o.seats FROM by_shard b JOIN of_group o USING (k, g)),
+quota AS (SELECT k, shard, blocks, least(got, {REPEATS} * blocks) AS quota FROM (
+    SELECT *, CAST(ceil(words / {BLOCK}.0) AS BIGINT) AS blocks FROM {_seats_sql('shard_units', 'k, g', 'shard', 'words', 'seats')})),
+rounds AS (SELECT *, CASE WHEN blocks > 0 THEN quota // blocks ELSE 0 END AS rounds, CASE WHEN blocks > 0 THEN quota % blocks ELSE 0 END AS rest FROM quota),
+drawn AS (SELECT k, shard, b, {_number_sql('k', 'shard', 'b', str(SEED))} AS draw FROM (SELECT k, shard, unnest(range(blocks)) AS b FROM quota)),
+taken AS (SELECT k, shard, b, place <= rest AS more FROM (
+    SELECT *, row_number() OVER (PARTITION BY k, shard ORDER BY draw) AS place FROM drawn) JOIN rounds USING (k, shard)),
+stream AS (SELECT *, CAST(sum(size) OVER (PARTITION BY k, shard ORDER BY h, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM placed),
+parts AS (SELECT doc_id, h, k, shard, size, sum(least((b + 1) * {BLOCK}, stop) - greatest(b * {BLOCK}, stop - size)) FILTER (more) AS extra
+    FROM (SELECT *, unnest(range((stop - size) // {BLOCK}, (stop - 1) // {BLOCK} + 1)) AS b FROM stream WHERE size > 0)
+    JOIN taken USING (k, shard, b) GROUP BY ALL)
+SELECT s.doc_id, s.size, s.source_size, s.target, CAST(r.rounds * s.size + coalesce(p.extra, 0) AS BIGINT) AS taken
+FROM stream s JOIN rounds r USING (k, shard) LEFT JOIN parts p ON p.k = s.k AND p.shard = s.shard AND p.h = s.h AND p.doc_id = s.doc_id"""
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -62,3 +62,9 @@ def test_likeness_follows_the_shared_part(make):
     rows = [(2, "\n".join(lines)), (1, "\n".join(f"other {i} words." for i in range(400)))]
     got = {r["doc_id"]: r for r in fp.op4(make(rows)).collect()}
     assert 0.25 < got[2]["near_edited"] < 0.75 and got[2]["near_next"] < 0.45
+
+
+def test_blanks_around_a_paragraph_do_not_count(make):
+    rows = [(1, "12 a b. 3 c\n5 d"), (2, "  12 a b.   3 c \n\n 5 d  ")]
+    got = {r["doc_id"]: r["fingerprint"] for r in fp.op4(make(rows)).collect()}
+    assert got[1] == got[2]
