@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.binding import once
-from lectern.llm.common import column, slices, text_of, written
+from lectern.llm.common import WORD, column, slices, text_of, written
 from lectern.llm.components import components
 
 WORDS = 5
@@ -296,6 +296,25 @@ def _verified(texts: DataFrame, found: DataFrame, classes: DataFrame) -> DataFra
     return written(small.union(large), "jaccard-verified")
 
 
+#: The same over all documents for DuckDB, every pair with a common shingle compared.
+SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(ws[i : i + {WORDS - 1}], ' ') AS shingle
+      FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - {WORDS - 1}, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+pairs AS (SELECT a.r AS x, b.r AS y, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.r <> b.r GROUP BY a.r, b.r),
+links AS (SELECT x, y, nx.n = common AND ny.n = common AS same FROM pairs JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y
+          WHERE common >= {THRESHOLD} * (nx.n + ny.n - common) - 1e-6
+          UNION ALL SELECT a.r, b.r, true FROM d a JOIN d b ON len(a.ws) = 0 AND len(b.ws) = 0 AND a.r <> b.r),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+counts AS (SELECT x, count(*) AS n_links FROM links GROUP BY x),
+alike AS (SELECT x, min(doc_id) AS least FROM links JOIN d ON d.r = y WHERE same GROUP BY x),
+tied AS (SELECT x, min(doc_id) AS least FROM reach JOIN d ON d.r = y GROUP BY x)
+SELECT doc_id, least(doc_id, alike.least) AS class_id, least(doc_id, tied.least) AS group_id, coalesce(n_links, 0) AS n_links
+FROM d LEFT JOIN counts ON counts.x = r LEFT JOIN alike ON alike.x = r LEFT JOIN tied ON tied.x = r"""
+
+
 def op1(docs: DataFrame) -> DataFrame:
     return join(docs).select("doc_id", "class_id", "group_id", "n_links")
 

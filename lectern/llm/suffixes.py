@@ -391,6 +391,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return compared.groupBy("chunk").applyInArrow(_dropped, schema)
 
 
+#: The same over all documents with different ids for DuckDB, every string counted. Bytes are pairs of hexadecimal digits.
+SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS m
+      FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - {LENGTH - 1})) AS i FROM d WHERE length(h) >= {2 * LENGTH})),
+again AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+marked AS (SELECT doc_id, i, coalesce(i > {LENGTH} + lag(i) OVER (PARTITION BY doc_id ORDER BY i), true) AS fresh FROM w SEMI JOIN again USING (m)),
+numbered AS (SELECT doc_id, i, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+runs AS (SELECT doc_id, run, min(i) AS low, max(i) + {LENGTH} AS high FROM numbered GROUP BY ALL),
+gaps AS (SELECT doc_id, low, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS start, low AS stop FROM runs
+         UNION ALL SELECT doc_id, 1099511627776, coalesce(max(high), 0), any_value(length(h) // 2) FROM d LEFT JOIN runs USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * start + 1, 2 * (stop - start)), '' ORDER BY low) AS k FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST((length(h) - length(k)) // 2 AS BIGINT) AS n_removed,
+       (SELECT count(*) FROM runs r WHERE r.doc_id = d.doc_id) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id)"""
+
+
 def op8(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
