@@ -143,6 +143,67 @@ def digest_columns(found: Column) -> dict[str, Column]:
     }
 
 
+def _sql() -> str:
+    """The same over all documents with different ids, for DuckDB, whose patterns know no look-behind.
+
+    A pattern that takes a whole run of characters needs none; a base64 string must not follow an equals sign.
+    """
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def either(word: str) -> str:
+        return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+    head = "(" + "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key"))) + ASSIGN_HEAD[ASSIGN_HEAD.index(")") :]
+    head = head.replace("\\x20", " ")
+
+    def found(kind: str, pattern: str, keep: str) -> str:
+        sizes = "list_sum(list_transform({}[1:i], lambda x: length(x)))"
+        return f"""SELECT doc_id, t, {quoted(kind)} AS kind, {KINDS.index(kind)} AS n, stop - length(hit) AS start, stop, hit FROM (
+          SELECT doc_id, t, hits[i] AS hit, CAST({sizes.format('gaps')} + {sizes.format('hits')} AS BIGINT) AS stop FROM (
+            SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+              SELECT doc_id, t, regexp_extract_all(t, {quoted(pattern)}) AS hits, string_split_regex(t, {quoted(pattern)}) AS gaps FROM d)))
+          WHERE {keep}"""
+
+    rules = {
+        "assign": (head + "[A-Za-z0-9+/_.=-]+", f"length(regexp_replace(hit, {quoted('^' + head)}, '')) >= 8"),
+        "access": (ACCESS, "length(hit) >= 16"),
+        "hex": ("[0-9a-f]+", "length(hit) >= 32"),
+    }
+    base = " UNION ALL ".join(found(kind, *rule) for kind, rule in rules.items())
+    known = " OR ".join(f"regexp_matches(hit, {quoted(rule)})" for rule in ALLOW)
+    parts = []
+    for kind, (pattern, least, narrower) in CLASSES.items():
+        keep = f"NOT ({known}) AND entropy(hit) >= {least}"
+        if narrower:
+            keep += f" AND NOT regexp_matches(hit, {quoted(narrower)})"
+        if kind == "entropy_base64":
+            keep += " AND (stop = length(hit) OR substr(t, stop - length(hit), 1) <> '=')"
+        parts.append(found(kind, pattern[pattern.index(")") + 1 :], keep))
+    cost = "list_sum(list_transform(list_distinct(c), lambda x: len(list_filter(c, lambda y: y = x)) * log2(len(list_filter(c, lambda y: y = x)))))"
+    for i, part in enumerate(parts):  # the entropy of the best window
+        windows = f"list_transform(range(1, length(hit) - {WINDOW} + 2), lambda j: string_split(substr(hit, j, {WINDOW}), ''))"
+        best = f"log2({WINDOW}) - list_min(list_transform({windows}, lambda c: {cost})) / {WINDOW}"
+        parts[i] = part.replace("entropy(hit)", f"({best})")
+    shown = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, n, stop)"
+    counts = ", ".join(f"count(*) FILTER (kind = {quoted(k)}) AS n_{k}" for k in BASE_KINDS)
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    base AS ({base}),
+    others AS ({" UNION ALL ".join(parts)}),
+    added AS (SELECT * FROM others o WHERE NOT EXISTS (
+        SELECT 1 FROM base b WHERE b.doc_id = o.doc_id AND b.start < o.stop AND o.start < b.stop)),
+    everything AS (SELECT * FROM base UNION ALL SELECT * FROM added)
+    SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE_KINDS)},
+           sha256(coalesce(of_base, '')) AS base_sha256, coalesce(of_all, '') AS spans
+    FROM d LEFT JOIN (SELECT doc_id, {counts}, {shown} AS of_base FROM base GROUP BY doc_id) USING (doc_id)
+    LEFT JOIN (SELECT doc_id, {shown} AS of_all FROM everything GROUP BY doc_id) USING (doc_id)"""
+
+
+SQL = _sql()
+
+
 def op10(docs: DataFrame) -> DataFrame:
     found = find_secrets(docs.select("doc_id", "text"))
     return found.select("doc_id", *[c.alias(name) for name, c in digest_columns(F.col("secrets")).items()])

@@ -157,3 +157,24 @@ def test_labelers_add_spans_and_redaction_uses_them(make):
     assert ("email", "jo@mail.com") in spans[200]
     texts = {r["doc_id"]: r["text"] for r in pii.redact(found).collect()}
     assert texts[3] == "call my phone <PHONE> now" and texts[201] is None and texts[202] == "card <CARD>"
+
+
+def test_secrets_match_sql_on_odd_texts(make):
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(11)
+    alphabet = "abcdef0123456789", "ABCdefGHIjkl0123456789xyz", "aZ09+/_-bY18cX27"
+    texts = [t for t in odd_texts() if t is None or len(t) < 3000]
+    texts += [
+        " ".join("".join(rng.choice(a) for _ in range(rng.randint(15, 60))) + rng.choice(["", "=", "=="]) for a in alphabet)
+        for _ in range(60)
+    ]
+    texts += ["token=" + "q9Z" * 12 + " x=" + "Ab1+Cd2/Ef3-Gh4_Ij5Kl6", "uuid 123e4567-e89b-12d3-a456-426614174000 sample1234567890abcdeFGH"]
+    rows = list(enumerate(texts))
+    got = sorted(tuple(r) for r in secret_scan.op10(make(rows)).collect())
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    want = sorted(con.execute(secret_scan.SQL).fetchall())
+    assert got == want
+    assert sum("entropy" in r[-1] for r in got) > 30
