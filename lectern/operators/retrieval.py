@@ -32,6 +32,8 @@ HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 50_000
 MAX_SALTS = 4096
 MAX_BROADCAST_ROWS = 50_000
+# Candidate pairs are a few numbers each; up to this many are broadcast to the chunks.
+MAX_CANDIDATES = 500_000
 
 
 def clamp_k(k: Column) -> Column:
@@ -267,12 +269,12 @@ def _matches_by_index(
     )
     # Few candidates meet the chunks where these are read, so no text moves; many of them are shuffled with the chunks.
     # Keys are compared null-safe, as the scan plan does not compare them at all.
-    renamed = candidates.select(query_id, *[F.col(c).alias(f"_k{i}") for i, c in enumerate(chunk_keys)])
-    few = as_broadcast(renamed, MAX_BROADCAST_ROWS)
+    renamed = cut(candidates.select(query_id, *[F.col(c).alias(f"_k{i}") for i, c in enumerate(chunk_keys)]))
+    few = renamed.count() <= MAX_CANDIDATES
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(chunk_keys)])
     # Texts are tokenised once per chunk and candidate.
     scored = (
-        chunks.join(renamed.hint("merge") if few is None else few, same)
+        chunks.join(F.broadcast(renamed) if few else renamed.hint("merge"), same)
         .withColumn("_d", T.distinct_tokens(F.col(text)))
         .join(broadcast_if_small(asked), query_id)
         .withColumn(

@@ -75,8 +75,9 @@ def test_null_keys_and_repeated_chunks_give_the_same_rows_in_both_plans(spark, m
     asked = spark.createDataFrame([(1, "red ring"), (None, "blue"), (3, None)], "query_id int, query string")
     asked = asked.filter("query_id is not null")
     keys = ["doc_id", "chunk_no"]
-    for limit in (R.MAX_BROADCAST_ROWS, 0):
-        monkeypatch.setattr(R, "MAX_BROADCAST_ROWS", limit)
+    for limit in (R.MAX_CANDIDATES, 0):
+        monkeypatch.setattr(R, "MAX_BROADCAST_ROWS", min(limit, R.MAX_BROADCAST_ROWS))
+        monkeypatch.setattr(R, "MAX_CANDIDATES", limit)
         got = [
             sorted(map(str, R.keyword_matches(chunks, asked, keys, use_index=i).select("query_id", *keys, "score").collect()))
             for i in (False, True)
@@ -106,6 +107,7 @@ def test_index_with_hot_tokens_and_shuffles(spark, sf, monkeypatch):
     keys = ["doc_id", "chunk_no"]
     want = sorted(map(tuple, R.keyword_matches(chunks, asked, keys, use_index=False).select("query_id", *keys, "score").collect()))
     monkeypatch.setattr(R, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(R, "MAX_CANDIDATES", 0)
     args = (chunks, asked, keys, "query_id", "query", "text", 0.18)
     got = R._matches_by_index(*args, hot_rows=20).select("query_id", *keys, "score")
     assert sorted(map(tuple, got.collect())) == want
