@@ -11,6 +11,8 @@ of one anchor start next to each other; the bytes they cover are the anchor's co
    repeated one) and cuts them into cells of ``CELL`` bytes, counted from the anchor, so that equal strings are cut
    alike. Cells are the symbols of a sequence whose suffix array is built by ``grouping.suffix_array``. Neighbours in
    the array that share all the cells a string surely holds are candidates, and the few bytes at either end decide.
+   An anchor with more than ``MOST_CONTEXTS`` contexts is not looked at in one place: each of its strings goes, as
+   ``HOT_BITS`` bits of its hash, to the bucket of that hash, where it is counted. A chunk sends a string once.
 3. The chunk joins what it learned to spans and drops them.
 
 Chunks send their texts along, compressed, so that rows need no key: repeated rows and null ids are no special case.
@@ -41,6 +43,11 @@ MAX_BUCKETS = 8192
 SEGMENT = 1 << 22
 #: Context bytes that are sorted at a time; the contexts of one anchor stay together.
 SORTED_BYTES = 1 << 20
+#: Distinct contexts of one anchor that are sorted together; these have less than SORTED_BYTES.
+MOST_CONTEXTS = 2048
+#: Bits that tell the strings of hotter anchors apart, and the contexts whose strings are hashed at a time.
+HOT_BITS = 96
+HASHED_AT_ONCE = 1024
 #: Cells that every string of LENGTH bytes holds whole, from its first cell border on.
 WHOLE = (LENGTH - CELL + 1) // CELL
 EDGE = LENGTH - WHOLE * CELL
@@ -48,7 +55,7 @@ SENT = "bucket long, chunk long, payload binary"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-ONCE, REPEATED, OPEN, REPEATED_AND_ASKED = range(4)
+ONCE, REPEATED, OPEN, REPEATED_AND_ASKED, HOT, REPEATED_AND_HOT = range(6)
 
 
 class _Powers:
@@ -171,8 +178,8 @@ def _replies(group: pa.Table, payloads: list[bytes]) -> pa.Table:
     return pa.table({"bucket": group["bucket"], "chunk": group["chunk"], "payload": pa.array(payloads, pa.binary())})
 
 
-def _answer(group: pa.Table) -> pa.Table:
-    """Tells every chunk which of its contexts repeat, which cannot, and which have to be looked at."""
+def _answer(group: pa.Table, most: int = MOST_CONTEXTS) -> pa.Table:
+    """Tells every chunk which of its contexts repeat, which cannot, and which have to be looked at, and how."""
     if group["bucket"][0].as_py() < 0:
         return group
     asked = [pickle.loads(p.as_py()) for p in group["payload"]]
@@ -185,11 +192,12 @@ def _answer(group: pa.Table) -> pa.Table:
     contexts = np.diff(np.append(starts, len(g)))
     single = np.add.reduceat((total == 1).astype(np.int64), starts) if len(g) else np.zeros(0, np.int64)
     several = np.repeat((contexts > 1) & (single > 0), contexts)
-    state = np.where(total > 1, REPEATED, np.where(several, OPEN, ONCE))[at]
+    hot = np.repeat(contexts > most, contexts)
+    state = np.where(total > 1, REPEATED, np.where(several, np.where(hot, HOT, OPEN), ONCE))[at]
     # Of a repeated context that others are to be compared with, the first chunk that asked sends the bytes.
     _, first = np.unique(at, return_index=True)
-    first = first[(total > 1) & several]
-    state[first] = REPEATED_AND_ASKED
+    asked_for = (total > 1) & several
+    state[first[asked_for]] = np.where(hot[asked_for], REPEATED_AND_HOT, REPEATED_AND_ASKED)
     replies = np.split(state.astype(np.uint8), np.cumsum(sizes)[:-1])
     return _replies(group, [packed(r) for r in replies])
 
@@ -201,6 +209,37 @@ def _by_bucket(group: pa.Table) -> tuple[bytes, list[int], list[bytes]]:
     return payloads[order[0]].as_py(), [buckets[i] for i in order[1:]], [payloads[i].as_py() for i in order[1:]]
 
 
+def _strings(texts: list[bytes], number: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Every string of some contexts: two parts of its hash, the number of its text and where it starts."""
+    found = []
+    for begin in range(0, len(number), HASHED_AT_ONCE):
+        some = slice(begin, begin + HASHED_AT_ONCE)
+        counts = stop[some] - start[some] - LENGTH + 1
+        of = np.repeat(number[some], counts)
+        where = np.repeat(start[some] - (np.cumsum(counts) - counts), counts) + np.arange(len(of))
+        digests = [xxhash.xxh3_128_digest(texts[n][a : a + LENGTH]) for n, a in zip(of.tolist(), where.tolist(), strict=True)]
+        parts = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+        found.append((parts[:, 0].copy(), (parts[:, 1] >> np.uint64(128 - HOT_BITS)).astype(np.uint32), of, where))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _hot_rows(found: tuple[np.ndarray, ...], is_open: np.ndarray, buckets: list[int]) -> tuple[list, np.ndarray]:
+    """(bucket, payload) with each distinct string once, and which of the strings repeat among themselves."""
+    key, rest, number, where = found
+    key, rest, counts, at = _distinct(key, rest)
+    _, first = np.unique(at, return_index=True)
+    again, asks = counts > 1, is_open[first]
+    cuts = np.searchsorted(bucket_of(key, 64, len(buckets)), np.arange(len(buckets) + 1, dtype=np.uint64))
+    rows = []
+    for b, (low, high) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        if low == high:
+            continue
+        x = first[low:high]
+        arrays = [rest[low:high], again[low:high], asks[low:high], small(number[x]), small(where[x])]
+        rows.append((buckets[b], pickle.dumps((None, 0, [packed_sorted(key[low:high]), *map(packed, arrays)]))))
+    return rows, again[at]
+
+
 def _opened(group: pa.Table) -> pa.Table:
     """A chunk marks what repeats as a whole, and sends on the contexts that have to be looked at."""
     own, buckets, replies = _by_bucket(group)
@@ -210,11 +249,20 @@ def _opened(group: pa.Table) -> pa.Table:
     g, _, counts, at = _distinct(grams, whole)
     state = np.concatenate([unpacked(r) for r in replies]) if replies else np.zeros(0, np.uint8)
     mine = state[at]
-    known = (mine == REPEATED) | (mine == REPEATED_AND_ASKED)
-    marks = [packed(small(x[known])) for x in (number, start, stop)]
-    rows = [(-1 - chunk, chunk, pickle.dumps((own, marks)))]
+    known = np.isin(mine, (REPEATED, REPEATED_AND_ASKED, REPEATED_AND_HOT))
+    marked = [x[known] for x in (number, start, stop)]
+    rows = []
     # One row of each distinct context that is sent: of an open one it is the only one here or anywhere.
     _, first = np.unique(at, return_index=True)
+    hot = first[np.isin(state, (HOT, REPEATED_AND_HOT))] if len(g) else first
+    if len(hot):
+        found = _strings(texts, number[hot], start[hot], stop[hot])
+        is_open = np.repeat(mine[hot] == HOT, stop[hot] - start[hot] - LENGTH + 1)
+        hot_rows, here = _hot_rows(found, is_open, buckets)
+        rows += [(bucket, chunk, payload) for bucket, payload in hot_rows]
+        _, _, of, where = (x[here] for x in found)
+        marked = [np.concatenate(x) for x in zip(marked, (of, where, where + LENGTH), strict=True)]
+    rows.append((-1 - chunk, chunk, pickle.dumps((own, [packed(small(x)) for x in marked]))))
     sent = first[np.isin(state, (OPEN, REPEATED_AND_ASKED))] if len(g) else first
     where = np.searchsorted(bucket_of(grams[sent], 64, len(buckets)), np.arange(len(buckets) + 1, dtype=np.uint64))
     for b in range(len(buckets)):
@@ -314,12 +362,36 @@ def _by_anchor(body: np.ndarray, grams: np.ndarray, sizes: np.ndarray, offsets:
 
 
 def _compared(group: pa.Table) -> pa.Table:
-    """Looks at the open contexts of a bucket and tells each chunk which strings of its own repeat."""
+    """Tells each chunk which strings of its own repeat, of the open contexts and of the hot strings of a bucket."""
     if group["bucket"][0].as_py() < 0:
         return group
+    sent = [pickle.loads(p.as_py()) for p in group["payload"]]
+    is_hot = np.array([body is None for body, *_ in sent])
+    replies = np.empty(len(sent), object)
+    for kind, of in ((_counted, is_hot), (_looked_at, ~is_hot)):
+        if of.any():
+            replies[of] = kind([x for x, mine in zip(sent, of.tolist(), strict=True) if mine])
+    return _replies(group, replies.tolist())
+
+
+def _counted(sent: list[tuple]) -> list[bytes]:
+    """For each chunk the spans of its hot strings that another chunk has too."""
+    parts = [[unpacked_sorted(arrays[0]), *[unpacked(x) for x in arrays[1:]]] for _, _, arrays in sent]
+    key, rest, again = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    _, _, counts, at = _distinct(key, rest)
+    # What repeats in its own chunk is marked there.
+    repeats = np.split((counts[at] > 1) & ~again, np.cumsum([len(p[0]) for p in parts])[:-1])
+    out = []
+    for (*_, asks, number, where), found in zip(parts, repeats, strict=True):
+        number, where = (x[found & asks].astype(np.int64) for x in (number, where))
+        out.append(pickle.dumps([packed(small(x)) for x in (number, where, where + LENGTH)]))
+    return out
+
+
+def _looked_at(sent: list[tuple]) -> list[bytes]:
+    """For each chunk the spans of its open contexts that repeat."""
     bodies, parts = [], []
-    for p in group["payload"]:
-        body, size, arrays = pickle.loads(p.as_py())
+    for body, size, arrays in sent:
         bodies.append(np.frombuffer(pa.decompress(body, decompressed_size=size, codec="zstd", asbytes=True), np.uint8))
         parts.append([unpacked_sorted(arrays[0]), *[unpacked(x).astype(np.int64) for x in arrays[1:]]])
     grams, number, start, sizes, offsets, is_open = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -337,7 +409,7 @@ def _compared(group: pa.Table) -> pa.Table:
     spans = (number[owner_of], start[owner_of] + where[first], start[owner_of] + where[last] + LENGTH)
     cuts = np.searchsorted(owner_of, np.cumsum([len(p[0]) for p in parts])[:-1])
     split = [np.split(x, cuts) for x in spans]
-    return _replies(group, [pickle.dumps([packed(small(x[i])) for x in split]) for i in range(len(parts))])
+    return [pickle.dumps([packed(small(x[i])) for x in split]) for i in range(len(parts))]
 
 
 def _dropped(group: pa.Table) -> pa.Table:
@@ -384,7 +456,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     buckets = int(min(MAX_BUCKETS, max(size // BUCKET_BYTES, 4 * partitions)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"))
     asked = rows.mapInArrow(_asked(buckets), SENT)
-    answered = asked.groupBy("bucket").applyInArrow(_answer, SENT)
+    most = MOST_CONTEXTS
+    answered = asked.groupBy("bucket").applyInArrow(lambda group: _answer(group, most), SENT)
     opened = answered.groupBy("chunk").applyInArrow(_opened, SENT)
     compared = opened.groupBy("bucket").applyInArrow(_compared, SENT)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"

@@ -5,6 +5,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from lectern.llm import suffixes
@@ -82,3 +84,50 @@ def test_suffix_array():
         if rng.random() < 0.3:
             s = s + s[: len(s) // 2] + s
         assert suffix_array(np.array(s, int)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def hot_corpus(seed, documents, line_bytes):
+    """One line in every document, other text around it; a few documents share more than the line."""
+    rng = random.Random(seed)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    line = text(line_bytes)
+    texts = [text(rng.randint(0, 300)) + line + text(rng.randint(0, 300)) for _ in range(documents)]
+    shared = [text(rng.randint(1, 150)) + line + text(rng.randint(1, 150)) for _ in range(5)]
+    return texts + [text(9) + rng.choice(shared) + text(9) for _ in range(20)] + texts[:3]
+
+
+@pytest.mark.parametrize(("line_bytes", "chunk"), [(60, 4000), (190, 8 << 20), (190, 4000), (230, 4000)])
+def test_hot_anchors_against_all_strings(make, line_bytes, chunk, monkeypatch):
+    monkeypatch.setattr(suffixes, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(suffixes, "MOST_CONTEXTS", 3)
+    texts = hot_corpus(line_bytes, 80, line_bytes) + corpus(5)
+    got = sorted((str(r[0]), *r[1:]) for r in suffixes.op8(make(list(enumerate(texts)))).collect())
+    assert got == sorted((str(i), *e) for i, e in enumerate(expected(texts)))
+
+
+@pytest.mark.parametrize("line_bytes", [100, 199])
+def test_a_hot_anchor_is_not_sorted_in_one_place(line_bytes, monkeypatch):
+    texts = hot_corpus(7, 9000, line_bytes)
+    sorted_bytes, whole = [], suffixes.repeated_starts
+
+    def watched(body, *args):
+        sorted_bytes.append(len(body))
+        return whole(body, *args)
+
+    def grouped(tables, key):
+        rows = pa.concat_tables(tables)
+        for k in sorted(set(rows[key].to_pylist())):
+            yield rows.filter(pc.equal(rows[key], k))
+
+    task = type("Task", (), {"get": classmethod(lambda cls: cls), "partitionId": staticmethod(lambda: 0)})
+    monkeypatch.setattr(suffixes, "TaskContext", task)
+    monkeypatch.setattr(suffixes, "CHUNK_BYTES", 1 << 20)
+    monkeypatch.setattr(suffixes, "repeated_starts", watched)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    tables = [pa.Table.from_batches(suffixes._asked(4)([batch]))]
+    for key, step in (("bucket", "_answer"), ("chunk", "_opened"), ("bucket", "_compared"), ("chunk", "_dropped")):
+        tables = [getattr(suffixes, step)(group) for group in grouped(tables, key)]
+    got = pa.concat_tables(tables).sort_by("doc_id")
+    kept = [hashlib.sha256(k).hexdigest() for k in got["kept"].to_pylist()]
+    assert list(zip(got["n_bytes"].to_pylist(), got["n_removed"].to_pylist(), got["n_spans"].to_pylist(), kept)) == expected(texts)
+    assert max(sorted_bytes, default=0) < 2 * suffixes.SORTED_BYTES
