@@ -1,10 +1,12 @@
-"""N-gram Jaccard join: a MinHash LSH forest proposes, exact set comparison decides.
-
-1. Every text becomes its set of five-word shingles (hashed) and a signature of ``TREES`` labels, each a sequence of
-   minhashes. Texts with equal sets are one class: copies are never compared with each other.
-2. The forest: each tree is a prefix trie over its labels. Matched prefixes start at the full label and are shortened
-   until a pair at the threshold meets in some tree with the target probability. Classes below one node are linked to
-   the node's least class, so a node adds as many links as it has classes, whatever its size.
+"""N-gram Jaccard join: MinHash bands of a fixed depth propose, exact set comparison decides.
+
+1. Every text becomes its set of five-word shingles (hashed) and a signature of ``TREES`` labels, each the hash of
+   ``DEPTH`` minhashes. Texts with equal sets are one class: copies are never compared with each other.
+2. The bands stand in for an LSH forest whose labels of ``FULL_DEPTH`` minhashes are shortened until a pair at the
+   threshold meets in some tree with the target probability. That depth depends on the parameters alone, and all pairs
+   that meet at a longer prefix meet at it too, so only that prefix is computed: no longer label, trie or descent exists
+   at run time. Classes of one label (a node) are linked to the node's least class, so a node adds as many links as it
+   has classes, whatever its size.
 3. The components of these links hold every pair that can be found. Inside a component all pairs of classes are
    compared exactly. A component is cut into blocks, every two blocks are one piece of work, and a piece gives back
    one row per class: how many documents it is linked to, and the least class it is tied to.
