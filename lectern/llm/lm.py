@@ -34,8 +34,10 @@ MAX_BUCKETS = 8192
 BIGRAM_BITS = 48
 #: Bits of the words' hashes that bigram hashes are made from; a chunk carries just these along.
 WORD_BITS = 40
-LEVELS = 24  # context-frequency buckets: powers of two
-STEPS = 64  # sizes of an estimate told apart when tuning
+OCTAVES = 64  # counts are 64-bit numbers, so no estimate is less than 2^-64
+LEVELS = OCTAVES + 1  # context-frequency buckets: powers of two
+FINE = (4, 2)  # classes per octave of the bigram and of the unigram estimate
+STEPS = OCTAVES * max(FINE) + 2  # sizes of an estimate told apart when tuning
 END = xxhash.xxh64_intdigest(b"")
 
 
@@ -172,9 +174,6 @@ def _step(estimate: np.ndarray, fine: int) -> np.ndarray:
     return np.where(estimate > 0, np.clip(steps, 1, STEPS - 1), 0).astype(np.int64)
 
 
-FINE = (4, 2)  # classes per octave of the bigram and of the unigram estimate
-
-
 def _gathered(group: pa.Table) -> pa.Table:
     """A chunk with the counts of its tokens, and its tuning tokens by class."""
     buckets = np.array(group["bucket"])

@@ -207,6 +207,22 @@ def test_weights_by_expectation_maximisation():
     assert w[3, 0] > 0.5 and w[3, 1] > w[3, 2]
 
 
+def test_no_estimate_and_no_context_is_clipped():
+    counts = 2 ** np.arange(63)
+    assert len(set(lm._level(counts).tolist())) == len(counts) and lm._level(counts).max() < lm.LEVELS
+    for fine in lm.FINE:
+        steps = lm._step(1 / counts, fine)
+        assert (np.diff(steps) == fine).all() and steps.max() < lm.STEPS
+    assert lm.LEVELS * lm.STEPS**2 < 1 << 31
+
+
+def test_rare_bigrams_of_a_frequent_context_do_not_outweigh_the_unigrams():
+    context, one = np.array([1 << 26]), lm._step(np.array([2.0**-20]), lm.FINE[1])
+    cells = (lm._level(context) * lm.STEPS + lm._step(1 / context, lm.FINE[0])) * lm.STEPS + one
+    w = lm.tuned(cells, np.array([1000.0]), 1e-9)[lm._level(context)[0]]
+    assert w[1] > 0.9
+
+
 def test_arrays_survive_packing():
     rng = np.random.default_rng(2)
     for a in (np.zeros(0, np.uint64), rng.integers(0, 1 << 63, 1000).astype(np.uint64), np.arange(5, dtype=np.int32)):
