@@ -59,3 +59,15 @@ def training_labels(labels: DataFrame, key: str, label: str, folds: int, most: i
         grain = 1 << 30
         known = known.filter(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(grain)) < int(grain * most / total))
     return known
+
+
+def training_texts(docs: DataFrame, train: DataFrame, key: str, label: str) -> DataFrame:
+    """One text of every key in ``train``, as (``key``, ``y``, ``text``), however often ``docs`` repeats the key.
+
+    Of several texts the one with the least hash is taken. Each task keeps one per key before the shuffle. ``train``
+    is broadcast; the rows come in no fixed order.
+    """
+    rows = docs.select(key, text_of().alias("text")).join(F.broadcast(train), key)
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")
+    one = rows.groupBy(key, F.col(label).alias("y")).agg(least)
+    return one.select(key, "y", F.col("least.text").alias("text"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lectern.llm.common import column, fold, slices, text_of, training_labels
+from lectern.llm.common import column, fold, slices, text_of, training_labels, training_texts
 
 WORDS = 4096
 RESERVED = 256
@@ -197,14 +197,15 @@ class Network:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN) -> tuple[np.ndarray, Network]:
     """Word vectors from all texts, and a network from at most about ``most`` labelled rows outside fold 0.
 
-    The labels of those rows are broadcast: their number is bounded by ``most``. Without any, the scores are those of
-    the untrained network and mean nothing.
+    A key teaches by one row, so ``most`` bounds the labels that are broadcast and the rows that the driver receives.
+    Without any, the scores are those of the untrained network and mean nothing.
     """
     texts = docs.select("doc_id", text_of().alias("text"))
     vectors = word_vectors(texts)
     train = training_labels(labels, "doc_id", label, FOLDS, most)
-    rows = texts.join(F.broadcast(train), "doc_id").select(F.col(label).alias("y"), "text")
-    got = rows.mapInArrow(_features(vectors, ["y"]), "y int, x array<float>").toArrow()
+    rows = training_texts(docs, train, "doc_id", label)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    got = rows.mapInArrow(_features(vectors, ["doc_id", "y"]), f"doc_id {kind}, y int, x array<float>").toArrow().sort_by("doc_id")
     x = np.array(got["x"].combine_chunks().flatten(), np.float64).reshape(-1, 2 * SIZE)
     return vectors, Network().fit(x, np.array(got["y"], np.float64))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import column, fold, slices, text_of, training_labels
+from lectern.llm.common import column, fold, slices, text_of, training_labels, training_texts
 
 FEATURES = 1 << 18
 TRAIN = 20_000
@@ -95,9 +95,9 @@ def _labelled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = [np.sort(ids_of(t)) for t in texts]
         others = [None if (s := swapped(t)) is None else np.sort(ids_of(s)) for t in texts]
         kind = pa.list_(pa.int32())
+        kept = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "y")]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(column(batch, "y"), pa.int32()), pa.array(plain, kind), pa.array(others, kind)],
-            ["y", "x", "other"],
+            [*kept, pa.array(plain, kind), pa.array(others, kind)], ["doc_id", "y", "x", "other"]
         )
 
 
@@ -175,13 +175,13 @@ def train(y: np.ndarray, plain: list[np.ndarray], others: list[np.ndarray | None
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN) -> Model:
     """A model from at most about ``most`` labelled rows outside fold 0, whose features the driver receives.
 
-    The labels are broadcast; ``most`` bounds them. Without any, every score is one half.
+    A key teaches by one row, so ``most`` bounds the labels that are broadcast and the rows that the driver receives.
+    Without any, every score is one half.
     """
     train_on = training_labels(labels, "doc_id", label, FOLDS, most)
-    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(train_on), "doc_id")
-    got = texts.select(F.col(label).alias("y"), "text").mapInArrow(
-        _labelled, "y int, x array<int>, other array<int>"
-    ).toArrow()
+    texts = training_texts(docs, train_on, "doc_id", label)
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    got = texts.mapInArrow(_labelled, f"doc_id {kind}, y int, x array<int>, other array<int>").toArrow().sort_by("doc_id")
     arrays = [[None if v.as_py() is None else np.array(v.values) for v in got[c]] for c in ("x", "other")]
     return train(np.array(got["y"], np.float64), *arrays)
 

@@ -73,6 +73,23 @@ def test_training_rows_are_bounded_and_never_held_out(spark):
     assert 350 < len(got) < 650 and not any(held(r["doc_id"]) for r in got)
 
 
+@pytest.mark.parametrize(("module", "label"), [(quality, "quality"), (toxicity, "toxic")])
+def test_a_repeated_key_teaches_once(spark, make, module, label, monkeypatch):
+    """The driver receives one row per training key, whatever the order and the number of its rows."""
+    learned = []
+    if module is quality:
+        monkeypatch.setattr(quality.Network, "fit", lambda self, x, y: learned.append((x.tolist(), y.tolist())))
+    else:
+        monkeypatch.setattr(toxicity, "train", lambda y, *x: learned.append((str(x), y.tolist())))
+    once = [i for i in range(1, 60) if not held(i)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], f"doc_id long, {label} int")
+    rows = [(i, f"some text {i}") for i in range(1, 60)] + [(once[0], f"again {i % 7}") for i in range(3000)]
+    for partitions in (1, 5):
+        module.fit(make(rows, partitions), labels)
+    assert [y for _, y in learned] == [[float(i % 2) for i in once]] * 2
+    assert learned[0] == learned[1]
+
+
 def test_pooling_takes_the_whole_text():
     vectors = np.eye(quality.WORDS, quality.SIZE, dtype=np.float32)
     ids = quality.token_ids()("a b c " * 1000 + "!")
