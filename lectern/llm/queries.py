@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontamination, fingerprints, jaccard, lm, mixing, pii, quality, secret_scan, suffixes, toxicity
+from lectern.llm import (
+    decontamination, fingerprints, jaccard, lm, mixing, pii, prefix_trie, quality, secret_scan, suffixes, toxicity,
+)
 from lectern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,10 +24,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_remove_repeats": lambda spark, sf: suffixes.op8(table(spark, sf, "documents")),
     "op9_toxicity": lambda spark, sf: toxicity.op9(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op10_secrets": lambda spark, sf: secret_scan.op10(table(spark, sf, "documents")),
+    "op13_prefix_trie": lambda spark, sf: prefix_trie.op13(table(spark, sf, "conversations")),
 }
 
 #: The other results rest on trained weights or edit distances and are tested by brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_jaccard_join": jaccard.SQL, "op4_fingerprints": fingerprints.SQL, "op7_mix_sources": mixing.SQL,
     "op8_remove_repeats": suffixes.SQL, "op10_secrets": secret_scan.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
