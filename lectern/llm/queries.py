@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import (
-    decontamination, fingerprints, jaccard, lm, mixing, pii, prefix_trie, quality, secret_scan, suffixes, toxicity,
+    decontamination, fingerprints, jaccard, lm, mixing, neighbours, pii, prefix_trie, quality, secret_scan, suffixes, toxicity,
 )
 from lectern.llm.common import table
 
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_remove_repeats": lambda spark, sf: suffixes.op8(table(spark, sf, "documents")),
     "op9_toxicity": lambda spark, sf: toxicity.op9(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op10_secrets": lambda spark, sf: secret_scan.op10(table(spark, sf, "documents")),
+    "op11_neighbours": lambda spark, sf: neighbours.op11(table(spark, sf, "embeddings")),
     "op13_prefix_trie": lambda spark, sf: prefix_trie.op13(table(spark, sf, "conversations")),
 }
 
