@@ -259,7 +259,7 @@ def depth_for(score: Column) -> tuple[Column, Column]:
     agree = F.greatest(agree, F.lit(1e-6))
     needed = math.log(1 - (1 - TARGET) ** (1 / TREES))
     depth = F.when(agree >= 1, BITS).otherwise(F.least(F.floor(F.lit(needed) / F.log(agree)), F.lit(BITS)))
-    depth = F.coalesce(depth, F.lit(0)).cast("int")
+    depth = F.when(score.isNull(), 0).otherwise(depth).cast("int")
     here, lower = (F.log1p(-F.pow(agree, depth + i)) for i in (0, 1))
     trees = F.ceil((math.log(1 - TARGET) - TREES * lower) / (here - lower))
     trees = F.when((depth == 0) | (depth == BITS), TREES).otherwise(F.greatest(F.least(trees, F.lit(TREES)), F.lit(0)))

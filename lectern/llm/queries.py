@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import (
-    decontamination, fingerprints, jaccard, lm, mixing, neighbours, pii, prefix_trie, quality, secret_scan, suffixes, toxicity,
+    alignment, decontamination, fingerprints, jaccard, lm, mixing, neighbours, pii, prefix_trie, quality, secret_scan,
+    suffixes, toxicity,
 )
 from lectern.llm.common import table
 
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": lambda spark, sf: toxicity.op9(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op10_secrets": lambda spark, sf: secret_scan.op10(table(spark, sf, "documents")),
     "op11_neighbours": lambda spark, sf: neighbours.op11(table(spark, sf, "embeddings")),
+    "op12_align_tokens": lambda spark, sf: alignment.op12(table(spark, sf, "documents")),
     "op13_prefix_trie": lambda spark, sf: prefix_trie.op13(table(spark, sf, "conversations")),
 }
 
