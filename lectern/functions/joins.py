@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.bounded import as_broadcast
+from lectern.functions.bounded import as_broadcast, broadcast_if_small
 
-SALTS = 64
+#: Rows of one key in one part, when the rows of a key are dealt over several.
+PART_ROWS = 10_000
 
 
 def left_join_known(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -17,14 +18,20 @@ def left_join_known(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return keyed.join(known.withColumnRenamed(key, "_join"), "_join", "left").drop("_join")
 
 
-def join_few_keys(rows: DataFrame, bank: DataFrame, keys: list[str], max_rows: int | None = None) -> DataFrame:
+def join_few_keys(
+    rows: DataFrame, bank: DataFrame, keys: list[str], max_rows: int | None = None, part_rows: int | None = None
+) -> DataFrame:
     """Join on keys of which there is a handful: the bank is broadcast when proven small.
 
-    A larger bank is dealt over ``SALTS`` parts of each key, and a row meets every part, so no key is one task.
+    In a larger bank a key with more than ``part_rows`` rows is dealt over parts, and a row meets every part of its own
+    key, so no key is one task and rows of other keys are not copied.
     """
     few = as_broadcast(bank) if max_rows is None else as_broadcast(bank, max_rows)
     if few is not None:
         return rows.join(few, keys)
-    salted = bank.withColumn("_salt", F.pmod(F.xxhash64(*bank.columns), F.lit(SALTS)).cast("int"))
-    asked = rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return asked.hint("merge").join(salted, [*keys, "_salt"]).drop("_salt")
+    size = F.ceil(F.count(F.lit(1)) / (part_rows or PART_ROWS)).cast("int")
+    parts = broadcast_if_small(bank.groupBy(*keys).agg(size.alias("_parts")))
+    place = F.pmod(F.xxhash64(*bank.columns), F.col("_parts")).cast("int")
+    dealt = bank.join(parts, keys).withColumn("_part", place).drop("_parts")
+    asked = rows.join(parts, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return asked.drop("_parts").hint("merge").join(dealt, [*keys, "_part"]).drop("_part")

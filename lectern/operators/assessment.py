@@ -12,6 +12,7 @@ from pyspark.sql import types as t
 from lectern import fixed_values as V
 from lectern.functions import text as T
 from lectern.functions.binding import let
+from lectern.functions.bounded import broadcast_if_small
 from lectern.functions.joins import join_few_keys
 from lectern.functions.rounding import half_even
 
@@ -136,6 +137,25 @@ def find_projects(
     return join_few_keys(keyed, bank, [level, area])
 
 
+def project_digests(
+    requests: DataFrame, bank: DataFrame, item: str, difficulty: str = "difficulty", topic: str = "topic",
+    level: str = "level", area: str = "area",
+) -> DataFrame:
+    """Per request what ``find_projects`` would list, without listing it: ``projects``, ``first_project``, ``digest``.
+
+    The bank is added up per level and area before the join: number and least of its items, and the sum of their
+    32-bit hashes, which is the same in any order. So the output has one row per request however large the bank is.
+    Requests without a blueprint have 0 projects and nulls.
+    """
+    hashed = F.conv(F.substring(F.md5(F.col(item).cast("string")), 1, 8), 16, 10).cast("bigint")
+    sums = bank.groupBy(level, area).agg(
+        F.count(item).alias("projects"), F.min(item).alias("first_project"), F.sum(hashed).alias("digest")
+    )
+    keyed = requests.withColumn(level, difficulty_key(F.col(difficulty))).withColumn(area, project_key(F.col(topic)))
+    # Three levels and nine areas.
+    return keyed.join(broadcast_if_small(sums), [level, area], "left").fillna(0, ["projects"])
+
+
 def blueprint_stats(blueprints: DataFrame, group: list[str], tech: str, deliverables: str) -> DataFrame:
     """Blueprints, mean deliverables to one decimal, distinct technologies (PJ-2)."""
     sizes = blueprints.groupBy(*group).agg(

@@ -32,6 +32,12 @@ def feature_types(df: DataFrame, features: list[str]) -> tuple[list[str], list[s
     return numeric, categorical
 
 
+def known(df: DataFrame, column: str) -> Column:
+    """The column with null in place of NaN."""
+    fractional = isinstance(df.schema[column].dataType, (t.FloatType, t.DoubleType))
+    return F.when(~F.isnan(column), F.col(column)) if fractional else F.col(column)
+
+
 def infer_task(df: DataFrame, target: str) -> str:
     """Regression iff the target is numeric with more than ten distinct values (ML-3).
 
@@ -39,7 +45,7 @@ def infer_task(df: DataFrame, target: str) -> str:
     """
     if not P.is_numeric(df, target):
         return "classification"
-    seen = df.select(target).filter(F.col(target).isNotNull()).distinct().limit(MAX_CLASSES_AS_LABELS + 1).count()
+    seen = df.select(known(df, target).alias("_v")).dropna().distinct().limit(MAX_CLASSES_AS_LABELS + 1).count()
     return "regression" if seen > MAX_CLASSES_AS_LABELS else "classification"
 
 

@@ -9,7 +9,6 @@ from pyspark.ml import Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
-    LinearSVC,
     LogisticRegression,
     NaiveBayes,
     OneVsRest,
@@ -29,9 +28,12 @@ from pyspark.sql import functions as F
 from lectern import fixed_values as V
 from lectern.functions.rounding import half_even, percent
 from lectern.operators import features as X
+from lectern.operators.kernels import KernelModel, fit_classifier
 from lectern.operators.nearest import nearest
 from lectern.operators.ranking import positions
 from lectern.operators.relational import class_metrics
+from lectern.operators.shapley import tree_shapley
+from lectern.session import cut
 
 SEED = 42
 NEIGHBOURS = 5
@@ -92,10 +94,6 @@ def estimator(name: str, train: DataFrame, n_features: int, n_classes: int):
         return GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=SEED)
     if name == "Logistic Regression":
         return LogisticRegression(regParam=1.0 / train.count(), standardization=False, maxIter=1000)
-    if name == "Support Vector Classifier (SVC)":
-        # Linear, not the RBF kernel: results differ from a kernel machine.
-        svc = LinearSVC()
-        return svc if n_classes <= 2 else OneVsRest(classifier=svc)
     if name == "Decision Tree Classifier":
         return DecisionTreeClassifier(maxDepth=5, seed=SEED)
     if name == "Random Forest Classifier":
@@ -115,7 +113,7 @@ class ModelRun:
     task: str
     name: str
     preparation: X.Preparation
-    model: Model | None
+    model: Model | KernelModel | None
     train: DataFrame
     test: DataFrame
     classes: list[str]
@@ -135,15 +133,18 @@ class Split:
 def prepare_split(
     df: DataFrame, features: list[str], target: str, key: str, test_size: float = 0.2, seed: int = SEED
 ) -> Split:
-    """Typing, task, split and preparation (ML-1…8). Rows without a target are left out."""
+    """Typing, task, split and preparation (ML-1…8). Rows without a target (null or NaN) are left out."""
     task = X.infer_task(df, target)
-    slim = df.select(key, *[c for c in features if c != key], F.col(target).alias("_target")).filter(
+    slim = df.select(key, *[c for c in features if c != key], X.known(df, target).alias("_target")).filter(
         F.col("_target").isNotNull()
     )
     test_side = X.is_test(key, test_size, seed)
-    train_raw, test_raw = slim.filter(~test_side), slim.filter(test_side)
+    train_raw = slim.filter(~test_side)
     prep = X.fit_preparation(train_raw, features)
-    return Split(task, key, prep, prep.transform(train_raw), prep.transform(test_raw))
+    # Every fit and every score reads the prepared rows again: both sides are prepared once, in one pass.
+    prepared = cut(prep.transform(slim.withColumn("_held_out", test_side)))
+    train, test = (prepared.filter(side).drop("_held_out") for side in (~F.col("_held_out"), F.col("_held_out")))
+    return Split(task, key, prep, train, test)
 
 
 def fit_model(split: Split, name: str) -> ModelRun:
@@ -167,7 +168,10 @@ def fit_model(split: Split, name: str) -> ModelRun:
         both = (knn_predict(train, side, key, "_class") for side in (train, test))
         return ModelRun(split.task, name, prep, None, *both, classes)
     labelled = indexer.transform(train)
-    model = estimator(name, labelled, len(prep.names), len(classes)).fit(labelled)
+    if name == "Support Vector Classifier (SVC)":
+        model = fit_classifier(labelled, key, len(classes))
+    else:
+        model = estimator(name, labelled, len(prep.names), len(classes)).fit(labelled)
     back = IndexToString(inputCol="prediction", outputCol="predicted", labels=classes)
 
     def classify(side: DataFrame) -> DataFrame:
@@ -435,6 +439,16 @@ def sampled_shapley(
     )
 
 
+def attribution(run: ModelRun, rows: DataFrame, key: str, samples: int = 8) -> DataFrame:
+    """Contributions of every feature to ``rows`` (ML-25, ML-26): exact for trees, forests and boosted trees, sampled
+    for the other models. Classifiers are explained for their second class."""
+    names = run.preparation.names
+    if type(run.model).__name__.startswith(("DecisionTree", "RandomForest", "GBT")):
+        return tree_shapley(run.model, rows, key, names)
+    output = "prediction" if run.task == "regression" or not hasattr(run.model, "hasParam") else "rawPrediction"
+    return sampled_shapley(run.model, rows, run.train, key, names, samples, output)
+
+
 def global_attribution(contributions: DataFrame, top: int = TOP_GLOBAL) -> DataFrame:
     """Mean absolute contribution per feature, the top eight, five decimals (ML-25)."""
     means = contributions.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("_m"))

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from lectern.functions import text as T
 from lectern.functions.binding import let
@@ -55,7 +56,12 @@ def active_users(df: DataFrame, user: str, ts: str, days: int = 3) -> DataFrame:
 
 
 def impute_median(df: DataFrame, column: str) -> DataFrame:
-    """Nulls and NaNs of a column replaced by the exact median of the others (TB-4)."""
+    """Nulls and NaNs of a column replaced by the exact median of the others (TB-4).
+
+    The median of whole numbers may lie between two of them, so a column of integers becomes one of doubles.
+    """
+    if isinstance(df.schema[column].dataType, t.IntegralType):
+        df = df.withColumn(column, F.col(column).cast("double"))
     fitted = Q.medians(df, [column])
     return df.fillna({column: fitted[column]}) if column in fitted else df
 

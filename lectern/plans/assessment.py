@@ -57,22 +57,52 @@ _AREA_SQL = "CASE p_partkey % 9 " + " ".join(f"WHEN {i} THEN {S.text(a)}" for i,
 _LEVEL_SQL = "CASE p_size % 3 WHEN 0 THEN 'beginner' WHEN 1 THEN 'advanced' ELSE 'intermediate' END"
 
 
-@query(
-    "PJ-1",
-    f"""WITH asked AS (SELECT conv_id, turn, CASE {PROJECT_CASE} ELSE 'general' END AS area,
+_ASKED_SQL = f"""SELECT conv_id, turn, CASE {PROJECT_CASE} ELSE 'general' END AS area,
           CASE role WHEN 'user' THEN 'beginner' WHEN 'assistant' THEN 'advanced' ELSE 'intermediate' END AS level
-        FROM (SELECT conv_id, turn, role, lower({OPENING_SQL} || text) AS low FROM conversations) WHERE turn = 0),
-    bank AS (SELECT p_partkey, p_name AS title, {_AREA_SQL} AS area, {_LEVEL_SQL} AS level FROM part WHERE p_partkey % 16 = 0)
-    SELECT conv_id, level, area, p_partkey, title FROM asked JOIN bank USING (level, area)""",
-)
-def project_items(spark, sf_dir):
-    """The blueprints for the first turn of each conversation; every sixteenth part stands for a blueprint."""
+        FROM (SELECT conv_id, turn, role, lower({OPENING_SQL} || text) AS low FROM conversations)"""
+_BANK_SQL = f"SELECT p_partkey, p_name AS title, {_AREA_SQL} AS area, {_LEVEL_SQL} AS level FROM part"
+
+
+def _project_requests(spark, sf_dir):
     level = F.when(F.col("role") == "user", "for Beginners").when(F.col("role") == "assistant", "ADVANCED").otherwise("?")
-    asked = topics(spark, sf_dir).filter("turn = 0").withColumn("difficulty", level)
-    bank = table(spark, sf_dir, "part").filter("p_partkey % 16 = 0").select(
+    return topics(spark, sf_dir).withColumn("difficulty", level)
+
+
+def _project_bank(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(
         "p_partkey", F.col("p_name").alias("title"), F.expr(_AREA_SQL).alias("area"), F.expr(_LEVEL_SQL).alias("level")
     )
-    return A.find_projects(asked, bank).select("conv_id", "level", "area", "p_partkey", "title")
+
+
+@query(
+    "PJ-1",
+    f"""WITH asked AS ({_ASKED_SQL}), bank AS ({_BANK_SQL}),
+    hashed AS (SELECT level, area, p_partkey, ('0x' || substr(md5(p_partkey::VARCHAR), 1, 8))::BIGINT AS h FROM bank)
+    SELECT conv_id, turn, level, area, count(p_partkey) AS projects, min(p_partkey) AS first_project, sum(h)::BIGINT AS digest
+    FROM asked LEFT JOIN hashed USING (level, area) GROUP BY conv_id, turn, level, area""",
+)
+def project_items(spark, sf_dir):
+    """The blueprints for every conversation turn, with every part for a blueprint: their number, least and digest."""
+    found = A.project_digests(_project_requests(spark, sf_dir), _project_bank(spark, sf_dir), "p_partkey")
+    return found.select("conv_id", "turn", "level", "area", "projects", "first_project", "digest")
+
+
+@query(
+    "PJ-1",
+    f"""WITH asked AS (SELECT level, area, min(struct_pack(conv_id := conv_id, turn := turn)) AS f, count(*) AS requests
+                   FROM ({_ASKED_SQL}) GROUP BY level, area), bank AS ({_BANK_SQL})
+    SELECT f.conv_id AS conv_id, f.turn AS turn, requests, level, area, p_partkey, title FROM asked JOIN bank USING (level, area)""",
+)
+def project_listing(spark, sf_dir):
+    """Every blueprint that was asked for, listed for the first of the turns that ask alike, with their number."""
+    asked = _project_requests(spark, sf_dir)
+    keyed = asked.select("conv_id", "turn", "topic", "difficulty").groupBy(
+        A.difficulty_key(F.col("difficulty")).alias("k"), A.project_key(F.col("topic")).alias("a")
+    ).agg(
+        F.min(F.struct("conv_id", "turn", "topic", "difficulty")).alias("f"), F.count(F.lit(1)).alias("requests")
+    ).select("f.*", "requests")
+    found = A.find_projects(keyed, _project_bank(spark, sf_dir))
+    return found.select("conv_id", "turn", "requests", "level", "area", "p_partkey", "title")
 
 
 _QUIZ_CASE = " ".join(

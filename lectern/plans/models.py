@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from lectern import fixed_values as V
 from lectern.operators import features as X
+from lectern.operators import kernels as K
 from lectern.operators import models as M
+from lectern.operators.shapley import baseline, trees_of
 from lectern.plans import sql as S
 from lectern.plans.registry import query, spread, table
 from lectern.session import cut
@@ -482,6 +485,100 @@ def tree_drivers(spark, sf_dir):
     )
 
 
+# Two features with two values each: a tree that splits on the stronger one first holds the mean of every cell.
+_CELLS = f"""
+d AS (SELECT o_orderkey AS k, o_custkey % 2 AS a, CAST(o_orderkey % 3 = 0 AS INTEGER) AS b, {_in_test('o_orderkey')} AS t FROM orders),
+e AS (SELECT *, 1000 * a + 100 * b + 50 * a * b + (k % 16) / 1000.0::DOUBLE AS y FROM d),
+n AS (SELECT avg(y) AS none FROM e WHERE NOT t),
+pa AS (SELECT a, avg(y) AS with_a, count(*) * 1.0::DOUBLE / (SELECT count(*) FROM e WHERE NOT t) AS share FROM e WHERE NOT t GROUP BY a),
+pab AS (SELECT a, b, avg(y) AS both_known FROM e WHERE NOT t GROUP BY a, b),
+pb AS (SELECT b, sum(share * both_known) AS with_b FROM pab JOIN pa USING (a) GROUP BY b)"""
+
+
+def _cell_run(spark, sf_dir, name):
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", (F.col("o_custkey") % 2).alias("a"), (F.col("o_orderkey") % 3 == 0).cast("int").alias("b")
+    )
+    price = 1000 * F.col("a") + 100 * F.col("b") + 50 * F.col("a") * F.col("b") + (F.col("o_orderkey") % 16) / 1000.0
+    return M.train_model(orders.withColumn("price", price), ["a", "b"], "price", name, "o_orderkey")
+
+
+@query(
+    "ML-25 ML-26",
+    f"""WITH {_CELLS},
+    x AS (SELECT * FROM e JOIN pa USING (a) JOIN pb USING (b) JOIN pab USING (a, b), n WHERE t)
+    SELECT k AS o_orderkey, 'a' AS feature, round(((with_a - none) + (both_known - with_b)) / 2, 4) AS contribution FROM x
+    UNION ALL SELECT k, 'b', round(((with_b - none) + (both_known - with_a)) / 2, 4) FROM x""",
+)
+def cell_shapley(spark, sf_dir):
+    """Exact path-dependent Shapley values of every test order for a tree of two features that act together."""
+    run = _cell_run(spark, sf_dir, "Decision Tree Regressor")
+    shares = M.attribution(run, run.test, "o_orderkey")
+    return shares.select("o_orderkey", "feature", F.round("contribution", 4).alias("contribution"))
+
+
+@query(
+    "ML-25 ML-26",
+    f"""WITH {_CELLS} SELECT count(*) AS n_rows, 0 AS unexplained FROM e WHERE t""",
+)
+def forest_shapley(spark, sf_dir):
+    """Test orders whose contributions in a random forest do not add up to what it predicts above its baseline."""
+    run = _cell_run(spark, sf_dir, "Random Forest Regressor")
+    shares = M.attribution(run, run.test, "o_orderkey")
+    base = baseline(trees_of(run.model, spark))
+    sums = shares.groupBy("o_orderkey").agg(F.sum("contribution").alias("explained"))
+    off = F.abs(F.col("predicted") - F.col("explained") - F.lit(base)) > 1e-6
+    return run.test.join(sums, "o_orderkey").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(off).cast("int").alias("unexplained")
+    )
+
+
+# ------------------------------------------------------------------------------- RBF support vectors
+
+_RING_RADIUS = "(CASE WHEN c_custkey % 2 = 1 THEN 1 ELSE 3 END + (c_custkey % 7) / 20.0)"
+
+
+@query(
+    "ML-17 ML-20",
+    f"""SELECT c_custkey, CASE WHEN c_custkey % 2 = 1 THEN 'inner' ELSE 'outer' END AS predicted
+        FROM customer WHERE {_in_test('c_custkey')}""",
+)
+def ring_classes(spark, sf_dir):
+    """Two rings around one centre, which no straight line parts: each test customer's ring."""
+    angle = F.radians((F.col("c_custkey") * 37 % 360).cast("double"))
+    ring = F.when(F.col("c_custkey") % 2 == 1, "inner").otherwise("outer")
+    points = spread(table(spark, sf_dir, "customer")).select(
+        "c_custkey", (F.expr(_RING_RADIUS) * F.cos(angle)).alias("x"), (F.expr(_RING_RADIUS) * F.sin(angle)).alias("y"),
+        ring.alias("ring"),
+    )
+    run = M.train_model(points, ["x", "y"], "ring", "Support Vector Classifier (SVC)", "c_custkey")
+    return run.test.select("c_custkey", "predicted")
+
+
+_GAMMA, _LANDMARKS = 0.5, 20
+
+
+@query(
+    "ML-17",
+    f"""WITH p AS (SELECT c_custkey, c_acctbal / 1000 AS x, c_nationkey / 10.0::DOUBLE AS y,
+              ('0x' || substr(md5(c_custkey || '|42'), 1, 8))::BIGINT AS h FROM customer),
+    l AS (SELECT x AS lx, y AS ly FROM p ORDER BY h, c_custkey LIMIT {_LANDMARKS})
+    SELECT c_custkey, round(sum(exp(-{_GAMMA}::DOUBLE * ((x - lx) ** 2 + (y - ly) ** 2))), 4) + 0.0 AS similarity
+    FROM p, l GROUP BY c_custkey""",
+)
+def kernel_similarity(spark, sf_dir):
+    """Products of mapped customers with mapped landmarks, added up: the kernel itself, as SQL computes it."""
+    points = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        array_to_vector(F.array(F.col("c_acctbal").cast("double") / 1000, F.col("c_nationkey") / 10.0)).alias("features"),
+    )
+    mapping = K.fit_map(points, "c_custkey", _GAMMA, _LANDMARKS)
+    total = F.array(*[F.lit(float(v)) for v in mapping.apply(mapping.landmarks).sum(axis=0)])
+    product = F.zip_with(vector_to_array(K.MAPPED), total, lambda a, b: a * b)
+    similarity = F.aggregate(product, F.lit(0.0), lambda a, b: a + b)
+    return mapping.transform(points).select("c_custkey", F.round(similarity, 4).alias("similarity"))
+
+
 # ------------------------------------------------------------------------- trained models, rows only
 
 ITEM_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]

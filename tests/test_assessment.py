@@ -147,3 +147,34 @@ def test_model_solutions(spark):
     frame = spark.createDataFrame(rows, "l string, t string, c string")
     got = [r[0] for r in frame.select(A.grade_challenge(F.col("l"), F.col("t"), F.col("c"), intended=True)["optimal_solution"]).collect()]
     assert got == [V.SOLUTION_REVERSE, V.SOLUTION_SLICING, V.SOLUTIONS[1][2], V.SOLUTIONS[0][2], ""]
+
+
+def test_project_digests_are_those_of_the_listing(spark):
+    areas = [r for _n, r in V.PROJECT_RULES] + [V.PROJECT_DEFAULT]
+    bank = [(i, ["beginner", "intermediate", "advanced"][i % 2], areas[i % len(areas)]) for i in range(500)]
+    bank = spark.createDataFrame(bank, "item long, level string, area string")
+    asked = spark.createDataFrame(
+        [(1, "for Beginners", "time series"), (2, "ADVANCED", "Vision"), (3, "?", "cooking"), (4, "for Beginners", None)],
+        "id long, difficulty string, topic string",
+    )
+    listed = {}
+    for r in A.find_projects(asked, bank).collect():
+        listed.setdefault(r["id"], []).append(r["item"])
+    got = {r["id"]: r for r in A.project_digests(asked, bank, "item").collect()}
+    assert set(got) == {1, 2, 3, 4} and listed
+    import hashlib
+
+    for i, r in got.items():
+        own = listed.get(i, [])
+        assert r["projects"] == len(own) and r["first_project"] == min(own, default=None)
+        hashes = [int(hashlib.md5(str(x).encode()).hexdigest()[:8], 16) for x in own]
+        assert r["digest"] == (sum(hashes) if own else None)
+
+
+def test_large_banks_are_dealt_by_key(spark):
+    from lectern.functions.joins import join_few_keys
+
+    bank = spark.createDataFrame([("hot" if i % 10 else "cold", i) for i in range(300)], "key string, item long")
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(["hot", "cold", "none", None, "hot"])], "id long, key string")
+    few = sorted(map(tuple, join_few_keys(rows, bank, ["key"]).collect()))
+    assert sorted(map(tuple, join_few_keys(rows, bank, ["key"], 10, 25).collect())) == few and len(few) == 570

@@ -204,3 +204,11 @@ def test_statistics_take_nan_for_missing(spark):
     assert (row["min"], row["max"]) == (1.0, 4.0) and abs(row["mean"] - 8.5 / 3) < 1e-12
     assert sum(r["n"] for r in P.histogram(frame, ["v"], 3).collect()) == 3
     assert sorted(r["v"] for r in L.impute_median(frame, "v").collect()) == [1.0, 3.5, 3.5, 3.5, 4.0]
+
+
+def test_median_of_whole_numbers_may_lie_between_them(spark):
+    for kind in ("int", "long", "short"):
+        df = spark.createDataFrame([(1,), (2,), (None,), (4,), (3,)], f"v {kind}")
+        assert sorted(r[0] for r in L.impute_median(df, "v").collect()) == [1.0, 2.0, 2.5, 3.0, 4.0]
+    empty = spark.createDataFrame([(None,)], "v int")
+    assert [r[0] for r in L.impute_median(empty, "v").collect()] == [None]
