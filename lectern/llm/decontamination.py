@@ -110,16 +110,20 @@ class Searcher:
         out: dict[int, tuple[int, int]] = {}
         for item, found in starts.items():
             key, wanted, masks, k = self.items[item]
-            checked = None
+            checked = last = None
             for start in sorted(found):
                 if checked is not None and start - checked <= k:
                     continue  # the window of the last check holds this one's, within its margin
                 checked = start
                 low = max(0, start - 2 * k)
-                edits, _ = best_match(wanted, masks, body[low : start + len(wanted) + 2 * k])
+                edits, end = best_match(wanted, masks, body[low : start + len(wanted) + 2 * k])
                 if edits <= k:
                     least, times = out.get(key, (edits, 0))
-                    out[key] = min(least, edits), times + 1
+                    # An item that repeats itself is hit at several places of one occurrence. The next one ends at
+                    # least a shortest occurrence later.
+                    if last is None or low + end >= last + len(wanted) - k:
+                        last, times = low + end, times + 1
+                    out[key] = min(least, edits), times
         return out
 
 

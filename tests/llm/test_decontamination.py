@@ -95,3 +95,11 @@ def test_empty_tables(make, spark):
     assert dc.op6(make([(1, "a")]).limit(0), table).collect() == []
     assert dc.op6(make([(1, "a")]), table.limit(0)).collect() == []
     assert dc.clean(make([(1, "a")]), table.limit(0)).count() == 1
+
+
+def test_an_item_that_repeats_itself_is_counted_once_per_occurrence():
+    item = "abcd " * 20
+    searcher = dc.Searcher([(0, item)], dc.RATE)
+    assert searcher.find("one " + item + "two") == {0: (0, 1)}
+    assert searcher.find(item + "x y z " + item.replace("abcd", "abce", 2) + "w " + item) == {0: (0, 3)}
+    assert searcher.find("nothing of it") == {}
