@@ -1,16 +1,20 @@
-"""N-gram Jaccard join: MinHash bands of a fixed depth propose, exact set comparison decides.
-
-1. Every text becomes its set of five-word shingles (hashed) and a signature of ``TREES`` labels, each the hash of
-   ``DEPTH`` minhashes. Texts with equal sets are one class: copies are never compared with each other.
-2. The bands stand in for an LSH forest whose labels of ``FULL_DEPTH`` minhashes are shortened until a pair at the
-   threshold meets in some tree with the target probability. That depth depends on the parameters alone, and all pairs
-   that meet at a longer prefix meet at it too, so only that prefix is computed: no longer label, trie or descent exists
-   at run time. Classes of one label (a node) are linked to the node's least class, so a node adds as many links as it
-   has classes, whatever its size.
+"""N-gram Jaccard join: an LSH forest of MinHash prefixes proposes, exact set comparison decides.
+
+1. Every text becomes its set of five-word shingles (hashed) and, for each of ``TREES`` trees, a label of ``FULL_DEPTH``
+   minhashes. Texts with equal sets are one class: copies are never compared with each other. A tree is the trie of its
+   labels; a node is what labels share as a prefix.
+2. Descent: classes meet where they share whole labels. Classes of one node are linked to the node's least class, so a
+   node adds as many links as it has classes, whatever its size.
 3. The components of these links hold every pair that can be found. Inside a component all pairs of classes are
    compared exactly. A component is cut into blocks, every two blocks are one piece of work, and a piece gives back
-   one row per class: how many documents it is linked to, and the least class it is tied to.
-4. The components of the verified ties are the groups of near-duplicates.
+   one row per class: how many documents it is linked to, and the least class it is tied to; and how many of its links
+   have which similarity.
+4. Ascent: from these similarities follows what share of all links a prefix of each depth meets: a pair at s shares a
+   prefix of d minhashes in some tree with probability 1 - (1 - s^d)^TREES. If whole labels fall short of ``TARGET``,
+   prefixes are shortened in all trees to the longest depth that does not, and step 2 and 3 are done at that depth.
+   Data whose copies are close stay at long prefixes, where texts that are only a little alike do not meet. No depth
+   below that which the target needs for pairs at the threshold itself is ever used.
+5. The components of the verified ties are the groups of near-duplicates.
 """
 
 from __future__ import annotations
@@ -24,7 +28,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.binding import once
 from lectern.llm.common import WORD, column, slices, text_of, written
 from lectern.llm.components import components
 
@@ -33,8 +36,13 @@ THRESHOLD = 0.8
 TREES = 24
 FULL_DEPTH = 8
 TARGET = 0.9999
-BLOCK = 1024
-BIN = 2000
+#: Texts and bytes of texts in one block of a component, and in one bin of small components.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
+BIN, BIN_BYTES = 2000, 12 << 20
+#: Classes of similarity, from the threshold to 1.
+BANDS = 20
+#: Bits that are kept of each minhash behind the shortest prefix.
+TAIL_BITS = 8
 CACHE = 200_000
 DENSE = 64
 SLAB = 4096
@@ -49,7 +57,29 @@ def depth_for(threshold: float, trees: int, full: int, target: float) -> int:
     return depth
 
 
-DEPTH = depth_for(THRESHOLD, TREES, FULL_DEPTH, TARGET)
+#: The shortest prefix ever used.
+LEAST_DEPTH = depth_for(THRESHOLD, TREES, FULL_DEPTH, TARGET)
+
+
+def meets(similarity: np.ndarray, depth: int) -> np.ndarray:
+    """Probability that a pair shares a prefix of this depth in some tree."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
+def reached_depth(links: np.ndarray, depth: int = FULL_DEPTH) -> int:
+    """The longest prefix that meets the target share of all links, judged by the links met at ``depth``.
+
+    ``links`` counts them by band of similarity. Each stands for one over its chance to be met; a band counts as if
+    all its pairs were at its lower end.
+    """
+    similarity = THRESHOLD + (1 - THRESHOLD) * np.arange(BANDS) / BANDS
+    there = links / meets(similarity, depth)
+    if not there.sum():
+        return depth
+    for d in range(depth, LEAST_DEPTH, -1):
+        if (there * meets(similarity, d)).sum() >= TARGET * there.sum():
+            return d
+    return LEAST_DEPTH
 
 
 def shingler() -> Callable[[str], np.ndarray]:
@@ -88,35 +118,42 @@ def _permutations(count: int, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
     return a, rng.integers(0, 1 << 63, count, dtype=np.uint64)
 
 
-def _labels(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """One hash per tree of the prefix of ``depth`` minhashes."""
+def _labels(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per tree a hash of the shortest prefix, and some bits of each minhash behind it, the first one highest."""
     least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for start in range(0, len(shingles), SLAB):
             x = shingles[start : start + SLAB, None] * a + b
             least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0))
-    prefixes = least.reshape(-1, depth)
-    return np.array([xxhash.xxh64_intdigest(p.tobytes(), seed=t) for t, p in enumerate(prefixes)], np.uint64)
+        mixed = ((least * _MIX) >> np.uint64(64 - TAIL_BITS)).astype(np.int64).reshape(TREES, FULL_DEPTH)
+    prefixes = least.reshape(TREES, FULL_DEPTH)[:, :LEAST_DEPTH]
+    nodes = np.array([xxhash.xxh64_intdigest(p.tobytes(), seed=t) for t, p in enumerate(prefixes)], np.uint64)
+    places = TAIL_BITS * np.arange(FULL_DEPTH - LEAST_DEPTH - 1, -1, -1)
+    return nodes, (mixed[:, LEAST_DEPTH:] << places).sum(axis=1)
 
 
 def _signed(value: np.ndarray) -> np.ndarray:
     return value.view(np.int64)
 
 
-def _signatures(depth: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles_of, (a, b) = shingler(), _permutations(TREES * depth)
-        for batch in slices(batches):
-            sets = [shingles_of(t) for t in column(batch, "text")]
-            classes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64)
-            nodes = [_signed(_labels(s, a, b, depth)) if len(s) else np.zeros(0, np.int64) for s in sets]
-            names = ["doc_id", "text_key"]
-            kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(_signed(classes)), pa.array(nodes, pa.list_(pa.int64()))], [*names, "class", "nodes"]
-            )
+SIGNATURES = "doc_id long, text_key long, bytes long, class long, nodes array<long>, tails array<int>"
 
-    return run
+
+def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingles_of, (a, b) = shingler(), _permutations(TREES * FULL_DEPTH)
+    none = np.zeros(0, np.int64)
+    for batch in slices(batches):
+        texts = column(batch, "text")
+        sets = [shingles_of(t) for t in texts]
+        classes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64)
+        labels = [_labels(s, a, b) if len(s) else (none, none) for s in sets]
+        names = ["doc_id", "text_key", "bytes"]
+        kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
+        nodes = pa.array([_signed(x) for x, _ in labels], pa.list_(pa.int64()))
+        tails = pa.array([x.astype(np.int32) for _, x in labels], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays(
+            [*kept, pa.array(_signed(classes)), nodes, tails], [*names, "class", "nodes", "tails"]
+        )
 
 
 def _sets(texts: list[str], shingles_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,7 +205,8 @@ def _ties(linked: np.ndarray, ids: np.ndarray, split: int) -> np.ndarray:
         label = new
 
 
-RESULT = pa.schema([("class", pa.int64()), ("links", pa.int64()), ("tie", pa.int64())])
+#: Rows of classes, and rows without a class that count the links (pairs of classes) of a band of similarity.
+RESULT = pa.schema([("class", pa.int64()), ("links", pa.int64()), ("tie", pa.int64()), ("band", pa.int32())])
 
 
 def _compared(ids, weights, columns, sizes, split) -> pa.Table:
@@ -179,15 +217,22 @@ def _compared(ids, weights, columns, sizes, split) -> pa.Table:
     union = sizes[:split, None] + sizes[None, :] - both
     linked = both >= THRESHOLD * union - 1e-6
     linked[np.arange(split), np.arange(split)] = False
-    links = np.zeros(n, np.int64)
-    links[:split] = linked @ weights
     if split < n:  # two different blocks: only what crosses counts
         linked[:, :split] = False
-        links[:split] = linked @ weights
+    similar = (both[linked] / union[linked] - THRESHOLD) / (1 - THRESHOLD) * BANDS
+    bands = np.bincount(np.clip(similar, 0, BANDS - 1).astype(np.int64), minlength=BANDS)
+    bands = bands if split < n else bands // 2
+    links = np.zeros(n, np.int64)
+    links[:split] = linked @ weights
+    if split < n:
         links[split:] = (linked[:, split:].T @ weights[:split]).astype(np.int64)
     ties = _ties(linked, ids, split)
     use = links > 0
-    return pa.Table.from_arrays([pa.array(ids[use]), pa.array(links[use]), pa.array(ties[use])], schema=RESULT)
+    found = [pa.array(ids[use]), pa.array(links[use]), pa.array(ties[use]), pa.nulls(int(use.sum()), pa.int32())]
+    used = np.flatnonzero(bands)
+    none = pa.nulls(len(used), pa.int64())
+    counted = [none, pa.array(bands[used]), none, pa.array(used.astype(np.int32))]
+    return pa.concat_tables([pa.Table.from_arrays(x, schema=RESULT) for x in (found, counted)])
 
 
 def _verify_bin(group: pa.Table) -> pa.Table:
@@ -204,21 +249,13 @@ def _verify_bin(group: pa.Table) -> pa.Table:
     return pa.concat_tables(out) if out else RESULT.empty_table()
 
 
-def _to_pieces(group: pa.Table) -> pa.Table:
-    """One block of a large component, packed, for every piece of work it takes part in."""
+def _packed(group: pa.Table) -> pa.Table:
+    """One block of a large component, packed."""
     known, columns, sizes = _sets(group["text"].to_pylist(), shingler())
     body = pickle.dumps((np.array(group["class"]), np.array(group["size"]), known, columns, sizes))
     body = pa.compress(body, codec="zstd", asbytes=True), len(body)
-    own, blocks = group["block"][0].as_py(), group["blocks"][0].as_py()
-    pairs = [(min(own, other), max(own, other)) for other in range(blocks)]
-    return pa.table(
-        {
-            "component": pa.array([group["component"][0].as_py()] * blocks, pa.int64()),
-            "low": pa.array([p[0] for p in pairs], pa.int64()), "high": pa.array([p[1] for p in pairs], pa.int64()),
-            "block": pa.array([own] * blocks, pa.int64()),
-            "payload": pa.array([pickle.dumps(body)] * blocks, pa.binary()),
-        }
-    )
+    first = group.slice(0, 1).select(["component", "block", "blocks"])
+    return first.append_column("payload", pa.array([pickle.dumps(body)], pa.binary()))
 
 
 def _verify_piece(group: pa.Table) -> pa.Table:
@@ -246,14 +283,25 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     candidate for an id, so a class of null keys has a null id. Repeated rows are documents of their own.
     """
     body = text_of(text)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_key"), body.alias("text"))
-    found = rows.mapInArrow(_signatures(DEPTH), "doc_id long, text_key long, class long, nodes array<long>")
-    found = written(found, "jaccard-signatures")
+    rows = docs.select(
+        F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_key"),
+        F.octet_length(body).cast("long").alias("bytes"), body.alias("text"),
+    )
+    found = written(rows.mapInArrow(_signatures, SIGNATURES), "jaccard-signatures")
     classes = found.groupBy("class").agg(
-        F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("size"), F.min("text_key").alias("text_key")
+        F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("size"),
+        F.min(F.struct("text_key", "bytes")).alias("one"), F.first("nodes").alias("nodes"), F.first("tails").alias("tails"),
     )
-    classes = written(classes, "jaccard-classes")
-    verified = _verified(rows.select("text_key", "text"), found, classes)
+    labels = written(classes.select("class", "class_id", "size", "one.*", "nodes", "tails"), "jaccard-classes")
+    classes = labels.drop("nodes", "tails")
+    texts = rows.select("text_key", "text")
+    verified = _verified(texts, labels, FULL_DEPTH)
+    bands = np.zeros(BANDS)
+    for row in verified.filter("class IS NULL").groupBy("band").agg(F.sum("links").alias("n")).collect():
+        bands[row["band"]] = row["n"]
+    if (depth := reached_depth(bands)) < FULL_DEPTH:
+        verified = _verified(texts, labels, depth)
+    verified = verified.filter("class IS NOT NULL")
     groups = components(verified.select(F.col("class").alias("a"), F.col("tie").alias("b")))
     grouped = classes.join(groups.withColumnRenamed("node", "class"), "class", "left").select(
         "class", "class_id", "size", F.coalesce("label", "class").alias("label")
@@ -270,29 +318,38 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     )
 
 
-def _verified(texts: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, links, tie): exact comparison inside the components that the forest proposes."""
-    one_each = found.groupBy("class").agg(F.first("nodes").alias("nodes"))
-    nodes = one_each.select("class", F.explode(once(F.col("nodes"))).alias("node"))
+def _verified(texts: DataFrame, labels: DataFrame, depth: int) -> DataFrame:
+    """(class, links, tie, band): exact comparison inside the components that prefixes of ``depth`` propose."""
+    node = F.xxhash64("p.nodes", F.shiftright("p.tails", TAIL_BITS * (FULL_DEPTH - depth)))
+    nodes = labels.select("class", F.explode(F.arrays_zip("nodes", "tails")).alias("p")).select("class", node.alias("node"))
     heads = nodes.groupBy("node").agg(F.min("class").alias("head"), F.max("class").alias("last"))
     heads = written(heads.filter("head <> last").select("node", "head"), "jaccard-nodes")
     edges = nodes.join(heads, "node").select(F.col("class").alias("a"), F.col("head").alias("b"))
     proposed = written(components(edges), "jaccard-proposed")
-    sizes = proposed.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-    sizes = written(sizes, "jaccard-sizes")
-    members = proposed.join(sizes, "label").join(classes, F.col("node") == F.col("class")).select(
-        "class", "size", "text_key", F.col("label").alias("component"), "blocks",
-        F.pmod(F.xxhash64("class", F.lit(3)), F.col("blocks")).alias("block"),
+    known = labels.select("class", "size", "text_key", "bytes").withColumnRenamed("class", "node")
+    proposed = written(proposed.join(known, "node"), "jaccard-sizes")
+    count = F.count(F.lit(1))
+    blocks = F.greatest(F.ceil(count / BLOCK), F.least(F.ceil(F.sum("bytes") / BLOCK_BYTES), count)).cast("long")
+    sizes = proposed.groupBy("label").agg(blocks.alias("blocks"))
+    members = proposed.join(sizes, "label").select(
+        F.col("node").alias("class"), "size", "text_key", F.col("label").alias("component"), "blocks",
+        F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).alias("block"),
     )
     # One text per key; copies are combined before they are shuffled.
     one_text = texts.groupBy("text_key").agg(F.first("text").alias("text"))
     members = written(members.join(one_text, "text_key").drop("text_key"), "jaccard-members")
-    result = "class long, links long, tie long"
-    bins = max(64, members.count() // BIN)
+    total = proposed.agg(count.alias("n"), F.sum("bytes").alias("bytes")).first()
+    bins = max(64, total["n"] // BIN, (total["bytes"] or 0) // BIN_BYTES)
+    result = "class long, links long, tie long, band int"
     small = members.filter("blocks = 1").withColumn("bin", F.pmod(F.xxhash64("component", F.lit(1)), F.lit(bins)))
     small = small.groupBy("bin").applyInArrow(_verify_bin, result)
-    pieces = members.filter("blocks > 1").groupBy("component", "block").applyInArrow(
-        _to_pieces, "component long, low long, high long, block long, payload binary"
+    packed = members.filter("blocks > 1").groupBy("component", "block").applyInArrow(
+        _packed, "component long, block long, blocks long, payload binary"
+    )
+    # A block takes part in one piece of work with every block of its component.
+    pieces = packed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pieces = pieces.select(
+        "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "payload"
     )
     large = pieces.groupBy("component", "low", "high").applyInArrow(_verify_piece, result)
     return written(small.union(large), "jaccard-verified")
@@ -329,6 +386,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = join(docs)
     heads = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("h"))
     keep = heads.select(F.col("h.doc_id").alias("_id"), F.col("h.text_key").alias("_key"))
-    keyed = docs.withColumn("_key_of", F.xxhash64(text_of())).withColumn("_id_of", F.col("doc_id"))
-    kept = keyed.join(keep, (F.col("_key_of") == F.col("_key")) & F.col("_id_of").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["_key_of", "_id_of"]).drop("_key_of", "_id_of")
+    key_of, id_of = (next(n for n in _names(name) if n not in docs.columns) for name in ("key_of", "id_of"))
+    keyed = docs.withColumn(key_of, F.xxhash64(text_of())).withColumn(id_of, F.col("doc_id"))
+    kept = keyed.join(keep, (F.col(key_of) == F.col("_key")) & F.col(id_of).eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates([key_of, id_of]).drop(key_of, id_of)
+
+
+def _names(name: str) -> Iterator[str]:
+    while True:
+        name = f"_{name}"
+        yield name

@@ -84,7 +84,63 @@ def test_empty_table(make):
 
 def test_depth_follows_the_target():
     assert jaccard.depth_for(0.8, 24, 8, 0.5) == 8
-    assert jaccard.DEPTH == 5 and 1 - (1 - 0.8**5) ** 24 >= jaccard.TARGET
+    assert jaccard.LEAST_DEPTH == 5 and 1 - (1 - 0.8**5) ** 24 >= jaccard.TARGET
+    bands = np.zeros(jaccard.BANDS)
+    assert jaccard.reached_depth(bands) == jaccard.FULL_DEPTH
+    bands[-5:] = 1000  # all links above 0.95
+    assert jaccard.reached_depth(bands) == jaccard.FULL_DEPTH
+    bands[0] = 100  # a fiftieth of them at the threshold
+    assert jaccard.LEAST_DEPTH < jaccard.reached_depth(bands) < jaccard.FULL_DEPTH
+    bands[0] = 1e6
+    assert jaccard.reached_depth(bands) == jaccard.LEAST_DEPTH
+
+
+def depths(monkeypatch):
+    """The depths at which classes are linked while a join runs."""
+    seen, real = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda t, l, depth: (seen.append(depth), real(t, l, depth))[1])
+    return seen
+
+
+def changed(rng, base, changes):
+    words = list(base)
+    for at in rng.sample(range(len(words)), changes):
+        words[at] = f"x{rng.random()}"
+    return " ".join(words)
+
+
+def test_dense_data_stop_at_a_longer_prefix(make, monkeypatch):
+    rng = random.Random(2)
+    bases = [[f"w{rng.randrange(10_000)}" for _ in range(400)] for _ in range(30)]
+    close = [(i, changed(rng, bases[i % 30], 1)) for i in range(150)]
+    seen = depths(monkeypatch)
+    got = sorted(tuple(r) for r in jaccard.op1(make(close)).collect())
+    assert seen == [jaccard.FULL_DEPTH] and got == sorted(expected(close))
+    far = [(i, changed(rng, bases[i % 30], 0 if i < 30 else 7)) for i in range(150)]
+    seen.clear()
+    got = sorted(tuple(r) for r in jaccard.op1(make(far)).collect())
+    assert seen == [jaccard.FULL_DEPTH, 6] and got == sorted(expected(far))
+
+
+def test_recall_near_the_threshold(make):
+    """Pairs just above the threshold, each on its own: of these at least nine in ten must be met."""
+    rng, rows, pairs = random.Random(5), [], 300
+    for i in range(pairs):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(120)]
+        # Two copies with two changes each, apart: up to 20 of 116 shingles differ on each side.
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, changed(rng, base, 2))]
+    want = {d: n for d, _, _, n in expected(rows)}
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.op1(make(rows)).collect()}
+    assert sum(want.values()) > pairs
+    assert sum(got.values()) >= 0.99 * sum(want.values()) and all(got[d] <= want[d] for d in want)
+
+
+def test_long_texts_are_cut_into_blocks_by_bytes(make, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(jaccard, "BIN_BYTES", 2000)
+    rows = corpus()
+    got = [tuple(r) for r in jaccard.op1(make(rows)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, expected(rows)))
 
 
 @pytest.mark.parametrize("dense", [0, 2, 64])
