@@ -14,7 +14,8 @@ from lectern.functions.binding import let, once
 from lectern.functions.bounded import as_broadcast, broadcast_if_small
 from lectern.functions.joins import left_join_known
 from lectern.operators.nearest import nearest, usable, usual_size
-from lectern.session import cut
+from lectern.operators.term_index import TOKENS, TermIndex
+from lectern.session import cut, run_dir
 
 # Score threshold, bonus per matching query token, default and largest k, chat k.
 THRESHOLD = 0.18
@@ -209,22 +210,30 @@ def _salted_join(
 def _matches_by_index(
     chunks, queries, chunk_keys, query_id, query_text, text, threshold, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Token-index plan for a query table of any size; equi-joins only.
+    """Token-index plan for a query table of any size: the chunks are indexed, then searched."""
+    spark = chunks.sparkSession
+    index = TermIndex(spark, run_dir(spark, "terms"), chunk_keys, text).add(chunks, "all")
+    found = index_matches(index, queries, query_id, query_text, threshold, hot_rows)
+    return found.select(query_id, *chunks.columns, "score")
+
+
+def index_matches(
+    index: TermIndex, queries: DataFrame, query_id: str = "query_id", query_text: str = "query",
+    threshold: float = THRESHOLD, hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """All (query, chunk) pairs scoring above the threshold, from a stored index (RET-1, RET-5); equi-joins only.
 
     A query token holds word characters only, so it occurs in a text iff it occurs in one of its tokens. Query
-    tokens meet the distinct vocabulary on an anchor of up to four characters. A pair that passes needs
-    ``_least_hits`` occurring tokens, hence one of the query's ``n - least + 1`` rarest: only those make
-    candidates, which keeps the commonest tokens from pairing every chunk with every query. Candidates are
-    then scored exactly from the text. Queries and vocabulary are used several times and are written once.
+    tokens meet the vocabulary on an anchor of up to four characters. A pair that passes needs ``_least_hits``
+    occurring tokens, hence one of the query's ``n - least + 1`` rarest: only those make candidates, which keeps the
+    commonest tokens from pairing every chunk with every query. Candidates are then scored exactly from their stored
+    tokens; texts are carried along for the pairs that pass and are not read for the score.
     """
+    chunk_keys = index.keys
     asked = cut(
         queries.select(F.col(query_id), T.distinct_tokens(F.col(query_text)).alias("_q")).filter(F.size("_q") > 0)
     )
-    tokenised = chunks.select(
-        *chunk_keys, T.distinct_tokens(F.col(text)).alias("_d")
-    ).withColumn("_nd", F.size("_d"))
-    postings = tokenised.select(*chunk_keys, "_nd", F.explode(once(F.col("_d"))).alias("token"))
-    vocabulary = cut(postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+    postings, vocabulary = index.postings(), cut(index.vocabulary())
 
     words = asked.select(F.explode("_q").alias("word")).distinct()
     anchored = words.withColumn("anchor", F.substring("word", 1, ANCHOR))
@@ -267,27 +276,26 @@ def _matches_by_index(
         .select(query_id, *chunk_keys)
         .distinct()
     )
-    # Few candidates meet the chunks where these are read, so no text moves; many of them are shuffled with the chunks.
+    # Few candidates meet the chunks where these are read, so nothing else moves; many are shuffled with the chunks.
     # Keys are compared null-safe, as the scan plan does not compare them at all.
     renamed = cut(candidates.select(query_id, *[F.col(c).alias(f"_k{i}") for i, c in enumerate(chunk_keys)]))
     few = renamed.count() <= MAX_CANDIDATES
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(chunk_keys)])
-    # Texts are tokenised once per chunk and candidate.
+    stored = index.chunks()
+    columns = [c for c in stored.columns if c != TOKENS]
+    whole = F.array_join(TOKENS, " ")
     scored = (
-        chunks.join(F.broadcast(renamed) if few else renamed.hint("merge"), same)
-        .withColumn("_d", T.distinct_tokens(F.col(text)))
+        stored.join(F.broadcast(renamed) if few else renamed.hint("merge"), same)
         .join(broadcast_if_small(asked), query_id)
         .withColumn(
             "score",
             _score(
-                F.size(tokens_inside(F.col("_q"), F.col(text))),
-                F.size(F.array_intersect("_q", "_d")),
-                F.size("_q"),
-                F.size("_d"),
+                F.size(tokens_inside(F.col("_q"), whole)), F.size(F.array_intersect("_q", TOKENS)), F.size("_q"),
+                F.size(TOKENS),
             ),
         )
     )
-    return scored.filter(F.col("score") > threshold).select(query_id, *chunks.columns, "score")
+    return scored.filter(F.col("score") > threshold).select(query_id, *columns, "score")
 
 
 def top_k(

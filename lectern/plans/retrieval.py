@@ -10,8 +10,11 @@ from lectern.functions.binding import once
 from lectern.operators import answering as A
 from lectern.operators import chunking as C
 from lectern.operators import retrieval as R
+from lectern.operators.term_index import TermIndex
+from lectern.operators.vector_index import VectorIndex
 from lectern.plans import sql as S
 from lectern.plans.registry import query, spread, table
+from lectern.session import run_dir
 
 KEYS = ["doc_id", "source"]
 
@@ -135,17 +138,14 @@ best AS (SELECT source, w, row_number() OVER (PARTITION BY source ORDER BY n DES
 searches AS (SELECT source AS query_id, string_agg(w, ' ' ORDER BY r) AS query FROM best WHERE r <= 5 GROUP BY source)"""
 
 
-@query(
-    "RET-1 RET-4 RET-5 (token index)",
-    f"""WITH {TERM_QUERY_SQL}, chunks AS ({S.chunks()}),
+_TERM_SQL = f"""WITH {TERM_QUERY_SQL}, chunks AS ({S.chunks()}),
     scored AS ({S.keyword_scores('chunks', 'searches', 'doc_id, chunk_no')}),
     ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_no)
                AS INTEGER) AS rank FROM scored WHERE score > 0.18)
-    SELECT query_id, doc_id, chunk_no, rank, round(score, 6) AS score FROM ranked WHERE rank <= 5""",
-)
-def term_search(spark, sf_dir):
-    """Each source's five commonest longer terms searched over the whole store, through the token index."""
-    docs = documents(spark, sf_dir)
+    SELECT query_id, doc_id, chunk_no, rank, round(score, 6) AS score FROM ranked WHERE rank <= 5"""
+
+
+def _term_queries(docs: DataFrame) -> DataFrame:
     counted = (
         docs.select("source", F.explode(T.tokens(F.col("text"))).alias("w"))
         .filter(F.length("w") > 3)
@@ -153,16 +153,33 @@ def term_search(spark, sf_dir):
         .agg(F.count(F.lit(1)).alias("n"))
     )
     best = R.top_k(counted, "source", ["w"], 5, score="n", rank="r")
-    asked = best.groupBy(F.col("source").alias("query_id")).agg(
+    return best.groupBy(F.col("source").alias("query_id")).agg(
         F.array_join(
             F.transform(F.sort_array(F.collect_list(F.struct("r", "w"))), lambda s: s["w"]), " "
         ).alias("query")
     )
+
+
+@query("RET-1 RET-4 RET-5 (token index)", _TERM_SQL)
+def term_search(spark, sf_dir):
+    """Each source's five commonest longer terms searched over the whole store, through the token index."""
+    asked = _term_queries(documents(spark, sf_dir))
     scored = R.keyword_matches(_chunks(spark, sf_dir), asked, ["doc_id", "chunk_no"], use_index=True)
     top = R.top_k(scored, "query_id", ["doc_id", "chunk_no"], R.MAX_K)
     return top.select("query_id", "doc_id", "chunk_no", "rank", F.round("score", 6).alias("score"))
 
 
+@query("RET-1 RET-4 RET-5 SRC-5 (stored index)", _TERM_SQL)
+def stored_index_search(spark, sf_dir):
+    """The same searches over an index that the documents were appended to in two parts, one of them twice."""
+    docs, index = documents(spark, sf_dir), TermIndex(spark, run_dir(spark, "terms"), ["doc_id", "chunk_no"])
+    first = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True))
+    for name, part in (("a", docs.filter(first)), ("b", docs.filter(~first)), ("a", docs.filter(first))):
+        index.add(C.chunk_documents(part, KEYS), name)
+    top = R.top_k(R.index_matches(index, _term_queries(docs)), "query_id", ["doc_id", "chunk_no"], R.MAX_K)
+    return top.select("query_id", "doc_id", "chunk_no", "rank", F.round("score", 6).alias("score"))
+
+
 CENTROID_SQL = """
 parts AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m
           FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i) GROUP BY label, i),
@@ -201,6 +218,48 @@ def cosine_topk(spark, sf_dir):
     return R.top_k(scored, "query_id", ["vec_id"], R.MAX_K).select("query_id", "vec_id", "score", "rank")
 
 
+_INDEX_QUERIES = "SELECT vec_id AS query_id, embedding AS query_vec FROM embeddings WHERE vec_id % 100 = 0"
+
+
+def _vector_index(spark, sf_dir) -> tuple[VectorIndex, DataFrame]:
+    vectors = table(spark, sf_dir, "embeddings")
+    index = VectorIndex(spark, run_dir(spark, "vectors"), "vec_id", "embedding").build(vectors)
+    asked = vectors.filter("vec_id % 100 = 0").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")
+    )
+    return index, asked
+
+
+@query(
+    "RET-2 RET-4 (inverted lists)",
+    f"""WITH asked AS ({_INDEX_QUERIES}),
+    scored AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(query_vec AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score
+               FROM asked, embeddings),
+    ranked AS (SELECT query_id, vec_id, round(score, 6) AS score, CAST(row_number() OVER
+               (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) AS INTEGER) AS rank FROM scored)
+    SELECT * FROM ranked WHERE rank <= 5""",
+)
+def indexed_vectors(spark, sf_dir):
+    """The five vectors nearest to every hundredth one, from the inverted lists that can hold one of them."""
+    index, asked = _vector_index(spark, sf_dir)
+    return index.search(asked, "query_id", "query_vec", R.MAX_K, digits=6)
+
+
+@query(
+    "RET-2 (inverted lists, recall)",
+    f"SELECT count(*) AS n_queries, true AS reached FROM ({_INDEX_QUERIES})",
+)
+def indexed_recall(spark, sf_dir):
+    """Whether the probes set for a recall of 0.95 find nine of ten of the true neighbours of every hundredth vector."""
+    index, asked = _vector_index(spark, sf_dir)
+    probes = index.probes_for(0.95, R.MAX_K)
+    near = index.search(asked, "query_id", "query_vec", R.MAX_K, probes=probes, digits=6)
+    true = index.search(asked, "query_id", "query_vec", R.MAX_K, digits=6)
+    met = true.join(near.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi")
+    share = F.lit(met.count()) >= F.lit(0.9 * true.count())
+    return asked.agg(F.count(F.lit(1)).alias("n_queries"), F.any_value(share).alias("reached"))
+
+
 HYBRID_TEXT = "'vector ' || vec_id || ' of label ' || label || ' group ' || (vec_id % 7)"
 
 
