@@ -176,3 +176,46 @@ def stream_fresh_uploads(spark, sf_dir):
     fresh = ingest.drop_repeats(uploads, "ts", ["user_id", "name", "size"], "3650 days")
     ingest.write_rows(fresh, out, checkpoint).awaitTermination()
     return spark.read.parquet(out).select("user_id", "name", "size")
+
+
+@query(
+    "SRC-7 (stream, previous upload)",
+    """WITH u AS (SELECT event_id, user_id, event_type || '_' || (event_id % 2) AS mark,
+                lag(event_type || '_' || (event_id % 2)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)
+    SELECT event_id, user_id FROM u WHERE prev IS NULL OR prev <> mark""",
+)
+def stream_previous_uploads(spark, sf_dir):
+    """Events as uploads that arrive in four micro-batches: those that do not repeat their user's previous one."""
+    uploads = table(spark, sf_dir, "events").select(
+        "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type",
+        (F.col("event_id") % 2).cast("int").alias("size"),
+    )
+    seconds = F.unix_micros("ts")
+    cuts = uploads.agg(F.percentile_approx(seconds, [0.25, 0.5, 0.75], 1000).alias("c")).first()["c"] or []
+    part = sum([(seconds > F.lit(c)).cast("int") for c in cuts], F.lit(0))
+    folder = run_dir(spark, "arriving")
+    for i in range(len(cuts) + 1):  # one file each, in the order in which they arrive
+        uploads.filter(F.coalesce(part, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(folder)
+    out, checkpoint = run_dir(spark, "uploads"), run_dir(spark, "progress")
+    stream = ingest.read_documents(spark, folder, uploads.schema, 1)
+    fresh = ingest.skip_repeats(stream, "user_id", "ts", ["event_id"], "event_type", "size", expiry="3650 days")
+    ingest.write_rows(fresh, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).select("event_id", "user_id")
+
+
+@query(
+    "SRC-6 (stream)",
+    "SELECT source, arg_max(text, doc_id) AS text, max(doc_id) AS doc_id FROM documents GROUP BY source",
+)
+def stream_latest_texts(spark, sf_dir):
+    """Last text of every source from a store fed by a stream, with one batch run twice and a snapshot."""
+    docs = table(spark, sf_dir, "documents").select("source", "text", "doc_id")
+    texts = store.TextStore(spark, run_dir(spark, "texts"), order="doc_id")
+    early = F.coalesce(F.col("doc_id") % 3 == 0, F.lit(True))
+    texts.upsert(docs.filter(early), 0)
+    texts.upsert(docs.filter(early), 0)
+    texts.compact()
+    stream = ingest.read_documents(spark, f"{sf_dir}/documents*.parquet", table(spark, sf_dir, "documents").schema)
+    rest = stream.select("source", "text", "doc_id").filter(~early)
+    ingest.upsert_texts(rest, texts, run_dir(spark, "progress"), 1).awaitTermination()
+    return texts.read().select("source", "text", "doc_id")

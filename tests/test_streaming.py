@@ -81,3 +81,59 @@ def test_state_expires_with_the_watermark(spark, tmp_path):
     ]
     kept = query.lastProgress["stateOperators"][0]
     assert kept["numRowsTotal"] <= 3 and "rocksdb" in str(kept["customMetrics"]).lower()
+
+
+def test_previous_upload_over_batches(spark, tmp_path):
+    """Over ordered batches the stream keeps what one look back keeps; late rows pass and change nothing."""
+    days = [
+        [("u", 1, "a"), ("u", 2, "a"), ("u", 3, "b"), ("v", 1, None)],
+        [("u", 4, "b"), ("u", 5, "a"), ("v", 2, None), ("w", 1, "x")],
+        [("u", 4, "late"), ("u", 6, "a"), ("u", 7, "c"), ("w", 2, "x")],
+    ]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i, rows in enumerate(days):
+        part = spark.createDataFrame(rows, "who string, day int, name string").selectExpr(
+            "who", "cast(date_add(date'2024-01-01', day) as timestamp) as ts", "day", "name", "1 as size"
+        )
+        part.toPandas().to_parquet(folder / f"{i}.parquet", coerce_timestamps="us")
+        os.utime(folder / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    schema = spark.createDataFrame([], "who string, ts timestamp, day int, name string, size int").schema
+    stream = ingest.read_documents(spark, str(folder), schema, files_per_batch=1)
+    fresh = ingest.skip_repeats(stream, "who", "ts", ["day"], "name", "size", delay="30 days")
+    ingest.write_rows(fresh, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).select("who", "day", "name").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([
+        ("u", 1, "a"), ("u", 3, "b"), ("v", 1, None), ("u", 5, "a"), ("w", 1, "x"), ("u", 4, "late"), ("u", 7, "c"),
+    ], key=str)
+
+
+def test_text_store_takes_replays_and_snapshots(spark, tmp_path):
+    from lectern.sources.store import TextStore
+
+    store = TextStore(spark, str(tmp_path / "s"), order="at")
+    assert store.read() is None
+    store.compact()
+
+    def rows(*items):
+        return spark.createDataFrame(items, "source string, text string, at long")
+
+    def texts():
+        return {r["source"]: (r["text"], r["at"]) for r in store.read().collect()}
+
+    first, second = rows(("a", "one", 1), ("b", "two", 1), (None, "none", 1)), rows(("a", "three", 2), ("c", "four", 0))
+    store.upsert(first, 0)
+    store.upsert(second, 1)
+    want = {"a": ("three", 2), "b": ("two", 1), "c": ("four", 0), None: ("none", 1)}
+    assert texts() == want
+    store.upsert(first, 0)
+    assert texts() == want
+    store.compact()
+    store.compact()
+    assert texts() == want
+    store.upsert(first, 0)  # behind the snapshot already
+    assert texts() == want
+    store.upsert(rows(("b", "five", 3), ("a", "old", 0)), 2)
+    assert texts() == want | {"b": ("five", 3)}
+    store.compact()
+    assert texts() == want | {"b": ("five", 3)}
