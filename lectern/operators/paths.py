@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern import fixed_values as V
@@ -13,14 +13,19 @@ from lectern.functions.binding import let, once
 from lectern.functions.bounded import broadcast_if_small
 from lectern.functions.joins import left_join_known
 from lectern.operators.ranking import positions
-from lectern.operators.retrieval import match_source
+from lectern.operators.retrieval import _grams, match_source
 from lectern.session import cut
 
 WEEKS = 4
 # Subtopics up to which a plan travels inside the query; a larger store is joined.
 MAX_PLAN = 500
-SKILLS_AT_ONCE = 256
-STEP = 10_000
+# Characters of a skill on which it meets the texts.
+ANCHOR = 4
+# Consecutive subtopics whose texts are put together in one row, and sets that meet one copy of such a row.
+STEP = 1_000
+SETS_AT_ONCE = 5_000
+# Characters of a week's topic.
+SHOWN = 65
 NUMBER = "decimal(38,0)"
 
 # Patterns of week headings, numbered lines and title terms.
@@ -374,57 +379,121 @@ def skill_set(skills: Column) -> Column:
     return F.array_sort(F.array_distinct(known))
 
 
-def weekly_plans(sets: DataFrame, subtopics: DataFrame, order: list[str], **cuts) -> DataFrame:
+def numbered(subtopics: DataFrame, order: list[str], at: str = "_at") -> DataFrame:
+    """Name, details, tags and the 0-based place of each subtopic in the store's order, in a written table.
+
+    The rows are sorted once, by range; the tasks' row counts shift the numbers. Ties follow name and details; rows equal
+    in all of that fall into several ranges, so a hot order key is not one task.
+    """
+    texts = ["name", "details", "tags"]
+    rows = subtopics.select(*order, *texts).withColumn("_any", F.monotonically_increasing_id())
+    ordered = rows.orderBy(*order, *texts, "_any").select(F.monotonically_increasing_id().alias("_id"), *texts)
+    ordered = cut(ordered.withColumn("_task", F.shiftright("_id", 33)))
+    # One row per task of the sort; the number inside the task is in the lower 33 bits.
+    tasks = ordered.groupBy("_task").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = F.sum("_rows").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = broadcast_if_small(tasks.select("_task", F.coalesce(earlier, F.lit(0)).alias("_shift")))
+    inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return ordered.join(shifts, "_task").select((inside + F.col("_shift")).alias(at), *texts)
+
+
+def skill_hits(skills: DataFrame, texts: DataFrame, skill: str = "skill", text: str = "text") -> DataFrame:
+    """Distinct ``skill, text`` where the text holds the skill, for tables of any size (LP-12).
+
+    A skill inside a text is there with all its strings of ``ANCHOR`` characters, so the two meet on the skill's rarest
+    one (a shorter skill is its own anchor), and what meets is compared. Skills stay a table: the plan does not grow
+    with them and none is sent to the driver.
+    """
+    asked = cut(skills.select(F.col(skill).alias("_s")).filter("_s != ''").distinct())
+    known = texts.select(F.col(text).alias("_x")).filter(F.col("_x").isNotNull()).distinct()
+
+    def grams(c: Column, widths: list[int]) -> Column:
+        return F.array_distinct(F.flatten(F.array(*[_grams(c, w) for w in widths])))
+
+    size = F.length("_s")
+    own = F.when(size < ANCHOR, F.array("_s")).otherwise(grams(F.col("_s"), [ANCHOR]))
+    pieces = asked.select("_s", F.explode(once(own)).alias("_g"))
+    wanted = broadcast_if_small(pieces.select("_g").distinct())
+    postings = cut(
+        known.select("_x", F.explode(once(grams(F.col("_x"), list(range(1, ANCHOR + 1))))).alias("_g")).join(wanted, "_g", "left_semi")
+    )
+    counts = postings.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
+    rarest = pieces.join(counts, "_g", "left").groupBy("_s").agg(
+        F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), "_g")).alias("_r")
+    )
+    anchors = rarest.filter("_r._df > 0").select("_s", F.col("_r._g").alias("_g"))
+    met = postings.join(anchors, "_g").filter(F.contains(F.col("_x"), F.col("_s")))
+    return met.select(F.col("_s").alias(skill), F.col("_x").alias(text))
+
+
+def weekly_plans(sets: DataFrame, subtopics: DataFrame, order: list[str], rows_per_bucket: int = STEP) -> DataFrame:
     """``skills, path`` for distinct skill sets against a store of any size (LP-12…15).
 
-    The subtopics are numbered once and tested against the distinct skills where they are read, some skills at a
-    time. What a set knows is taken out of its copy of the plan, the rest is numbered anew bucket by bucket and rolled
-    up per week. A path holds the names of all that is left, so a set's result is as large as the store; nothing
-    else is. A set that knows everything has the finished plan.
+    The store is numbered once and cut into buckets of consecutive subtopics. What a set knows is found through
+    ``skill_hits``; a set's rest of a bucket starts at the bucket's first number less what the set knows before it, so
+    every bucket is dealt to the weeks by itself and makes four pieces of text. The pieces are put together in order:
+    neither a window nor a list ever holds a set's rows of the store. A path holds the names of all that is left, so its
+    texts are as large as the store; nothing else is. A set that knows everything has the finished plan.
     """
-    spark = subtopics.sparkSession
-    ordered = subtopics.select(*order, "name", "details", "tags").orderBy(*order)
-    ordered = cut(ordered.select(F.monotonically_increasing_id().alias("_id"), "name", "details", "tags"))
-    numbered = cut(positions(ordered, [], "_id", "_at", **cuts).drop("_id"))
-    total = numbered.count()
-    skills = [r[0] for r in sets.select(F.explode("skills").alias("s")).distinct().orderBy("s").toLocalIterator()]
-    texts = searched(F.col("name"), F.col("details"), F.col("tags"))
-    known = spark.createDataFrame([], "_at bigint, _skill string")
-    for start in range(0, len(skills), SKILLS_AT_ONCE):
-        found = _found_in(texts, skills[start : start + SKILLS_AT_ONCE])
-        known = known.union(numbered.select("_at", F.explode(once(found)).alias("_skill")))
-    asked = sets.select(F.to_json("skills").alias("_set"), "skills")
-    dropped = asked.select("_set", F.explode("skills").alias("_skill")).join(known, "_skill").select("_set", "_at").distinct()
-    lows = F.sequence(F.lit(0), F.lit(max(total - 1, 0)), F.lit(STEP))
-    steps = asked.select("_set", F.explode(once(lows)).alias("_low")) if total else asked.select("_set", F.lit(0).alias("_low")).limit(0)
-    whole = steps.select(
-        "_set", F.explode(once(F.sequence(F.col("_low"), F.least(F.col("_low") + STEP, F.lit(total)) - 1))).alias("_at")
-    ).withColumn("_at", F.col("_at").cast("bigint"))
-    left = whole.join(dropped, ["_set", "_at"], "left_anti").join(numbered.select("_at", "name", "details"), "_at")
-    placed = positions(left, ["_set"], "_at", **cuts)
-    weekly = placed.groupBy("_set", (F.col("position") % WEEKS).cast("int").alias("week")).agg(
-        F.array_sort(F.collect_list(F.struct("position", "name", "details"))).alias("own")
+    asked = cut(sets.select(F.to_json("skills").alias("_set"), "skills"))
+    store = cut(numbered(subtopics, order).withColumn("_bucket", F.floor(F.col("_at") / rows_per_bucket)))
+    texts = store.select("_bucket", "_at", F.explode(searched(F.col("name"), F.col("details"), F.col("tags"))).alias("text"))
+    skills = asked.select("_set", F.explode("skills").alias("skill"))
+    hits = skill_hits(skills, texts)
+    known = (
+        skills.join(hits, "skill").select("_set", "text").distinct().join(texts, "text")
+        .groupBy("_set", "_bucket").agg(F.collect_set("_at").alias("_known"))
     )
-    lines = F.array_join(F.transform("own", lambda s: F.concat(s["name"], F.lit(": "), s["details"])), "; ")
-    names = T.clip(F.array_join(F.transform("own", lambda s: s["name"]), " & "), 65)
-    weekly = weekly.select("_set", "week", names.alias("topic"), lines.alias("details"))
-    by_set = weekly.groupBy("_set").agg(
-        *[
-            F.max(F.when(F.col("week") == w, F.struct("topic", "details"))).alias(f"_w{w}") for w in range(WEEKS)
-        ]
+    # A bucket's subtopics are one list, and as many copies of it as there are groups of sets meet these.
+    salts = 1 + asked.count() // SETS_AT_ONCE
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+    buckets = cut(
+        store.groupBy("_bucket").agg(F.array_sort(F.collect_list(F.struct("_at", "name", "details"))).alias("_rows"))
     )
-    joined = asked.join(by_set, "_set", "left")
-    found = [F.col(f"_w{w}") for w in range(WEEKS)]
-    path = F.when(F.coalesce(*found).isNull(), finished_plan()).otherwise(
-        F.array(*[_plan_week(w, c.isNotNull(), c["topic"], c["details"]) for w, c in enumerate(found)])
+    per_set = asked.withColumn("_salt", F.pmod(F.xxhash64("_set"), F.lit(salts)).cast("int"))
+    pairs = (
+        per_set.select("_set", "_salt").join(buckets.select("_bucket", salt), "_salt")
+        .join(known, ["_set", "_bucket"], "left")
+        .withColumn("_known", F.coalesce("_known", F.array().cast("array<bigint>")))
     )
-    return joined.select("skills", path.alias("path"))
-
+    before = Window.partitionBy("_set").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    gone = F.coalesce(F.sum(F.size("_known")).over(before), F.lit(0))
+    shifted = pairs.withColumn("_start", F.col("_bucket") * rows_per_bucket - gone)
+    dealt = shifted.join(buckets.select("_bucket", salt, "_rows"), ["_bucket", "_salt"])
+    low = F.col("_bucket") * rows_per_bucket
+    ats = F.array_except(F.transform("_rows", lambda r: r["_at"]), F.col("_known"))
+    left = F.transform(ats, lambda at: F.get("_rows", (at - low).cast("int")))
+    pieces = F.array(*[_week_piece(F.col("_left"), F.col("_start"), w) for w in range(WEEKS)])
+    made = dealt.select("_set", "_bucket", "_start", let(left, lambda x: x).alias("_left")).select("_set", "_bucket", pieces.alias("_p"))
+    by_set = made.groupBy("_set").agg(F.array_sort(F.collect_list(F.struct("_bucket", "_p"))).alias("_b"))
+
+    def rolled(w: int) -> tuple[Column, Column, Column]:
+        own = F.filter(F.transform("_b", lambda b: b["_p"][w]), lambda p: p["any"])
+        topic = T.clip(F.array_join(F.transform(own, lambda p: p["names"]), " & "), SHOWN)
+        return F.coalesce(F.size(own) > 0, F.lit(False)), topic, F.array_join(F.transform(own, lambda p: p["lines"]), "; ")
+
+    weeks = [rolled(w) for w in range(WEEKS)]
+    some = weeks[0][0] | weeks[1][0] | weeks[2][0] | weeks[3][0]
+    path = F.when(~some, finished_plan()).otherwise(F.array(*[_plan_week(w, *parts) for w, parts in enumerate(weeks)]))
+    return asked.join(by_set, "_set", "left").select("skills", path.alias("path"))
+
+
+def _week_piece(left: Column, start: Column, week: int) -> Column:
+    """What a bucket adds to one week: whether it adds a subtopic, names as far as they are shown, and all lines."""
+    own = F.filter(left, lambda _r, i: (start + i) % WEEKS == week)
+
+    def text(values: Column, between: str) -> Column:
+        # A piece without any text must not leave a separator.
+        return let(F.filter(values, lambda v: v.isNotNull()), lambda v: F.when(F.size(v) > 0, F.array_join(v, between)))
 
-def _found_in(texts: Column, skills: list[str]) -> Column:
-    """The skills that are inside one of the texts."""
-    asked = F.array(*[F.lit(s) for s in skills])
-    return let(texts, lambda known: F.filter(asked, lambda s: F.exists(known, lambda x: F.contains(x, s))))
+    return let(
+        own,
+        lambda rows: F.struct(
+            (F.size(rows) > 0).alias("any"),
+            F.left(text(F.transform(rows, lambda r: r["name"]), " & "), F.lit(SHOWN + 1)).alias("names"),
+            text(F.transform(rows, lambda r: F.concat(r["name"], F.lit(": "), r["details"])), "; ").alias("lines"),
+        ),
+    )
 
 
 def unknown_subtopics(plan: Column, skills: Column) -> Column:
@@ -442,7 +511,7 @@ def weekly_plan(left: Column) -> Column:
         own = F.filter(left, lambda _s, i: i % WEEKS == w)
         names = F.array_join(F.transform(own, lambda s: s["name"]), " & ")
         lines = F.array_join(F.transform(own, lambda s: F.concat(s["name"], F.lit(": "), s["details"])), "; ")
-        return _plan_week(w, F.size(own) > 0, T.clip(names, 65), lines)
+        return _plan_week(w, F.size(own) > 0, T.clip(names, SHOWN), lines)
 
     return F.when(F.size(left) == 0, finished_plan()).otherwise(F.array(*[week(w) for w in range(WEEKS)]))
 
