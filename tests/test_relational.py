@@ -114,6 +114,40 @@ def test_quantiles_exact(spark, accuracy):
         assert r["quantile"] == pytest.approx(float(np.quantile(groups[r["g"]], r["prob"])), abs=1e-9)
 
 
+@pytest.mark.parametrize("slice_rows", [1, 20, 400])
+def test_quantile_slices_are_cut_until_they_are_short(spark, monkeypatch, slice_rows):
+    """Whole ranges as brackets: slices of thousands of values, cut with three ranges a round."""
+    rnd = random.Random(9)
+    groups = {
+        "far": [rnd.gauss(0, 100) for _ in range(3000)],
+        "tied": [1.0] * 900 + [2.0] * 900 + [1 + rnd.random() for _ in range(300)],
+        "two": [1.0, 2.0],
+    }
+    monkeypatch.setattr(Q, "RANGES", 3)
+    longest = []
+    interpolated = Q._interpolated
+    monkeypatch.setattr(Q, "_interpolated", lambda c, g: longest.append(c) or interpolated(c, g))
+    frame = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(5)
+    for r in Q.exact_quantiles(frame, ["g"], "v", [0.0, 0.3, 0.5, 0.97, 1.0], 10, slice_rows).collect():
+        assert r["quantile"] == pytest.approx(float(np.quantile(groups[r["g"]], r["prob"])), abs=1e-9)
+    sizes = longest[1].groupBy("g", "prob").agg(F.count("_v").alias("n")).agg(F.max("n")).first()[0]
+    assert sizes <= max(slice_rows, 2)
+
+
+def test_missed_brackets_are_taken_again(spark, monkeypatch):
+    """A sketch that answers with the largest value everywhere: the counts show it, and the whole range is taken."""
+    values = [float(i) for i in range(500)]
+    frame = spark.createDataFrame([("a", v) for v in values] + [("b", 7.0)], "g string, v double")
+    approx = F.percentile_approx
+
+    def wrong(c, shares, accuracy):
+        return F.transform(approx(c, shares, accuracy), lambda _e: F.lit(490.0)) if accuracy == 50 else approx(c, shares, accuracy)
+
+    monkeypatch.setattr(Q.F, "percentile_approx", wrong)
+    got = {(r["g"], r["prob"]): r["quantile"] for r in Q.exact_quantiles(frame, ["g"], "v", [0.25, 0.5, 0.98], 50).collect()}
+    assert got == {("a", p): pytest.approx(float(np.quantile(values, p))) for p in (0.25, 0.5, 0.98)} | {("b", p): 7.0 for p in (0.25, 0.5, 0.98)}
+
+
 @pytest.mark.parametrize("per_bucket", [7, 1_000_000])
 def test_positions(spark, per_bucket):
     rows = [(i % 3 == 0, i * 10) for i in range(200)]
