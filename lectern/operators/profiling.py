@@ -107,14 +107,19 @@ def profile(df: DataFrame, numeric_columns: list[str], categorical_columns: list
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Full symmetric Pearson matrix in long form, nulls skipped pairwise, NULL for a constant column (VIZ-9)."""
-    from lectern.operators.relational import correlations
+    from lectern.operators.relational import correlations, is_wide, wide_correlations
 
-    upper = correlations(df, columns)
+    wide = is_wide(columns)
+    full = wide_correlations(df, columns) if wide else correlations(df, columns)
     both = F.array(
         F.struct("feature_a", "feature_b", "correlation"),
         F.struct(F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "correlation"),
     )
-    off = upper.select(F.explode(both).alias("_r")).select("_r.*")
+    if wide:
+        # The diagonal stays one row.
+        both = F.when(F.col("_a") == F.col("_b"), F.slice(both, 1, 1)).otherwise(both)
+        return full.select(F.explode(both).alias("_r")).select("_r.*")
+    off = full.select(F.explode(both).alias("_r")).select("_r.*")
     present = df.agg(*[F.stddev_pop(number(F.col(c))).alias(c) for c in columns])
     diagonal = F.array(
         *[

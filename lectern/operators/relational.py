@@ -19,6 +19,11 @@ from lectern.operators import quantiles as Q
 
 # Column pairs up to which correlations are plain aggregates.
 MAX_PAIR_AGGREGATES = 300
+# Wide correlations: columns of a block, pairs up to which a task keeps its sums, numbers of the table it holds at once.
+BLOCK_COLUMNS = 128
+HELD_PAIRS = 500_000
+HELD_VALUES = 4_000_000
+PAIR_SUMS = ("n", "x", "y", "xx", "yy", "xy")
 
 
 def never_ordered(customers: DataFrame, orders: DataFrame, key: str, order_key: str) -> DataFrame:
@@ -73,14 +78,19 @@ def pearson(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), spreads)
 
 
+def is_wide(columns: list[str]) -> bool:
+    """Too many column pairs for one aggregate each."""
+    return len(columns) * (len(columns) - 1) // 2 > MAX_PAIR_AGGREGATES
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every column pair, upper triangle, nulls skipped pairwise (VIZ-9).
 
-    Few columns are one aggregation; wide tables sum small matrices made per task.
+    Few columns are one aggregation; wide tables add up small matrices, one pair of column blocks at a time.
     """
+    if is_wide(columns):
+        return wide_correlations(df, columns).filter("_a < _b").drop("_a", "_b")
     pairs = list(combinations(columns, 2))
-    if len(pairs) > MAX_PAIR_AGGREGATES:
-        return _wide_correlations(df, columns)
     one = df.agg(*[pearson(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(
         *[
@@ -91,47 +101,92 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(rows).alias("_r")).select("_r.*")
 
 
-def _wide_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairwise sums by matrix product, shifted by the column means so that nothing cancels.
-
-    A task sends one array of fixed size (five numbers per pair) however many rows it holds.
+def _matrices(batches: Iterator[pa.RecordBatch], values: int) -> Iterator[np.ndarray]:
+    """Rows of the batches as matrices of about ``values`` numbers."""
+    held, size = [], 0
+    for batch in batches:
+        step = max(1, values // batch.num_columns)
+        for part in (batch.slice(start, step) for start in range(0, batch.num_rows, step)):
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in part.columns])
+            held.append(x)
+            size += x.size
+            if size >= values:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def wide_correlations(
+    df: DataFrame, columns: list[str], block: int | None = None, held_pairs: int | None = None, values: int | None = None
+) -> DataFrame:
+    """``_a, _b, feature_a, feature_b, correlation`` with ``_a <= _b``, the columns' places, for any number of columns.
+
+    Products are taken for one pair of column blocks at a time, shifted by the column means so that nothing cancels. A
+    task keeps its sums while all pairs are at most ``held_pairs``; beyond that it holds ``values`` numbers of the table
+    and one pair of blocks, hands the block's sums on and lets Spark add them up, on both sides of the shuffle. Means
+    and names, one per column, are what the driver sees. The diagonal is 1, or NULL for a constant column.
     """
+    block, values = block or BLOCK_COLUMNS, values or HELD_VALUES
+    held_pairs = HELD_PAIRS if held_pairs is None else held_pairs
+    spark, width = df.sparkSession, len(columns)
     wide = df.select(*[number(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
-    row = wide.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(len(columns))]).first()
-    means = np.array([m if m is not None else 0.0 for m in row])
-    upper = np.triu_indices(len(columns), 1)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((6, len(upper[0])))
-        for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
-            known = (~np.isnan(x)).astype(float)
-            x = np.where(known > 0, x - means, 0.0)
-            parts = (known.T @ known, x.T @ known, known.T @ x, (x * x).T @ known, known.T @ (x * x), x.T @ x)
-            total += np.array([p[upper] for p in parts])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(upper[0])), pa.int32()), *[pa.array(t) for t in total]],
-            names=["pair", "n", "x", "y", "xx", "yy", "xy"],
-        )
 
-    schema = "pair int, n double, x double, y double, xx double, yy double, xy double"
-    summed = wide.mapInArrow(sums, schema).groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
-    names = F.array(*[F.lit(c) for c in columns])
-    first, second = (F.array(*[F.lit(int(i)) for i in side]) for side in upper)
-    # Below this a spread is the rounding error of the mean, so the column is constant.
-    noise = F.array(*[F.lit(float((abs(m) * 1e-15) ** 2)) for m in means])
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(width), np.zeros(width)
+        for x in _matrices(batches, values):
+            n += (~np.isnan(x)).sum(axis=0)
+            total += np.nansum(x, axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width), pa.int32()), pa.array(n), pa.array(total)], names=["c", "n", "s"])
+
+    found = wide.mapInArrow(totals, "c int, n double, s double").groupBy("c").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    means = np.zeros(width)
+    for r in found.collect():
+        means[r["c"]] = r["s"] / r["n"] if r["n"] else 0.0
+    starts = range(0, width, block)
+    blocks = [(i, j) for i in starts for j in starts if i <= j]
+
+    def products(x: np.ndarray, i: int, j: int) -> np.ndarray:
+        a, b = x[:, i : i + block], x[:, j : j + block]
+        in_a, in_b = ~np.isnan(a), ~np.isnan(b)
+        a, b = np.where(in_a, a - means[i : i + block], 0.0), np.where(in_b, b - means[j : j + block], 0.0)
+        in_a, in_b = in_a.astype(float), in_b.astype(float)
+        return np.array([in_a.T @ in_b, a.T @ in_b, in_a.T @ b, (a * a).T @ in_b, in_a.T @ (b * b), a.T @ b])
+
+    def rows(sums: np.ndarray, i: int, j: int) -> pa.RecordBatch:
+        first, second = np.meshgrid(np.arange(i, i + sums.shape[1]), np.arange(j, j + sums.shape[2]), indexing="ij")
+        keep = first <= second
+        places = [pa.array(side[keep], pa.int32()) for side in (first, second)]
+        return pa.RecordBatch.from_arrays([*places, *[pa.array(m[keep]) for m in sums]], names=["_a", "_b", *PAIR_SUMS])
 
-    def spread(a: str, side: Column) -> Column:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict = {}
+        for x in _matrices(batches, values):
+            for i, j in blocks:
+                if width * width > 2 * held_pairs:
+                    yield rows(products(x, i, j), i, j)
+                else:
+                    kept[i, j] = kept.get((i, j), 0.0) + products(x, i, j)
+        for (i, j), total in kept.items():
+            yield rows(total, i, j)
+
+    schema = "_a int, _b int, " + ", ".join(f"{c} double" for c in PAIR_SUMS)
+    summed = wide.mapInArrow(sums, schema).groupBy("_a", "_b").agg(*[F.sum(c).alias(c) for c in PAIR_SUMS])
+    # Below the noise a spread is the rounding error of the mean, so the column is constant.
+    known = [(i, c, float((abs(m) * 1e-15) ** 2)) for i, (c, m) in enumerate(zip(columns, means, strict=True))]
+    sides = [
+        F.broadcast(spark.createDataFrame(known, f"{at} int, {name} string, {noise} double"))
+        for at, name, noise in (("_a", "feature_a", "_noise_x"), ("_b", "feature_b", "_noise_y"))
+    ]
+
+    def spread(a: str) -> Column:
         s = F.col("n") * F.col(a + a) - F.col(a) * F.col(a)
-        return F.when(s > F.col("n") * F.col("n") * F.get(noise, F.get(side, "pair")), s)
+        return F.when(s > F.col("n") * F.col("n") * F.col(f"_noise_{a}"), s)
 
     cov = F.col("n") * F.col("xy") - F.col("x") * F.col("y")
-    spread_x, spread_y = spread("x", first), spread("y", second)
-    return summed.select(
-        F.get(names, F.get(first, "pair")).alias("feature_a"),
-        F.get(names, F.get(second, "pair")).alias("feature_b"),
-        F.try_divide(cov, F.sqrt(spread_x) * F.sqrt(spread_y)).alias("correlation"),
-    )
+    shared = F.try_divide(cov, F.sqrt(spread("x")) * F.sqrt(spread("y")))
+    value = F.when(F.col("_a") < F.col("_b"), shared).otherwise(F.when(spread("x").isNotNull(), 1.0))
+    return summed.join(sides[0], "_a").join(sides[1], "_b").select("_a", "_b", "feature_a", "feature_b", value.alias("correlation"))
 
 
 def correlated_pairs(df: DataFrame, columns: list[str], threshold: float) -> DataFrame:

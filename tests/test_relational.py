@@ -114,6 +114,35 @@ def test_quantiles_exact(spark, accuracy):
         assert r["quantile"] == pytest.approx(float(np.quantile(groups[r["g"]], r["prob"])), abs=1e-9)
 
 
+def test_blocks_of_columns_give_every_pair(spark, monkeypatch):
+    """300 columns in small blocks, with gaps, NaNs and constants: kept sums, handed-on sums and numpy agree."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(50, 3, size=(90, 300))
+    x[:, 7], x[:, 8] = 4.1, x[:, 6] * -2
+    x[rng.random(x.shape) < 0.05] = np.nan
+    names = [f"v{i}" for i in range(300)]
+    rows = [tuple(None if v != v and i % 2 else float(v) for i, v in enumerate(r)) for r in x]
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(3)
+    got = []
+    for held in (10**6, 0):
+        found = L.wide_correlations(frame, names, block=37, held_pairs=held, values=5000).collect()
+        got.append({(r["_a"], r["_b"]): r["correlation"] for r in found})
+    assert len(got[0]) == len(got[1]) == 300 * 301 // 2
+    assert got[0][6, 8] == pytest.approx(-1) and got[0][5, 5] == 1.0 and got[0][7, 7] is None and got[0][7, 9] is None
+    for (a, b), v in got[0].items():
+        assert (v is None) == (got[1][a, b] is None) and (v is None) == (7 in (a, b))
+        if v is not None:
+            both = ~np.isnan(x[:, a]) & ~np.isnan(x[:, b])
+            assert v == pytest.approx(got[1][a, b], abs=1e-9)
+            assert v == pytest.approx(np.corrcoef(x[both, a], x[both, b])[0, 1], abs=1e-9)
+    part = names[:9]
+    plain = {(r[0], r[1]): r[2] for r in P.correlation_matrix(frame, part).collect()}
+    monkeypatch.setattr(L, "MAX_PAIR_AGGREGATES", 0)
+    wide = {(r[0], r[1]): r[2] for r in P.correlation_matrix(frame, part).collect()}
+    assert plain.keys() == wide.keys() and len(wide) == 81
+    assert all(wide[k] == (None if v is None else pytest.approx(v, abs=1e-9)) for k, v in plain.items())
+
+
 @pytest.mark.parametrize("slice_rows", [1, 20, 400])
 def test_quantile_slices_are_cut_until_they_are_short(spark, monkeypatch, slice_rows):
     """Whole ranges as brackets: slices of thousands of values, cut with three ranges a round."""
