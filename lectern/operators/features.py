@@ -7,19 +7,24 @@ from dataclasses import dataclass, field
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+from lectern.functions.joins import left_join_known
 from lectern.functions.numbers import number
 from lectern.operators import profiling as P
 from lectern.operators import quantiles as Q
+from lectern.operators.ranking import row_numbers
 
 NUMBERS = (t.ByteType, t.ShortType, t.IntegerType, t.LongType, t.FloatType, t.DoubleType, t.DecimalType)
 MAX_CLASSES_AS_LABELS = 10
 SPLIT_BUCKETS = 10_000
 # Category names are held by the driver and by every encoded vector's metadata.
 MAX_CATEGORIES = 1_000_000
+# A category with more than one row in this many travels to all tasks; there are at most as many of them a column.
+HOT_SHARE = 1_000
 
 
 def feature_types(df: DataFrame, features: list[str]) -> tuple[list[str], list[str]]:
@@ -156,3 +161,45 @@ def fit_preparation(train: DataFrame, features: list[str]) -> Preparation:
         labels = prep.encoder.stages[0].labelsArray
         prep.names += [f"{c}_{v}" for c, values in zip(categorical, labels, strict=True) for v in values]
     return prep
+
+
+def category_ids(train: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, category, id, rows``: dense ids over the categories of all columns, for any number of them (ML-7).
+
+    Columns follow one another in the order given, their categories in alphabetical order. Null is no category. The
+    dictionary is a written table, numbered by range; the driver sees none of it.
+    """
+    pairs = F.array(*[F.struct(F.lit(i).alias("_c"), F.lit(c).alias("column"), F.col(c).alias("category")) for i, c in enumerate(columns)])
+    long = train.select(F.explode(pairs).alias("_p")).select("_p.*").filter(F.col("category").isNotNull())
+    counted = long.groupBy("_c", "column", "category").agg(F.count(F.lit(1)).alias("rows"))
+    return row_numbers(counted, ["_c", "category"], "id").select("column", "category", "id", "rows")
+
+
+def sparse_one_hot(
+    df: DataFrame, columns: list[str], ids: DataFrame, output: str = "indices", hot_share: int = HOT_SHARE
+) -> DataFrame:
+    """Adds the ascending ``category_ids`` of a row's categories; null and unknown ones add none (ML-7).
+
+    The categories of a column that hold more than one in ``hot_share`` training rows, at most as many, are broadcast.
+    Rows of the others meet the dictionary in a shuffle on the category, where none has many rows; rows that need no
+    lookup are spread over the tasks.
+    """
+    out, names = df, []
+    total = ids.groupBy("column").agg(F.sum("rows").alias("_all"))
+    share = ids.join(F.broadcast(total), "column").withColumn("_hot", F.col("rows") * hot_share > F.col("_all"))
+    for i, c in enumerate(columns):
+        own = share.filter(F.col("column") == c)
+        hot = own.filter("_hot").select(F.col("category").alias("_hot_category"), F.col("id").alias(f"_hot{i}"))
+        cold = own.filter("not _hot").select(F.col("category").alias(f"_key{i}"), F.col("id").alias(f"_cold{i}"))
+        met = out.join(F.broadcast(hot), F.col(c) == F.col("_hot_category"), "left").drop("_hot_category")
+        met = met.withColumn(f"_key{i}", F.when(F.col(f"_hot{i}").isNull(), F.col(c)))
+        out = left_join_known(met, cold.hint("merge"), f"_key{i}")
+        names.append(F.coalesce(f"_hot{i}", f"_cold{i}"))
+    found = F.array_sort(F.array_compact(F.array(*names)))
+    return out.select(*[F.col(c) for c in df.columns], found.alias(output))
+
+
+def one_hot_vectors(df: DataFrame, size: int, indices: str = "indices", output: str = "features") -> DataFrame:
+    """Sparse vectors with a one at each index, for ``pyspark.ml``."""
+    vector = F.udf(lambda at: SparseVector(size, at, [1.0] * len(at)), VectorUDT())
+    return df.withColumn(output, vector(F.col(indices)))

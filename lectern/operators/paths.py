@@ -12,7 +12,7 @@ from lectern.functions import text as T
 from lectern.functions.binding import let, once
 from lectern.functions.bounded import broadcast_if_small
 from lectern.functions.joins import left_join_known
-from lectern.operators.ranking import positions
+from lectern.operators.ranking import positions, row_numbers
 from lectern.operators.retrieval import _grams, match_source
 from lectern.session import cut
 
@@ -380,21 +380,9 @@ def skill_set(skills: Column) -> Column:
 
 
 def numbered(subtopics: DataFrame, order: list[str], at: str = "_at") -> DataFrame:
-    """Name, details, tags and the 0-based place of each subtopic in the store's order, in a written table.
-
-    The rows are sorted once, by range; the tasks' row counts shift the numbers. Ties follow name and details; rows equal
-    in all of that fall into several ranges, so a hot order key is not one task.
-    """
+    """Name, details, tags and the 0-based place of each subtopic in the store's order; ties follow the texts."""
     texts = ["name", "details", "tags"]
-    rows = subtopics.select(*order, *texts).withColumn("_any", F.monotonically_increasing_id())
-    ordered = rows.orderBy(*order, *texts, "_any").select(F.monotonically_increasing_id().alias("_id"), *texts)
-    ordered = cut(ordered.withColumn("_task", F.shiftright("_id", 33)))
-    # One row per task of the sort; the number inside the task is in the lower 33 bits.
-    tasks = ordered.groupBy("_task").agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = F.sum("_rows").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
-    shifts = broadcast_if_small(tasks.select("_task", F.coalesce(earlier, F.lit(0)).alias("_shift")))
-    inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return ordered.join(shifts, "_task").select((inside + F.col("_shift")).alias(at), *texts)
+    return row_numbers(subtopics.select(*order, *texts), [*order, *texts], at).select(at, *texts)
 
 
 def skill_hits(skills: DataFrame, texts: DataFrame, skill: str = "skill", text: str = "text") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import ranges
+from lectern.functions.bounded import broadcast_if_small
+from lectern.session import cut
 
 ROWS_PER_BUCKET = 1_000_000
 
@@ -39,3 +41,19 @@ def positions(
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     placed = numbered.join(shifts, same).withColumn(position, (F.col("_row") + F.col("_shift")).cast("bigint"))
     return placed.select(*df.columns, position)
+
+
+def row_numbers(df: DataFrame, order: list[str], number: str) -> DataFrame:
+    """Adds the 0-based place of each row in the order of any columns, nulls first, in a written table.
+
+    The rows are sorted once, by range; the tasks' row counts, one row per task, shift the numbers. Rows of equal keys may
+    lie in several ranges, so a hot key is not one task; their order among themselves is not fixed.
+    """
+    sort = df.withColumn("_any", F.monotonically_increasing_id()).orderBy(*order, "_any").drop("_any")
+    tasks = cut(sort.withColumn("_id", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_id", 33)))
+    counts = tasks.groupBy("_task").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = F.sum("_rows").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = broadcast_if_small(counts.select("_task", F.coalesce(earlier, F.lit(0)).alias("_shift")))
+    # The number inside the task is in the lower 33 bits.
+    inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return tasks.join(shifts, "_task").select(*df.columns, (inside + F.col("_shift")).alias(number))

@@ -44,6 +44,31 @@ def impute_scale_encode(spark, sf_dir):
     return prep.long(gaps, ["c_custkey"]).withColumn("value", F.round("value", 6))
 
 
+@query(
+    "ML-7",
+    """WITH k AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS customer, o_orderpriority AS priority FROM orders),
+    train AS (SELECT * FROM k WHERE o_orderkey % 3 <> 0),
+    cats AS (SELECT DISTINCT 0 AS c, customer AS category FROM train UNION SELECT DISTINCT 1, priority FROM train),
+    ids AS (SELECT c, category, row_number() OVER (ORDER BY c, category) - 1 AS id FROM cats WHERE category IS NOT NULL)
+    SELECT o_orderkey, a.id AS customer_id, b.id AS priority_id
+    FROM k LEFT JOIN ids a ON a.c = 0 AND a.category = customer LEFT JOIN ids b ON b.c = 1 AND b.category = priority""",
+)
+def sparse_categories(spark, sf_dir):
+    """Orders with a wide column, one-hot from a dictionary of two thirds of them; customers not among these have none."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_custkey").cast("string").alias("customer"), F.col("o_orderpriority").alias("priority")
+    )
+    ids = X.category_ids(orders.filter("o_orderkey % 3 <> 0"), ["customer", "priority"])
+    customers = F.lit(ids.filter("column = 'customer'").count())
+    found = X.sparse_one_hot(orders, ["customer", "priority"], ids)
+    first, last = F.get("indices", F.lit(0)), F.element_at("indices", -1)
+    some = F.size("indices") > 0
+    return found.select(
+        "o_orderkey", F.when(some & (first < customers), first).alias("customer_id"),
+        F.when(some, F.when(last >= customers, last)).alias("priority_id"),
+    )
+
+
 TARGETS = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linenumber", "l_extendedprice"]
 
 

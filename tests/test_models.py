@@ -189,3 +189,25 @@ def test_nan_targets_are_no_targets(spark):
     assert M.run_scores(run).first()["test_score"] > 0.999
     ten = spark.createDataFrame([(i, float(i % 10) if i % 11 else float("nan")) for i in range(100)], "id long, y double")
     assert X.infer_task(ten, "y") == "classification"
+
+
+@pytest.mark.parametrize("hot_share", [1, 10, 1_000])
+def test_sparse_one_hot_of_hot_rare_and_unknown_categories(spark, hot_share):
+    from lectern.operators import features as X
+
+    rows = [(i, "hot" if i % 3 == 0 else f"c{i % 50}", None if i % 4 == 0 else f"d{i % 2}") for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, a string, b string").repartition(5)
+    train = df.filter("k % 7 <> 0 and a <> 'c13'")
+    ids = X.category_ids(train, ["a", "b"])
+    known = [(c, v) for c, at in (("a", 1), ("b", 2)) for v in sorted({r[at] for r in rows if r[0] % 7 and r[1] != "c13" and r[at]})]
+    assert sorted((r["column"], r["category"], r["id"]) for r in ids.collect()) == sorted((c, v, i) for i, (c, v) in enumerate(known))
+    place = {p: i for i, p in enumerate(known)}
+    made = X.one_hot_vectors(X.sparse_one_hot(df, ["a", "b"], ids, hot_share=hot_share), len(known))
+    got = {r["k"]: r for r in made.collect()}
+    assert len(got) == 300 and made.columns == ["k", "a", "b", "indices", "features"]
+    for k, a, b in rows:
+        want = sorted(place[p] for p in (("a", a), ("b", b)) if p in place)
+        assert got[k]["indices"] == want
+        assert got[k]["features"].size == len(known) and list(got[k]["features"].indices) == want
+    none = X.category_ids(train.limit(0), ["a", "b"])
+    assert none.count() == 0 and all(r["indices"] == [] for r in X.sparse_one_hot(df, ["a", "b"], none).collect())
