@@ -4,7 +4,8 @@ Targets: the sources share a multiple of all words by weight, none above a multi
 met in blocks of ``block`` words: blocks go to sources by the highest quotients target / (2j - 1), a source's blocks
 go to groups of its shards and then to the shards in the same way, which gives every shard an integer quota. A
 shard's documents lie end to end in seeded order; its stream is cut into blocks and the blocks with the lowest seeded
-hashes are taken. A document's share is the part of the taken blocks that lies in it.
+hashes are taken. A document's share is the part of the taken blocks that lies in it. Equal rows are counted first and
+every copy draws a shard of its own, so that many copies do not fill one shard.
 
 Texts are read once, to count their words. Everything after that works on (key, source, size).
 """
@@ -24,6 +25,8 @@ SHARE = 1.5
 REPEATS = 2
 BLOCK = 64
 SHARD_WORDS = 1 << 18
+#: Copies of a row that are listed at a time.
+COPIES = 4096
 SEED = 20
 
 
@@ -96,17 +99,30 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     ``taken`` counts words with repeats, at most ``repeats`` times the size. Null sources are one source of their
     own; a null or empty text has size 0 and nothing is taken; repeated rows are documents of their own. An empty
     table gives an empty result. The last block of a shard may be short, so a source can miss its target by a block
-    per shard of ``SHARD_WORDS`` words. The order inside a shard comes from a hash of key and text, so reruns agree.
+    per shard of ``SHARD_WORDS`` words. The order inside a shard comes from a hash of key, text and the number of the
+    copy, so reruns agree. A text longer than a shard makes its shard longer, never splits.
     """
     body = text_of(text)
     slim = docs.select(
         F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), count_words(body).alias("size"),
         _number(F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(body), F.lit(seed)).alias("h"),
     )
-    slim = written(slim, "mix-sizes")
+    slim = written(number_copies(slim, seed), "mix-sizes")
     return mix_sizes(slim, weights, share, repeats, block, seed)
 
 
+def number_copies(slim: DataFrame, seed: int = SEED) -> DataFrame:
+    """Gives every copy of a row after the first its own ``h``; tasks add up their copies before the shuffle."""
+    columns = slim.columns
+    counted = slim.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
+    runs = F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(COPIES).cast("long"))
+    run = counted.withColumn("_run", F.explode(once(runs)))
+    copies = F.sequence(F.col("_run"), F.least(F.col("_run") + COPIES, F.col("_copies")) - 1)
+    each = run.withColumn("_copy", F.explode(once(copies)))
+    h = F.when(F.col("_copy") == 0, F.col("h")).otherwise(_number(F.col("h"), F.col("_copy"), F.lit(seed)))
+    return each.withColumn("h", h).select(*columns)
+
+
 def _key(source: Column) -> Column:
     """A join key that is never null."""
     return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
@@ -125,7 +141,10 @@ def mix_sizes(slim: DataFrame, weights, share: float, repeats: int, block: int,
     )
     sources = sources.withColumn("groups", F.ceil(F.sqrt(F.col("shards"))).cast("long"))
     few = broadcast_if_small(sources)
-    placed = slim.withColumn("k", _key(F.col("source"))).join(few, "k")
+    keyed = slim.withColumn("k", _key(F.col("source")))
+    # Rows without words take nothing; in no shard, they cannot crowd one.
+    empty = keyed.filter(F.col("size") == 0).join(few, "k").withColumn("taken", F.lit(0).cast("long"))
+    placed = keyed.filter(F.col("size") > 0).join(few, "k")
     placed = placed.withColumn("shard", F.pmod(F.col("h"), F.col("shards"))).withColumn(
         "g", F.col("shard") % F.col("groups")
     )
@@ -156,8 +175,9 @@ def mix_sizes(slim: DataFrame, weights, share: float, repeats: int, block: int,
         return F.when(_draw(F.col("k"), F.col("shard"), b, seed) <= F.col("last"), inside).otherwise(0)
 
     extra = F.aggregate(F.transform(F.sequence(first, last), part), F.lit(0).cast("long"), lambda a, x: a + x)
-    taken = F.col("rounds") * F.col("size") + F.when(F.col("last").isNotNull() & (F.col("size") > 0), extra).otherwise(0)
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    taken = F.col("rounds") * F.col("size") + F.when(F.col("last").isNotNull(), extra).otherwise(0)
+    out = ["doc_id", "source", "size", "source_size", "target"]
+    return joined.select(*out, taken.cast("long").alias("taken")).unionByName(empty.select(*out, "taken"))
 
 
 def _draw(source: Column, shard: Column, block: Column, seed: int) -> Column:

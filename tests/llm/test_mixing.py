@@ -59,6 +59,27 @@ def test_mix(make, monkeypatch):
     assert sorted(got, key=key) == sorted(again, key=key)
 
 
+def test_equal_rows_fill_many_shards(make, monkeypatch):
+    """A third of the rows are one row; its copies spread over the shards and the mix still fits its targets."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 500)
+    monkeypatch.setattr(mixing, "COPIES", 64)
+    rows = [(7, "a b c d e f g h i j", "a")] * 1000 + [(None, None, "a")] * 150
+    rows += [(1000 + i, "w " * (i % 20), "ab"[i % 2]) for i in range(1000)]
+    docs = make(rows)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    check(rows, got, 500)
+    shares = [r["taken"] for r in got if r["doc_id"] == 7]
+    assert len(shares) == 1000 and all(0 <= s <= 20 for s in shares)
+    slim = docs.selectExpr("doc_id", "source", "10L AS size", "pmod(xxhash64(doc_id, text), 1L << 60) AS h")
+    numbered = mixing.number_copies(slim)
+    assert numbered.count() == len(rows)
+    shards = numbered.filter("doc_id = 7").groupBy(F.col("h") % 20).count().collect()
+    assert len(shards) == 20 and max(r["count"] for r in shards) < 100
+    again = mixing.number_copies(slim.repartition(7))
+    assert numbered.exceptAll(again).count() == 0 and again.exceptAll(numbered).count() == 0
+
+
 def test_no_words_and_no_rows(make):
     got = mixing.op7(make([(1, None, "a"), (2, "", None)])).collect()
     assert [(r["size"], r["target"], r["taken"]) for r in got] == [(0, 0.0, 0)] * 2
