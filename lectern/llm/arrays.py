@@ -41,8 +41,17 @@ def unpacked_sorted(data: bytes) -> np.ndarray:
 
 
 def bucket_of(hashes: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-    """Bucket by range, so that sorted hashes are sorted by bucket."""
-    return ((hashes >> np.uint64(bits - 24)) * np.uint64(buckets)) >> np.uint64(24)
+    """Bucket by range, so that sorted hashes are sorted by bucket; up to 2^32 buckets."""
+    return ((hashes >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def filled(*of: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The buckets that any of some sorted arrays names, ascending, and per array the cuts between them.
+
+    A chunk sends to these alone: its rows are never more than its hashes, however many buckets there are.
+    """
+    named = np.unique(np.concatenate([b[np.flatnonzero(np.diff(b, prepend=b[:1] + np.uint64(1)))] for b in of]))
+    return named.astype(np.int64), [np.append(np.searchsorted(b, named), len(b)) for b in of]
 
 
 def in_batches(rows: Iterable[tuple[int, int, bytes]], most: int = 256) -> Iterator[pa.RecordBatch]:

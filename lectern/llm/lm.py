@@ -1,7 +1,7 @@
 """LM scoring by deleted interpolation: bigram, unigram and uniform estimates mixed per context-frequency bucket.
 
 The counts of all n-grams never meet in one place. Texts are cut into chunks of tokens where they are read; a chunk
-sends its distinct n-grams, as sorted hashes with counts, to buckets of hash ranges. A bucket adds up the counts of
+sends its distinct n-grams, as sorted hashes with counts, to those buckets of hash ranges that they fall into. A bucket adds up the counts of
 all chunks and answers every chunk with the totals of just the n-grams it asked for. Back in its chunk a token thus
 has every count it needs. Hot words are no hot keys: a chunk sends each n-gram once.
 
@@ -22,14 +22,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.arrays import bucket_of, in_batches, packed, packed_sorted, small, unpacked, unpacked_sorted
+from lectern.llm.arrays import bucket_of, filled, in_batches, packed, packed_sorted, small, unpacked, unpacked_sorted
 from lectern.llm.common import column, fold, slices, text_of, written
 
 FOLDS, HELD_OUT = 7, 2
 TUNING = 10
 CHUNK_TOKENS = 2_000_000
 BUCKET_BYTES = 8 << 20
-MAX_BUCKETS = 8192
+#: Buckets whose totals are added up in one group, and buckets that a task of a shuffle answers.
+TOTALS_OF = 4096
+BUCKETS_PER_TASK = 4
 #: Bits of a bigram's hash that are kept; those of words are kept whole, since exact counts rest on them.
 BIGRAM_BITS = 48
 #: Bits of the words' hashes that bigram hashes are made from; a chunk carries just these along.
@@ -77,7 +79,7 @@ class _Chunk:
         self.size += len(out)
 
     def rows(self, chunk: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
-        """(bucket, chunk, payload): the documents under a key of their own, then the n-grams for every bucket."""
+        """(bucket, chunk, payload): the documents under a key of their own, then the n-grams by bucket."""
         hashes = np.array(self.hashes, np.uint64)
         order = np.argsort(hashes, kind="stable")
         place = np.empty(len(order), np.int32)
@@ -92,14 +94,12 @@ class _Chunk:
         found = [(hashes, 64, ids)]
         _, pairs, at = _bigrams(ids, sizes, int(place[0]), short)
         found.append((pairs, BIGRAM_BITS, at))
-        cuts, counts = [], []
-        for keys, bits, where in found:
-            cuts.append(np.searchsorted(bucket_of(keys, bits, buckets), np.arange(buckets + 1, dtype=np.uint64)))
-            counts.append([np.bincount(where[x], minlength=len(keys)) for x in (train, tune)])
-        for b in range(buckets):
+        counts = [[np.bincount(at[x], minlength=len(keys)) for x in (train, tune)] for keys, _, at in found]
+        named, cuts = filled(*[bucket_of(keys, bits, buckets) for keys, bits, _ in found])
+        for i, b in enumerate(named.tolist()):
             payload = []
             for (keys, _, _), cut, (n_train, n_tune) in zip(found, cuts, counts, strict=True):
-                part = slice(cut[b], cut[b + 1])
+                part = slice(cut[i], cut[i + 1])
                 payload += [packed_sorted(keys[part]), packed(small(n_train[part])), packed(small(n_tune[part]))]
             yield b, chunk, pickle.dumps(payload)
 
@@ -140,8 +140,12 @@ def _cut(buckets: int):
 
 
 def _answer(group: pa.Table) -> pa.Table:
-    """Adds up one bucket and answers each chunk with the totals of its n-grams; documents pass unchanged."""
-    if group["bucket"][0].as_py() < 0:
+    """Adds up one bucket and answers each chunk with the counts of its n-grams; documents pass unchanged.
+
+    The bucket's own totals go, under a key below zero, to be added to those of other buckets.
+    """
+    bucket = group["bucket"][0].as_py()
+    if bucket < 0:
         return group
     chunks, asked = group["chunk"].to_pylist(), [pickle.loads(p.as_py()) for p in group["payload"]]
     answers: list[list[bytes]] = [[] for _ in chunks]
@@ -158,8 +162,13 @@ def _answer(group: pa.Table) -> pa.Table:
             totals = [int(sums[0].sum()), int((sums[0] > 0).sum()), int(fit.sum()), int((fit > 0).sum())]
         for part, answer in zip(np.split(at, np.cumsum([len(k) for k in keys])[:-1]), answers, strict=True):
             answer += [packed(small(s[part])) for s in sums]
-    payloads = [pickle.dumps((totals, a)) for a in answers]
-    return pa.table({"bucket": group["bucket"], "chunk": group["chunk"], "payload": pa.array(payloads, pa.binary())})
+    payloads = [pickle.dumps(x) for x in (*answers, totals)]
+    columns = {
+        "bucket": pa.array([bucket] * len(payloads), pa.int64()),
+        "chunk": pa.array([*chunks, -1 - bucket // TOTALS_OF], pa.int64()),
+        "payload": pa.array(payloads, pa.binary()),
+    }
+    return pa.table(columns)
 
 
 def _level(counts: np.ndarray) -> np.ndarray:
@@ -175,34 +184,49 @@ def _step(estimate: np.ndarray, fine: int) -> np.ndarray:
 
 
 def _gathered(group: pa.Table) -> pa.Table:
-    """A chunk with the counts of its tokens, and its tuning tokens by class."""
-    buckets = np.array(group["bucket"])
-    order = np.argsort(buckets, kind="stable")
+    """A chunk with the counts of its tokens and those that its tuning tokens teach by; or the totals of some buckets."""
     payloads = group["payload"]
-    docs, end, hashes, ids = pickle.loads(payloads[int(order[0])].as_py())
+    if group["chunk"][0].as_py() < 0:
+        totals = np.sum([pickle.loads(p.as_py()) for p in payloads], axis=0)
+        return _gathered_row(None, None, totals.tolist())
+    order = np.argsort(np.array(group["bucket"]), kind="stable").tolist()
+    docs, end, hashes, ids = pickle.loads(payloads[order[0]].as_py())
     hashes, ids = unpacked_sorted(hashes), unpacked(ids)
-    answers = [pickle.loads(payloads[int(i)].as_py()) for i in order[1:]]
-    n, v, n_fit, v_fit = (int(x) for x in np.sum([a[0] for a in answers], axis=0))
-    joined = [np.concatenate([unpacked(a[1][i]).astype(np.int64) for a in answers]) for i in range(4)]
+    answers = [pickle.loads(payloads[i].as_py()) for i in order[1:]]
+    joined = [np.concatenate([unpacked(a[i]).astype(np.int64) for a in answers]) for i in range(4)]
     word, word_tune, pair, pair_tune = joined
     sizes = np.array([d[1] for d in docs])
     before, _, at = _bigrams(ids, sizes, end, hashes)
     tune = np.repeat([d[3] for d in docs], sizes)
-    u, w, p = before[tune], ids[tune], at[tune]
-    context = (word - word_tune)[u]
-    both = np.divide((pair - pair_tune)[p], context, out=np.zeros(len(p)), where=context > 0)
-    one = (word - word_tune)[w] / max(n_fit, 1)
-    cells = (_level(context) * STEPS + _step(both, FINE[0])) * STEPS + _step(one, FINE[1])
-    cell, times = np.unique(cells, return_counts=True)
-    payload = pickle.dumps((docs, end, n, v, packed(ids), packed(small(word)), packed(small(pair[at]))))
-    return pa.table(
-        {
-            "payload": pa.array([payload], pa.binary()),
-            "cell": pa.array([cell.astype(np.int32)], pa.list_(pa.int32())),
-            "times": pa.array([times.astype(np.int64)], pa.list_(pa.int64())),
-            "vocabulary": pa.array([v_fit], pa.int64()),
-        }
-    )
+    learned = ((word - word_tune)[before[tune]], (pair - pair_tune)[at[tune]], (word - word_tune)[ids[tune]])
+    payload = pickle.dumps((docs, end, packed(ids), packed(small(word)), packed(small(pair[at]))))
+    return _gathered_row(payload, pickle.dumps([packed(small(x)) for x in learned]), None)
+
+
+def _gathered_row(payload: bytes | None, tuning: bytes | None, totals: list[int] | None) -> pa.Table:
+    columns = {
+        "payload": pa.array([payload], pa.binary()),
+        "tuning": pa.array([tuning], pa.binary()),
+        "totals": pa.array([totals], pa.list_(pa.int64())),
+    }
+    return pa.table(columns)
+
+
+def _cells(n_fit: int):
+    """Tuning tokens by class: context bucket, size of the bigram's estimate and of the word's."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0):
+                context, pair, word = (unpacked(x).astype(np.int64) for x in pickle.loads(payload.as_py()))
+                both = np.divide(pair, context, out=np.zeros(len(pair)), where=context > 0)
+                one = word / max(n_fit, 1)
+                cells = (_level(context) * STEPS + _step(both, FINE[0])) * STEPS + _step(one, FINE[1])
+                cell, times = np.unique(cells, return_counts=True)
+                arrays = [pa.array(cell.astype(np.int32)), pa.array(times.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, ["cell", "times"])
+
+    return run
 
 
 def tuned(cells: np.ndarray, times: np.ndarray, uniform: float, rounds: int = 100) -> np.ndarray:
@@ -225,11 +249,11 @@ def tuned(cells: np.ndarray, times: np.ndarray, uniform: float, rounds: int = 10
     return weights
 
 
-def _scores(weights: np.ndarray):
+def _scores(weights: np.ndarray, n: int, v: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload in batch.column(0):
-                docs, end, n, v, ids, word, pair = pickle.loads(payload.as_py())
+                docs, end, ids, word, pair = pickle.loads(payload.as_py())
                 ids, word, pair = unpacked(ids), unpacked(word).astype(np.int64), unpacked(pair)
                 sizes = np.array([d[1] for d in docs])
                 starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -273,25 +297,26 @@ def score_texts(docs: DataFrame) -> DataFrame:
     body = text_of()
     size = docs.select(F.sum(F.octet_length(body)).alias("n")).first()["n"] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(MAX_BUCKETS, max(size // BUCKET_BYTES, 4 * partitions))
+    buckets = int(max(size // BUCKET_BYTES, BUCKETS_PER_TASK * partitions))
+    tasks = buckets // BUCKETS_PER_TASK  # grows with the texts, so that a task does not
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), fold(F.col("doc_id"), FOLDS).cast("int").alias("remainder"),
         (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(TUNING)) == 0).alias("tuning"), body.alias("text"),
     )
     sent = "bucket long, chunk long, payload binary"
-    answered = rows.mapInArrow(_cut(int(buckets)), sent).groupBy("bucket").applyInArrow(_answer, sent)
-    gathered = answered.groupBy("chunk").applyInArrow(
-        _gathered, "payload binary, cell array<int>, times array<long>, vocabulary long"
-    )
+    asked = rows.mapInArrow(_cut(buckets), sent).repartition(tasks, "bucket")
+    answered = asked.groupBy("bucket").applyInArrow(_answer, sent).repartition(tasks, "chunk")
+    gathered = answered.groupBy("chunk").applyInArrow(_gathered, "payload binary, tuning binary, totals array<long>")
     chunks = written(gathered, "lm-chunks")
-    counts = chunks.select("vocabulary", F.explode(F.arrays_zip("cell", "times")).alias("c"))
-    counts = counts.groupBy(F.col("c.cell").alias("cell")).agg(
-        F.sum("c.times").alias("times"), F.max("vocabulary").alias("vocabulary")
-    ).collect()
-    cells = np.array([r["cell"] for r in counts], np.int64)
+    sums = chunks.filter(F.col("totals").isNotNull()).agg(*[F.sum(F.get("totals", F.lit(i))) for i in range(4)]).first()
+    n, v, n_fit, v_fit = (x or 0 for x in sums)
+    cells = chunks.filter(F.col("tuning").isNotNull()).select("tuning").mapInArrow(_cells(n_fit), "cell int, times long")
+    counts = cells.groupBy("cell").agg(F.sum("times").alias("times")).collect()
+    cell = np.array([r["cell"] for r in counts], np.int64)
     times = np.array([r["times"] for r in counts], np.float64)
-    uniform = 1 / (1 + max([0, *[r["vocabulary"] for r in counts]]))
-    return chunks.select("payload").mapInArrow(_scores(tuned(cells, times, uniform)), SCHEMA)
+    weights = tuned(cell, times, 1 / (1 + v_fit))
+    texts = chunks.filter(F.col("payload").isNotNull()).select("payload")
+    return texts.mapInArrow(_scores(weights, n, v), SCHEMA)
 
 
 def op5(docs: DataFrame) -> DataFrame:

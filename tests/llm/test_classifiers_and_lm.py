@@ -246,3 +246,35 @@ def test_arrays_survive_packing():
         assert (arrays.unpacked(arrays.packed(a)) == a).all()
     s = np.sort(rng.integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
     assert (arrays.unpacked_sorted(arrays.packed_sorted(s)) == s).all()
+
+
+def test_a_chunk_sends_to_the_buckets_it_fills_and_no_others():
+    chunk = lm._Chunk()
+    chunk.add(1, 0, False, "a b a b c")
+    chunk.add(None, 2, False, "")
+    rows = list(chunk.rows(5, 1 << 30))
+    assert rows[0][:2] == (-6, 5) and all(r[1] == 5 for r in rows)
+    buckets = [r[0] for r in rows[1:]]
+    # Words a, b, c and the end; bigrams: end-a, a-b, b-a, b-c, c-end, end-end.
+    assert buckets == sorted(set(buckets)) and len(buckets) == 10
+
+
+def test_filled_buckets():
+    a, b = np.array([0, 0, 3, 9], np.uint64), np.array([3, 7], np.uint64)
+    named, (cut_a, cut_b) = arrays.filled(a, b)
+    assert named.tolist() == [0, 3, 7, 9]
+    assert cut_a.tolist() == [0, 2, 3, 3, 4] and cut_b.tolist() == [0, 0, 1, 2, 2]
+    named, (cut,) = arrays.filled(np.zeros(0, np.uint64))
+    assert named.tolist() == [] and cut.tolist() == [0]
+
+
+def test_many_buckets_give_the_same_scores(make, monkeypatch):
+    """Buckets grow with the texts; most of them get a few n-grams, or none, of a chunk."""
+    rows = [(i, " ".join(f"w{(i * j) % 37}" for j in range(i % 40))) for i in range(200)] + [(None, None), (3, "w1 w2")]
+    want = sorted(map(tuple, lm.op5(make(rows)).collect()), key=str)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 40)
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 300)
+    monkeypatch.setattr(lm, "BUCKETS_PER_TASK", 64)
+    got = sorted(map(tuple, lm.op5(make(rows)).collect()), key=str)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9)
