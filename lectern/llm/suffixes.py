@@ -15,6 +15,7 @@ of one anchor start next to each other; the bytes they cover are the anchor's co
    ``HOT_BITS`` bits of its hash, to the bucket of that hash, where it is counted. A chunk sends a string once.
 3. The chunk joins what it learned to spans and drops them.
 
+A chunk sends rows only to buckets that its hashes fall into, so rows grow with the texts and the buckets need no cap.
 Chunks send their texts along, compressed, so that rows need no key: repeated rows and null ids are no special case.
 """
 
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.arrays import bucket_of, in_batches, packed, packed_sorted, small, unpacked, unpacked_sorted
+from lectern.llm.arrays import bucket_of, filled, in_batches, packed, packed_sorted, small, unpacked, unpacked_sorted
 from lectern.llm.common import column, slices, text_of
 from lectern.llm.grouping import suffix_array
 
@@ -39,7 +40,8 @@ GRAM = 48
 CELL = 16
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
-MAX_BUCKETS = 8192
+#: Buckets that a task of a shuffle answers.
+BUCKETS_PER_TASK = 4
 SEGMENT = 1 << 22
 #: Context bytes that are sorted at a time; the contexts of one anchor stay together.
 SORTED_BYTES = 1 << 20
@@ -137,11 +139,12 @@ def _distinct(grams: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, ...]:
     return g[new], w[new], np.bincount(number, minlength=int(new.sum())), at
 
 
-def _load(payload: bytes) -> tuple[list, list[bytes]]:
-    ids, sizes, body, size = pickle.loads(payload)
+def _load(payload: bytes) -> tuple[list, list[bytes], int]:
+    """A chunk's ids and texts, and how many buckets there are."""
+    ids, sizes, body, size, buckets = pickle.loads(payload)
     whole = pa.decompress(body, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
     cuts = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64).tolist()
-    return ids, [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    return ids, [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], buckets
 
 
 def _asked(buckets: int):
@@ -150,12 +153,12 @@ def _asked(buckets: int):
     def rows(chunk: int, ids: list, texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
         body = b"".join(texts)
         sent = pa.compress(body, codec="zstd", asbytes=True) if body else b""
-        yield -1 - chunk, chunk, pickle.dumps((ids, [len(t) for t in texts], sent, len(body)))
+        yield -1 - chunk, chunk, pickle.dumps((ids, [len(t) for t in texts], sent, len(body), buckets))
         grams, whole, *_ = _contexts(texts)
         grams, whole, counts, _ = _distinct(grams, whole)
-        cuts = np.searchsorted(bucket_of(grams, 64, buckets), np.arange(buckets + 1, dtype=np.uint64))
-        for b in range(buckets):
-            part = slice(cuts[b], cuts[b + 1])
+        named, (cuts,) = filled(bucket_of(grams, 64, buckets))
+        for i, b in enumerate(named.tolist()):
+            part = slice(cuts[i], cuts[i + 1])
             yield b, chunk, pickle.dumps([packed_sorted(grams[part]), packed(whole[part]), packed(small(counts[part]))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,11 +205,11 @@ def _answer(group: pa.Table, most: int = MOST_CONTEXTS) -> pa.Table:
     return _replies(group, [packed(r) for r in replies])
 
 
-def _by_bucket(group: pa.Table) -> tuple[bytes, list[int], list[bytes]]:
+def _by_bucket(group: pa.Table) -> tuple[bytes, list[bytes]]:
     """The chunk's own payload, then the buckets' in order."""
     order = np.argsort(np.array(group["bucket"]), kind="stable").tolist()
-    buckets, payloads = group["bucket"].to_pylist(), group["payload"]
-    return payloads[order[0]].as_py(), [buckets[i] for i in order[1:]], [payloads[i].as_py() for i in order[1:]]
+    payloads = group["payload"]
+    return payloads[order[0]].as_py(), [payloads[i].as_py() for i in order[1:]]
 
 
 def _strings(texts: list[bytes], number: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -223,28 +226,26 @@ def _strings(texts: list[bytes], number: np.ndarray, start: np.ndarray, stop: np
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _hot_rows(found: tuple[np.ndarray, ...], is_open: np.ndarray, buckets: list[int]) -> tuple[list, np.ndarray]:
+def _hot_rows(found: tuple[np.ndarray, ...], is_open: np.ndarray, buckets: int) -> tuple[list, np.ndarray]:
     """(bucket, payload) with each distinct string once, and which of the strings repeat among themselves."""
     key, rest, number, where = found
     key, rest, counts, at = _distinct(key, rest)
     _, first = np.unique(at, return_index=True)
     again, asks = counts > 1, is_open[first]
-    cuts = np.searchsorted(bucket_of(key, 64, len(buckets)), np.arange(len(buckets) + 1, dtype=np.uint64))
+    named, (cuts,) = filled(bucket_of(key, 64, buckets))
     rows = []
-    for b, (low, high) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-        if low == high:
-            continue
+    for b, low, high in zip(named.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         x = first[low:high]
         arrays = [rest[low:high], again[low:high], asks[low:high], small(number[x]), small(where[x])]
-        rows.append((buckets[b], pickle.dumps((None, 0, [packed_sorted(key[low:high]), *map(packed, arrays)]))))
+        rows.append((b, pickle.dumps((None, 0, [packed_sorted(key[low:high]), *map(packed, arrays)]))))
     return rows, again[at]
 
 
 def _opened(group: pa.Table) -> pa.Table:
     """A chunk marks what repeats as a whole, and sends on the contexts that have to be looked at."""
-    own, buckets, replies = _by_bucket(group)
+    own, replies = _by_bucket(group)
     chunk = group["chunk"][0].as_py()
-    _, texts = _load(own)
+    _, texts, buckets = _load(own)
     grams, whole, number, offset, start, stop = _contexts(texts)
     g, _, counts, at = _distinct(grams, whole)
     state = np.concatenate([unpacked(r) for r in replies]) if replies else np.zeros(0, np.uint8)
@@ -264,17 +265,15 @@ def _opened(group: pa.Table) -> pa.Table:
         marked = [np.concatenate(x) for x in zip(marked, (of, where, where + LENGTH), strict=True)]
     rows.append((-1 - chunk, chunk, pickle.dumps((own, [packed(small(x)) for x in marked]))))
     sent = first[np.isin(state, (OPEN, REPEATED_AND_ASKED))] if len(g) else first
-    where = np.searchsorted(bucket_of(grams[sent], 64, len(buckets)), np.arange(len(buckets) + 1, dtype=np.uint64))
-    for b in range(len(buckets)):
-        part = sent[where[b] : where[b + 1]]
-        if not len(part):
-            continue
+    named, (where,) = filled(bucket_of(grams[sent], 64, buckets))
+    for i, b in enumerate(named.tolist()):
+        part = sent[where[i] : where[i + 1]]
         spans = zip(number[part].tolist(), start[part].tolist(), stop[part].tolist(), strict=True)
         body = b"".join(texts[n][a:z] for n, a, z in spans)
         arrays = [number[part], start[part], stop[part] - start[part], offset[part], mine[part] == OPEN]
         arrays = [packed_sorted(grams[part]), *[packed(small(x)) for x in arrays]]
         packed_body = pa.compress(body, codec="zstd", asbytes=True)
-        rows.append((buckets[b], chunk, pickle.dumps((packed_body, len(body), arrays))))
+        rows.append((b, chunk, pickle.dumps((packed_body, len(body), arrays))))
     return pa.Table.from_batches(list(in_batches(rows)))
 
 
@@ -414,9 +413,9 @@ def _looked_at(sent: list[tuple]) -> list[bytes]:
 
 def _dropped(group: pa.Table) -> pa.Table:
     """A chunk's texts without the bytes that repeat."""
-    own, _, replies = _by_bucket(group)
+    own, replies = _by_bucket(group)
     own, marks = pickle.loads(own)
-    ids, texts = _load(own)
+    ids, texts, _ = _load(own)
     spans = [[unpacked(x).astype(np.int64) for x in marks]]
     spans += [[unpacked(x).astype(np.int64) for x in pickle.loads(r)] for r in replies]
     number, start, stop = (np.concatenate(x) for x in zip(*spans, strict=True))
@@ -453,15 +452,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     body = text_of()
     size = docs.select(F.sum(F.octet_length(body)).alias("n")).first()["n"] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = int(min(MAX_BUCKETS, max(size // BUCKET_BYTES, 4 * partitions)))
+    buckets = int(max(size // BUCKET_BYTES, BUCKETS_PER_TASK * partitions))
+    tasks = buckets // BUCKETS_PER_TASK  # grows with the texts, so that a task does not
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"))
-    asked = rows.mapInArrow(_asked(buckets), SENT)
     most = MOST_CONTEXTS
-    answered = asked.groupBy("bucket").applyInArrow(lambda group: _answer(group, most), SENT)
-    opened = answered.groupBy("chunk").applyInArrow(_opened, SENT)
-    compared = opened.groupBy("bucket").applyInArrow(_compared, SENT)
+
+    def step(sent: DataFrame, key: str, function, schema: str) -> DataFrame:
+        return sent.repartition(tasks, key).groupBy(key).applyInArrow(function, schema)
+
+    answered = step(rows.mapInArrow(_asked(buckets), SENT), "bucket", lambda group: _answer(group, most), SENT)
+    opened = step(answered, "chunk", _opened, SENT)
+    compared = step(opened, "bucket", _compared, SENT)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return compared.groupBy("chunk").applyInArrow(_dropped, schema)
+    return step(compared, "chunk", _dropped, schema)
 
 
 #: The same over all documents with different ids for DuckDB, every string counted. Bytes are pairs of hexadecimal digits.

@@ -59,6 +59,23 @@ def test_against_all_strings(make, seed, chunk, monkeypatch):
     assert got == sorted((str(i), *e) for i, e in zip(ids, expected(texts)))
 
 
+def test_many_buckets_against_all_strings(make, monkeypatch):
+    """Far more buckets than a chunk has contexts: rows go only to those that its contexts fall into."""
+    monkeypatch.setattr(suffixes, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 16)
+    monkeypatch.setattr(suffixes, "BUCKETS_PER_TASK", 256)
+    monkeypatch.setattr(suffixes, "MOST_CONTEXTS", 3)
+    texts = corpus(6) + hot_corpus(11, 40, 150)
+    got = sorted((str(r[0]), *r[1:]) for r in suffixes.op8(make(list(enumerate(texts)))).collect())
+    assert got == sorted((str(i), *e) for i, e in enumerate(expected(texts)))
+    task = type("Task", (), {"get": classmethod(lambda cls: cls), "partitionId": staticmethod(lambda: 0)})
+    monkeypatch.setattr(suffixes, "TaskContext", task)
+    monkeypatch.setattr(suffixes, "CHUNK_BYTES", 1 << 20)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, None], "text": [texts[0], ""]})
+    rows = pa.Table.from_batches(suffixes._asked(1 << 31)([batch]))
+    assert rows["bucket"][0].as_py() == -1 and 1 < len(rows) <= len(texts[0].encode())
+
+
 def test_long_texts_in_segments(monkeypatch):
     data = (corpus(4)[0] * 20).encode()
     powers = suffixes._Powers()
