@@ -86,6 +86,14 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:count], ahead[width - 1 : width - 1 + count])
 
 
+def _spread(least: np.ndarray) -> np.ndarray:
+    """Least hashes lie near zero; these numbers, as distinct as they are, fill all 64 bits and so all buckets alike."""
+    with np.errstate(over="ignore"):
+        x = least * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
 def anchors(data: bytes, powers: _Powers) -> tuple[np.ndarray, ...]:
     """Per anchor: its hash, its place, and the first and last start of the strings assigned to it."""
     found = []
@@ -103,7 +111,7 @@ def anchors(data: bytes, powers: _Powers) -> tuple[np.ndarray, ...]:
         first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
         last = np.append(first[1:], len(owner)) - 1
         place = owner[first]
-        found.append((grams[place], place + begin, first + begin, last + begin))
+        found.append((_spread(grams[place]), place + begin, first + begin, last + begin))
     if not found:
         return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))

@@ -76,6 +76,15 @@ def test_many_buckets_against_all_strings(make, monkeypatch):
     assert rows["bucket"][0].as_py() == -1 and 1 < len(rows) <= len(texts[0].encode())
 
 
+def test_anchors_fill_the_buckets_alike():
+    """An anchor is the least hash of many; its bucket must not follow from that."""
+    rng = random.Random(8)
+    data = bytes(rng.choices(range(97, 123), k=400_000))
+    grams = np.unique(suffixes.anchors(data, suffixes._Powers())[0])
+    sizes = np.bincount(suffixes.bucket_of(grams, 64, 16).astype(int), minlength=16)
+    assert sizes.min() > 0.8 * len(grams) / 16 and sizes.max() < 1.2 * len(grams) / 16
+
+
 def test_long_texts_in_segments(monkeypatch):
     data = (corpus(4)[0] * 20).encode()
     powers = suffixes._Powers()
