@@ -196,10 +196,8 @@ def neighbours(
     asked = test.select(F.col(key).alias("_test"), F.col(vec).alias("_asked"))
     columns = [key, *[c for c in keep if c != key]]
     pairs = nearest(
-        train, vec, asked, "_test", "_asked", columns, "euclidean", k + 1 if skip_self else k, None, digits
+        train, vec, asked, "_test", "_asked", columns, "euclidean", k, None, digits, others=skip_self
     )
-    if skip_self:
-        pairs = pairs.filter(F.col("_test") != F.col(key))
     w = Window.partitionBy("_test").orderBy(F.desc("score"), key)
     ranked = pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
     return ranked.withColumn("distance", -F.col("score")).drop("score")

@@ -211,6 +211,50 @@ def test_cells_compare_fewer_pairs_and_lose_nothing():
         assert np.allclose(nearest, left)
 
 
+def test_a_block_gives_up_at_most_k_rows_per_query(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    for width in (3, 20):
+        rows, asked = rng.normal(size=(5000, width)).round(1), rng.normal(size=(40, width)).round(1)
+        keys = rng.permutation(5000)
+        batch = pa.record_batch({"id": pa.array(keys), "_vec": pa.array(list(rows))})
+        queries = pa.table({"_query": pa.array(np.arange(40)), "_asked": pa.array(list(asked))})
+        out = pa.Table.from_batches(list(N._scorer("q", ["id"], "euclidean", 5, None, 6)(batch, queries)))
+        assert out.num_rows == 40 * 5
+        got = {}
+        for r in out.to_pylist():
+            got.setdefault(r["q"], set()).add(r["id"])
+        for q in range(40):
+            d = np.round(np.linalg.norm(rows - asked[q], axis=1), 6)
+            assert got[q] == {keys[i] for i in sorted(range(5000), key=lambda i: (d[i], keys[i]))[:5]}
+
+
+@pytest.mark.parametrize("width,others", [(2, False), (2, True), (18, True)])
+def test_cells_find_what_every_pair_finds(spark, monkeypatch, width, others):
+    """Cells of a few rows, copies, repeated keys: the neighbours of a plain loop over all pairs."""
+    monkeypatch.setattr(N, "MAX_SCAN_PAIRS", 0)
+    monkeypatch.setattr(N, "CELL_ROWS", 30)
+    monkeypatch.setattr(N, "SHARE_ROWS", 50)
+    rng = np.random.default_rng(width)
+    vectors = rng.normal(size=(200, width)).round(1)
+    vectors[40:90] = vectors[40]
+    keys = [int(k) for k in rng.permutation(200)]
+    keys[41:47] = [keys[40]] * 6
+    rows = [(k, [float(x) for x in v]) for k, v in zip(keys, vectors)]
+    corpus = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    asked = corpus.dropDuplicates(["id"]).select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    found = N.nearest(corpus, "v", asked, "q", "qv", ["id"], "euclidean", k=4, digits=6, others=others)
+    got = {}
+    for r in R.top_k(found, "q", ["id"], 4, cap=4).collect():
+        got.setdefault(r["q"], []).append((r["rank"], r["id"], r["score"]))
+    own = {r["q"]: np.array(r["qv"]) for r in asked.collect()}
+    for q, v in own.items():
+        d = np.round(np.linalg.norm(vectors - v, axis=1), 6)
+        want = sorted((d[i], keys[i]) for i in range(200) if not others or keys[i] != q)[:4]
+        assert [(-s, i) for _, i, s in sorted(got[q])] == want
+
+
 def test_source_lookup(spark):
     docs = spark.createDataFrame([("Guide.TXT", "a", 1), ("guide.txt", "b", 2), ("c", "c", 3)], "source string, text string, position int")
     asked = spark.createDataFrame([(1, " GUIDE.txt "), (2, "none"), (3, None), (4, "")], "id int, course_source string")
