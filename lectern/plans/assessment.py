@@ -77,14 +77,21 @@ def _project_bank(spark, sf_dir):
 @query(
     "PJ-1",
     f"""WITH asked AS ({_ASKED_SQL}), bank AS ({_BANK_SQL}),
-    hashed AS (SELECT level, area, p_partkey, ('0x' || substr(md5(p_partkey::VARCHAR), 1, 8))::BIGINT AS h FROM bank)
-    SELECT conv_id, turn, level, area, count(p_partkey) AS projects, min(p_partkey) AS first_project, sum(h)::BIGINT AS digest
-    FROM asked LEFT JOIN hashed USING (level, area) GROUP BY conv_id, turn, level, area""",
+    hashed AS (SELECT level, area, p_partkey, ('0x' || substr(md5(p_partkey::VARCHAR), 1, 8))::BIGINT AS h FROM bank),
+    sums AS (SELECT level, area, count(p_partkey) AS projects, min(p_partkey) AS first_project, sum(h)::BIGINT AS digest
+             FROM hashed GROUP BY level, area)
+    SELECT conv_id, turn, level, area, coalesce(projects, 0) AS projects, first_project, digest, p_partkey, title
+    FROM asked LEFT JOIN sums USING (level, area) LEFT JOIN bank USING (level, area)""",
 )
 def project_items(spark, sf_dir):
-    """The blueprints for every conversation turn, with every part for a blueprint: their number, least and digest."""
-    found = A.project_digests(_project_requests(spark, sf_dir), _project_bank(spark, sf_dir), "p_partkey")
-    return found.select("conv_id", "turn", "level", "area", "projects", "first_project", "digest")
+    """Every blueprint for every conversation turn, with every part for a blueprint, and their number, least and digest."""
+    bank = _project_bank(spark, sf_dir)
+    found = A.project_digests(_project_requests(spark, sf_dir), bank, "p_partkey")
+    listed = A.find_projects(found, bank)
+    none = [F.lit(None).cast(bank.schema[c].dataType).alias(c) for c in ("p_partkey", "title")]
+    columns = ["conv_id", "turn", "level", "area", "projects", "first_project", "digest"]
+    without = found.filter("projects = 0").select(*columns, *none)
+    return listed.select(*columns, "p_partkey", "title").unionByName(without)
 
 
 @query(

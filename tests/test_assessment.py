@@ -171,6 +171,30 @@ def test_project_digests_are_those_of_the_listing(spark):
         assert r["digest"] == (sum(hashes) if own else None)
 
 
+def test_project_items_lists_every_blueprint_for_every_turn(spark, tmp_path):
+    from lectern.plans.assessment import project_items
+
+    turns = [(c, t, ["user", "assistant", "tool"][(c + t) % 3], "Vision" if c % 2 else "cooking") for c in range(6) for t in range(3)]
+    parts = [(i, f"part {i}", i % 4) for i in range(14)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    areas = [r for _n, r in V.PROJECT_RULES] + [V.PROJECT_DEFAULT]
+    bank = {}
+    for key, title, size in parts:
+        if key % 9 < len(areas):
+            level = {0: "beginner", 1: "advanced"}.get(size % 3, "intermediate")
+            bank.setdefault((level, areas[key % 9]), []).append((key, title))
+    got = {}
+    for r in project_items(spark, str(tmp_path)).collect():
+        got.setdefault((r["conv_id"], r["turn"], r["level"], r["area"], r["projects"], r["first_project"]), []).append((r["p_partkey"], r["title"]))
+    assert {k[:2] for k in got} == {(c, t) for c, t, _r, _x in turns} and len(got) == len(turns)
+    assert any(k[4] for k in got) and not all(k[4] for k in got)
+    for (_c, _t, level, area, n, first), listed in got.items():
+        own = bank.get((level, area), [])
+        assert n == len(own) and first == min((k for k, _ in own), default=None)
+        assert sorted(listed, key=str) == (sorted(own, key=str) or [(None, None)])
+
+
 def test_large_banks_are_dealt_by_key(spark):
     from lectern.functions.joins import join_few_keys
 
