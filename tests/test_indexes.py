@@ -38,6 +38,23 @@ def test_term_index_grows_by_segments_and_takes_replays(spark, tmp_path):
     assert counted["x1"] == sum("x1" in r[2].split() for r in rows)
 
 
+@pytest.mark.parametrize("sought", [128, 0])
+def test_index_scores_from_postings(spark, tmp_path, monkeypatch, sought):
+    monkeypatch.setattr(R, "MAX_SOUGHT_WORDS", sought)
+    texts = ["Red stones, redstone", "heat and stone", "a stone", "", None, "redder heat heat", "stone red heat water"]
+    rows = [(i % 4 or None, 0, texts[i % 7]) for i in range(40)]  # one key names different chunks
+    chunks = spark.createDataFrame(rows, "doc long, chunk int, text string").repartition(3)
+    asked = spark.createDataFrame([("a", "red stone"), ("b", "heat water"), ("c", "stone red heat of")], "query_id string, query string")
+    index = TermIndex(spark, str(tmp_path), ["doc", "chunk"]).add(chunks, "1").add(chunks, "01")
+    # Neither tokens nor keys travel with the chunks and postings that are scored.
+    assert set(index.chunks().columns) == {"doc", "chunk", "text", "_part", "_row"}
+    assert set(index.postings().columns) == {"token", "_part", "_row", "_nd"}
+    cols = ["query_id", "doc", "chunk", "text", "score"]
+    want = plain(R.keyword_matches(chunks.union(chunks), asked, ["doc", "chunk"], use_index=False).select(cols))
+    assert want and plain(R.index_matches(index, asked).select(cols)) == want
+    assert plain(R.index_matches(index, asked.limit(0)).select(cols)) == []
+
+
 def odd(spark, n=500, dims=8):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, dims))
