@@ -17,6 +17,7 @@ from lectern.functions.numbers import number
 from lectern.operators import profiling as P
 from lectern.operators import quantiles as Q
 from lectern.operators.ranking import row_numbers
+from lectern.session import cut
 
 NUMBERS = (t.ByteType, t.ShortType, t.IntegerType, t.LongType, t.FloatType, t.DoubleType, t.DecimalType)
 MAX_CLASSES_AS_LABELS = 10
@@ -62,7 +63,11 @@ def is_test(key: str | list[str], test_size: float, seed: int = 42) -> Column:
 def draw(key: str | list[str], seed: int) -> Column:
     """Number from 0 to 2³²-1 drawn from a key and a seed, the same in every engine with md5."""
     keys = [key] if isinstance(key, str) else key
-    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    if len(keys) == 1:
+        # What concat_ws gives, nulls included, at half the time of a pass.
+        text = F.coalesce(F.concat(F.col(keys[0]).cast("string"), F.lit(f"|{seed}")), F.lit(str(seed)))
+    else:
+        text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
@@ -121,7 +126,8 @@ def fit_preparation(train: DataFrame, features: list[str]) -> Preparation:
         if empty:
             raise ValueError(f"no values to impute from: {empty}")
     if categorical:
-        profiles = P.categorical_profile(train, categorical).collect()
+        counted = cut(P.value_counts(train, categorical))
+        profiles = P.counts_profile(counted).collect()
         empty = [r["column"] for r in profiles if not r["unique_count"]]
         if empty:
             raise ValueError(f"no values to impute from: {empty}")
@@ -155,7 +161,11 @@ def fit_preparation(train: DataFrame, features: list[str]) -> Preparation:
             inputCols=[f"_n_{c}" for c in numeric] + [f"_o_{c}" for c in categorical], outputCol="_features"
         )
     )
-    prep.encoder = Pipeline(stages=stages).fit(prep.scaled(filled))
+    # The encoder is fitted on the distinct values, which are counted already; the filled-in modes are among them.
+    seen = train.sparkSession.createDataFrame([], "_none string")
+    if categorical:
+        seen = counted.select(*[F.when(F.col("column") == c, F.col("value")).alias(f"_c_{c}") for c in categorical])
+    prep.encoder = Pipeline(stages=stages).fit(seen)
     prep.names = list(numeric)
     if categorical:
         labels = prep.encoder.stages[0].labelsArray

@@ -117,17 +117,19 @@ class ModelRun:
     train: DataFrame
     test: DataFrame
     classes: list[str]
+    split: Split | None = None
 
 
 @dataclass
 class Split:
-    """Prepared training and test rows that several models can share."""
+    """Prepared training and test rows that several models can share; ``both`` has them with ``_held_out``."""
 
     task: str
     key: str
     preparation: X.Preparation
     train: DataFrame
     test: DataFrame
+    both: DataFrame
 
 
 def prepare_split(
@@ -142,9 +144,10 @@ def prepare_split(
     train_raw = slim.filter(~test_side)
     prep = X.fit_preparation(train_raw, features)
     # Every fit and every score reads the prepared rows again: both sides are prepared once, in one pass.
-    prepared = cut(prep.transform(slim.withColumn("_held_out", test_side)))
-    train, test = (prepared.filter(side).drop("_held_out") for side in (~F.col("_held_out"), F.col("_held_out")))
-    return Split(task, key, prep, train, test)
+    prepared = prep.transform(slim.withColumn("_held_out", test_side))
+    both = cut(prepared.select(key, "_target", "_held_out", "features"))
+    train, test = (both.filter(side).drop("_held_out") for side in (~F.col("_held_out"), F.col("_held_out")))
+    return Split(task, key, prep, train, test, both)
 
 
 def fit_model(split: Split, name: str) -> ModelRun:
@@ -159,14 +162,14 @@ def fit_model(split: Split, name: str) -> ModelRun:
                 key, "features", F.col("_target").cast("double").alias("actual"), F.col("prediction").alias("predicted")
             )
 
-        return ModelRun(split.task, name, prep, model, predict(split.train), predict(split.test), [])
+        return ModelRun(split.task, name, prep, model, predict(split.train), predict(split.test), [], split)
 
     train, test = (side.withColumn("_class", F.col("_target").cast("string")) for side in (split.train, split.test))
     indexer = StringIndexer(inputCol="_class", outputCol="label", stringOrderType="alphabetAsc").fit(train)
     classes = list(indexer.labels)
     if name == "K-Nearest Neighbors (KNN)":
         both = (knn_predict(train, side, key, "_class") for side in (train, test))
-        return ModelRun(split.task, name, prep, None, *both, classes)
+        return ModelRun(split.task, name, prep, None, *both, classes, split)
     labelled = indexer.transform(train)
     if name == "Support Vector Classifier (SVC)":
         model = fit_classifier(labelled, key, len(classes))
@@ -178,7 +181,7 @@ def fit_model(split: Split, name: str) -> ModelRun:
         said = back.transform(model.transform(side))
         return said.select(key, "features", F.col("_class").alias("actual"), "predicted")
 
-    return ModelRun(split.task, name, prep, model, classify(train), classify(test), classes)
+    return ModelRun(split.task, name, prep, model, classify(train), classify(test), classes, split)
 
 
 def train_model(
@@ -225,17 +228,39 @@ def knn_predict(train: DataFrame, test: DataFrame, key: str, label: str, k: int
 
 def regression_metrics(predictions: DataFrame) -> DataFrame:
     """One row ``r2, rmse, n`` (ML-19), in one aggregation."""
-    error = F.col("actual") - F.col("predicted")
-    one = predictions.agg(
-        F.sum(error * error).alias("_sse"),
-        (F.var_pop("actual") * F.count(F.lit(1))).alias("_sst"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    return one.select(
-        (F.lit(1.0) - F.try_divide("_sse", "_sst")).alias("r2"),
-        F.sqrt(F.try_divide("_sse", "n")).alias("rmse"),
-        "n",
-    )
+    one = predictions.agg(_squares("predicted").alias("_sse"), *_spread())
+    return one.select(*_fit("_sse"), "n")
+
+
+def _squares(predicted: str) -> Column:
+    error = F.col("actual") - F.col(predicted)
+    return F.sum(error * error)
+
+
+def _spread() -> list[Column]:
+    return [(F.var_pop("actual") * F.count(F.lit(1))).alias("_sst"), F.count(F.lit(1)).alias("n")]
+
+
+def _fit(sse: str) -> list[Column]:
+    return [
+        (F.lit(1.0) - F.try_divide(sse, "_sst")).alias("r2"), F.sqrt(F.try_divide(sse, "n")).alias("rmse"),
+    ]
+
+
+def _side_metrics(runs: list[ModelRun]) -> list[tuple[dict, dict]]:
+    """``regression_metrics`` of the training and the test side for every run on one split, in one pass over it."""
+    scored = runs[0].split.both.select("_held_out", "features", F.col("_target").cast("double").alias("actual"))
+    for i, run in enumerate(runs):
+        scored = run.model.transform(scored).withColumnRenamed("prediction", f"_p{i}")
+    sums = scored.groupBy("_held_out").agg(*[_squares(f"_p{i}").alias(f"_sse{i}") for i in range(len(runs))], *_spread())
+    rows = sums.select("_held_out", *[F.struct(*_fit(f"_sse{i}")).alias(f"_m{i}") for i in range(len(runs))]).collect()
+    sides = {r["_held_out"]: r for r in rows}
+    # A side without rows has no scores.
+    none = {"r2": None, "rmse": None}
+    return [
+        tuple(sides[held][f"_m{i}"].asDict() if held in sides else none for held in (False, True))
+        for i in range(len(runs))
+    ]
 
 
 def classification_metrics(predictions: DataFrame) -> DataFrame:
@@ -248,17 +273,23 @@ def classification_metrics(predictions: DataFrame) -> DataFrame:
     )
 
 
-def run_scores(run: ModelRun) -> DataFrame:
-    """One row per run: scores on both sides and the extra metric, as computed; ``explain`` rounds them."""
-    spark = run.train.sparkSession
-    if run.task == "regression":
-        a, b = regression_metrics(run.train).first(), regression_metrics(run.test).first()
-        row = (run.name, run.task, "R²", a["r2"], b["r2"], "rmse", b["rmse"])
-    else:
-        a, b = classification_metrics(run.train).first(), classification_metrics(run.test).first()
-        row = (run.name, run.task, "Accuracy", a["accuracy"], b["accuracy"], "f1", b["f1"])
+def run_scores(*runs: ModelRun) -> DataFrame:
+    """One row per run: scores on both sides and the extra metric, as computed; ``explain`` rounds them.
+
+    Regressors fitted on one split are scored together: its rows are read once for all of them.
+    """
+    spark, rows = runs[0].train.sparkSession, []
+    shared = runs[0].split is not None and all(r.task == "regression" and r.split is runs[0].split for r in runs)
+    together = _side_metrics(list(runs)) if shared else None
+    for i, run in enumerate(runs):
+        if run.task == "regression":
+            a, b = together[i] if shared else (regression_metrics(side).first() for side in (run.train, run.test))
+            rows.append((run.name, run.task, "R²", a["r2"], b["r2"], "rmse", b["rmse"]))
+        else:
+            a, b = (classification_metrics(side).first() for side in (run.train, run.test))
+            rows.append((run.name, run.task, "Accuracy", a["accuracy"], b["accuracy"], "f1", b["f1"]))
     return spark.createDataFrame(
-        [row],
+        rows,
         "model_name string, task string, metric string, train_score double, test_score double, "
         "extra_name string, extra double",
     )

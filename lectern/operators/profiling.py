@@ -59,7 +59,16 @@ def categorical_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     Values are counted first with map-side combine; the per-column step then merges one partial row per task.
     An empty column gives 0, "N/A", 0.
     """
-    counted = Q.unpivot(df, columns, dtype="string").groupBy("column", "value").agg(F.count("value").alias("n"))
+    return counts_profile(value_counts(df, columns))
+
+
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, value, n``: how often each column holds each value; null has a row and counts 0."""
+    return Q.unpivot(df, columns, dtype="string").groupBy("column", "value").agg(F.count("value").alias("n"))
+
+
+def counts_profile(counted: DataFrame) -> DataFrame:
+    """The profile of ``categorical_profile`` from ``value_counts``."""
     seen = F.when(F.col("value").isNotNull(), F.struct((-F.col("n")).alias("o"), "value"))
     return counted.groupBy("column").agg(
         F.count("value").alias("unique_count"),

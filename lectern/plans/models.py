@@ -641,12 +641,8 @@ def forest_importance(spark, sf_dir):
 @query("ML-8 ML-9 ML-10 ML-11 ML-12 ML-19")
 def regression_scores(spark, sf_dir):
     """Train and test scores of the linear and tree regressors on line items."""
-    out = None
     split = M.prepare_split(items(spark, sf_dir), ITEM_FEATURES, "l_extendedprice", "row_key")
-    for name in [*PENALISED, "Decision Tree Regressor"]:
-        row = M.run_scores(M.fit_model(split, name))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return M.run_scores(*[M.fit_model(split, name) for name in [*PENALISED, "Decision Tree Regressor"]])
 
 
 @query("ML-8 ML-12 ML-15 ML-17 ML-18 ML-20")

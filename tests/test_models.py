@@ -211,3 +211,63 @@ def test_sparse_one_hot_of_hot_rare_and_unknown_categories(spark, hot_share):
         assert got[k]["features"].size == len(known) and list(got[k]["features"].indices) == want
     none = X.category_ids(train.limit(0), ["a", "b"])
     assert none.count() == 0 and all(r["indices"] == [] for r in X.sparse_one_hot(df, ["a", "b"], none).collect())
+
+
+def test_scores_of_one_split_are_one_pass(spark, table):
+    split = M.prepare_split(table, ["n1", "n2", "c"], "num", "id")
+    runs = [M.fit_model(split, name) for name in ("Ridge Regression", "Lasso Regression", "Decision Tree Regressor")]
+    sc = spark.sparkContext
+    sc.setJobGroup("scores-of-one-split", "")
+    try:
+        got = M.run_scores(*runs).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    # One shuffle: at most a job for its map side and one for its result, however many runs.
+    assert 1 <= len(sc.statusTracker().getJobIdsForGroup("scores-of-one-split")) <= 3
+    assert [r["model_name"] for r in got] == [r.name for r in runs]
+    for row, run in zip(got, runs, strict=True):
+        a, b = M.regression_metrics(run.train).first(), M.regression_metrics(run.test).first()
+        want = (a["r2"], b["r2"], b["rmse"])
+        assert (row["train_score"], row["test_score"], row["extra"]) == pytest.approx(want, rel=1e-9)
+
+
+def test_scores_of_a_side_without_rows(table):
+    run = M.fit_model(M.prepare_split(table, ["n1", "n2"], "num", "id", test_size=0.0), "Ridge Regression")
+    row = M.run_scores(run).first()
+    assert row["train_score"] > 0.8 and row["test_score"] is None and row["extra"] is None
+
+
+def test_categories_are_counted_in_one_pass(spark, table):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(value):
+        seen.add(1)
+        return value
+
+    train = table.withColumn("c", F.udf(watched, "string").asNondeterministic()("c"))
+    prep = X.fit_preparation(train, ["c"])
+    assert seen.value == 600 and prep.names == ["c_a", "c_b", "c_c"] and prep.modes["c"] in "abc"
+
+
+def test_encoder_knows_every_category_in_the_order_of_the_indexer(spark):
+    from pyspark.ml.feature import StringIndexer
+
+    values = ["b", " ", "\U0001f600", "～", "A", None, "b", "b"]
+    df = spark.createDataFrame([(i, v, None if i % 2 else "x") for i, v in enumerate(values)], "id int, a string, d string")
+    prep = X.fit_preparation(df, ["a", "d"])
+    rows = StringIndexer(inputCol="a", outputCol="i", handleInvalid="keep", stringOrderType="alphabetAsc").fit(df)
+    assert prep.names == [f"a_{v}" for v in rows.labels] + ["d_x"]
+    # The null becomes the mode.
+    v = prep.transform(df).filter("id = 5").select(vector_to_array("features").alias("v")).first()["v"]
+    assert v[rows.labels.index("b")] == 1.0 and sum(v) == 2.0
+
+
+@pytest.mark.parametrize("key", ["id", ["id"], ["id", "name"]])
+def test_draw_is_the_md5_of_the_known_keys(spark, key):
+    import hashlib
+
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (-7, None)], "id long, name string")
+    keys = [key] if isinstance(key, str) else key
+    for row in df.select("*", X.draw(key, 42).alias("h")).collect():
+        text = "|".join([str(row[k]) for k in keys if row[k] is not None] + ["42"])
+        assert row["h"] == int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
