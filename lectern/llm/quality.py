@@ -32,6 +32,8 @@ REACH = 2
 TRAIN = 20_000
 FOLDS = 5
 CACHE = 200_000
+#: Tokens whose counts of neighbours are copied as floats at a time.
+SLAB = 256
 THRESHOLD = 0.3
 TOKEN = re.compile(r"\w+|[^\w\s]")
 
@@ -79,6 +81,20 @@ def token_ids() -> Callable[[str], np.ndarray]:
     return of
 
 
+def _sums(near: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Per token the index vectors before, behind and of itself, added up: whole numbers, so the order does not matter.
+
+    A product with floats copies the counts as floats, twice their size; that is done for a slab of them at a time.
+    """
+    index = index_vectors().astype(np.float64)
+    sums = seen[:, None] * index
+    for start in range(0, WORDS, SLAB):
+        part = near[start : start + SLAB].astype(np.float64)
+        sums[start : start + SLAB] += part @ index
+        sums += part.T @ index[start : start + SLAB]
+    return sums
+
+
 def _context_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One task's share of the word vectors: rows of (token, sums of index vectors)."""
     ids_of, near = token_ids(), np.zeros(WORDS * WORDS, np.int32)
@@ -89,9 +105,7 @@ def _context_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             seen += np.bincount(ids, minlength=WORDS)
             for step in range(1, REACH + 1):
                 np.add.at(near, ids[:-step] * WORDS + ids[step:], 1)
-    near = near.reshape(WORDS, WORDS)
-    index = index_vectors().astype(np.float64)
-    sums = near @ index + near.T @ index + seen[:, None] * index
+    sums = _sums(near.reshape(WORDS, WORDS), seen)
     rows = np.flatnonzero(seen)
     columns = [pa.array(rows, pa.int32())]
     columns += [pa.array(np.rint(sums[rows, d]).astype(np.int64)) for d in range(SIZE)]
