@@ -202,3 +202,22 @@ def test_large_banks_are_dealt_by_key(spark):
     rows = spark.createDataFrame([(i, k) for i, k in enumerate(["hot", "cold", "none", None, "hot"])], "id long, key string")
     few = sorted(map(tuple, join_few_keys(rows, bank, ["key"]).collect()))
     assert sorted(map(tuple, join_few_keys(rows, bank, ["key"], 10, 25).collect())) == few and len(few) == 570
+
+
+def test_pairs_of_few_keys_are_dealt_on_both_sides(spark, monkeypatch):
+    from lectern.functions import joins
+
+    for name, value in (("PART_ROWS", 50), ("SLICE_ROWS", 20), ("TASK_PAIRS", 1_000)):
+        monkeypatch.setattr(joins, name, value, raising=False)
+    # One key has most rows on both sides; the others are small, null or on one side only. Two rows come twice.
+    asking = [(i % 398, "hot") for i in range(400)] + [(1_000, "cold"), (1_001, None), (1_002, "none")]
+    bank = [("hot" if i % 10 else "cold", i) for i in range(300)] + [(None, 300), ("unasked", 301), ("cold", 0)]
+    want = sorted((i, k, item) for i, k in asking for key, item in bank if key == k is not None)
+    rows = spark.createDataFrame(asking, "id long, key string")
+    pairs = joins.join_few_keys(rows, spark.createDataFrame(bank, "key string, item long"), ["key"], 10)
+    got = pairs.selectExpr("id", "key", "item", "spark_partition_id() AS p").collect()
+    assert sorted((r["id"], r["key"], r["item"]) for r in got) == want and pairs.columns == ["key", "id", "item"]
+    sizes = {}
+    for r in got:
+        sizes[r["p"]] = sizes.get(r["p"], 0) + 1
+    assert max(sizes.values()) < len(got) / 5 and len(sizes) > 20
